@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from demolake.llm import chat, decontaminate, warc
+from demolake.llm import chat, decontaminate, simhash, substring, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [decontaminate.op1_suffix_automaton, warc.op7_content_addressed, chat.op8_prefix_targets]
+    found = [decontaminate.op1_suffix_automaton, simhash.op2_pigeonhole_simhash, substring.op5_prefix_suffix_trees, warc.op7_content_addressed, chat.op8_prefix_targets]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_automaton": decontaminate.OP1_SQL, "op7_content_addressed": warc.OP7_SQL, "op8_prefix_targets": chat.OP8_SQL}
+    return {"op1_suffix_automaton": decontaminate.OP1_SQL, "op5_prefix_suffix_trees": substring.OP5_SQL, "op7_content_addressed": warc.OP7_SQL, "op8_prefix_targets": chat.OP8_SQL}
