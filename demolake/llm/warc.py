@@ -61,7 +61,7 @@ def write_archive(pages: DataFrame, path: str, *, payload: str = "html", revisit
     captures = _captures(pages, payload)
     owners = captures.groupBy("digest").agg(F.min("page_id").alias("owner"))
     record_headers(captures, owners, revisit_bytes=revisit_bytes, date=date).write.option("compression", "zstd").parquet(f"{path}/headers")
-    held = captures.select("digest", "page_id", "payload").join(owners, (captures["digest"] == owners["digest"]) & captures["page_id"].eqNullSafe(owners["owner"]), "left_semi")
+    held = captures.select("digest", "page_id", "payload").join(owners, "digest").filter(F.col("page_id").eqNullSafe(F.col("owner")))
     held.groupBy("digest").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
