@@ -152,7 +152,7 @@ def tree_masks(keys: np.ndarray, contexts: np.ndarray, counts: np.ndarray, rows:
     return keys[kept], contexts[kept], masks[kept]
 
 
-def repeated_windows(docs: DataFrame, *, window: int, prefix: int, group_rows: int, filter_bits: int) -> DataFrame:
+def repeated_windows(docs: DataFrame, *, window: int, prefix: int, group_rows: int, filter_bits: int, piece_bytes: int) -> DataFrame:
     """Columns of docs but text, with ``at`` (an anchor's word) and ``mask`` (which windows around it repeat)."""
     spark, reach = docs.sparkSession, window - prefix
     names = [c for c in docs.columns if c != "text"]
@@ -162,7 +162,7 @@ def repeated_windows(docs: DataFrame, *, window: int, prefix: int, group_rows: i
     def each(batches, act):
         for whole in batches:
             index = whole.schema.get_field_index("text")
-            for batch in pieces(whole, index):
+            for batch in pieces(whole, index, piece_bytes):
                 found = act(Contexts(batch.column(index), window, prefix), batch)
                 if found is not None:
                     yield found
@@ -238,11 +238,11 @@ def repeated_windows(docs: DataFrame, *, window: int, prefix: int, group_rows: i
     return docs.mapInArrow(places, schema).join(masks, ["akey", "context"]).select(*names, "at", "mask")
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 35, prefix: int = 8, group_rows: int = 30_000, filter_bits: int = 1 << 26, keep: Sequence[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, window: int = 35, prefix: int = 8, group_rows: int = 15_000, filter_bits: int = 1 << 26, piece_bytes: int = 2 << 20, keep: Sequence[str] | None = None) -> DataFrame:
     """The columns ``keep`` of docs (all but text by default) with n_words, n_removed and kept (the words left, joined by one space)."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != "text"]
     keyed = docs.select(*keep, "text", F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
-    found = repeated_windows(keyed.select("_id", "_hash", "text"), window=window, prefix=prefix, group_rows=group_rows, filter_bits=filter_bits)
+    found = repeated_windows(keyed.select("_id", "_hash", "text"), window=window, prefix=prefix, group_rows=group_rows, filter_bits=filter_bits, piece_bytes=piece_bytes)
     marks = found.groupBy("_id", "_hash").agg(F.collect_set(F.struct("at", "mask")).alias("marks")).select(F.col("_id").alias("_mid"), F.col("_hash").alias("_mhash"), F.col("marks.at").alias("_at"), F.col("marks.mask").alias("_mask"))
     joined = keyed.join(marks, (F.col("_hash") == F.col("_mhash")) & F.col("_id").eqNullSafe(F.col("_mid")), "left").select(*keep, "text", "_at", "_mask")
     reach = window - prefix
@@ -251,7 +251,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, prefix: int = 8, group_
         bits = np.arange(reach + 1)
         for whole in batches:
             index = whole.schema.get_field_index("text")
-            for batch in pieces(whole, index):
+            for batch in pieces(whole, index, piece_bytes):
                 n_words, n_removed, kept = [], [], []
                 ats, masks = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_at", "_mask"))
                 for text, at, mask in zip(batch.column(index).to_pylist(), ats, masks, strict=True):
