@@ -13,9 +13,10 @@ values within ceil(t / 2) bits of its own, so that any two within t bits share
 a key; pairs that share a key are verified on all 64 bits.
 
 Copies are one fingerprint. In each bucket of a key every fingerprint is
-compared with the bucket's smallest and largest first; only buckets that still
-hold several components then compare their members, and only across components.
-So a dense group costs its size, not its square, and no link is lost.
+compared with two of the bucket first, for a few rounds with other ones each
+time; only buckets that still hold several components then compare their
+members, and only across components. So a dense group costs its size, not its
+square, and no link is lost.
 
 Nulls and texts without words have fingerprint zero and link like any other.
 Rows that repeat a doc_id are documents of their own with the same id. A null
@@ -112,7 +113,7 @@ def _n_keys(width: int, t: int) -> int:
     return 0 if t < 0 else sum(len(list(combinations(range(width), r))) if r <= 2 else 10**9 for r in range(-(-t // 2) + 1))
 
 
-def plan_parts(both: np.ndarray, n: int, radius: int, pair_cost: float = 4.0) -> list[tuple[list[int], int]]:
+def plan_parts(both: np.ndarray, n: int, radius: int, pair_cost: float = 64.0) -> list[tuple[list[int], int]]:
     """Parts of the bits with a threshold each (-1: not probed), at the least estimated number of key rows and candidate pairs."""
     p = np.diag(both) / max(n, 1)
     best: tuple[float, list] = (float("inf"), [])
@@ -145,7 +146,7 @@ def _signed(x: int) -> int:
 
 
 def probe_keys(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
-    """Columns part, value, fp: every key under which a fingerprint is filed or probed."""
+    """Columns key, fp: every key under which a fingerprint is filed and probed, a hash of the part and its value."""
     out = None
     for k, (group, t) in enumerate(plan):
         if t < 0:
@@ -153,8 +154,8 @@ def probe_keys(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
         mask = sum(1 << b for b in group)
         flips = [sum(1 << b for b in bits) for r in range(-(-t // 2) + 1) for bits in combinations(group, r)]
         base = F.col("fp").bitwiseAND(F.lit(_signed(mask)))
-        values = F.explode(F.transform(F.array(*(F.lit(_signed(x)) for x in flips)), lambda x: base.bitwiseXOR(x)))  # noqa: B023
-        rows = fps.select(F.lit(k).alias("part"), values.alias("value"), "fp")
+        values = F.explode(F.transform(F.array(*(F.lit(_signed(x)) for x in flips)), lambda x: F.xxhash64(F.lit(k), base.bitwiseXOR(x))))  # noqa: B023
+        rows = fps.select(values.alias("key"), "fp")
         out = rows if out is None else out.union(rows)
     return out
 
@@ -163,22 +164,34 @@ def near(a: str, b: str, radius: int):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
 
 
-def link_fingerprints(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """Columns node, root for every fingerprint that another one reaches by links; fps: distinct fp."""
-    n = fps.count()
-    keys = probe_keys(fps, plan_parts(bit_statistics(fps), n, radius))
-    buckets = keys.groupBy("part", "value").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi")
-    members = materialize(keys.join(buckets, ["part", "value"]), "members")
-    stars = members.select("fp", F.explode(F.array("lo", "hi")).alias("end")).filter((F.col("fp") != F.col("end")) & near("fp", "end", radius))
-    first = components(stars.select(F.col("fp").alias("a"), F.col("end").alias("b")))
-    named = members.join(first, F.col("fp") == F.col("node"), "left").select("part", "value", "fp", F.coalesce("root", "fp").alias("root"))
-    named = materialize(named, "members")
-    mixed = named.groupBy("part", "value").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("part", "value")
-    rest = materialize(named.join(mixed, ["part", "value"]), "members")
-    pairs = rest.toDF("part", "value", "fp", "a").join(rest.toDF("part", "value", "other", "b"), ["part", "value"]).filter((F.col("a") < F.col("b")) & near("fp", "other", radius))
-    second = components(pairs.select("a", "b").distinct()).toDF("root", "top")
-    nodes = first.union(pairs.select(F.explode(F.array("a", "b"))).distinct().select("col", "col")).toDF("node", "root")
-    return nodes.join(second, "root", "left").groupBy("node").agg(F.min(F.coalesce("top", "root")).alias("root"))
+def link_fingerprints(fps: DataFrame, radius: int = 4, rounds: int = 4) -> DataFrame:
+    """Columns node, root for every fingerprint that another one reaches by links; fps: distinct fp.
+
+    Each of at most ``rounds`` rounds compares the members of a bucket with two of
+    them, others each time, in buckets that hold several components; the last step
+    compares all members of different components in the buckets left.
+    """
+    keys = probe_keys(fps, plan_parts(bit_statistics(fps), fps.count(), radius))
+    shared = keys.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi").select("key")
+    members = materialize(keys.join(shared, "key").withColumn("root", F.col("fp")), "members")
+    links = members.sparkSession.createDataFrame([], "node long, root long")
+    before = None
+    for turn in range(rounds):
+        salt = F.lit(_signed(turn * 0x9E3779B97F4A7C15 % 2**64))
+        salted = F.col("fp").bitwiseXOR(salt)
+        chosen = members.groupBy("key").agg(F.min(salted).bitwiseXOR(salt).alias("lo"), F.max(salted).bitwiseXOR(salt).alias("hi"))
+        tried = members.join(chosen, "key").select("fp", F.explode(F.array("lo", "hi")).alias("end")).filter((F.col("fp") != F.col("end")) & near("fp", "end", radius))
+        links = components(tried.distinct().toDF("a", "b").union(links))
+        named = members.select("key", "fp").join(links, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+        named = materialize(named, "members")
+        mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
+        members = materialize(named.join(mixed, "key"), "members")
+        now = members.agg(F.count("*"), F.count_distinct("root")).first()
+        if not now[0] or now == before:
+            break
+        before = now
+    pairs = members.toDF("key", "fp", "a").join(members.toDF("key", "other", "b"), "key").filter((F.col("a") < F.col("b")) & near("fp", "other", radius))
+    return components(pairs.select("a", "b").distinct().union(links))
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 4, radius: int = 4) -> DataFrame:
