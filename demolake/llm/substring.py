@@ -238,14 +238,14 @@ def repeated_windows(docs: DataFrame, *, window: int, prefix: int, group_rows: i
     return docs.mapInArrow(places, schema).join(masks, ["akey", "context"]).select(*names, "at", "mask")
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 35, prefix: int = 8, group_rows: int = 15_000, filter_bits: int = 1 << 26, piece_bytes: int = 2 << 20, keep: Sequence[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of docs (all but text by default) with n_words, n_removed and kept (the words left, joined by one space)."""
+def remove_repeats(docs: DataFrame, *, window: int = 35, prefix: int = 8, group_rows: int = 15_000, filter_bits: int = 1 << 26, piece_bytes: int = 2 << 20, keep: Sequence[str] | None = None, keep_text: bool = False) -> DataFrame:
+    """The columns ``keep`` of docs (all but text by default) with n_words, n_removed and kept (the words left, joined by one space); ``keep_text`` adds the text itself."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != "text"]
     keyed = docs.select(*keep, "text", F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
     found = repeated_windows(keyed.select("_id", "_hash", "text"), window=window, prefix=prefix, group_rows=group_rows, filter_bits=filter_bits, piece_bytes=piece_bytes)
     marks = found.groupBy("_id", "_hash").agg(F.collect_set(F.struct("at", "mask")).alias("marks")).select(F.col("_id").alias("_mid"), F.col("_hash").alias("_mhash"), F.col("marks.at").alias("_at"), F.col("marks.mask").alias("_mask"))
     joined = keyed.join(marks, (F.col("_hash") == F.col("_mhash")) & F.col("_id").eqNullSafe(F.col("_mid")), "left").select(*keep, "text", "_at", "_mask")
-    reach = window - prefix
+    reach, out_columns = window - prefix, [*keep, "text"] if keep_text else keep
 
     def cut(batches):
         bits = np.arange(reach + 1)
@@ -264,10 +264,10 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, prefix: int = 8, group_
                         words = [w for w, c in zip(words, np.cumsum(change)[: len(words)].tolist(), strict=True) if not c]
                     n_removed.append(n_words[-1] - len(words))
                     kept.append(b" ".join(words).decode("utf-8", "replace"))
-                out = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-                yield pa.RecordBatch.from_arrays([*out, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=[*keep, "n_words", "n_removed", "kept"])
+                out = [batch.column(batch.schema.get_field_index(c)) for c in out_columns]
+                yield pa.RecordBatch.from_arrays([*out, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=[*out_columns, "n_words", "n_removed", "kept"])
 
-    schema = docs.select(*keep).limit(0).selectExpr("*", "0L n_words", "0L n_removed", "'' kept").schema
+    schema = docs.select(*out_columns).limit(0).selectExpr("*", "0L n_words", "0L n_removed", "'' kept").schema
     return joined.mapInArrow(cut, schema)
 
 
