@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demolake.llm.text import ALNUM, pieces
+from demolake.llm.text import ALNUM, pieces, small_batches
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _RESULT = "n_words long, n_hit long, items array<string>"
@@ -154,6 +154,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, window: int = 13, k
     ``clean`` adds ``clean_text``: the text without the stretches from the first to the last byte of each hit span.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     keep = list(docs.columns if keep is None else keep)
     automata = [spark.sparkContext.broadcast(a) for a in _shards(items, window, shard_words)]
     schema = docs.select(*keep).limit(0).selectExpr("*", "0L n_words", "0L n_hit", "array('') items", *["'' clean_text"] * clean).schema

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demolake.llm.scratch import materialize
-from demolake.llm.text import LETTERS, mix, pieces, range_hashes, word_counts
+from demolake.llm.text import LETTERS, mix, pieces, range_hashes, small_batches, word_counts
 
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ASCII_LETTER = re.compile("[A-Za-z]")
@@ -178,6 +178,7 @@ def train(docs: DataFrame, *, vocabulary_path: str | None = None, iterations: in
 
 def predict(docs: DataFrame, model: Model, *, keep: Sequence[str] | None = None, cache_words: int = 500_000) -> DataFrame:
     """The columns ``keep`` of docs (all by default) with lang_pred and score (the language's posterior probability)."""
+    small_batches(docs.sparkSession)
     keep = list(docs.columns if keep is None else keep)
     held = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from demolake.llm.langid import held_out
 from demolake.llm.scratch import materialize
-from demolake.llm.text import mix, pieces, range_hashes, text_buffer, words_of
+from demolake.llm.text import mix, pieces, range_hashes, small_batches, text_buffer, words_of
 from demolake.llm.toxicity import labelled_sample
 
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -112,6 +112,7 @@ def truncated_axes(x: np.ndarray, rank: int, rounds: int = 4) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", per_class: int = 1500, rank: int = 48, piece_bytes: int = 2 << 20) -> Space | None:
+    small_batches(docs.sparkSession)
     sample = materialize(labelled_sample(docs, labels, label, per_class=per_class), "labelled")
     shares = {r["label"]: r["n"] for r in labels.filter(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label")).groupBy("label").agg(F.count("*").alias("n")).collect()}
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from demolake.llm.graph import components
 from demolake.llm.scratch import materialize
-from demolake.llm.text import pieces
+from demolake.llm.text import pieces, small_batches
 
 
 def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
@@ -58,6 +58,7 @@ def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, *, shingle: int = 4, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and fp, a 64-bit fingerprint of the text as a signed number."""
+    small_batches(docs.sparkSession)
     keep = list(keep)
 
     def run(batches):

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demolake.llm.scratch import materialize
-from demolake.llm.text import mix, pieces, powers, range_hashes, text_buffer, words_of
+from demolake.llm.text import mix, pieces, powers, range_hashes, small_batches, text_buffer, words_of
 
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -240,6 +240,7 @@ def repeated_windows(docs: DataFrame, *, window: int, prefix: int, group_rows: i
 
 def remove_repeats(docs: DataFrame, *, window: int = 35, prefix: int = 8, group_rows: int = 15_000, filter_bits: int = 1 << 26, piece_bytes: int = 2 << 20, keep: Sequence[str] | None = None, keep_text: bool = False) -> DataFrame:
     """The columns ``keep`` of docs (all but text by default) with n_words, n_removed and kept (the words left, joined by one space); ``keep_text`` adds the text itself."""
+    small_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c != "text"]
     keyed = docs.select(*keep, "text", F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
     found = repeated_windows(keyed.select("_id", "_hash", "text"), window=window, prefix=prefix, group_rows=group_rows, filter_bits=filter_bits, piece_bytes=piece_bytes)

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Lower-cases A-Z and turns every ASCII byte that is no digit and no letter into a space; all bytes from 0x80 stay.
@@ -102,11 +102,24 @@ def pieces(batch: pa.RecordBatch, at: int, most: int = 8 << 20) -> Iterator[pa.R
         begin = end
 
 
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> None:
+    """Bounds the Arrow batches between JVM and Python by rows and bytes, unless the session has its own bounds.
+
+    Texts are long rows: the default of 10,000 rows a batch holds several copies of as many texts.
+    """
+    for key, value, default in (("maxRecordsPerBatch", rows, "10000"), ("maxBytesPerBatch", size, None)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name, None)
+        if now is None or now == default or (default is None and name not in dict(spark.sparkContext.getConf().getAll())):
+            spark.conf.set(name, str(value))
+
+
 def word_counts(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """How often each lower-case run of letters stands in all texts, by ``keys``: columns keys, word, n.
 
     Counted within each task first, then summed.
     """
+    small_batches(df.sparkSession)
     schema = df.select(*keys).schema.simpleString()[7:-1]
     schema = ", ".join(x for x in (schema.replace(":", " "), "word binary", "n long") if x)
 

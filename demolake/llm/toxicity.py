@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from demolake.llm.langid import held_out
 from demolake.llm.scratch import materialize
-from demolake.llm.text import pieces, word_counts
+from demolake.llm.text import pieces, small_batches, word_counts
 
 #: Look-alikes and the letters they stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
@@ -268,6 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class
 def score(docs: DataFrame, model: ToxicModel | None, *, keep: Sequence[str] | None = None, cache_tokens: int = 400_000) -> DataFrame:
     """The columns ``keep`` of docs (all by default) with score: how likely the text is toxic, toxic and other texts being equally frequent."""
     keep = list(docs.columns if keep is None else keep)
+    small_batches(docs.sparkSession)
     if model is None:
         return docs.select(*keep, F.lit(0.0).alias("score"))
     held = docs.sparkSession.sparkContext.broadcast(model)
