@@ -36,7 +36,7 @@ def _captures(pages: DataFrame, payload: str) -> DataFrame:
 
 def record_headers(captures: DataFrame, owners: DataFrame, *, revisit_bytes: int, date: str) -> DataFrame:
     """The exact header bytes of every record, with the digest under which its payload is stored."""
-    rows = captures.drop("payload").join(owners, "digest")
+    rows = captures.drop("payload").join(owners.select("digest", "owner"), "digest")
     response = F.col("page_id").eqNullSafe(F.col("owner")) | (F.col("size") < revisit_bytes)
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(_EOL))
@@ -59,10 +59,13 @@ def record_headers(captures: DataFrame, owners: DataFrame, *, revisit_bytes: int
 def write_archive(pages: DataFrame, path: str, *, payload: str = "html", revisit_bytes: int = 100, date: str = "2024-01-01T00:00:00Z") -> None:
     """Writes ``<path>/payloads`` (digest, payload: one row per digest) and ``<path>/headers`` (header, digest, response)."""
     captures = _captures(pages, payload)
-    owners = captures.groupBy("digest").agg(F.min("page_id").alias("owner"))
+    rows = captures.groupBy("digest", "page_id").agg(F.count("*").alias("n"))
+    owners = rows.groupBy("digest").agg(F.min("page_id").alias("owner"), F.min_by("n", F.struct(F.col("page_id").isNull(), "page_id")).alias("n_owner"))
     record_headers(captures, owners, revisit_bytes=revisit_bytes, date=date).write.option("compression", "zstd").parquet(f"{path}/headers")
     held = captures.select("digest", "page_id", "payload").join(owners, "digest").filter(F.col("page_id").eqNullSafe(F.col("owner")))
-    held.groupBy("digest").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    one = held.filter("n_owner = 1").select("digest", "payload")
+    repeated = held.filter("n_owner > 1").groupBy("digest").agg(F.first("payload").alias("payload"))  # rows that stand twice in pages
+    one.unionByName(repeated).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
