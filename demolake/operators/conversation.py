@@ -26,7 +26,7 @@ def instructions(tasks: DataFrame, text: str = "task", position: str = "task_ind
 
 def alternatives(text: Column) -> Column:
     """The readings of an instruction, separated by <br>, without empty ones."""
-    return F.filter(F.transform(F.split(text, "<br>"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, "<br>"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def choose_alternative(text: Column, *keys: str, seed: int = 0) -> Column:
