@@ -104,13 +104,13 @@ def decode(token: str, model: CharModel, *, swap: float = 1.0, drop: float = 0.5
         else:
             runs.append([c, 1])
     paths: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
-    for c, n in runs:
+    for place, (c, n) in enumerate(runs):
         options: list[tuple[str, float]] = []
         letters = ([(c, 0.0)] if c.isalpha() else []) + [(x, swap * n) for x in LEET.get(c, "")]
         for x, cost in letters:
             options += [(x * n, cost)] if n <= 2 else []
             options += [(x * m, cost + shrink) for m in (1, 2) if m < n]
-        if c in SEPARATORS:
+        if c in SEPARATORS or (place in (0, len(runs) - 1) and not c.isalnum()):  # punctuation, too, at either end
             options.append(("", drop))
         if not letters:
             options.append((c, stay))
