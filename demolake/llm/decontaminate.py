@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demolake.llm.text import ALNUM, pieces, small_batches
+from demolake.llm.text import ALNUM, pieces, releasing, small_batches
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _RESULT = "n_words long, n_hit long, items array<string>"
@@ -159,6 +159,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, window: int = 13, k
     automata = [spark.sparkContext.broadcast(a) for a in _shards(items, window, shard_words)]
     schema = docs.select(*keep).limit(0).selectExpr("*", "0L n_words", "0L n_hit", "array('') items", *["'' clean_text"] * clean).schema
 
+    @releasing
     def scan(batches):
         machines = [a.value for a in automata]
         for whole in batches:

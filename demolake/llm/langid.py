@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demolake.llm.scratch import materialize
-from demolake.llm.text import LETTERS, mix, pieces, range_hashes, small_batches, word_counts
+from demolake.llm.text import LETTERS, mix, pieces, range_hashes, releasing, small_batches, word_counts
 
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ASCII_LETTER = re.compile("[A-Za-z]")
@@ -151,6 +151,7 @@ def train(docs: DataFrame, *, vocabulary_path: str | None = None, iterations: in
     for _ in range(iterations if languages else 0):
         held = spark.sparkContext.broadcast((pieces_, languages, p))
 
+        @releasing
         def uses(batches):
             pieces_, languages, p = held.value  # noqa: B023
             lattice, index = Lattice(pieces_), {x: i for i, x in enumerate(languages)}
@@ -182,6 +183,7 @@ def predict(docs: DataFrame, model: Model, *, keep: Sequence[str] | None = None,
     keep = list(docs.columns if keep is None else keep)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @releasing
     def run(batches):
         m = held.value
         lattice, langs = Lattice(m.vocabulary), len(m.languages)

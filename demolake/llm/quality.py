@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from demolake.llm.langid import held_out
 from demolake.llm.scratch import materialize
-from demolake.llm.text import mix, pieces, range_hashes, small_batches, text_buffer, words_of
+from demolake.llm.text import mix, pieces, range_hashes, releasing, small_batches, text_buffer, words_of
 from demolake.llm.toxicity import labelled_sample
 
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -88,6 +88,7 @@ class Space:
 def document_frequencies(docs: DataFrame, piece_bytes: int) -> tuple[np.ndarray, int]:
     """In how many of all documents each term stands, and how many documents there are."""
 
+    @releasing
     def run(batches):
         total = np.zeros(N_TERMS + 1, dtype=np.int64)
         for whole in batches:
@@ -116,6 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", per_cla
     sample = materialize(labelled_sample(docs, labels, label, per_class=per_class), "labelled")
     shares = {r["label"]: r["n"] for r in labels.filter(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label")).groupBy("label").agg(F.count("*").alias("n")).collect()}
 
+    @releasing
     def run(batches):
         for whole in batches:
             for batch in pieces(whole, 1, piece_bytes):
@@ -162,6 +164,7 @@ def score(docs: DataFrame, space: Space | None, *, keep: Sequence[str] | None =
         return docs.select(*keep, F.lit(0.0).alias("score"))
     held = docs.sparkSession.sparkContext.broadcast(space)
 
+    @releasing
     def run(batches):
         for whole in batches:
             index = whole.schema.get_field_index("text")

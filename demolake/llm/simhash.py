@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from demolake.llm.graph import components
 from demolake.llm.scratch import materialize
-from demolake.llm.text import pieces, small_batches
+from demolake.llm.text import pieces, releasing, small_batches
 
 
 def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
@@ -61,6 +61,7 @@ def fingerprints(docs: DataFrame, *, shingle: int = 4, keep: Sequence[str] = ("d
     small_batches(docs.sparkSession)
     keep = list(keep)
 
+    @releasing
     def run(batches):
         for whole in batches:
             index = whole.schema.get_field_index("text")
@@ -75,6 +76,7 @@ def fingerprints(docs: DataFrame, *, shingle: int = 4, keep: Sequence[str] = ("d
 def bit_statistics(fps: DataFrame) -> np.ndarray:
     """How many fingerprints have bits i and j both set, over all rows: a 64 x 64 matrix."""
 
+    @releasing
     def run(batches):
         both = np.zeros((64, 64))
         for batch in batches:
@@ -172,7 +174,11 @@ def link_fingerprints(fps: DataFrame, radius: int = 4, rounds: int = 4) -> DataF
     them, others each time, in buckets that hold several components; the last step
     compares all members of different components in the buckets left.
     """
-    keys = probe_keys(fps, plan_parts(bit_statistics(fps), fps.count(), radius))
+    n = fps.count()
+    plan = plan_parts(bit_statistics(fps), n, radius)
+    fan_out = sum(_n_keys(len(group), t) for group, t in plan)
+    spread = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * fan_out // 1_000_000)
+    keys = probe_keys(fps.repartition(spread), plan)  # a few small rows become many: spread them first
     shared = keys.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi").select("key")
     members = materialize(keys.join(shared, "key").withColumn("root", F.col("fp")), "members")
     links = members.sparkSession.createDataFrame([], "node long, root long")
@@ -198,7 +204,7 @@ def link_fingerprints(fps: DataFrame, radius: int = 4, rounds: int = 4) -> DataF
 def near_duplicates(docs: DataFrame, *, shingle: int = 4, radius: int = 4) -> DataFrame:
     """Columns doc_id, fp, component_id (the smallest doc_id reachable): one row per document."""
     rows = materialize(fingerprints(docs, shingle=shingle), "fingerprints")
-    copies = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    copies = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "copies")
     links = link_fingerprints(copies.select("fp"), radius)
     owned = materialize(copies.join(links, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"), "owners")
     named = owned.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demolake.llm.scratch import materialize
-from demolake.llm.text import mix, pieces, powers, range_hashes, small_batches, text_buffer, words_of
+from demolake.llm.text import mix, pieces, powers, range_hashes, releasing, small_batches, text_buffer, words_of
 
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -167,6 +167,7 @@ def repeated_windows(docs: DataFrame, *, window: int, prefix: int, group_rows: i
                 if found is not None:
                     yield found
 
+    @releasing
     def census(batches):
         def act(c, _):
             keys, n = np.unique(c.keys, return_counts=True)
@@ -180,6 +181,7 @@ def repeated_windows(docs: DataFrame, *, window: int, prefix: int, group_rows: i
     repeated_, heavy_ = spark.sparkContext.broadcast(_bloom(counts, filter_bits)), spark.sparkContext.broadcast(_bloom(heavy, filter_bits))
 
     def contexts(large: bool):
+        @releasing
         def run(batches):
             def act(c, _):
                 c.only(_in_bloom(c.keys, repeated_.value))
@@ -193,6 +195,7 @@ def repeated_windows(docs: DataFrame, *, window: int, prefix: int, group_rows: i
 
         return docs.select("text").mapInArrow(run, "akey long, context long, n long, words binary")
 
+    @releasing
     def places(batches):
         def act(c, batch):
             c.only(_in_bloom(c.keys, repeated_.value))
@@ -206,6 +209,7 @@ def repeated_windows(docs: DataFrame, *, window: int, prefix: int, group_rows: i
     def rows_of(column) -> np.ndarray:
         return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, reach + window)
 
+    @releasing
     def trees(batches):
         held = list(batches)
         if held and sum(b.num_rows for b in held):
@@ -213,6 +217,7 @@ def repeated_windows(docs: DataFrame, *, window: int, prefix: int, group_rows: i
             keys, context, mask = tree_masks(t["akey"].to_numpy(), t["context"].to_numpy(), t["n"].to_numpy(), rows_of(t["words"]), window)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(context), pa.array(mask)], names=["akey", "context", "mask"])
 
+    @releasing
     def leaves(batches):
         for b in batches:
             for begin in range(0, b.num_rows, 4096):
@@ -248,6 +253,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, prefix: int = 8, group_
     joined = keyed.join(marks, (F.col("_hash") == F.col("_mhash")) & F.col("_id").eqNullSafe(F.col("_mid")), "left").select(*keep, "text", "_at", "_mask")
     reach, out_columns = window - prefix, [*keep, "text"] if keep_text else keep
 
+    @releasing
     def cut(batches):
         bits = np.arange(reach + 1)
         for whole in batches:

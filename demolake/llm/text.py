@@ -7,6 +7,10 @@ run again give the same rows.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 from collections import Counter
 from collections.abc import Iterator
 
@@ -102,6 +106,20 @@ def pieces(batch: pa.RecordBatch, at: int, most: int = 8 << 20) -> Iterator[pa.R
         begin = end
 
 
+def releasing(f):
+    """A mapInArrow function that gives its memory back at the end: Python workers live on and serve later stages."""
+
+    @functools.wraps(f)
+    def run(batches):
+        yield from f(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def small_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> None:
     """Bounds the Arrow batches between JVM and Python by rows and bytes, unless the session has its own bounds.
 
@@ -123,6 +141,7 @@ def word_counts(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     schema = df.select(*keys).schema.simpleString()[7:-1]
     schema = ", ".join(x for x in (schema.replace(":", " "), "word binary", "n long") if x)
 
+    @releasing
     def count(batches):
         counts: dict[tuple, Counter] = {}
 

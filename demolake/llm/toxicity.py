@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from demolake.llm.langid import held_out
 from demolake.llm.scratch import materialize
-from demolake.llm.text import pieces, small_batches, word_counts
+from demolake.llm.text import pieces, releasing, small_batches, word_counts
 
 #: Look-alikes and the letters they stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
@@ -78,6 +78,7 @@ def char_model(docs: DataFrame, *, letters: int = 96) -> CharModel:
     alphabet = sorted(r["c"] for r in singles.orderBy(F.desc("n"), "c").limit(letters).collect())
     held = docs.sparkSession.sparkContext.broadcast(frozenset(alphabet))
 
+    @releasing
     def trigrams(batches):
         known, total = held.value, Counter()
         for b in batches:
@@ -208,6 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class
     held = spark.sparkContext.broadcast(chars)
     sample = materialize(labelled_sample(docs, labels, label, per_class=per_class), "labelled")
 
+    @releasing
     def count(batches):
         memo: dict[str, str] = {}
 
@@ -244,6 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class
     model = ToxicModel(chars, weights, math.log((1 - share1) / (1 - share0)), shortest, np.zeros(4))
     carried = spark.sparkContext.broadcast(model)
 
+    @releasing
     def featured(batches):
         m, memo = carried.value, {}
 
@@ -265,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class
     return model
 
 
-def score(docs: DataFrame, model: ToxicModel | None, *, keep: Sequence[str] | None = None, cache_tokens: int = 400_000) -> DataFrame:
+def score(docs: DataFrame, model: ToxicModel | None, *, keep: Sequence[str] | None = None, cache_tokens: int = 200_000) -> DataFrame:
     """The columns ``keep`` of docs (all by default) with score: how likely the text is toxic, toxic and other texts being equally frequent."""
     keep = list(docs.columns if keep is None else keep)
     small_batches(docs.sparkSession)
@@ -273,31 +276,34 @@ def score(docs: DataFrame, model: ToxicModel | None, *, keep: Sequence[str] | No
         return docs.select(*keep, F.lit(0.0).alias("score"))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @releasing
     def run(batches):
         m = held.value
-        memo: dict[str, tuple[str, float]] = {}
+        memo: dict[str, float] = {}  # a word's evidence; nan: no word
+        letters: set[str] = set()  # tokens that read as one letter
 
         def read(token):
             got = memo.get(token)
             if got is None:
                 word = restore(token, m.chars)
-                got = (word, m.weight(word) if word else math.nan)
-                if len(memo) < cache_tokens:
+                got = m.weight(word) if word else math.nan
+                if len(word) == 1:
+                    letters.add(token)
+                if len(memo) < cache_tokens or len(word) == 1:
                     memo[token] = got
             return got
 
         def weigh(text):
             tokens = (text or "").lower().split()
-            pairs = list(map(read, tokens))
-            x = np.fromiter((p[1] for p in pairs), dtype=float, count=len(pairs))
-            singles = [k for k, p in enumerate(pairs) if len(p[0]) == 1]
+            x = np.fromiter(map(read, tokens), dtype=float, count=len(tokens))
+            singles = [k for k, t in enumerate(tokens) if t in letters]
             more, run_ = [], []
             for k in [*singles, -1] if len(singles) > 2 else ():
                 if run_ and k == run_[-1] + 1:
                     run_.append(k)
                     continue
                 if len(run_) >= 3:
-                    more.append(read("".join(tokens[j].strip(_EDGE) or tokens[j] for j in run_))[1])
+                    more.append(read("".join(tokens[j].strip(_EDGE) or tokens[j] for j in run_)))
                 run_ = [k]
             x = np.concatenate([x, more]) if more else x
             return m.features(x[~np.isnan(x)])
