@@ -122,7 +122,7 @@ def run_name(task: Column, sampling: Column, npoints: Column, seed: Column) -> C
     return F.concat_ws("-", task, sampling, F.concat(F.lit("n"), npoints.cast("string")), F.concat(F.lit("s"), seed.cast("string")))
 
 
-def parse_run(name: Column, samplings: Sequence[str] = ("uniform", "eef", "oracle", "molmo")) -> dict[str, Column]:
+def parse_run(name: Column, samplings: Sequence[str] = ("uniform", "eef", "oracle")) -> dict[str, Column]:
     """The parts of a run's name, longest sampling name first; null where the name has another form."""
     pattern = rf"^(.+)-({'|'.join(sorted(samplings, key=len, reverse=True))})-n(\d+)-s(\d+)$"
     part = lambda k: F.nullif(F.regexp_extract(name, pattern, k), F.lit(""))
