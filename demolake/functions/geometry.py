@@ -142,3 +142,9 @@ def instance_id(r: Column, g: Column, b: Column) -> Column:
 def hex_colour(r: Column, g: Column, b: Column) -> Column:
     byte = lambda c: F.lpad(F.lower(F.hex(F.rint(F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0)) * 255).cast("int"))), 2, "0")
     return F.concat(F.lit("#"), byte(r), byte(g), byte(b))
+
+
+def points_in_boxes(points: DataFrame, boxes: DataFrame, *, by: Sequence[str]) -> DataFrame:
+    """Points inside any box of their frame, each once."""
+    per_frame = boxes.groupBy(*by).agg(F.collect_list("box").alias("_boxes"))
+    return points.join(per_frame, list(by)).filter(F.exists("_boxes", lambda b: in_box((F.col("x"), F.col("y"), F.col("z")), b))).drop("_boxes")

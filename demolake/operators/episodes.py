@@ -231,3 +231,48 @@ def episode_summary(frames: DataFrame, counts: DataFrame, success: Column) -> Da
 def grasp_anchor(frames: DataFrame, closed: Column, xyz: Sequence[str]) -> DataFrame:
     """The position at each episode's first frame with a closed gripper."""
     return frames.filter(closed).groupBy("episode_index").agg(F.min("frame_index").alias("grasp_frame"), *(F.min_by(c, "frame_index").alias(c) for c in xyz))
+
+
+def successful(episodes: DataFrame, frames: DataFrame) -> DataFrame:
+    """Frames of successful episodes, up to the length that the episode table gives. episodes: episode_index, success, length."""
+    kept = episodes.filter("success").select("episode_index", F.col("length").alias("_n"))
+    return frames.join(kept, "episode_index").filter(F.col("frame_index") < F.col("_n")).drop("_n")
+
+
+def wrist_camera(frames: DataFrame, *, xyz: str, quat: str, hand_to_camera: tuple[Sequence[float], Sequence[float]], rotation: str = "cam_rotation", shift: str = "cam_shift") -> DataFrame:
+    """The base-to-camera motion of each frame: the fixed hand-to-camera motion after the inverse of the hand's pose (quaternion xyzw)."""
+    from demolake.functions.geometry import rigid_compose, rigid_inverse
+    from demolake.functions.rotation import quat_to_matrix
+
+    rows = frames.withColumn("_r", quat_to_matrix(F.col(quat), "xyzw"))
+    back_r, back_t = rigid_inverse(F.col("_r"), F.col(xyz))
+    rows = rows.withColumn("_br", back_r).withColumn("_bt", back_t)
+    fixed = [F.array(*(F.lit(float(x)) for x in part)) for part in hand_to_camera]
+    r, t = rigid_compose(fixed[0], fixed[1], F.col("_br"), F.col("_bt"))
+    return rows.withColumn(rotation, r).withColumn(shift, t).drop("_r", "_br", "_bt")
+
+
+def state_action_stats(frames: DataFrame, vector: str, *, width: int, centres: DataFrame | None = None, xyz: tuple[int, int] | None = None, rotation: tuple[int, int, str, str] | None = None, quantiles: Sequence[float] = (0.01, 0.1, 0.5, 0.9, 0.99), exact: bool = True) -> DataFrame:
+    """Statistics of a frame vector after its xyz slice is centred on the frame's cloud and its rotation slice is converted.
+
+    centres: frame keys and mx, my, mz. rotation: start, end, and the kinds from and to. Masked rotation dimensions get mean 0 and std 1.
+    """
+    from demolake.functions.rotation import convert_rotation
+    from demolake.operators import vectors
+
+    rows, v = frames, F.col(vector).cast("array<double>")
+    if centres is not None and xyz is not None:
+        if xyz[1] - xyz[0] != 3:
+            raise ValueError("an xyz slice has three components")
+        rows = rows.join(centres.select(*FRAME, "mx", "my", "mz"), list(FRAME))
+        moved = F.zip_with(vectors.vslice(v, *xyz), F.array("mx", "my", "mz"), lambda a, b: a - b)
+        v = vectors.vreplace(v, *xyz, moved)
+    rows = rows.withColumn("_v", v)
+    masked = None
+    if rotation is not None:
+        start, end, source, target = rotation
+        turned = convert_rotation(vectors.vslice("_v", start, end), source, target, quat_order="xyzw")
+        size = {"quat": 4, "euler": 3, "rot6d": 6, "matrix": 9, "axisangle": 3}[target]
+        rows, width, masked = rows.withColumn("_v", vectors.vreplace("_v", start, end, turned)), width + size - (end - start), (start, start + size, target)
+    stats = vectors.vector_stats(rows, "_v", quantiles=quantiles, exact=exact, width=width)
+    return stats if masked is None else vectors.mask_rotation_stats(stats, *masked)
