@@ -94,7 +94,7 @@ def t10_pick_rollouts(spark, sf_dir):
 @query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_quantity / 64e0 AS p, l_partkey FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY p DESC, l_linenumber, l_partkey) AS k FROM c)
 SELECT l_orderkey, l_partkey, p FROM r WHERE k = 1""")
 def t12_bin_argmax(spark, sf_dir):
-    c = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 64.0).alias("p"), "l_partkey", (F.col("l_linenumber") * 10**9 + F.col("l_partkey")).alias("o"))
+    c = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 64.0).alias("p"), "l_partkey", (F.col("l_linenumber").cast("long") * 10**9 + F.col("l_partkey")).alias("o"))
     return sampling.bin_argmax(c, ["l_orderkey"], "l_partkey", "p", "o")
 
 

@@ -1,6 +1,9 @@
+import numbers
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -21,7 +24,9 @@ def duck():
 
 def rows(frame):
     def plain(x):
-        return "NULL" if x is None or x != x else f"{x:.6f}" if isinstance(x, float) else str(x)
+        if not isinstance(x, (list, np.ndarray)) and pd.isna(x):
+            return "NULL"
+        return f"{float(x):.6f}" if isinstance(x, numbers.Number) and not isinstance(x, bool) else str(x)
 
     columns = sorted(frame.columns)
     return columns, sorted(tuple(plain(v) for v in r) for r in frame[columns].astype(object).itertuples(index=False))
