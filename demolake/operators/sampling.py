@@ -106,16 +106,29 @@ def take_strategy(df: DataFrame, strategy: str, order: Sequence[str], *, seed: i
     return df.orderBy(*keys).limit(n)
 
 
-def resample(df: DataFrame, weight: float, key: Sequence[str], *, seed: int = 0) -> DataFrame:
-    """int(rows * weight) rows drawn uniformly with replacement: slot, then the row's columns. Row numbers are dense, by key."""
+def dense_index(df: DataFrame, key: Sequence[str], out: str, *, bucket_rows: int = 100_000) -> tuple[DataFrame, int]:
+    """Numbers rows from 0 without gaps, in no particular order, and counts them.
+
+    Rows are numbered within buckets of a hash; a bucket's first number is the sum of the sizes before it.
+    """
     n = df.count()
-    numbered = df.withColumn("_i", F.row_number().over(Window.orderBy(*key)).cast("long") - 1)
+    buckets = max(1, n // bucket_rows)
+    rows = df.withColumn("_b", F.pmod(F.xxhash64(*key), F.lit(buckets)))
+    sizes = rows.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_o", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).select("_b", "_o")
+    place = F.row_number().over(Window.partitionBy("_b").orderBy(*key)) - 1
+    return rows.withColumn("_p", place).join(before, "_b").withColumn(out, F.col("_o") + F.col("_p")).drop("_b", "_p", "_o"), n
+
+
+def resample(df: DataFrame, weight: float, key: Sequence[str], *, seed: int = 0) -> DataFrame:
+    """int(rows * weight) rows drawn uniformly with replacement: the slot, then the row's columns."""
+    numbered, n = dense_index(df, key, "_i")
     slots = df.sparkSession.range(int(n * weight)).select(F.col("id").alias("slot"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(n, 1))).alias("_i"))
     return slots.join(numbered, "_i").drop("_i")
 
 
 def spread_probes(df: DataFrame, k: int, order: Sequence[str]) -> DataFrame:
-    """Every max(1, n // k)-th row, the first k of them."""
+    """Every max(1, n // k)-th row, the first k of them; for short tables, such as a task's episodes, as rows are numbered in one task."""
     w = Window.orderBy(*order)
     n = F.count("*").over(Window.partitionBy())
     step = F.greatest(F.floor(n / k), F.lit(1))

@@ -165,3 +165,10 @@ def test_pixel_labels_and_foreground(spark):
     assert sorted((r.geom_id, r.label) for r in labels.pixel_labels(px, lookup).collect()) == [(-1, 0), (1, 4), (2, 2), (3, 0)]
     points = spark.createDataFrame([(5,), (6,), (labels.UNDEFINED,)], "instance int")
     assert [r.instance for r in labels.foreground(points, points.filter("instance = 5")).collect()] == [6]
+
+
+def test_dense_index(spark):
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    numbered, n = sampling.dense_index(df, ["k"], "i", bucket_rows=90)
+    assert n == 1000 and sorted(r.i for r in numbered.collect()) == list(range(1000))
+    assert sampling.resample(df, 0.3, ["k"]).count() == 300
