@@ -149,7 +149,7 @@ def _signed(x: int) -> int:
 
 
 def probe_keys(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
-    """Columns key, fp: every key under which a fingerprint is filed and probed, a hash of the part and its value."""
+    """Columns key and those of fps: every key under which a fingerprint fp is filed and probed, a hash of the part and its value."""
     out = None
     for k, (group, t) in enumerate(plan):
         if t < 0:
@@ -158,7 +158,7 @@ def probe_keys(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
         flips = [sum(1 << b for b in bits) for r in range(-(-t // 2) + 1) for bits in combinations(group, r)]
         base = F.col("fp").bitwiseAND(F.lit(_signed(mask)))
         values = F.explode(F.transform(F.array(*(F.lit(_signed(x)) for x in flips)), lambda x: F.xxhash64(F.lit(k), base.bitwiseXOR(x))))  # noqa: B023
-        rows = fps.select(values.alias("key"), "fp")
+        rows = fps.select(values.alias("key"), *fps.columns)
         out = rows if out is None else out.union(rows)
     return out
 
@@ -167,36 +167,52 @@ def near(a: str, b: str, radius: int):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
 
 
-def link_fingerprints(fps: DataFrame, radius: int = 4, rounds: int = 4) -> DataFrame:
+def _mixed_buckets(keys: DataFrame) -> DataFrame:
+    """The rows (key, fp, root) of buckets that hold several components."""
+    mixed = keys.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
+    return materialize(keys.join(mixed, "key"), "members")
+
+
+def _linked_to_two(members: DataFrame, radius: int, turn: int) -> DataFrame:
+    """Links of members to two of their bucket, other ones at each turn: fp, end."""
+    salt = F.lit(_signed(turn * 0x9E3779B97F4A7C15 % 2**64))
+    salted = F.col("fp").bitwiseXOR(salt)
+    chosen = members.groupBy("key").agg(F.min(salted).bitwiseXOR(salt).alias("lo"), F.max(salted).bitwiseXOR(salt).alias("hi"))
+    both = members.join(chosen, "key")
+    tried = both.select("fp", F.col("lo").alias("end")).union(both.select("fp", F.col("hi").alias("end")))
+    return tried.filter((F.col("fp") != F.col("end")) & near("fp", "end", radius)).distinct()
+
+
+def _with_roots(rows: DataFrame, links: DataFrame) -> DataFrame:
+    roots = links.groupBy("node").agg(F.min("root").alias("root"))
+    return rows.join(roots, F.col("fp") == F.col("node"), "left").select(*rows.columns, F.coalesce("root", "fp").alias("root"))
+
+
+def link_fingerprints(fps: DataFrame, radius: int = 4, rounds: int = 3) -> DataFrame:
     """Columns node, root for every fingerprint that another one reaches by links; fps: distinct fp.
 
-    Each of at most ``rounds`` rounds compares the members of a bucket with two of
-    them, others each time, in buckets that hold several components; the last step
-    compares all members of different components in the buckets left.
+    First, fingerprints that share a part's value are compared with two of those
+    that share it. Then all keys are probed, but only buckets that hold several
+    components count: in at most ``rounds`` rounds their members are compared with
+    two of them, others each time, and in the end all members of different
+    components in the buckets left.
     """
     n = fps.count()
     plan = plan_parts(bit_statistics(fps), n, radius)
     fan_out = sum(_n_keys(len(group), t) for group, t in plan)
-    spread = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * fan_out // 1_000_000)
-    keys = probe_keys(fps.repartition(spread), plan)  # a few small rows become many: spread them first
-    shared = keys.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi").select("key")
-    members = materialize(keys.join(shared, "key").withColumn("root", F.col("fp")), "members")
-    links = members.sparkSession.createDataFrame([], "node long, root long")
+    spread = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * fan_out // 1_000_000)  # a few small rows become many
+    same = _mixed_buckets(probe_keys(fps, [(group, min(t, 0)) for group, t in plan]).withColumn("root", F.col("fp")))
+    links = components(_linked_to_two(same, radius, 0).toDF("a", "b"), limit=2)
+    rooted = materialize(_with_roots(fps.select("fp"), links), "rooted")
+    members = _mixed_buckets(probe_keys(rooted.repartition(spread), plan))
     before = None
-    for turn in range(rounds):
-        salt = F.lit(_signed(turn * 0x9E3779B97F4A7C15 % 2**64))
-        salted = F.col("fp").bitwiseXOR(salt)
-        chosen = members.groupBy("key").agg(F.min(salted).bitwiseXOR(salt).alias("lo"), F.max(salted).bitwiseXOR(salt).alias("hi"))
-        tried = members.join(chosen, "key").select("fp", F.explode(F.array("lo", "hi")).alias("end")).filter((F.col("fp") != F.col("end")) & near("fp", "end", radius))
-        links = components(tried.distinct().toDF("a", "b").union(links))
-        named = members.select("key", "fp").join(links, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-        named = materialize(named, "members")
-        mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
-        members = materialize(named.join(mixed, "key"), "members")
+    for turn in range(1, rounds + 1):
         now = members.agg(F.count("*"), F.count_distinct("root")).first()
         if not now[0] or now == before:
             break
         before = now
+        links = components(_linked_to_two(members, radius, turn).toDF("a", "b").union(links), limit=1)  # the last step contracts what is left
+        members = _mixed_buckets(_with_roots(members.select("key", "fp"), links))
     pairs = members.toDF("key", "fp", "a").join(members.toDF("key", "other", "b"), "key").filter((F.col("a") < F.col("b")) & near("fp", "other", radius))
     return components(pairs.select("a", "b").distinct().union(links))
 
