@@ -193,7 +193,7 @@ def repeated_windows(docs: DataFrame, *, window: int, prefix: int, group_rows: i
 
             yield from each(batches, act)
 
-        return docs.select("text").mapInArrow(run, "akey long, context long, n long, words binary")
+        return run
 
     @releasing
     def places(batches):
@@ -233,8 +233,11 @@ def repeated_windows(docs: DataFrame, *, window: int, prefix: int, group_rows: i
                 yield pa.RecordBatch.from_arrays([part.column(k).take(pa.array(row)) for k in (0, 1, 2)] + [pa.array(start), *(pa.array(mix(h[row, start]).view(np.int64)) for h in hashes)], names=["akey", "context", "n", "start", "one", "two"])
 
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / group_rows))
-    small = contexts(False).repartition(groups, "akey").mapInArrow(trees, "akey long, context long, mask long")
-    windows = contexts(True).mapInArrow(leaves, "akey long, context long, n long, start long, one long, two long")
+    kept = docs.select("text").mapInArrow(contexts(False), "akey long, context long, n long, words binary")
+    small = kept.repartition(groups, "akey").mapInArrow(trees, "akey long, context long, mask long")
+    crowded = contexts(True)
+    # One Python worker a task makes contexts and their windows.
+    windows = docs.select("text").mapInArrow(lambda batches: leaves(crowded(batches)), "akey long, context long, n long, start long, one long, two long")
     leaf = ["start", "one", "two"]
     often = windows.groupBy(*leaf).agg(F.sum("n").alias("total")).filter("total > 1").select(*leaf)
     large = windows.groupBy("akey", "context", *leaf).agg(F.lit(1)).join(often, leaf).groupBy("akey", "context").agg(F.sum(F.expr("shiftleft(1L, cast(start as int))")).alias("mask"))
