@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from demolake.llm import decontaminate, mixing, simhash, substring, toxicity
 from demolake.llm.langid import held_out
-from demolake.llm.scratch import shared_dir
+from demolake.llm.scratch import materialize, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -26,12 +26,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that operator 2 links, the one with the smallest doc_id (of rows that repeat it, any)."""
-    key = F.coalesce("doc_id", F.lit(-(2**63)))
-    docs = docs.select(*COLUMNS).withColumn("_key", key)
-    found = simhash.near_duplicates(docs)
-    lead = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_key")).distinct()
-    return docs.join(lead, "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
+    """Of rows whose texts operator 2 links, the smallest by (doc_id, nulls last, xxhash64(text)); of equal rows, one."""
+    rest = F.xxhash64("lang", "source", "n_chars", F.lit(2), "text")
+    keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("_hash"), rest.alias("_rest"))
+    order = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_hash", "_rest")
+    lean = materialize(simhash.fingerprints(keyed, keep=["doc_id", "_hash", "_rest"]), "fingerprints")
+    copies = materialize(lean.groupBy("fp").agg(F.min(order).alias("lead")), "copies")
+    links = simhash.link_fingerprints(copies.select("fp"))
+    root = F.coalesce("root", "fp")
+    leads = copies.join(links, F.col("fp") == F.col("node"), "left").groupBy(root.alias("root")).agg(F.min("lead").alias("lead"))
+    leads = leads.select(F.col("lead.doc_id").alias("_id"), F.col("lead._hash").alias("_h"), F.col("lead._rest").alias("_r"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")) & (F.col("_rest") == F.col("_r"))
+    return keyed.join(leads, same, "left_semi").dropDuplicates(["doc_id", "_hash", "_rest"]).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
