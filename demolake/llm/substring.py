@@ -25,7 +25,7 @@ size. What they let through wrongly costs work, never a result.
 
 Nulls and empty texts have no words. Texts shorter than a window stay whole.
 Rows that repeat a doc_id and its text are copies of each other like any other
-rows. An empty table gives an empty result. Words compare by 32-bit hashes
+rows. An empty table gives an empty result. Words compare by 64-bit hashes
 along the whole window.
 """
 
@@ -55,7 +55,7 @@ class Contexts:
         self.text = np.repeat(np.arange(len(bounds) - 1), np.diff(first))
         self.first, self.next = first[:-1], first[1:]
         words = range_hashes(_BYTES[data], starts, ends) if n else np.zeros(0, np.uint64)
-        self.symbols = np.maximum((words >> np.uint64(32)).astype(np.uint32), 1)  # 0 stands for no word
+        self.symbols = np.maximum(words, np.uint64(1))  # 0 stands for no word
         if n < window:
             self.at, self.keys = np.zeros(0, np.int64), np.zeros(0, np.int64)
             return
@@ -81,9 +81,9 @@ class Contexts:
         places = self.at[:, None] + np.arange(-reach, self.window)
         text = self.text[self.at]
         inside = (places >= self.first[text][:, None]) & (places < self.next[text][:, None])
-        rows = np.where(inside, self.symbols[np.where(inside, places, 0)], np.uint32(0))
+        rows = np.where(inside, self.symbols[np.where(inside, places, 0)], np.uint64(0))
         up, _ = powers(rows.shape[1] + 1)
-        return rows, mix((rows.astype(np.uint64) * up[: rows.shape[1]]).sum(axis=1, dtype=np.uint64)).view(np.int64)
+        return rows, mix((rows * up[: rows.shape[1]]).sum(axis=1, dtype=np.uint64)).view(np.int64)
 
 
 def _bits(keys: np.ndarray, size: int) -> list[np.ndarray]:
@@ -188,7 +188,7 @@ def repeated_windows(docs: DataFrame, *, window: int, prefix: int, group_rows: i
                 c.only(_in_bloom(c.keys, heavy_.value) == large)
                 rows, key = c.around()
                 key, first, n = np.unique(key, return_index=True, return_counts=True)
-                words = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * rows.shape[1]), len(first), [None, pa.py_buffer(np.ascontiguousarray(rows[first]))]).cast(pa.binary())
+                words = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * rows.shape[1]), len(first), [None, pa.py_buffer(np.ascontiguousarray(rows[first]))]).cast(pa.binary())
                 return pa.RecordBatch.from_arrays([pa.array(c.keys[first]), pa.array(key), pa.array(n), words], names=["akey", "context", "n", "words"])
 
             yield from each(batches, act)
@@ -207,7 +207,7 @@ def repeated_windows(docs: DataFrame, *, window: int, prefix: int, group_rows: i
         yield from each(batches, act)
 
     def rows_of(column) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, reach + window)
+        return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, reach + window)
 
     @releasing
     def trees(batches):
@@ -226,7 +226,7 @@ def repeated_windows(docs: DataFrame, *, window: int, prefix: int, group_rows: i
                 if not len(rows):
                     continue
                 valid = _valid(rows, window)
-                one, two = rows.astype(np.uint64), mix(rows.astype(np.uint64))
+                one, two = rows, mix(rows)
                 up, _ = powers(window + 1)
                 row, start = np.nonzero(valid)
                 hashes = [np.lib.stride_tricks.sliding_window_view(x, window, axis=1) @ up[:window] for x in (one, two)]
