@@ -69,6 +69,21 @@ def a24_exposure(spark, sf_dir):
     return evaluation.exposure(table(spark, sf_dir, "runs"), table(spark, sf_dir, "frames"), batch=128, gpus=4)
 
 
+@query("""WITH e AS (SELECT config, arg_min(steps, steps) AS s0, arg_min(seconds, steps) AS t0, arg_max(steps, steps) AS s1, arg_max(seconds, steps) AS t1 FROM (SELECT config, steps, CASE WHEN steps = 50 THEN min(seconds) ELSE max(seconds) END AS seconds FROM all_runs GROUP BY config, steps) GROUP BY config),
+r AS (SELECT config, CASE WHEN s1 > s0 AND t1 > t0 THEN (s1 - s0) / (t1 - t0) END AS rate FROM e)
+SELECT config, rate, rate / (SELECT rate FROM r WHERE config = 1) AS speedup FROM r""")
+def a34_marginal_rate_all(spark, sf_dir):
+    """A34 over all customers; each configuration has short and long runs."""
+    runs = table(spark, sf_dir, "all_runs")
+    return evaluation.marginal_rate(runs, base=1)
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM frames) SELECT config, steps, seconds, run, n / 128e0 AS steps_per_epoch, steps / (n / 128e0) AS epochs, seconds * 4 / 3600e0 AS gpu_hours FROM all_runs, n""")
+def a24_exposure_all(spark, sf_dir):
+    """A24 over all customers."""
+    return evaluation.exposure(table(spark, sf_dir, "all_runs"), table(spark, sf_dir, "frames"), batch=128, gpus=4)
+
+
 @query("""WITH g AS (SELECT DISTINCT t.task AS task, s.step, d.seed FROM trials t, (SELECT unnest([10000, 20000, 30000, 60000]) AS step) s, (SELECT unnest([0, 1, 2]) AS seed) d), r AS (SELECT task, step, seed, bool_or(success) AS f FROM trials WHERE trial % 16 = 1 GROUP BY ALL)
 SELECT g.task, CAST(g.step AS INT) AS step, CAST(g.seed AS INT) AS seed, CASE WHEN f THEN 'ok' WHEN f IS NOT NULL THEN 'partial' ELSE 'missing' END AS state FROM g LEFT JOIN r ON r.task = g.task AND r.step = g.step AND r.seed = g.seed""")
 def u05_completeness(spark, sf_dir):
