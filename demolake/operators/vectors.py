@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,19 +120,49 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def cosine_to_queries(df: DataFrame, v: str, queries: DataFrame, *, key: str, most_queries: int = 1000) -> DataFrame:
-    """Similarity of every row to every query row; the queries (at most ``most_queries``, checked) are broadcast as one array."""
-    held = queries.select(F.col(key).alias("query_id"), F.col(v).alias("q")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"), F.count("*").alias("n"))
-    held = held.select(F.when(F.col("n") <= most_queries, F.col("qs")).otherwise(F.raise_error(F.lit("too many queries")).cast(held.schema["qs"].dataType)).alias("qs"))
-    each = df.crossJoin(F.broadcast(held)).select(key, F.col(v).alias("_v"), F.explode("qs").alias("_q"))
-    return each.select(key, "_q.query_id", cosine(F.col("_v"), F.col("_q.q")).alias("cosine"))
+def _packed(df: DataFrame, key: str, v: str, names: tuple[str, str], block: int) -> DataFrame:
+    """One row for each ``block`` rows at most: the keys, and the unit vectors as bytes (not a number: no vector, or one of length zero)."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for whole in batches:
+            for k in range(0, whole.num_rows, block):
+                part = whole.slice(k, block)
+                rows = part.column(1).to_pylist()
+                width = max((len(r) for r in rows if r is not None), default=0)
+                x = np.array([[np.nan] * width if r is None else r for r in rows], dtype=float).reshape(len(rows), width)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(part.schema.field(0).type)), pa.array([x.tobytes()], pa.binary())], names=list(names))
+
+    return df.select(key, F.col(v).cast("array<double>").alias(v)).mapInArrow(run, f"{names[0]} array<{kind}>, {names[1]} binary")
+
+
+def cosine_to_queries(df: DataFrame, v: str, queries: DataFrame, *, key: str, block: int = 1000) -> DataFrame:
+    """Similarity of every row to every query row, by blocks of at most ``block`` rows and queries, whatever their number.
+
+    Null where a vector is null or has length zero. A task holds one block of each side and sends on about 64,000 results at a time.
+    """
+    rows, asked = _packed(df, key, v, ("_k", "_x"), block), _packed(queries, key, v, ("_q", "_y"), block)
+
+    def run(batches):
+        for b in batches:
+            for k, x, q, y in zip(b.column(0), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x).reshape(len(k), -1), np.frombuffer(y).reshape(len(q), -1)
+                step = max(1, 65536 // len(q))
+                for i in range(0, len(k), step):
+                    z = x[i : i + step] @ y.T if x.shape[1] and y.shape[1] else np.full((len(x[i : i + step]), len(y)), np.nan)
+                    one, two = np.divmod(np.arange(z.size), len(q))
+                    yield pa.RecordBatch.from_arrays([k.values.take(pa.array(i + one)), q.values.take(pa.array(two)), pa.array(z.ravel(), from_pandas=True)], names=[key, "query_id", "cosine"])
+
+    schema = df.select(F.col(key), F.col(key).alias("query_id")).limit(0).selectExpr("*", "CAST(NULL AS DOUBLE) AS cosine").schema
+    return rows.crossJoin(asked).mapInArrow(run, schema)
 
 
 def pairwise_cosine_percentiles(df: DataFrame, v: str, key: str, *, n: int = 2000, percents: Sequence[int] = (1, 5, 25, 50, 75, 95, 99), seed: int = 0) -> DataFrame:
     """Percentiles of similarity over all pairs of a sample of at most ``n`` rows, chosen by a hash."""
     sample = df.select(key, v).orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
-    a, b = sample.toDF("i", "a"), sample.toDF("j", "b")
-    pairs = a.join(F.broadcast(b), F.col("i") < F.col("j")).select(cosine(F.col("a"), F.col("b")).alias("c"))
+    pairs = cosine_to_queries(sample, v, sample, key=key).filter(F.col(key) < F.col("query_id")).select(F.col("cosine").alias("c"))
     return pairs.agg(F.count("*").alias("pairs"), *(F.percentile("c", F.lit(p / 100)).alias(f"p{p:02d}") for p in percents))
 
 

@@ -143,7 +143,7 @@ def t10_random_frames(spark, sf_dir):
 def a32_pairwise_percentiles(spark, sf_dir):
     from demolake.operators.vectors import pairwise_cosine_percentiles
 
-    return pairwise_cosine_percentiles(table(spark, sf_dir, "embeddings"), "embedding", "vec_id", n=300)
+    return pairwise_cosine_percentiles(table(spark, sf_dir, "embeddings"), "embedding", "vec_id")
 
 
 @query()

@@ -77,6 +77,15 @@ def a32_cosine_to_queries(spark, sf_dir):
     return vectors.cosine_to_queries(e, "embedding", e.filter("vec_id < 20"), key="vec_id").withColumn("cosine", F.round("cosine", 9))
 
 
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id % 20 = 0)
+SELECT vec_id, query_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(qe AS DOUBLE[])) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(qe AS DOUBLE[]), CAST(qe AS DOUBLE[])))), 9) AS cosine
+FROM embeddings, q""")
+def a32_cosine_to_every_twentieth(spark, sf_dir):
+    """A32 with every row whose id is divisible by 20 as a query."""
+    e = table(spark, sf_dir, "embeddings")
+    return vectors.cosine_to_queries(e, "embedding", e.filter("vec_id % 20 = 0"), key="vec_id").withColumn("cosine", F.round("cosine", 9))
+
+
 @query("""WITH a AS (SELECT vec_id % 5 AS rep, vec_id AS id, CAST(embedding[1:32] AS DOUBLE[]) AS a, CAST(embedding[33:64] AS DOUBLE[]) AS b FROM embeddings),
 c AS (SELECT rep, avg(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)))) AS m FROM a GROUP BY rep)
 SELECT round(avg(m), 9) AS mean, round(stddev_pop(m), 9) AS std, count(*) AS repeats FROM c""")

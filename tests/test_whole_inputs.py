@@ -18,3 +18,15 @@ def test_every_configuration_has_a_rate(spark):
 
 def test_every_run_has_an_exposure(spark):
     assert catalog.queries()["a24_exposure_all"](spark, SF).count() == spark.read.parquet(f"{SF}/customer.parquet").count()
+
+
+def test_a_twentieth_of_the_vectors_are_queries(spark):
+    ids = [r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()]
+    got = catalog.queries()["a32_cosine_to_every_twentieth"](spark, SF)
+    assert {r.query_id for r in got.select("query_id").distinct().collect()} == {i for i in ids if i % 20 == 0}
+    assert got.count() == len(ids) * sum(i % 20 == 0 for i in ids)
+
+
+def test_percentiles_over_all_pairs_of_the_sample(spark):
+    n = min(2000, spark.read.parquet(f"{SF}/embeddings.parquet").count())
+    assert catalog.queries()["a32_pairwise_percentiles"](spark, SF).first().pairs == n * (n - 1) // 2
