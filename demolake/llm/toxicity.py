@@ -162,13 +162,17 @@ def restored_words(text: str | None, read) -> list[str]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, per_class: int) -> DataFrame:
-    """Text and label of at most ``per_class`` documents of each label, chosen by a hash of doc_id; their ids, so bounded, are broadcast."""
+    """Text and label of at most ``per_class`` documents of each label, chosen by a hash of doc_id; their ids, so bounded, are broadcast.
+
+    Of rows that repeat a doc_id, the one smallest by (xxhash64(text), text) counts.
+    """
     kept = labels.filter(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
     ids = None
     for value in (0, 1):
         part = kept.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(per_class)
         ids = part if ids is None else ids.union(part)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m"))
+    return rows.select("doc_id", F.col("m.text").alias("text"), "label")
 
 
 class ToxicModel:
