@@ -7,10 +7,11 @@ would then be read more often than a repetition limit allows; then the smallest
 one that keeps to the limit.
 
 Weights become budgets of words. A source's documents are dealt to blocks of
-about ``block_words`` words by a hash; each epoch reads the blocks in another
-order. A document is read once in each whole epoch of its source's budget, and
-once more if it lies before the place where the rest of the budget ends in the
-last epoch's order: in an earlier block, or early enough in that block.
+about ``block_words`` words by a hash. A document is read once in each whole
+epoch of its source's budget, and once more if it lies before the place where
+the rest of the budget ends in the order of blocks of the last, partial epoch:
+in an earlier block, or early enough in that block. Only that order is computed;
+the result has counts of reads, no places of blocks in whole epochs.
 
 A null source is a source of its own. Nulls and texts without words cost
 nothing; a source without any word is read once. Rows that repeat a doc_id lie
