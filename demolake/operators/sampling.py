@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from demolake.functions.colour import uniform
+from demolake.llm.scratch import materialize
 
 FRAME = ("episode_index", "frame_index")
 
@@ -128,11 +129,13 @@ def resample(df: DataFrame, weight: float, key: Sequence[str], *, seed: int = 0)
 
 
 def spread_probes(df: DataFrame, k: int, order: Sequence[str]) -> DataFrame:
-    """Every max(1, n // k)-th row, the first k of them; for short tables, such as a task's episodes, as rows are numbered in one task."""
-    w = Window.orderBy(*order)
-    n = F.count("*").over(Window.partitionBy())
-    step = F.greatest(F.floor(n / k), F.lit(1))
-    return df.withColumns({"_i": F.row_number().over(w) - 1, "_s": step}).filter((F.col("_i") % F.col("_s") == 0) & (F.col("_i") < F.col("_s") * k)).drop("_i", "_s")
+    """Every max(1, n // k)-th row, the first k of them. Rows are numbered within ranges of ``order``; a range's first number is the sum of the sizes before it."""
+    ranged = materialize(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
+    before = sizes.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_o"), F.sum("_c").over(Window.partitionBy()).alias("_n"))  # one row for each range
+    rows = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1).join(F.broadcast(before), "_p")
+    rows = rows.withColumns({"_i": F.col("_o") + F.col("_r"), "_s": F.greatest(F.floor(F.col("_n") / k), F.lit(1))})
+    return rows.filter((F.col("_i") % F.col("_s") == 0) & (F.col("_i") < F.col("_s") * k)).select(*df.columns)
 
 
 def random_frames(frames: DataFrame, k: int, *, seed: int = 0) -> DataFrame:
