@@ -1,31 +1,38 @@
 """SimHash near-dedup by a generalised pigeonhole (operator 2).
 
 A text's fingerprint has bit b set if over half of its shingles' hashes have.
-Fingerprints that differ in ``radius`` bits or fewer link; linked documents form
-components.
-
-The 64 bits are cut into parts, correlated bits together. If the parts'
-thresholds sum to ``radius - parts + 1``, two fingerprints within the radius
-are within the threshold of some part. A dynamic programme deals out unequal
-thresholds at the least estimated cost, from the bit statistics of all distinct
-fingerprints. In a part with threshold t every fingerprint is keyed by all
-values within ceil(t / 2) bits of its own, so that any two within t bits share
-a key; pairs that share a key are verified on all 64 bits.
-
-Copies are one fingerprint. In each bucket of a key every fingerprint is
-compared with two of the bucket first, for a few rounds with other ones each
-time; only buckets that still hold several components then compare their
-members, and only across components. So a dense group costs its size, not its
-square, and no link is lost.
+Two forms share the machinery of ``pigeonhole``:
+
+* ``near_duplicates``: fingerprints of 64 bits that differ in ``radius`` bits or
+  fewer link. Parts and thresholds are such that no link is missed. A bucket of
+  at most ``bucket`` fingerprints is searched in memory. The fingerprints of a
+  larger one are filed again, by parts of the bits that the bucket's own part
+  leaves out; and those that still crowd under every value within half the
+  radius of theirs: two that share such a value link, and a value has a bounded
+  number of them. So any group costs its size, not its square.
+* ``near_copies``: texts link if the sets of their runs of ``shingle`` words have
+  a Jaccard similarity of ``least`` or more. Their fingerprints have 1,024 bits,
+  which differ with a probability that the similarity bounds; parts are probed
+  until a pair at ``least`` escapes with ``miss`` at most. Candidates whose first
+  128 bits are near are checked on the whole sets. In a bucket with many
+  candidates each member is first checked against few of them, for some rounds;
+  what still lies in different components is then checked whole.
+
+Linked documents form components. Copies are one fingerprint (in ``near_copies``
+one hash of all lower-case words).
 
 Nulls and texts without words have fingerprint zero and link like any other.
 Rows that repeat a doc_id are documents of their own with the same id. A null
-doc_id never names a component unless all its documents have none.
+doc_id never names a component unless all its documents have none. Extra columns
+are left out by ``near_duplicates`` and stay in ``near_copies``, but for columns
+named ``_hash`` and ``_rest``. An empty table gives none. Texts are read whole,
+whatever their length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -35,8 +42,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demolake.llm.graph import components
+from demolake.llm.pigeonhole import bit_statistics, bounds, by_bucket, n_keys, plan_bands, plan_parts, probe_keys, signed, small_pairs, spanning
 from demolake.llm.scratch import materialize
-from demolake.llm.text import pieces, releasing, small_batches
+from demolake.llm.text import mix, pieces, range_hashes, releasing, small_batches, text_buffer, words_of
+
+BUCKET = 4096
+LANES = 16
+_ODDS = mix(np.arange(1, LANES + 1, dtype=np.uint64)) | np.uint64(1)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The bits (packed in 64-bit lanes) that over half of the rows of hashes have set; hashes: rows by lanes."""
+    ones = np.zeros(64 * hashes.shape[1], dtype=np.int64)
+    for k in range(0, len(hashes), 240):  # counts fit a byte
+        bits = np.unpackbits(np.ascontiguousarray(hashes[k : k + 240]).view(np.uint8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
 
 
 def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
@@ -50,10 +74,7 @@ def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
         ends = [e + i for i, e in enumerate(accumulate(map(len, words)))]
         starts = [0, *(e + 1 for e in ends[:-1])]
         hashes = [digest(joined[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :], strict=False)]
-    h, ones = np.array(hashes, dtype=np.uint64), np.zeros(64, dtype=np.int64)
-    for k in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
+    return int(majority(np.array(hashes, dtype=np.uint64)[:, None]).view(np.int64)[0])
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = 4, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -73,148 +94,75 @@ def fingerprints(docs: DataFrame, *, shingle: int = 4, keep: Sequence[str] = ("d
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
-def bit_statistics(fps: DataFrame) -> np.ndarray:
-    """How many fingerprints have bits i and j both set, over all rows: a 64 x 64 matrix."""
+def bucket_links(rows: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) that connect the members of every bucket of rows (key, fp) as all links within the radius would."""
+
+    def act(keys, fp):
+        u = fp.view(np.uint64)
+        starts, sizes = bounds(keys)
+        i, j, _ = small_pairs(sizes, [u], 32, radius)
+        a, b = [i], [j]
+        for s, size in zip(starts[sizes > 32].tolist(), sizes[sizes > 32].tolist(), strict=True):
+            x, y = spanning(u[s : s + size], radius)
+            a.append(x + s)
+            b.append(y + s)
+        ends = np.sort(np.stack([fp[np.concatenate(a)], fp[np.concatenate(b)]]), axis=0)
+        ends = np.unique(ends, axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], names=["a", "b"])
+
+    return by_bucket(rows.select("key", "fp"), act, "a long, b long")
+
+
+def ball_links(fps: DataFrame, radius: int) -> DataFrame:
+    """All links among fps, up to connection, without buckets: linked fingerprints share a value within half the radius of both.
+
+    A value has as many fingerprints near it as there are ways to flip so few bits (2,081 for a radius of 4).
+    """
+    if radius > 4:
+        raise ValueError("a radius of over 4 bits would file a fingerprint under too many values")
+    flips = [sum(1 << b for b in bits) for r in range(-(-radius // 2) + 1) for bits in combinations(range(64), r)]
+    masks, far = np.array(flips, dtype=np.uint64).view(np.int64), np.array([f.bit_count() > radius // 2 for f in flips])
 
-    @releasing
     def run(batches):
-        both = np.zeros((64, 64))
         for batch in batches:
-            rows = batch.column(0).to_numpy()
-            for k in range(0, len(rows), 1 << 15):
-                bits = np.unpackbits(rows[k : k + (1 << 15)].copy().view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-                both += bits.T @ bits
-        if both.any():
-            i, j = np.nonzero(both)
-            yield pa.RecordBatch.from_arrays([pa.array(64 * i + j), pa.array(both[i, j].astype(np.int64))], names=["ij", "n"])
-
-    out = np.zeros(64 * 64)
-    for ij, n in fps.select("fp").mapInArrow(run, "ij long, n long").groupBy("ij").agg(F.sum("n")).collect():
-        out[ij] = n
-    return out.reshape(64, 64)
-
-
-def _groups(both: np.ndarray, n: int, parts: int) -> list[list[int]]:
-    """The bits in ``parts`` groups of nearly equal size, correlated ones together."""
-    p = np.diag(both) / max(n, 1)
-    spread = np.sqrt(np.maximum(p * (1 - p), 1e-12))
-    like = np.abs(both / max(n, 1) - np.outer(p, p)) / np.outer(spread, spread)
-    free, out = set(range(64)), []
-    for k in range(parts):
-        width = 64 // parts + (k < 64 % parts)
-        group = [max(free, key=lambda b: (like[b, sorted(free)].sum(), -b))]
-        free.discard(group[0])
-        while len(group) < width:
-            best = max(free, key=lambda b: (like[b, group].sum(), -b))
-            group.append(best)
-            free.discard(best)
-        out.append(sorted(group))
-    return out
-
-
-def _n_keys(width: int, t: int) -> int:
-    return 0 if t < 0 else sum(len(list(combinations(range(width), r))) if r <= 2 else 10**9 for r in range(-(-t // 2) + 1))
-
-
-def plan_parts(both: np.ndarray, n: int, radius: int, pair_cost: float = 64.0) -> list[tuple[list[int], int]]:
-    """Parts of the bits with a threshold each (-1: not probed), at the least estimated number of key rows and candidate pairs."""
-    p = np.diag(both) / max(n, 1)
-    best: tuple[float, list] = (float("inf"), [])
-    for parts in range(1, radius + 2):
-        groups = _groups(both, n, parts)
-        costs = []
-        for group in groups:
-            differ = np.array([1.0])  # how many bits of the part two fingerprints differ in
-            for b in group:
-                q = 2 * p[b] * (1 - p[b])
-                differ = np.convolve(differ, [1 - q, q])
-            within = np.cumsum(differ)
-            costs.append({t: 0.0 if t < 0 else n * _n_keys(len(group), t) + pair_cost * n * n / 2 * within[min(2 * -(-t // 2), len(group))] for t in range(-1, min(radius, 4) + 1)})
-        table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-        for cost in costs:
-            step: dict[int, tuple[float, list[int]]] = {}
-            for total, (c, ts) in table.items():
-                for t, more in cost.items():
-                    if c + more < step.get(total + t, (float("inf"),))[0]:
-                        step[total + t] = (c + more, [*ts, t])
-            table = step
-        for total, (c, ts) in table.items():
-            if total >= radius - parts + 1 and c < best[0]:
-                best = (c, list(zip(groups, ts, strict=True)))
-    return best[1]
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
-def probe_keys(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
-    """Columns key and those of fps: every key under which a fingerprint fp is filed and probed, a hash of the part and its value."""
-    out = None
-    for k, (group, t) in enumerate(plan):
-        if t < 0:
-            continue
-        mask = sum(1 << b for b in group)
-        flips = [sum(1 << b for b in bits) for r in range(-(-t // 2) + 1) for bits in combinations(group, r)]
-        base = F.col("fp").bitwiseAND(F.lit(_signed(mask)))
-        values = F.explode(F.transform(F.array(*(F.lit(_signed(x)) for x in flips)), lambda x: F.xxhash64(F.lit(k), base.bitwiseXOR(x))))  # noqa: B023
-        rows = fps.select(values.alias("key"), *fps.columns)
-        out = rows if out is None else out.union(rows)
-    return out
-
-
-def near(a: str, b: str, radius: int):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
-
-
-def _mixed_buckets(keys: DataFrame) -> DataFrame:
-    """The rows (key, fp, root) of buckets that hold several components."""
-    mixed = keys.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
-    return materialize(keys.join(mixed, "key"), "members")
-
-
-def _linked_to_two(members: DataFrame, radius: int, turn: int) -> DataFrame:
-    """Links of members to two of their bucket, other ones at each turn: fp, end."""
-    salt = F.lit(_signed(turn * 0x9E3779B97F4A7C15 % 2**64))
-    salted = F.col("fp").bitwiseXOR(salt)
-    chosen = members.groupBy("key").agg(F.min(salted).bitwiseXOR(salt).alias("lo"), F.max(salted).bitwiseXOR(salt).alias("hi"))
-    both = members.join(chosen, "key")
-    tried = both.select("fp", F.col("lo").alias("end")).union(both.select("fp", F.col("hi").alias("end")))
-    return tried.filter((F.col("fp") != F.col("end")) & near("fp", "end", radius)).distinct()
-
-
-def _with_roots(rows: DataFrame, links: DataFrame) -> DataFrame:
-    roots = links.groupBy("node").agg(F.min("root").alias("root"))
-    return rows.join(roots, F.col("fp") == F.col("node"), "left").select(*rows.columns, F.coalesce("root", "fp").alias("root"))
-
-
-def link_fingerprints(fps: DataFrame, radius: int = 4, rounds: int = 3) -> DataFrame:
-    """Columns node, root for every fingerprint that another one reaches by links; fps: distinct fp.
-
-    First, fingerprints that share a part's value are compared with two of those
-    that share it. Then all keys are probed, but only buckets that hold several
-    components count: in at most ``rounds`` rounds their members are compared with
-    two of them, others each time, and in the end all members of different
-    components in the buckets left.
-    """
+            fp = batch.column(0).to_numpy()
+            for k in range(0, len(fp), 32):
+                x = fp[k : k + 32]
+                yield pa.RecordBatch.from_arrays([pa.array((x[:, None] ^ masks).ravel()), pa.array(np.repeat(x, len(masks))), pa.array(np.tile(far, len(x)))], names=["value", "fp", "far"])
+
+    balls = fps.select("fp").mapInArrow(run, "value long, fp long, far boolean").groupBy("value").agg(F.min(F.when(~F.col("far"), F.col("fp"))).alias("a"), F.collect_list("fp").alias("all"))
+    return balls.filter("a IS NOT NULL AND size(all) > 1").select("a", F.explode("all").alias("b")).filter("a != b").distinct()
+
+
+def _crowded(rows: DataFrame, bucket: int) -> DataFrame:
+    """Keys of more than ``bucket`` rows: one in so many rows at most."""
+    return materialize(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket), "crowded")
+
+
+def link_fingerprints(fps: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
+    """Columns node, root for every fingerprint that another one reaches by links; fps: distinct fp."""
     n = fps.count()
-    plan = plan_parts(bit_statistics(fps), n, radius)
-    fan_out = sum(_n_keys(len(group), t) for group, t in plan)
-    spread = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * fan_out // 1_000_000)  # a few small rows become many
-    same = _mixed_buckets(probe_keys(fps, [(group, min(t, 0)) for group, t in plan]).withColumn("root", F.col("fp")))
-    links = components(_linked_to_two(same, radius, 0).toDF("a", "b"), limit=2)
-    rooted = materialize(_with_roots(fps.select("fp"), links), "rooted")
-    members = _mixed_buckets(probe_keys(rooted.repartition(spread), plan))
-    before = None
-    for turn in range(1, rounds + 1):
-        now = members.agg(F.count("*"), F.count_distinct("root")).first()
-        if not now[0] or now == before:
-            break
-        before = now
-        links = components(_linked_to_two(members, radius, turn).toDF("a", "b").union(links), limit=1)  # the last step contracts what is left
-        members = _mixed_buckets(_with_roots(members.select("key", "fp"), links))
-    pairs = members.toDF("key", "fp", "a").join(members.toDF("key", "other", "b"), "key").filter((F.col("a") < F.col("b")) & near("fp", "other", radius))
-    return components(pairs.select("a", "b").distinct().union(links))
+    plan = plan_parts(bit_statistics(fps.select(F.array("fp").alias("bits")), 1)[0], n, radius)
+    fan_out = sum(n_keys(len(group), t) for _, group, t in plan)
+    spread = max(1, n * fan_out // 1_000_000)  # a few small rows become many
+    rows = probe_keys(fps.repartition(spread, "fp"), plan, lambda _: F.col("fp"), ["fp"])
+    crowded = _crowded(rows, bucket)
+    if crowded.isEmpty():
+        return components(bucket_links(rows, radius))
+    links = bucket_links(rows.join(crowded, "key", "left_anti"), radius)
+    inside, again = rows.join(crowded, "key"), None
+    for k, (_, group, t) in enumerate(plan):
+        if t >= 0:
+            rest = [b for b in range(64) if b not in group]
+            masks = [signed(sum(1 << b for b in rest[m :: radius + 1])) for m in range(radius + 1)]
+            sub = F.explode(F.array(*(F.xxhash64("key", F.lit(m), F.col("fp").bitwiseAND(F.lit(mask))) for m, mask in enumerate(masks)))).alias("key")
+            part = inside.filter(F.col("part") == k).select(sub, "fp")
+            again = part if again is None else again.union(part)
+    dense = _crowded(again, bucket)
+    links = links.union(bucket_links(again.join(dense, "key", "left_anti"), radius))
+    if not dense.isEmpty():
+        links = links.union(ball_links(again.join(dense, "key", "left_semi").select("fp").distinct(), radius))
+    return components(links)
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -227,6 +175,191 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, radius: int = 4) -> Da
     return rows.join(owned.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+# -- texts by the similarity of their runs of words --------------------------------------------
+
+
+def run_hashes(column: pa.Array, shingle: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A hash of all words of each text (0: no words), and the sorted distinct hashes of its runs of words."""
+    data, ends = text_buffer(column)
+    data = _LOWER[data]
+    starts, stops, first = words_of(data, ends)
+    words = range_hashes(_BYTES[data], starts, stops) if len(starts) else np.zeros(0, np.uint64)
+    whole = np.where(first[1:] > first[:-1], range_hashes(words, first[:-1], first[1:]), np.uint64(0))
+    places = np.arange(max(len(words) - shingle + 1, 0))
+    grams = range_hashes(words, places, places + shingle)
+    sets = []
+    for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        sets.append(np.unique(grams[a : b - shingle + 1]) if b - a >= shingle else whole[k : k + 1] if b > a else words[:0])
+    return whole, sets
+
+
+def wide_fingerprints(docs: DataFrame, *, keep: Sequence[str], shingle: int = 5) -> DataFrame:
+    """The columns ``keep`` with fp, the hash of all words, and bits, the lanes of the fingerprint of the set of runs (null: one run or none)."""
+    small_batches(docs.sparkSession)
+    keep = list(keep)
+
+    @releasing
+    def run(batches):
+        for whole in batches:
+            index = whole.schema.get_field_index("text")
+            for batch in pieces(whole, index, 2 << 20):
+                fp, sets = run_hashes(batch.column(index), shingle)
+                bits = [majority(mix(s[:, None] * _ODDS)).view(np.int64) if len(s) > 1 else None for s in sets]
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(fp.view(np.int64)), pa.array(bits, pa.list_(pa.int64()))], names=[*keep, "fp", "bits"])
+
+    schema = docs.select(*keep).limit(0).selectExpr("*", "0L fp", "cast(null AS array<bigint>) bits").schema
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+
+
+def run_sets(texts: DataFrame, shingle: int = 5) -> DataFrame:
+    """Columns fp and runs, the bytes of the sorted hashes, of (fp, text)."""
+
+    @releasing
+    def run(batches):
+        for whole in batches:
+            for batch in pieces(whole, 1, 2 << 20):
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in run_hashes(batch.column(1), shingle)[1]], pa.binary())], names=["fp", "runs"])
+
+    return texts.select("fp", "text").mapInArrow(run, "fp long, runs binary")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of fp whose sets have a similarity of ``least`` or more."""
+
+    @releasing
+    def run(batches):
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                batch, kept = whole.slice(k, 256), []
+                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= least * max(len(x), len(y)) - 1e-9 else 0
+                    kept.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    one, two = sets.toDF("a", "x"), sets.toDF("b", "y")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def candidates(rows: DataFrame, limit: int, turn: int | None, few: int = 4) -> DataFrame:
+    """Candidate pairs a, b of rows (key, fp, c0, c1, root): near in 128 bits, in different components; with key and dense.
+
+    A bucket with over ``few`` candidates a member is dense: its members are paired with
+    their nearest and with one chosen by a hash (another one each turn). ``turn`` None: all pairs.
+    """
+    few_ = 1 << 62 if turn is None else few
+
+    def act(keys, fp, c0, c1, root):
+        u, v = c0.view(np.uint64), c1.view(np.uint64)
+        starts, sizes = bounds(keys)
+        i, j, apart = small_pairs(sizes, [u, v], 16, limit)
+        other = root[i] != root[j]
+        found = [(i[other], j[other], apart[other], np.zeros(int(other.sum()), dtype=bool))]
+        for s, size in zip(starts[sizes > 16].tolist(), sizes[sizes > 16].tolist(), strict=True):
+            own = slice(s, s + size)
+            near, total = [], 0
+            for k in range(0, size, 256):
+                d = np.bitwise_count(u[own][k : k + 256, None] ^ u[own]).astype(np.int16) + np.bitwise_count(v[own][k : k + 256, None] ^ v[own])
+                d[(d > limit) | (root[own][k : k + 256, None] == root[own])] = 999
+                x, y = np.nonzero(d < 999)
+                total += len(x)
+                up = x + k < y
+                near.append((s + k + x[up], s + y[up], d[x[up], y[up]].astype(np.int32), np.zeros(int(up.sum()), dtype=bool)))
+                if total > 2 * few_ * size:  # links count twice here
+                    break
+            if total <= 2 * few_ * size:
+                found += near
+                continue
+            for k in range(0, size, 256):
+                d = np.bitwise_count(u[own][k : k + 256, None] ^ u[own]).astype(np.int16) + np.bitwise_count(v[own][k : k + 256, None] ^ v[own])
+                d[(d > limit) | (root[own][k : k + 256, None] == root[own])] = 999
+                x = np.arange(len(d))
+                order = mix(u[own] + np.uint64(turn or 0) * np.uint64(0x9E3779B97F4A7C15)).astype(np.float64)
+                for y in (d.argmin(axis=1), np.where(d < 999, order, np.inf).argmin(axis=1)):
+                    ok = d[x, y] < 999
+                    found.append((s + k + x[ok], s + y[ok], d[x[ok], y[ok]].astype(np.int32), np.ones(int(ok.sum()), dtype=bool)))
+        i, j, apart, dense = (np.concatenate(c) for c in zip(*found, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[i]), pa.array(fp[i]), pa.array(fp[j]), pa.array(apart), pa.array(dense)], names=["key", "a", "b", "apart", "dense"])
+
+    return by_bucket(rows.select("key", "fp", "c0", "c1", "root"), act, "key long, a long, b long, apart int, dense boolean")
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    """Distinct pairs: all from sparse buckets; of each member of dense ones the two nearest and two more."""
+    every = F.collect_set(F.struct("apart", F.xxhash64("a", "b").alias("h"), "b")).alias("all")  # at most two a bucket
+    two = lambda first: F.slice(F.array_sort(F.transform("all", first)), 1, 2)
+    picked = found.filter("dense").groupBy("a").agg(every).select("a", F.explode(F.array_union(F.transform(two(lambda x: F.struct(x.apart, x.h, x.b)), lambda x: x.b), F.transform(two(lambda x: F.struct(x.h, x.b)), lambda x: x.b))).alias("b"))
+    both = found.filter("NOT dense").select("a", "b").union(picked)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _in_chunks(rows: DataFrame, bucket: int) -> DataFrame:
+    """Rows whose crowded keys are cut: each pair of chunks of a crowded bucket is a bucket of its own, of about twice ``bucket`` rows at most."""
+    crowded = _crowded(rows, bucket)
+    if crowded.isEmpty():
+        return rows
+    chunks = F.ceil(F.col("n") / bucket).cast("long")
+    cut = rows.join(crowded, "key").withColumn("_c", F.pmod(F.xxhash64("fp", F.lit(5)), chunks)).withColumn("_o", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    cut = cut.select(F.xxhash64("key", F.least("_c", "_o"), F.greatest("_c", "_o")).alias("key"), *(c for c in rows.columns if c != "key"))
+    return rows.join(crowded, "key", "left_anti").union(cut)
+
+
+def link_texts(signed_: DataFrame, texts: Callable[[DataFrame], DataFrame], *, shingle: int = 5, least: float = 0.8, miss: float = 0.002, rounds: int = 3, bucket: int = BUCKET) -> DataFrame:
+    """Columns node, root for every fp that a link reaches. signed_: distinct fp with bits; texts: gives (fp, text) of a table of fp."""
+    spark = signed_.sparkSession
+    fps = signed_.filter("bits IS NOT NULL")
+    n = fps.count()
+    # Bits differ as often as the angle between the sets; sets of few runs a little more often than that.
+    differ = math.acos(2 * least / (1 + least)) / math.pi + 0.01
+    plan = plan_bands(bit_statistics(fps, LANES), max(n, 2), differ, miss)
+    limit = math.ceil(128 * differ + 4.4 * math.sqrt(128 * differ * (1 - differ)))
+    fan_out = sum(n_keys(len(group), t) for _, group, t in plan)
+    spread = max(1, n * fan_out // 1_000_000)
+    keyed = probe_keys(fps.repartition(spread, "fp").select("fp", "bits"), plan, lambda lane: F.col("bits")[lane], ["fp", "bits"]).select("key", "fp", F.col("bits")[0].alias("c0"), F.col("bits")[1].alias("c1"))
+    found = materialize(candidates(_in_chunks(keyed, bucket).withColumn("root", F.col("fp")), limit, 0), "candidates")
+    pairs = _pairs(found)
+    links = _verified(pairs, texts, shingle, least, None)
+    dense = materialize(found.filter("dense").select("key").distinct(), "dense")
+    roots = components(links)
+    if dense.isEmpty():
+        return roots
+    crowd = materialize(_in_chunks(keyed, bucket).join(dense, "key", "left_semi"), "crowd")
+    for turn in [*range(1, rounds + 1), None]:
+        rooted = crowd.join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", "c0", "c1", F.coalesce("root", "fp").alias("root"))
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
+        found = materialize(candidates(rooted.join(mixed, "key", "left_semi"), limit, turn), "candidates")
+        if found.isEmpty():
+            return roots
+        links = _verified(_pairs(found), texts, shingle, least, links)
+        roots = components(links)
+    return roots
+
+
+def _verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], shingle: int, least: float, links: DataFrame | None) -> DataFrame:
+    pairs = materialize(pairs, "pairs")
+    sets = materialize(run_sets(texts(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()), shingle), "sets")
+    new = similar(pairs, sets, least)
+    return materialize(new if links is None else new.union(links), "links")
+
+
+def near_copies(docs: DataFrame, *, order: Sequence[str] = ("doc_id",), shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """One row of docs for each component of near copies: the smallest by ``order`` (nulls last), then by hashes of the whole row."""
+    names = [c for c in docs.columns if c not in ("_hash", "_rest")]
+    rest = F.xxhash64(*(F.col(c) for c in names), F.lit(2))
+    keyed = docs.select(*(F.col(c) for c in names), F.xxhash64("text").alias("_hash"), rest.alias("_rest"))
+    lead = F.struct(*(x for c in order for x in (F.col(c).isNull().alias(f"_null_{c}"), F.col(c))), "_hash", "_rest")
+    lean = materialize(wide_fingerprints(keyed, keep=[*order, "_hash", "_rest"], shingle=shingle), "fingerprints")
+    copies = materialize(lean.groupBy("fp").agg(F.min(F.struct(lead.alias("lead"), "bits")).alias("m")).select("fp", "m.lead", "m.bits"), "copies")
+
+    def rows_of(leads: DataFrame, kind: str) -> DataFrame:
+        wanted = leads.select(F.col("lead._hash").alias("_h"), F.col("lead._rest").alias("_r"), *(c for c in leads.columns if c == "fp"))
+        return keyed.join(wanted, (F.col("_hash") == F.col("_h")) & (F.col("_rest") == F.col("_r")), kind).dropDuplicates(["_hash", "_rest"])
+
+    roots = link_texts(copies.select("fp", "bits"), lambda fps: rows_of(copies.join(fps, "fp").select("fp", "lead"), "inner").select("fp", "text"), shingle=shingle, least=least)
+    leads = copies.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("lead").alias("lead"))
+    return rows_of(leads, "left_semi").select(*names)
+
+
 def op2_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

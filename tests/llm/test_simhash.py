@@ -1,10 +1,11 @@
+import math
 import random
 
 import numpy as np
 import pytest
 import xxhash
 
-from demolake.llm import simhash
+from demolake.llm import pigeonhole, simhash
 
 
 def brute(rows, shingle=4, radius=4):
@@ -74,6 +75,53 @@ def test_plan_covers_every_pair_within_the_radius():
     bits = (rnd.random((500, 64)) < 0.5).astype(float)
     bits[:, 10] = bits[:, 40]
     for n in (500, 10**6, 10**9):
-        plan = simhash.plan_parts(bits.T @ bits * (n / 500), n, 4)
-        assert sorted(b for group, _ in plan for b in group) == list(range(64))
-        assert sum(t for _, t in plan) >= 4 - len(plan) + 1
+        plan = pigeonhole.plan_parts(bits.T @ bits * (n / 500), n, 4)
+        assert sorted(b for _, group, _ in plan for b in group) == list(range(64))
+        assert sum(t for _, _, t in plan) >= 4 - len(plan) + 1
+
+
+def test_bands_keep_to_the_share_that_may_escape():
+    both = np.full((16, 64, 64), 250.0)
+    both[:, range(64), range(64)] = 500
+    for n in (1000, 10**6, 10**9):
+        plan = pigeonhole.plan_bands(both * (n / 1000), n, 0.16, 0.002)
+        escape = 1.0
+        for _, group, t in plan:
+            escape *= 1 - sum(math.comb(len(group), d) * 0.16**d * 0.84 ** (len(group) - d) for d in range(t + 1))
+        assert escape <= 0.002
+        places = [(lane, b) for lane, group, _ in plan for b in group]
+        assert len(places) == len(set(places))
+
+
+@pytest.mark.parametrize("bucket", [4096, 40, 3])
+def test_crowded_buckets_lose_no_link(spark, bucket):
+    """Chains, stars and random values around a few centres; small buckets force the second filing and the balls."""
+    rnd, fps = random.Random(7), set()
+    for _ in range(6):
+        x = rnd.getrandbits(64)
+        for _ in range(60):
+            y = x
+            for _ in range(rnd.randrange(8)):
+                y ^= 1 << rnd.randrange(64)
+            fps.add(y)
+            if rnd.random() < 0.1:
+                x = y
+    fps = sorted(fps)
+    group = list(range(len(fps)))
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 4 and group[i] != group[j]:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    df = spark.createDataFrame([(pigeonhole.signed(x),) for x in fps], "fp long")
+    roots = {r.node: r.root for r in simhash.link_fingerprints(df, 4, bucket).collect()}
+    ours = [roots.get(pigeonhole.signed(x), pigeonhole.signed(x)) for x in fps]
+    assert len(set(ours)) == len(set(group)) == len(set(zip(ours, group, strict=True)))
+
+
+@pytest.mark.parametrize("members", [300, 1200])
+def test_links_of_a_dense_bucket_are_linear(spark, members):
+    rnd = np.random.default_rng(3)
+    fp = np.unique((np.uint64(0x1234567890ABCDEF) ^ (np.uint64(1) << rnd.integers(0, 64, (members, 2)).astype(np.uint64)).sum(axis=1)).view(np.int64))
+    rows = spark.createDataFrame([(1, int(x)) for x in fp], "key long, fp long")
+    assert simhash.bucket_links(rows, 4).count() == len(fp) - 1
