@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demolake.llm import decontaminate, mixing, nearcopies, substring, toxicity
+from demolake.llm import decontaminate, mixing, simhash, substring, toxicity
 from demolake.llm.langid import held_out
 from demolake.llm.scratch import materialize, shared_dir
 
@@ -27,20 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies (similarity 0.8 and more in runs of five words), the row smallest by (doc_id, nulls last, xxhash64(text)); of equal rows, one."""
-    rest = F.xxhash64("lang", "source", "n_chars", F.lit(2), "text")
-    keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("_hash"), rest.alias("_rest"))
-    order = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_hash", "_rest")
-    lean = materialize(nearcopies.signatures(keyed, keep=["doc_id", "_hash", "_rest"]), "signatures")
-    copies = materialize(lean.groupBy("fp").agg(F.min(F.struct(order.alias("lead"), "bands")).alias("m")).select("fp", "m.lead", "m.bands"), "copies")
-
-    def rows_of(leads: DataFrame, kind: str) -> DataFrame:
-        wanted = leads.select(F.col("lead.doc_id").alias("_id"), F.col("lead._hash").alias("_h"), F.col("lead._rest").alias("_r"), *(c for c in leads.columns if c == "fp"))
-        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")) & (F.col("_rest") == F.col("_r"))
-        return keyed.join(wanted, same, kind).dropDuplicates(["doc_id", "_hash", "_rest"])
-
-    links = nearcopies.link_texts(copies.select("fp", "bands"), lambda fps: rows_of(copies.join(fps, "fp").select("fp", "lead"), "inner").select("fp", "text"))
-    leads = copies.join(links, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("lead").alias("lead"))
-    return rows_of(leads, "left_semi").select(*COLUMNS)
+    return simhash.near_copies(docs.select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
