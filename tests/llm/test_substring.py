@@ -39,17 +39,17 @@ def make(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "group_rows"), [(1, 15000), (2, 3)])
-def test_matches_brute_force(spark, seed, group_rows):
-    """With groups of three rows nearly every repeated prefix takes the leaf path."""
+@pytest.mark.parametrize(("seed", "group_rows", "filter_bits"), [(1, 15000, 1 << 12), (2, 3, 1 << 12), (3, 40, 64)])
+def test_matches_brute_force(spark, seed, group_rows, filter_bits):
+    """With groups of three rows nearly every repeated prefix is lengthened to the window; a filter of 64 bits lets everything through."""
     rows = [*make(seed), (900, None), (901, ""), (901, ""), (None, rows_text := "é " * 30), (None, rows_text)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS at", "'m' AS mask", "2 AS akey")
-    got = substring.remove_repeats(df.select("doc_id", "text"), window=12, prefix=4, group_rows=group_rows, filter_bits=1 << 12).collect()
+    got = substring.remove_repeats(df.select("doc_id", "text"), window=12, prefixes=(4, 7, 12), group_rows=group_rows, filter_bits=filter_bits).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=str) == brute(rows, 12)
 
 
 def test_extra_columns_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a " * 40, 5, 6, "x"), (2, "b", 7, 8, "y")], "doc_id long, text string, at long, mask long, akey string")
-    out = substring.remove_repeats(df, window=12, prefix=4).orderBy("doc_id").collect()
+    out = substring.remove_repeats(df, window=12, prefixes=(4, 7, 12)).orderBy("doc_id").collect()
     assert [(r.at, r["mask"], r.akey, r.n_removed) for r in out] == [(5, 6, "x", 40), (7, 8, "y", 0)]
     assert substring.remove_repeats(df.limit(0)).collect() == []

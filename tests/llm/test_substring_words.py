@@ -27,5 +27,5 @@ def test_words_with_one_upper_half(spark, group_rows):
     rows = [(k, " ".join([*words[:20], w, *words[20:]])) for k, w in enumerate([one, two])]
     rows += [(k + 2, " ".join([f"{c}1", f"{c}2", *words[:11], w, f"{c}3"])) for k, (c, w) in enumerate([("a", one), ("b", two), ("c", one)])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = substring.remove_repeats(df, window=12, prefix=4, group_rows=group_rows, filter_bits=1 << 12).collect()
+    got = substring.remove_repeats(df, window=12, prefixes=(4, 7, 12), group_rows=group_rows, filter_bits=1 << 12).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=str) == brute(rows, 12)
