@@ -10,10 +10,15 @@ sums give the expected number of uses of every piece.
 The vocabulary's path is a parameter; its lower-cased pieces of letters and all
 single bytes (with a small probability) are used, so that any text has a score.
 
+Sums are kept as logarithms, so that a word may have any length: a script without
+spaces makes a sentence one word, and all its segmentations count.
+
 Nulls: a row without text, or without any letter, is ``und`` with score 0; rows
 without text or lang don't train. Ties go to the language first in order.
 Without training rows everything is ``und``. Repeated rows are rows like any
-other. Words of over 48 bytes are scored in stretches of 48.
+other; equal texts get equal scores. Input columns named lang_pred or score are
+replaced; others stay. An empty table gives none. Over ``max_languages`` learned
+languages are refused, as their probabilities would outgrow a broadcast.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from demolake.llm.text import LETTERS, mix, pieces, range_hashes, releasing, sma
 
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ASCII_LETTER = re.compile("[A-Za-z]")
-STRETCH = 48
+ADDED = ("lang_pred", "score")
 #: Stands before a word, as the vocabulary's mark of a word's start does.
 MARK = b"\x01"
 
@@ -66,7 +71,7 @@ class Lattice:
         self.by_size = hashed
 
     def match(self, words: Sequence[bytes]):
-        """Begins and ends of the words' nodes, and the matches ordered by their end within the word: steps of (from node, to node, piece)."""
+        """Begins and ends of the words' nodes, and the matches by their end within the word, then by node: from node, to node, piece, end."""
         marked = [MARK + w for w in words]
         sizes = np.array([len(w) for w in marked])
         data = np.frombuffer(b"".join(marked), dtype=np.uint8)
@@ -91,45 +96,62 @@ class Lattice:
             ends.append(place[at] + size)
         source, target, piece, end = map(np.concatenate, (sources, targets, found, ends))
         size = target - source
-        order = np.lexsort((size, end))
-        source, target, piece, key = source[order], target[order], piece[order], (end * 256 + size)[order]
-        cuts = np.concatenate([[0], np.nonzero(np.diff(key))[0] + 1, [len(key)]])
-        return node, node + sizes, source, target, piece, cuts
+        order = np.lexsort((size, target, end))
+        source, target, piece, end = source[order], target[order], piece[order], end[order]
+        return node, node + sizes, source, target, piece, end
+
+
+def _steps(key: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins, and the end."""
+    return np.concatenate([[0], np.nonzero(np.diff(key))[0] + 1, [len(key)]])
+
+
+def _sweep(logs: np.ndarray, into: np.ndarray, out_of: np.ndarray, q: np.ndarray, key: np.ndarray) -> None:
+    """Adds up, in logarithms and in the order of key, what arrives ``into`` each node; rows of one key and node lie together."""
+    cuts = _steps(key)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        runs = _steps(into[a:b])[:-1]
+        logs[into[a:b][runs]] = np.logaddexp.reduceat(logs[out_of[a:b]] + q[a:b], runs, axis=0)
 
 
-def forward(lattice: Lattice, words: Sequence[bytes], p: np.ndarray) -> np.ndarray:
-    """Log probability of every word (rows) in every language (columns); p: pieces by languages."""
-    first, last, source, target, piece, cuts = lattice.match(words)
-    f = np.zeros((int(last[-1]) + 1, p.shape[1]))
-    f[first] = 1
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # targets within a step differ
-        f[target[a:b]] += f[source[a:b]] * p[piece[a:b]]
-    return np.log(np.maximum(f[last], 1e-300))
+def forward(lattice: Lattice, words: Sequence[bytes], log_p: np.ndarray) -> np.ndarray:
+    """Log probability of every word (rows) in every language (columns); log_p: pieces by languages."""
+    first, last, source, target, piece, end = lattice.match(words)
+    f = np.full((int(last[-1]) + 1, log_p.shape[1]), -np.inf)
+    f[first] = 0
+    _sweep(f, target, source, log_p[piece], end)
+    return f[last]
 
 
-def expected(lattice: Lattice, words: Sequence[bytes], lang: np.ndarray, n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def expected(lattice: Lattice, words: Sequence[bytes], lang: np.ndarray, n: np.ndarray, log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Expected uses of pieces in n times each word under its own language: keys (piece * languages + language) and sums."""
-    first, last, source, target, piece, cuts = lattice.match(words)
+    first, last, source, target, piece, end = lattice.match(words)
     nodes = int(last[-1]) + 1
     of = np.repeat(np.arange(len(words)), last - first + 1)
-    q = p[piece, lang[of[source]]]
-    f, b = np.zeros(nodes), np.zeros(nodes)
-    f[first] = 1
-    b[last] = 1
-    steps = list(zip(cuts[:-1], cuts[1:], strict=True))
-    for i, j in steps:
-        f[target[i:j]] += f[source[i:j]] * q[i:j]
-    # A match whose end comes later within its word is undone first; targets differ within a step, and so do sources.
-    for i, j in reversed(steps):
-        b[source[i:j]] += b[target[i:j]] * q[i:j]
-    z = np.maximum(f[last], 1e-300)
-    share = f[source] * q * b[target] * (n / z)[of[source]]
-    keys, at = np.unique(piece * p.shape[1] + lang[of[source]], return_inverse=True)
+    q = log_p[piece, lang[of[source]]]
+    f, b = np.full(nodes, -np.inf), np.full(nodes, -np.inf)
+    f[first] = 0
+    b[last] = 0
+    _sweep(f, target, source, q, end)
+    begin = source - first[of[source]]
+    back = np.lexsort((source, -begin))  # later begins first
+    _sweep(b, source[back], target[back], q[back], begin[back])
+    share = np.exp(f[source] + q + b[target] - f[last][of[source]]) * n[of[source]]
+    keys, at = np.unique(piece * log_p.shape[1] + lang[of[source]], return_inverse=True)
     return keys, np.bincount(at, weights=share)
 
 
-def stretches(word: bytes) -> list[bytes]:
-    return [word[k : k + STRETCH] for k in range(0, len(word), STRETCH)]
+def portions(words: Sequence[bytes], rows: int = 20_000, size: int = 1 << 18):
+    """Ranges of at most so many words and, but for a longer word, bytes."""
+    begin = total = 0
+    for k, w in enumerate(words):
+        if k > begin and (k - begin >= rows or total + len(w) > size):
+            yield slice(begin, k)
+            begin = k
+            total = 0
+        total += len(w)
+    if begin < len(words):
+        yield slice(begin, len(words))
 
 
 class Model:
@@ -154,13 +176,12 @@ def train(docs: DataFrame, *, vocabulary_path: str | None = None, iterations: in
         @releasing
         def uses(batches):
             pieces_, languages, p = held.value  # noqa: B023
-            lattice, index = Lattice(pieces_), {x: i for i, x in enumerate(languages)}
+            lattice, index, log_p = Lattice(pieces_), {x: i for i, x in enumerate(languages)}, np.log(p)
             total = np.zeros(p.size)
             for batch in batches:
-                for k in range(0, batch.num_rows, 20_000):
-                    lang, word, n = (batch.column(c).slice(k, 20_000).to_pylist() for c in range(3))
-                    cut = [(s, index[a], m) for a, w, m in zip(lang, word, n, strict=True) for s in stretches(w)]
-                    keys, sums = expected(lattice, [c[0] for c in cut], np.array([c[1] for c in cut]), np.array([c[2] for c in cut], dtype=float), p)
+                lang, words, n = (batch.column(c).to_pylist() for c in range(3))
+                for part in portions(words):
+                    keys, sums = expected(lattice, words[part], np.array([index[a] for a in lang[part]]), np.array(n[part], dtype=float), log_p)
                     total[keys] += sums
             keys = np.nonzero(total)[0]
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total[keys])], names=["k", "x"])
@@ -180,13 +201,13 @@ def train(docs: DataFrame, *, vocabulary_path: str | None = None, iterations: in
 def predict(docs: DataFrame, model: Model, *, keep: Sequence[str] | None = None, cache_words: int = 500_000) -> DataFrame:
     """The columns ``keep`` of docs (all by default) with lang_pred and score (the language's posterior probability)."""
     small_batches(docs.sparkSession)
-    keep = list(docs.columns if keep is None else keep)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @releasing
     def run(batches):
         m = held.value
-        lattice, langs = Lattice(m.vocabulary), len(m.languages)
+        lattice, langs, log_p = Lattice(m.vocabulary), len(m.languages), np.log(m.p)
         room = max(1000, min(cache_words, 32_000_000 // max(1, langs)))
         known: dict[bytes, int] = {}
         table = np.zeros((langs, room + 1))
@@ -196,16 +217,14 @@ def predict(docs: DataFrame, model: Model, *, keep: Sequence[str] | None = None,
                 texts = batch.column(index).to_pylist()
                 lettered = [bool(t) and (_ASCII_LETTER.search(t) is not None or any(map(str.isalpha, t))) for t in texts]
                 words = [t.lower().encode("utf-8", "replace").translate(LETTERS).split() if ok else [] for t, ok in zip(texts, lettered, strict=True)]
-                ends = np.cumsum([len(w) for w in words])
+                sizes = np.array([len(w) for w in words], dtype=np.int64)
+                some = sizes > 0
+                begins = (np.cumsum(sizes) - sizes)[some]
                 flat = [w for ws in words for w in ws]
                 new = list(set(flat) - known.keys()) if langs else []
-                fresh = {}
                 extra = np.zeros((langs, len(new)))
-                for k in range(0, len(new), 20_000):
-                    part = new[k : k + 20_000]
-                    cut = [stretches(w) for w in part]
-                    logs = forward(lattice, [s for c in cut for s in c], m.p)
-                    extra[:, k : k + len(part)] = np.add.reduceat(logs, np.cumsum([0] + [len(c) for c in cut[:-1]]), axis=0).T
+                for part in portions(new):
+                    extra[:, part] = forward(lattice, new[part], log_p).T
                 stay = min(len(new), room - len(known))
                 for w in new[:stay]:
                     known[w] = len(known)
@@ -218,10 +237,9 @@ def predict(docs: DataFrame, model: Model, *, keep: Sequence[str] | None = None,
                 else:
                     at = np.fromiter(map(known.__getitem__, flat), dtype=np.int64, count=len(flat)) if langs else np.zeros(0, np.int64)
                 scores = np.zeros((len(texts), langs))
-                for lang in range(langs):
-                    row = np.concatenate([table[lang], rest[lang]])[at] if len(at) else np.zeros(0)
-                    sums = np.concatenate([[0.0], np.cumsum(row)])
-                    scores[:, lang] = sums[ends] - sums[np.concatenate([[0], ends[:-1]])] + m.prior[lang]
+                for lang in range(langs if len(at) else 0):
+                    scores[some, lang] = np.add.reduceat(np.concatenate([table[lang], rest[lang]])[at], begins)
+                scores += m.prior
                 name, score = [], []
                 if langs:
                     best = scores.argmax(axis=1)
