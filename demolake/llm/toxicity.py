@@ -1,10 +1,12 @@
 """Toxicity by noisy-channel deobfuscation (operator 9).
 
-Tokens that look disguised (digits or symbols between letters, a letter three
-times in a row, letters written apart) become a lattice of readings: a look-alike
-stands for its letters, a separator may vanish, a run of one letter may shrink.
-Viterbi decoding picks the reading that a character trigram model of the corpus
-likes best, less the channel's costs. The restored words are then scored.
+Tokens that look disguised (look-alikes or separators, a letter three times in a
+row, letters written apart) become a lattice of readings: a look-alike of one
+character or more stands for its letters, a separator may vanish, a run of one
+letter may shrink. Viterbi decoding picks the reading that a character trigram
+model of the corpus likes best, less the channel's costs. A token without any
+letter may also be no word at all, at a cost for each character. The restored
+words are then scored.
 
 The character model comes from the counts of all words of all texts. The
 classifier learns from a bounded sample of labelled rows (``per_class`` each): a
@@ -12,8 +14,12 @@ multinomial model of words and word beginnings that are typical of toxic texts,
 and a logistic curve over a text's sum, hit count and hit rate.
 
 Nulls and empty texts have no evidence and get the score of such a text; a null
-label doesn't train. Of several labels of one doc_id the largest counts. Without
-training rows of both kinds every score is 0. Repeated rows are scored alike.
+label doesn't train; labels may be of any type that casts to 0 and 1, ids of any
+type. Of several labels of one doc_id the largest counts. Without training rows of
+both kinds every score is 0. Repeated rows are scored alike. An input column named
+score is replaced; other columns stay. An empty table gives none. Texts and tokens
+are read whole, whatever their length; the model itself has ``most_features``
+words and beginnings at most, the most frequent ones in toxic samples.
 """
 
 from __future__ import annotations
@@ -34,10 +40,13 @@ from demolake.llm.text import pieces, releasing, small_batches, word_counts
 
 #: Look-alikes and the letters they stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
+#: Look-alikes of several characters.
+DRAWN = {"|)": "d", "|<": "k", "/\\": "a", "\\/": "v", "()": "o", "|-|": "h", "|\\|": "n", "|_|": "u"}
 SEPARATORS = ".-_*~'`^·"
 _EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»„“”‘’…–—¿¡"
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
-_MIXED = re.compile(r"[^\W\d_][^\w]*[\d\W_]+[^\w]*[^\W\d_]|^[\d\W_]+[^\W\d_]|[^\W\d_][\d$@!|+]+$")
+_LOOKS = frozenset(LEET) | frozenset(SEPARATORS)
+_SIGNS = "@$|€"  # look-alikes that are no punctuation, so that they count at a word's end as well
 
 
 class CharModel:
@@ -92,41 +101,56 @@ def char_model(docs: DataFrame, *, letters: int = 96) -> CharModel:
     return CharModel("".join(alphabet), dict(zip(found.column("g").to_pylist(), found.column("n").to_pylist(), strict=True)))
 
 
-def decode(token: str, model: CharModel, *, swap: float = 1.0, drop: float = 0.5, shrink: float = 0.7, stay: float = 6.0) -> str:
-    """The likeliest reading of a disguised token (Viterbi over the last two letters).
+def arcs(token: str, *, swap: float = 1.0, drop: float = 0.5, shrink: float = 0.7, stay: float = 6.0) -> list[list[tuple[int, str, float]]]:
+    """The lattice of a token: for each place the arcs (place it leads to, what is read, cost).
 
     Costs: ``swap`` for reading a look-alike as a letter, ``drop`` for leaving out
-    a separator, ``shrink`` for shortening a run, ``stay`` for keeping a character that is no letter.
+    separators, ``shrink`` for shortening a run, ``stay`` for keeping a character that is no letter.
     """
-    runs: list[list] = []
-    for c in token:
-        if runs and runs[-1][0] == c:
-            runs[-1][1] += 1
-        else:
-            runs.append([c, 1])
-    paths: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
-    for place, (c, n) in enumerate(runs):
-        options: list[tuple[str, float]] = []
-        letters = ([(c, 0.0)] if c.isalpha() else []) + [(x, swap * n) for x in LEET.get(c, "")]
+    out: list[list[tuple[int, str, float]]] = []
+    size, run = len(token), [1] * (len(token) + 1)
+    for i in range(size - 2, -1, -1):
+        run[i] = run[i + 1] + 1 if token[i] == token[i + 1] else 1
+    for i, c in enumerate(token):
+        own, n = [], run[i]
+        long = n > 2 or (i > 0 and run[i - 1] > 2 and token[i - 1] == c)
+        letters = ([(c, 0.0)] if c.isalpha() else []) + [(x, swap) for x in LEET.get(c, "")]
         for x, cost in letters:
-            options += [(x * n, cost)] if n <= 2 else []
-            options += [(x * m, cost + shrink) for m in (1, 2) if m < n]
-        if c in SEPARATORS or (place in (0, len(runs) - 1) and not c.isalnum()):  # punctuation, too, at either end
-            options.append(("", drop))
+            own += [] if long else [(i + 1, x, cost)]
+            own += [(i + n, x * m, cost * n + shrink) for m in (1, 2) if m < n]
+        if c in SEPARATORS or (not c.isalnum() and (i == 0 or i + n == size)):  # punctuation, too, at either end
+            own.append((i + n, "", drop))
         if not letters:
-            options.append((c, stay))
-        step: dict[str, tuple[float, tuple | None]] = {}
-        for context, (score, back) in paths.items():
-            for text, cost in options:
+            own.append((i + 1, c, stay))
+        own += [(i + len(d), x, swap) for d, x in DRAWN.items() if token.startswith(d, i)]
+        out.append(own)
+    return out
+
+
+def decode(token: str, model: CharModel, *, blank: float = 4.2, **costs: float) -> str:
+    """The likeliest reading of a disguised token (Viterbi over place and last two letters).
+
+    A token without letters reads as nothing if every reading costs over ``blank`` a character.
+    """
+    lattice = arcs(token, **costs)
+    paths: list[dict[str, tuple[float, tuple | None]]] = [{} for _ in range(len(token) + 1)]
+    paths[0]["^^"] = (0.0, None)
+    for i, own in enumerate(lattice):
+        for context, (score, back) in paths[i].items():
+            for to, text, cost in own:
                 s, at = score - cost, context
                 for x in text:
                     y = model.fold(x)
                     s += model.log(at, y)
                     at = at[1] + y
-                if s > step.get(at, (-math.inf,))[0]:
-                    step[at] = (s, (back, text) if text else back)
-        paths = step
-    _, back = max((s + model.log(at, "^"), i, b) for i, (at, (s, b)) in enumerate(paths.items()))[1:]
+                if s > paths[to].get(at, (-math.inf,))[0]:
+                    paths[to][at] = (s, (back, text) if text else back)
+        paths[i] = {}
+    if not paths[-1]:
+        return token
+    score, _, back = max((s + model.log(at, "^"), -i, b) for i, (at, (s, b)) in enumerate(paths[-1].items()))
+    if score < -blank * len(token) and not any(map(str.isalpha, token)):
+        return ""
     out = []
     while back is not None:
         back, text = back
@@ -137,12 +161,12 @@ def decode(token: str, model: CharModel, *, swap: float = 1.0, drop: float = 0.5
 def restore(token: str, model: CharModel) -> str:
     """A lower-case token without edge punctuation, decoded if it looks disguised."""
     bare = token.strip(_EDGE)
-    if bare.isalpha():
+    if bare.isalpha() and not any(c in token for c in _SIGNS):
         return decode(bare, model) if _TRIPLE.search(bare) else bare
-    inner = token.strip("\"'(),.:;?#%&*-_[]{}<>/\\=~`^")
-    if not any(map(str.isalpha, inner)):
-        return ""
-    return decode(inner, model) if _MIXED.search(inner) or _TRIPLE.search(inner) else bare
+    inner = token.strip("\"'(),.:;?#%&*-_[]{}<>/\\=~`^") if not any(d in token for d in DRAWN) else token
+    if any(c in _LOOKS for c in inner) or _TRIPLE.search(inner):
+        return decode(inner, model)
+    return bare if any(map(str.isalpha, bare)) else ""
 
 
 def restored_words(text: str | None, read) -> list[str]:
@@ -161,12 +185,17 @@ def restored_words(text: str | None, read) -> list[str]:
     return words
 
 
+def zero_or_one(labels: DataFrame, label: str) -> DataFrame:
+    """Columns doc_id and label (int): one row per labelled doc_id, of several labels the largest."""
+    return labels.select("doc_id", F.col(label).cast("int").alias("label")).filter("label IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, per_class: int) -> DataFrame:
     """Text and label of at most ``per_class`` documents of each label, chosen by a hash of doc_id; their ids, so bounded, are broadcast.
 
     Of rows that repeat a doc_id, the one smallest by (xxhash64(text), text) counts.
     """
-    kept = labels.filter(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
+    kept = zero_or_one(labels, label)
     ids = None
     for value in (0, 1):
         part = kept.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(per_class)
@@ -274,7 +303,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class
 
 def score(docs: DataFrame, model: ToxicModel | None, *, keep: Sequence[str] | None = None, cache_tokens: int = 200_000) -> DataFrame:
     """The columns ``keep`` of docs (all by default) with score: how likely the text is toxic, toxic and other texts being equally frequent."""
-    keep = list(docs.columns if keep is None else keep)
+    keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
     small_batches(docs.sparkSession)
     if model is None:
         return docs.select(*keep, F.lit(0.0).alias("score"))
