@@ -1,18 +1,20 @@
 """Quality classifier by nearest-neighbour voting in a latent-semantic space (operator 10).
 
-A text's terms are the character-class trigrams of its whole text and a few
-counts of its words: lengths, and words that repeat the word one to four places
-before. Terms are weighted by their rarity over all documents. A truncated
-singular value decomposition of a bounded sample of labelled rows gives the
-latent space; the sample's vectors, ``per_class`` of each label at most, are
-broadcast. Every document's cosine with every one of them is computed exactly,
-in blocks, and the nearest ``neighbours`` vote with their similarity, each label
-weighted by its share of the labelled rows.
+A text's terms are its words, hashed to ``WORD_BUCKETS`` terms, the trigrams of
+character classes of its whole text, and a few counts of its words: lengths, and
+words that repeat the word one to four places before. Terms are weighted by their
+rarity over all documents. A truncated singular value decomposition of a bounded
+sample of labelled rows gives the latent space; the sample's vectors, ``per_class``
+of each label at most, are broadcast. Every document's cosine with every one of
+them is computed exactly, in blocks, and the nearest ``neighbours`` vote with
+their similarity, each label weighted by its share of the labelled rows.
 
 Nulls and empty texts have no terms and get the labels' share. A null label
-doesn't train. Of several labels of one doc_id the largest counts. Without
-labelled rows every score is 0. Ties among neighbours go to the smaller doc_id
-of the sample. Repeated rows are scored alike.
+doesn't train; labels may be of any type that casts to 0 and 1, ids of any type.
+Of several labels of one doc_id the largest counts. Without labelled rows every
+score is 0. Ties among neighbours go to the smaller doc_id of the sample. Repeated
+rows are scored alike. An input column named score is replaced; others stay. An
+empty table gives none. Texts are read whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from demolake.llm.langid import held_out
 from demolake.llm.scratch import materialize
 from demolake.llm.text import mix, pieces, range_hashes, releasing, small_batches, text_buffer, words_of
-from demolake.llm.toxicity import labelled_sample
+from demolake.llm.toxicity import labelled_sample, zero_or_one
 
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _CLASSES = 16
@@ -41,10 +43,12 @@ _CLASS[ord("0") : ord("9") + 1] = 5
 for _c, _k in ((" ", 6), ("\n", 7), (".", 8), (",", 8), ("!", 9), ("#", 10), ("$", 10), ("%", 10), ("&", 10), ("*", 10), ("|", 11), ("@", 12), ("/", 12), (":", 12), ("<", 13), (">", 13), ("(", 14), (")", 14), ('"', 14), ("'", 14)):
     _CLASS[ord(_c)] = _k
 _LENGTHS, _LAGS = 20, 4
-N_TERMS = _CLASSES**3 + _LENGTHS + _LAGS
+WORD_BUCKETS = 2048
+_SHAPE = _CLASSES**3 + _LENGTHS + _LAGS
+N_TERMS = _SHAPE + WORD_BUCKETS
 #: A repeated word says more than any one trigram.
 _EMPHASIS = np.ones(N_TERMS, dtype=np.float32)
-_EMPHASIS[-_LAGS:] = 4
+_EMPHASIS[_SHAPE - _LAGS : _SHAPE] = 4
 
 
 def term_counts(column: pa.Array) -> np.ndarray:
@@ -66,6 +70,7 @@ def term_counts(column: pa.Array) -> np.ndarray:
         for lag in range(1, _LAGS + 1):
             same = (words[lag:] == words[:-lag]) & (text[lag:] == text[:-lag])
             np.add.at(out, (text[lag:][same], _CLASSES**3 + _LENGTHS + lag - 1), 1)
+        np.add.at(out, (text, _SHAPE + (words % np.uint64(WORD_BUCKETS)).astype(np.int64)), 1)
     return out
 
 
@@ -115,22 +120,27 @@ def truncated_axes(x: np.ndarray, rank: int, rounds: int = 4) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", per_class: int = 1500, rank: int = 48, piece_bytes: int = 2 << 20) -> Space | None:
     small_batches(docs.sparkSession)
     sample = materialize(labelled_sample(docs, labels, label, per_class=per_class), "labelled")
-    shares = {r["label"]: r["n"] for r in labels.filter(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label")).groupBy("label").agg(F.count("*").alias("n")).collect()}
+    shares = {r["label"]: r["n"] for r in zero_or_one(labels, label).groupBy("label").agg(F.count("*").alias("n")).collect()}
 
     @releasing
     def run(batches):
         for whole in batches:
             for batch in pieces(whole, 1, piece_bytes):
                 counts = term_counts(batch.column(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in counts], pa.binary())], names=["doc_id", "label", "terms"])
+                held = [np.nonzero(r)[0] for r in counts]
+                terms = [k.astype(np.int32).tobytes() for k in held], [r[k].tobytes() for r, k in zip(counts, held, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, pa.binary()) for x in terms)], names=["doc_id", "label", "terms", "times"])
 
-    rows = sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, terms binary").toArrow().sort_by("doc_id")
+    schema = sample.select("doc_id", "label").limit(0).selectExpr("*", "binary('') terms", "binary('') times").schema
+    rows = sample.select("doc_id", "text", "label").mapInArrow(run, schema).toArrow().sort_by("doc_id")
     if not rows.num_rows or len(shares) < 1:
         return None
     frequency, n = document_frequencies(docs, piece_bytes)
     idf = np.log((1 + n) / (1 + frequency)).astype(np.float32) + 0.1
     idf[frequency == 0] = 0
-    counts = np.frombuffer(b"".join(rows.column("terms").to_pylist()), dtype=np.float32).reshape(-1, N_TERMS)
+    counts = np.zeros((rows.num_rows, N_TERMS), dtype=np.float32)
+    for i, (terms, times) in enumerate(zip(rows.column("terms").to_pylist(), rows.column("times").to_pylist(), strict=True)):
+        counts[i, np.frombuffer(terms, np.int32)] = np.frombuffer(times, np.float32)
     x = weighted(counts, idf)
     y = rows.column("label").to_numpy().astype(np.float32)
     prior = shares.get(1, 0) / sum(shares.values())
@@ -148,7 +158,10 @@ def votes(space: Space, z: np.ndarray, neighbours: int) -> np.ndarray:
     for begin in range(0, len(z), 512):
         part = z[begin : begin + 512]
         cosine = part @ space.vectors.T
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        kth = np.partition(cosine, -k, axis=1)[:, -k, None]
+        tied = cosine == kth
+        near = (cosine > kth) | (tied & (np.cumsum(tied, axis=1) <= k - (cosine > kth).sum(axis=1, keepdims=True)))  # of equals the first
+        near = np.nonzero(near)[1].reshape(-1, k)
         similar = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** 8 * weight[near]
         total = similar.sum(axis=1)
         share = (similar * space.labels[near]).sum(axis=1) / np.maximum(total, 1e-12)
@@ -159,7 +172,7 @@ def votes(space: Space, z: np.ndarray, neighbours: int) -> np.ndarray:
 
 def score(docs: DataFrame, space: Space | None, *, keep: Sequence[str] | None = None, neighbours: int = 15, piece_bytes: int = 2 << 20) -> DataFrame:
     """The columns ``keep`` of docs (all by default) with score, the weighted vote for label 1."""
-    keep = list(docs.columns if keep is None else keep)
+    keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
     if space is None:
         return docs.select(*keep, F.lit(0.0).alias("score"))
     held = docs.sparkSession.sparkContext.broadcast(space)
@@ -169,7 +182,7 @@ def score(docs: DataFrame, space: Space | None, *, keep: Sequence[str] | None =
         for whole in batches:
             index = whole.schema.get_field_index("text")
             for batch in pieces(whole, index, piece_bytes):
-                found = [votes(held.value, held.value.project(term_counts(batch.column(index).slice(k, 1024))), neighbours) for k in range(0, batch.num_rows, 1024)]
+                found = [votes(held.value, held.value.project(term_counts(batch.column(index).slice(k, 512))), neighbours) for k in range(0, batch.num_rows, 512)]
                 out = [batch.column(batch.schema.get_field_index(c)) for c in keep]
                 yield pa.RecordBatch.from_arrays([*out, pa.array(np.concatenate(found).astype(float))], names=[*keep, "score"])
 

@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 
 import numpy as np
@@ -29,16 +31,49 @@ def test_forward_sums_all_segmentations():
 
     words = [b"abcab", b"xyz", b"a", b"abcabc"]
     want = [[total(b"\x01" + w, lang) for lang in range(2)] for w in words]
-    assert np.allclose(np.exp(langid.forward(lattice, words, p)), want)
+    assert np.allclose(np.exp(langid.forward(lattice, words, np.log(p))), want)
     # Expected uses: the derivative of the log sum by the log probabilities.
-    keys, sums = langid.expected(lattice, [b"abcab"], np.array([1]), np.array([3.0]), p)
+    keys, sums = langid.expected(lattice, [b"abcab"], np.array([1]), np.array([3.0]), np.log(p))
     for key, s in zip(keys, sums, strict=True):
         q = p.copy()
         q[key // 2, 1] *= 1 + 1e-6
-        slope = (langid.forward(lattice, [b"abcab"], q) - langid.forward(lattice, [b"abcab"], p))[0, 1] / 1e-6
+        slope = (langid.forward(lattice, [b"abcab"], np.log(q)) - langid.forward(lattice, [b"abcab"], np.log(p)))[0, 1] / 1e-6
         assert s == pytest.approx(3 * slope, rel=1e-3)
 
 
+def plain_log_sum(word, index, log_p, lang):
+    """The forward sum of one word with exact fractions instead of floating point."""
+    from fractions import Fraction
+
+    f = [Fraction(1)] + [Fraction(0)] * len(word)
+    for end in range(1, len(word) + 1):
+        f[end] = sum((f[end - k] * Fraction(float(np.exp(log_p[index[word[end - k : end]], lang]))) for k in range(1, min(end, 6) + 1) if word[end - k : end] in index), Fraction(0))
+    return math.log(f[-1].numerator) - math.log(f[-1].denominator)
+
+
+def test_long_words_sum_all_segmentations():
+    """Words of hundreds of bytes, in a script without spaces too, whose probabilities no float can hold."""
+    vocabulary = [b"ab", b"abc", b"bc", "語".encode(), "日本".encode(), *(bytes([b]) for b in range(256))]
+    rnd = np.random.default_rng(2)
+    log_p = np.log(np.stack([rnd.random(len(vocabulary)) * 1e-5, rnd.random(len(vocabulary)) * 1e-2], axis=1))
+    lattice, index = langid.Lattice(vocabulary), {v: i for i, v in enumerate(vocabulary)}
+    words = [b"abc" * 20, b"x" * 700, "日本語".encode() * 40, b"q"]
+    got = langid.forward(lattice, words, log_p)
+    for w, row in zip(words, got, strict=True):
+        assert row == pytest.approx([plain_log_sum(b"\x01" + w, index, log_p, lang) for lang in range(2)], rel=1e-9)
+    for w, row in zip(words, got, strict=True):  # alone as among others
+        assert langid.forward(lattice, [w], log_p)[0].tolist() == row.tolist()
+    assert [w for part in langid.portions(words, 2, 100) for w in words[part]] == words
+
+
+def test_equal_texts_have_equal_scores(spark):
+    model = langid.train(spark.createDataFrame(texts(1, 60), "doc_id long, text string, lang string"))
+    rows = [(i, t) for i, (_, t, _) in enumerate(texts(3, 40))] + [(100 + k, "der with être und " * 9) for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS score", "1 AS lang_pred", "2 AS extra")
+    got = langid.predict(df.repartition(3), model).collect()
+    assert len({(r.score, r.lang_pred) for r in got if r.doc_id >= 100}) == 1 and {r.extra for r in got} == {2}
+
+
 def test_language_id_on_held_out_texts(spark):
     train = spark.createDataFrame(texts(1, 150), "doc_id long, text string, lang string")
     model = langid.train(train)
@@ -83,6 +118,51 @@ def test_decoding_restores_disguises(spark):
     assert "scum" in toxicity.restored_words("you s c u m of", lambda t: toxicity.restore(t, chars))
 
 
+def readings(token, i, lattice):
+    if i == len(token):
+        yield "", 0.0
+        return
+    for to, text, cost in lattice[i]:
+        for rest, more in readings(token, to, lattice):
+            yield text + rest, cost + more
+
+
+def test_viterbi_finds_the_best_of_all_readings(spark):
+    docs, _ = toxic_corpus(3, 200)
+    chars = toxicity.char_model(spark.createDataFrame(docs, "doc_id long, text string"))
+
+    def value(text, cost):
+        at, s = "^^", -cost
+        for y in [*map(chars.fold, text), "^"]:
+            s += chars.log(at, y)
+            at = at[1] + y
+        return s
+
+    tokens = ["1d10t", "l00ser", "m0r0n!!", "s.c-u_m", "|)iot", "a$$h", "sttuuupid", "$cum", "()ver", "m+o+ron", "x1|<1"]
+    tokens += ["".join(t) for t in itertools.product("i1|", ".d)", "0o", "t+")][::3]
+    for token in tokens:
+        best = max(value(text, cost) for text, cost in readings(token, 0, toxicity.arcs(token)))
+        got = toxicity.decode(token, chars, blank=1e9)
+        costs = [cost for text, cost in readings(token, 0, toxicity.arcs(token)) if text == got]
+        assert value(got, min(costs)) == pytest.approx(best)
+
+
+def test_tokens_of_symbols_enter_the_lattice(spark):
+    rows = [(k, "the ass and die that ass with die pass lass") for k in range(50)]
+    chars = toxicity.char_model(spark.createDataFrame(rows, "doc_id long, text string"))
+    for disguised, plain in (("@$$", "ass"), ("455", "ass"), ("|)13", "die"), ("@ss", "ass"), ("a$$", "ass"), ("7734205", ""), ("--", "")):
+        assert toxicity.restore(disguised, chars) == plain
+
+
+def test_ids_and_labels_of_any_type(spark):
+    docs, labels = toxic_corpus(4, 200)
+    d = spark.createDataFrame([(f"d{i:04}", t, "x", 3) for i, t in docs], "doc_id string, text string, score string, n int")
+    y = spark.createDataFrame([(f"d{i:04}", b) for i, b in labels], "doc_id string, toxic long").selectExpr("*", "toxic AS quality")
+    for got in (toxicity.score(d, toxicity.train(d, y)), quality.score(d, quality.train(d, y, per_class=30))):
+        rows = got.collect()
+        assert len(rows) == 200 and {r.n for r in rows} == {3} and len({r.score for r in rows}) > 1
+
+
 def test_toxicity_learns_and_sees_through_disguises(spark):
     docs, labels = toxic_corpus(4, 400)
     held, truth = toxic_corpus(5, 100)
@@ -134,3 +214,18 @@ def test_quality_without_labels(spark):
     d = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     space = quality.train(d, spark.createDataFrame([], "doc_id long, quality int"))
     assert [r.score for r in quality.score(d, space).collect()] == [0.0]
+
+
+def test_ties_go_to_the_first_of_the_sample():
+    rnd = np.random.default_rng(4)
+    vectors = np.repeat(rnd.standard_normal((6, 8)).astype(np.float32), 5, axis=0)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    labels = (rnd.random(30) < 0.5).astype(np.float32)
+    space = quality.Space(None, None, vectors, labels, 0.5)
+    weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
+    z = vectors[::5][:, :] + np.float32(0)
+    for row, v in zip(z, quality.votes(space, z, 7), strict=True):
+        c = (row[None] @ vectors.T)[0]
+        k = np.argsort(-c, kind="stable")[:7]
+        s = np.maximum(c[k], 0) ** 8 * weight[k]
+        assert v == pytest.approx((s * labels[k]).sum() / s.sum(), rel=1e-3)
