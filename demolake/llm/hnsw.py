@@ -1,13 +1,18 @@
 """Approximate nearest neighbours with one navigable small-world graph per shard (operator 4).
 
-Vectors are dealt to shards by a hash. Each shard's hierarchical graph is built
-by one task and stored as one row: its vectors, and the neighbour lists of every
-level as flat arrays. Queries, in blocks, are searched in every shard; shard
-results merge by exact cosine in double precision.
+Vectors are dealt to shards of about ``shard_rows`` by a hash. Each shard's
+hierarchical graph is built by one task and stored as one row: its vectors, and
+the neighbour lists of every level as flat arrays. Queries are searched in every
+shard: they stream past a graph that is loaded once for up to ``block_rows`` of
+them. Shard results merge by exact cosine in double precision on the vectors as
+given; every node that a search returns is rescored.
 
 Equal vectors are one node of a graph, with the ids that can still appear in a
 result (the ``k + 1`` smallest), so copies neither crowd a graph nor a task.
 
+Every query meets every shard: queries times shards rows are shuffled, so shards
+should be as large as a task can build (``shard_rows``), the more so in large tables.
+
 Vectors that are null, empty, zero, or hold null or non-finite components take
 no part. Vectors of different lengths never meet. Rows that repeat an id and its
 vector count once; other rows with the query's id are never its results. Ties go
@@ -20,6 +25,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -163,7 +169,7 @@ class Graph:
 def usable(vectors: DataFrame) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    return vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("embedding"))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -172,7 +178,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
-def build_index(vectors: DataFrame, *, k: int = 5, m: int = 16, width: int = 96, shard_rows: int = 4096) -> DataFrame:
+def build_index(vectors: DataFrame, *, k: int = 5, m: int = 16, width: int = 96, shard_rows: int = 16_384) -> DataFrame:
     """One row per shard: its graph in flat arrays, the vectors, and the ids of each (ids from starts[i] on)."""
     rows = usable(vectors).distinct()
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
@@ -181,7 +187,7 @@ def build_index(vectors: DataFrame, *, k: int = 5, m: int = 16, width: int = 96,
 
     def build(key, part: pd.DataFrame) -> pd.DataFrame:
         part = part.iloc[np.argsort([x[0] for x in part["ids"]], kind="stable")]
-        x = np.stack(part["embedding"].to_numpy()).astype(np.float32)
+        x = np.stack(part["embedding"].to_numpy()).astype(np.float64)
         g = Graph(_unit(x), m).build(width)
         counts = np.array([len(i) for i in part["ids"]])
         row = {"dim": key[0], "shard": key[1], "n": len(x), "entry": g.entry, "ids": np.concatenate(part["ids"].to_numpy()).astype(np.int64).tobytes(), "starts": np.concatenate([[0], np.cumsum(counts)]).astype(np.int64).tobytes(), "vectors": x.tobytes(), "level": g.level.tobytes(), "base": g.links[0].tobytes(), "upper": [a[g.level >= h].tobytes() for h, a in enumerate(g.links) if h]}
@@ -191,8 +197,8 @@ def build_index(vectors: DataFrame, *, k: int = 5, m: int = 16, width: int = 96,
     return materialize(keyed.groupBy("dim", "shard").applyInPandas(build, _INDEX), "index")
 
 
-def _load(row: pd.Series, m: int) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
-    x = np.frombuffer(row["vectors"], dtype=np.float32).reshape(row["n"], row["dim"])
+def _load(row: dict, m: int) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
+    x = np.frombuffer(row["vectors"], dtype=np.float64).reshape(row["n"], row["dim"])
     g = Graph.__new__(Graph)
     g.unit, g.m, g.entry = _unit(x), m, int(row["entry"])
     g.level = np.frombuffer(row["level"], dtype=np.int8)
@@ -205,39 +211,53 @@ def _load(row: pd.Series, m: int) -> tuple[Graph, np.ndarray, np.ndarray, np.nda
     return g, x, np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["starts"], dtype=np.int64)
 
 
-def search_index(index: DataFrame, queries: DataFrame, *, k: int = 5, m: int = 16, width: int = 128, block_rows: int = 8192) -> DataFrame:
+def search_index(index: DataFrame, queries: DataFrame, *, k: int = 5, m: int = 16, width: int = 128, block_rows: int = 1 << 20) -> DataFrame:
     """Each query's k nearest found: query_id, rank (from 1), vec_id, score. queries: vec_id, embedding."""
     asked = usable(queries).distinct().select(F.col("vec_id").alias("query_id"), "embedding", F.size("embedding").alias("dim"))
     blocks = max(1, -(-asked.count() // block_rows))
-    shards = index.select("dim", "shard")
-    each = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).join(shards.groupBy("dim").agg(F.collect_list("shard").alias("shards")), "dim").select("query_id", "embedding", "dim", "block", F.explode("shards").alias("shard"))
+    shards = index.groupBy("dim").agg(F.collect_list("shard").alias("shards"))
+    each = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).join(shards, "dim").select("query_id", "embedding", "dim", "block", F.explode("shards").alias("shard"))
     graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def find(key, asked: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(asked) and len(graph):
-            g, x, ids, starts = _load(graph.iloc[0], m)
-            x = x.astype(np.float64)
-            norm = np.sqrt((x * x).sum(axis=1))
-            q = np.stack(asked["embedding"].to_numpy()).astype(np.float64)
-            names = asked["query_id"].to_numpy()
-            for b in range(0, len(q), 256):
-                part = q[b : b + 256]
-                found = g.search(_unit(part), min(width, len(x)))[:, : 4 * (k + 1)]
-                own = np.sqrt((part * part).sum(axis=1))
-                for i, nodes in enumerate(found):
-                    nodes = nodes[nodes >= 0]
-                    s = (x[nodes] * part[i]).sum(axis=1) / (norm[nodes] * own[i])
-                    rows = [(-v, int(d)) for v, node in zip(s, nodes, strict=True) for d in ids[starts[node] : starts[node + 1]] if d != names[b + i]]
-                    out += [(int(names[b + i]), d, -v) for v, d in sorted(rows)[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    keys = ["dim", "shard", "block"]
-    found = each.groupBy(*keys).cogroup(graphs.groupBy(*keys)).applyInPandas(find, "query_id long, vec_id long, score double")
+    keys, parts = ["dim", "shard", "block"], max(1, index.count() * blocks)
+
+    def find(batches):
+        now, graph = None, None
+        for batch in batches:
+            kinds = batch.column(3).is_null().to_numpy(zero_copy_only=False)  # rows of graphs have no query
+            begin = 0
+            while begin < batch.num_rows:
+                key = tuple(batch.column(c)[begin].as_py() for c in range(3))
+                if kinds[begin]:
+                    now, graph, begin = key, _load(batch.slice(begin, 1).to_pylist()[0], m), begin + 1
+                    continue
+                end = begin + 1
+                while end < batch.num_rows and end < begin + 256 and not kinds[end]:
+                    end += 1
+                if now == key:
+                    yield _nearest(graph, batch.column(3).slice(begin, end - begin).to_numpy(), np.array(batch.column(4).slice(begin, end - begin).to_pylist(), dtype=np.float64), k, width)
+                begin = end
+
+    rest = [c for c in graphs.columns if c not in keys]
+    lone = graphs.select(*keys, F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<double>").alias("embedding"), *rest)
+    all_ = lone.union(each.select(*keys, "query_id", "embedding", *(F.lit(None).cast(graphs.schema[c].dataType).alias(c) for c in rest)))
+    ordered = all_.repartition(parts, *keys).sortWithinPartitions(*keys, F.col("query_id").asc_nulls_first())
+    found = ordered.mapInArrow(find, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _nearest(graph, names: np.ndarray, q: np.ndarray, k: int, width: int) -> pa.RecordBatch:
+    """The k nearest of one shard to each query, by exact cosine."""
+    g, x, ids, starts = graph
+    norm, own, out = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1)), []
+    for i, nodes in enumerate(g.search(_unit(q), min(width, len(x)))):
+        nodes = nodes[nodes >= 0]
+        s = (x[nodes] * q[i]).sum(axis=1) / (norm[nodes] * own[i])
+        rows = [(-v, int(d)) for v, node in zip(s, nodes, strict=True) for d in ids[starts[node] : starts[node + 1]] if d != names[i]]
+        out += [(int(names[i]), d, -v) for v, d in sorted(rows)[:k]]
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+
+
 def op4_sharded_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return search_index(build_index(vectors), vectors.filter(F.col("vec_id") % 50 == 0))
