@@ -7,18 +7,20 @@ would then be read more often than a repetition limit allows; then the smallest
 one that keeps to the limit.
 
 Weights become budgets of words. A source's documents are dealt to blocks of
-about ``block_words`` words by a hash. A document is read once in each whole
-epoch of its source's budget, and once more if it lies before the place where
-the rest of the budget ends in the order of blocks of the last, partial epoch:
-in an earlier block, or early enough in that block. Only that order is computed;
-the result has counts of reads, no places of blocks in whole epochs.
+about ``block_words`` words by a hash (of more where the corpus would have over
+``most_blocks``: the table of blocks is broadcast). Each epoch of a source reads
+its blocks in a permutation of its own, the last, partial epoch until the budget
+ends: whole blocks, then documents of the next block. ``mix_places`` has a place in
+its epoch's permutation for each time a document is read, ``mix_epochs`` their
+number; epoch, place and a hash of the document order all that is read.
 
 A null source is a source of its own. Nulls and texts without words cost
 nothing; a source without any word is read once. Rows that repeat a doc_id lie
 side by side in a block and are drawn each for itself. Extra columns stay; the
-four added columns replace any of the same name. An empty table gives none.
+added columns replace any of the same name. An empty table gives none. A budget
+that would read all words over ``max_repeats`` times is refused.
 
-Per source one row reaches the driver, ``max_sources`` at most.
+Per source one row reaches the driver, ``max_sources`` at most; more are refused.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql.window import Window
 
 from demolake.llm.scratch import materialize
 
-ADDED = ("mix_words", "mix_weight", "mix_block", "mix_epochs")
+ADDED = ("mix_words", "mix_weight", "mix_block", "mix_epochs", "mix_places")
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -59,6 +61,8 @@ def choose_exponent(words: np.ndarray, *, target_entropy: float, max_repeats: fl
     """See above; budget None: as many words as every source needs to be read once whole."""
     shares = words / max(words.sum(), 1)
     n = int((words > 0).sum())
+    if budget is not None and budget > max_repeats * words.sum() > 0:
+        raise ValueError(f"a budget of {budget:.0f} words reads {words.sum():.0f} words over {max_repeats} times")
     if n < 2:
         return 1.0
     target = target_entropy * math.log(n)
@@ -74,8 +78,8 @@ def choose_exponent(words: np.ndarray, *, target_entropy: float, max_repeats: fl
     return x
 
 
-def mix_sources(docs: DataFrame, *, target_entropy: float = 0.97, max_repeats: float = 4.0, budget: float | None = None, block_words: int = 1 << 20, seed: int = 1, max_sources: int = 100_000) -> DataFrame:
-    """Docs with mix_words, mix_weight (of the source), mix_block and mix_epochs (how often the document is read; 0: not drawn).
+def mix_sources(docs: DataFrame, *, target_entropy: float = 0.97, max_repeats: float = 4.0, budget: float | None = None, block_words: int = 1 << 20, most_blocks: int = 100_000, seed: int = 1, max_sources: int = 100_000) -> DataFrame:
+    """Docs with mix_words, mix_weight (of the source), mix_block, mix_epochs (how often the document is read; 0: not drawn) and mix_places.
 
     budget: words to read in all; by default just enough to read every document once.
     """
@@ -88,6 +92,7 @@ def mix_sources(docs: DataFrame, *, target_entropy: float = 0.97, max_repeats: f
     if len(sources) > max_sources:
         raise ValueError(f"over {max_sources} sources")
     words = np.array([r["words"] for r in sources], dtype=float)
+    block_words = max(block_words, math.ceil(words.sum() / most_blocks))
     exponent = choose_exponent(words, target_entropy=target_entropy, max_repeats=max_repeats, budget=budget)
     q = tempered(words / max(words.sum(), 1), exponent)
     total = budget if budget is not None else float((words[words > 0] / q[words > 0]).max()) if words.any() else 0.0
@@ -100,23 +105,27 @@ def mix_sources(docs: DataFrame, *, target_entropy: float = 0.97, max_repeats: f
     plan = spark.createDataFrame(plan, "_source string, mix_weight double, _epochs long, _rest double, _blocks long")
     same = F.col("source").eqNullSafe(F.col("_source"))
     block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("_blocks")).alias("mix_block")
-    turn = F.xxhash64("_source", "mix_block", "_epochs", F.lit(seed))  # the block's place in the last epoch's order
-
-    # Where the rest of each budget ends: the block, and the words still left on entering it.
-    placed = lite.join(F.broadcast(plan), same).select("*", block).withColumn("_turn", turn)
-    blocks = placed.filter("_rest > 0").groupBy("_source", "_turn", "mix_block").agg(F.sum("mix_words").alias("n"), F.first("_rest").alias("_rest"))
-    order = Window.partitionBy("_source").orderBy("_turn", "mix_block")
-    upto = blocks.withColumn("before", F.sum("n").over(order) - F.col("n")).filter((F.col("before") <= F.col("_rest")) & (F.col("_rest") < F.col("before") + F.col("n")))
-    ends = upto.select("_source", F.col("_turn").alias("_end"), F.col("mix_block").alias("_end_block"), (F.col("_rest") - F.col("before")).alias("_left"))
-    full = materialize(plan.join(ends.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s"), "plan")
-
-    rows = counted.join(F.broadcast(full), same).select(*kept, "mix_words", "mix_weight", block, "_source", "_epochs", "_rest", "_end", "_end_block", "_left").withColumn("_turn", turn)
-    at_end = (F.col("_turn") == F.col("_end")) & (F.col("mix_block") == F.col("_end_block"))
-    early = (F.col("_turn") < F.col("_end")) | ((F.col("_turn") == F.col("_end")) & (F.col("mix_block") < F.col("_end_block")))
-    whole = rows.filter(~F.coalesce(at_end, F.lit(False))).withColumn("mix_epochs", F.col("_epochs") + F.coalesce(early.cast("int"), F.lit(0)))
+
+    # One row per source, block and epoch: the block's place, and the words read before it.
+    sizes = lite.join(F.broadcast(plan), same).select("_source", "_epochs", "_rest", block, "mix_words").groupBy("_source", "mix_block").agg(F.sum("mix_words").alias("n"), F.first("_epochs").alias("_epochs"), F.first("_rest").alias("_rest"))
+    begun = sizes.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_epochs"))))
+    order = Window.partitionBy("_source", "epoch").orderBy(F.xxhash64("_source", "mix_block", "epoch", F.lit(seed)), "mix_block")
+    placed = begun.withColumns({"place": (F.row_number().over(order) - 1).cast("long"), "before": F.sum("n").over(order) - F.col("n")})
+    whole = (F.col("epoch") < F.col("_epochs")) | (F.col("before") + F.col("n") <= F.col("_rest"))
+    cut = ~whole & (F.col("before") < F.col("_rest"))
+    read = F.sort_array(F.collect_list(F.when(whole, F.struct("epoch", "place"))))
+    blocks = placed.groupBy("_source", "mix_block").agg(F.transform(read, lambda x: x.place).alias("_places"), F.max(F.when(cut, F.struct("place", (F.col("_rest") - F.col("before")).alias("left")))).alias("_end"))
+    full = materialize(plan.join(blocks.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s"), "plan")
+
+    # At most most_blocks and one for each source are broadcast.
+    rows = counted.join(F.broadcast(plan.select("_source", "_blocks")), same).select(*kept, "mix_words", block)
+    held = full.select("_source", "mix_weight", F.col("mix_block").alias("_block"), "_epochs", "_places", "_end")
+    rows = rows.join(F.broadcast(held), same & (F.col("mix_block") == F.col("_block")))
     within = Window.partitionBy("_source").orderBy(F.xxhash64("doc_id", "_epochs", F.lit(seed)), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)  # one block of each source
-    cut = rows.filter(F.coalesce(at_end, F.lit(False))).withColumn("mix_epochs", F.col("_epochs") + (F.sum("mix_words").over(within) <= F.col("_left")).cast("int"))
-    return whole.unionByName(cut).select(*kept, "mix_words", "mix_weight", "mix_block", F.col("mix_epochs").cast("long").alias("mix_epochs"))
+    last = rows.filter("_end IS NOT NULL").withColumn("_more", F.sum("mix_words").over(within) <= F.col("_end.left"))
+    out = rows.filter("_end IS NULL").withColumn("_more", F.lit(False)).unionByName(last)
+    places = F.when(F.col("_more"), F.concat("_places", F.array("_end.place"))).otherwise(F.col("_places")).alias("mix_places")
+    return out.select(*kept, "mix_words", "mix_weight", "mix_block", places).withColumn("mix_epochs", F.size("mix_places").cast("long"))
 
 
 def op6_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
