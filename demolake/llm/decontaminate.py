@@ -7,12 +7,16 @@ is shorter. Words inside any occurrence are hit. Documents never meet each
 other, so nothing is shuffled.
 
 Items are cut into pieces that overlap by ``window - 1`` words and dealt over
-automata of at most ``shard_words`` words, each broadcast by itself; a larger
-benchmark costs more passes over each batch, never a larger broadcast.
+automata of at most ``shard_words`` words. One automaton is broadcast and its
+results leave the task at once. A larger benchmark has several: each makes a pass
+of its own over the texts, so that a worker never holds two, and spans of equal
+texts are put together by a join.
 
 Nulls and texts without words have no words and no hits. Repeated rows each get
 their own result. A null item_id reads as the string ``null``. An empty
-benchmark hits nothing; an empty documents table gives an empty result.
+benchmark hits nothing; an empty documents table gives an empty result. Input
+columns named n_words, n_hit, items or clean_text are replaced; others stay.
+Texts are read whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -24,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from demolake.llm.scratch import materialize
 from demolake.llm.text import ALNUM, pieces, releasing, small_batches
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-_RESULT = "n_words long, n_hit long, items array<string>"
+ADDED = ("n_words", "n_hit", "items", "clean_text")
 
 
 class Automaton:
@@ -143,9 +148,15 @@ def _shards(items: DataFrame, window: int, shard_words: int):
     cuts = cuts.select("name", "whole", F.slice("words", F.col("at") + 1, piece + window - 1).alias("words"))
     total = cuts.agg(F.sum(F.size("words"))).first()[0] or 0
     shards = max(1, -(-2 * total // shard_words)) if total > shard_words else 1
+    held = materialize(cuts.withColumn("shard", F.pmod(F.xxhash64("name", "words"), F.lit(shards))), "items")
     for k in range(shards):
-        part = cuts.filter(F.pmod(F.xxhash64("name", "words"), F.lit(shards)) == k)
-        yield Automaton(sorted((r["name"], [w.encode() for w in r["words"]], r["whole"]) for r in part.toLocalIterator()), window)
+        part = held.filter(F.col("shard") == k)
+        yield shards, Automaton(sorted((r["name"], [w.encode() for w in r["words"]], r["whole"]) for r in part.toLocalIterator()), window)
+
+
+def _words(text: str | None) -> tuple[bytes, list[bytes]]:
+    raw = (text or "").encode("utf-8", "replace").translate(ALNUM)
+    return raw, raw.split()
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, *, window: int = 13, keep: Sequence[str] | None = None, clean: bool = False, shard_words: int = 400_000) -> DataFrame:
@@ -155,36 +166,57 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, window: int = 13, k
     """
     spark = docs.sparkSession
     small_batches(spark)
-    keep = list(docs.columns if keep is None else keep)
-    automata = [spark.sparkContext.broadcast(a) for a in _shards(items, window, shard_words)]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ADDED and not c.startswith("_")]
+    texts, passes = docs.select(*dict.fromkeys([*keep, "text"])), None
+    same = [F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit(3), "text").alias("_h2")]
+    machine = None
+    for shards, automaton in _shards(items, window, shard_words):
+        machine = spark.sparkContext.broadcast(automaton)
+        if shards == 1:
+            break
+
+        @releasing
+        def search(batches, machine=machine):
+            for whole in batches:
+                for batch in pieces(whole, 2):
+                    found = [machine.value.scan(_words(t)[1]) for t in batch.column(2).to_pylist()]
+                    hit = pa.array([k for k, (spans, _) in enumerate(found) if spans], pa.int64())
+                    spans = pa.array([found[k][0] for k in hit.to_pylist()], pa.list_(pa.list_(pa.int64())))
+                    names = pa.array([sorted(found[k][1]) for k in hit.to_pylist()], pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(hit), batch.column(1).take(hit), spans, names], names=["_h1", "_h2", "_spans", "_names"])
+
+        part = materialize(texts.select(*same, "text").mapInArrow(search, "_h1 long, _h2 long, _spans array<array<long>>, _names array<string>").dropDuplicates(["_h1", "_h2"]), "spans")
+        passes = part if passes is None else passes.union(part)
+        machine = None
+    if passes is None:
+        rows = texts.withColumns({"_spans": F.lit(None).cast("array<array<long>>"), "_names": F.lit(None).cast("array<string>")})
+    else:
+        all_ = passes.groupBy("_h1", "_h2").agg(F.flatten(F.collect_list("_spans")).alias("_spans"), F.array_distinct(F.flatten(F.collect_list("_names"))).alias("_names"))
+        rows = texts.select("*", *same).join(all_, ["_h1", "_h2"], "left").drop("_h1", "_h2")
     schema = docs.select(*keep).limit(0).selectExpr("*", "0L n_words", "0L n_hit", "array('') items", *["'' clean_text"] * clean).schema
 
     @releasing
     def scan(batches):
-        machines = [a.value for a in automata]
         for whole in batches:
             at = whole.schema.get_field_index("text")
             for batch in pieces(whole, at):
                 n_words, n_hit, items_, cleaned = [], [], [], []
-                for text in batch.column(at).to_pylist():
-                    raw = (text or "").encode("utf-8", "replace").translate(ALNUM)
-                    words = raw.split()
-                    spans, found = [], set()
-                    for machine in machines:
-                        more, names = machine.scan(words)
-                        spans += more
-                        found |= names
-                    spans = union(spans)
+                held = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "_spans", "_names")]
+                for text, spans, names in zip(*held, strict=True):
+                    raw, words = _words(text)
+                    if machine is not None:
+                        spans, names = machine.value.scan(words)
+                    spans = union(spans or [])
                     n_words.append(len(words))
                     n_hit.append(sum(e - s for s, e in spans))
-                    items_.append(sorted(found))
+                    items_.append(sorted(names or ()))
                     if clean:
                         cleaned.append(_cut(text, raw, spans) if spans else text)
                 out = [batch.column(batch.schema.get_field_index(c)) for c in keep]
                 out += [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items_, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(out + [pa.array(cleaned, pa.string())] * clean, names=[*keep, "n_words", "n_hit", "items", *["clean_text"] * clean])
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(scan, schema)
+    return rows.mapInArrow(scan, schema)
 
 
 def _cut(text: str, raw: bytes, spans: list[list[int]]) -> str:
@@ -203,11 +235,12 @@ def contaminated(coverage_in: int = 20):
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, *, spans: bool = False, coverage_in: int = 20, **options) -> DataFrame:
     """Docs without contaminated documents; with ``spans`` they stay, and lose their hit spans instead. Columns as in docs."""
-    found = find_contamination(docs, items, clean=spans, **options)
+    held = {c: "text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)}  # whatever the columns are called
+    found = find_contamination(docs.select(*(F.col(c).alias(x) for c, x in held.items())), items, clean=spans, **options)
     if not spans:
-        return found.filter(~contaminated(coverage_in)).select(*docs.columns)
+        return found.filter(~contaminated(coverage_in)).select(*(F.col(x).alias(c) for c, x in held.items()))
     text = F.when(contaminated(coverage_in), F.col("clean_text")).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(*docs.columns)
+    return found.select(*((text if c == "text" else F.col(x)).alias(c) for c, x in held.items()))
 
 
 def op1_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

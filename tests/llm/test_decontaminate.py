@@ -72,3 +72,10 @@ def test_spans_are_cut(spark):
     assert out == {1: "keep this; ! and that", 2: "nothing here"}
     assert [r.doc_id for r in decontaminate.remove_contaminated(d, i).collect()] == [2]
 
+
+
+def test_columns_of_clashing_names(spark):
+    d = spark.createDataFrame([(1, "alpha beta gamma", 7, "x", 5), (2, "nothing here", 8, "y", 6)], "doc_id long, text string, n_hit long, items string, c0 int")
+    i = spark.createDataFrame([(1, "alpha beta gamma", 3)], "item_id long, text string, n_hit int")
+    assert [tuple(r) for r in decontaminate.remove_contaminated(d, i).collect()] == [(2, "nothing here", 8, "y", 6)]
+    assert {r.doc_id: (r.n_hit, list(r["items"]), r.c0) for r in decontaminate.find_contamination(d, i).collect()} == {1: (3, ["1"], 5), 2: (0, [], 6)}
