@@ -87,6 +87,12 @@ def visible(width: int, height: int) -> Column:
     return F.col("in_front") & (F.col("u") >= 0) & (F.col("u") < width) & (F.col("v") >= 0) & (F.col("v") < height)
 
 
+def in_image_box(width: int, height: int, box: tuple[float, float, float, float]) -> Column:
+    """Whether a projected point lies in front of the camera, inside the image (half open) and inside a box (left, top, right, bottom; closed)."""
+    left, top, right, bottom = box
+    return visible(width, height) & F.col("u").between(left, right) & F.col("v").between(top, bottom)
+
+
 def in_workspace(box: Sequence[tuple[float, float]], *, closed: bool = False, axes: Sequence[str] = ("x", "y", "z")) -> Column:
     """Strictly inside a box, or with its faces when closed."""
     out = F.lit(True)

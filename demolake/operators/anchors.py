@@ -32,6 +32,23 @@ def valid_detections(detections: DataFrame, n_views: int) -> DataFrame:
     return detections.filter((F.col("view_id") >= 0) & (F.col("view_id") < n_views))
 
 
+def dropped_detections(detections: DataFrame, n_views: int) -> DataFrame:
+    """How many detections name one of the views, and how many are dropped: n_kept, n_dropped."""
+    fine = F.coalesce((F.col("view_id") >= 0) & (F.col("view_id") < n_views), F.lit(False))
+    return detections.agg(F.count_if(fine).alias("n_kept"), F.count_if(~fine).alias("n_dropped"))
+
+
+def finite(columns: Sequence[str] = XYZ) -> Column:
+    """Whether all components are numbers, none null, NaN or infinite."""
+    return reduce(lambda a, b: a & b, [F.coalesce(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.lit(False)) for c in columns])
+
+
+def finite_anchors(anchors: DataFrame, queries: Sequence[int] | None = None) -> DataFrame:
+    """Anchors whose position is finite, of the given queries only (all if None)."""
+    rows = anchors.filter(finite())
+    return rows if queries is None else rows.filter(F.col("query_id").isin(list(queries)))
+
+
 def lift_from_cloud(detections: DataFrame, seen: DataFrame, *, window: float = 2, least: int = 1, keys: Sequence[str] = (*FRAME, "view_id")) -> DataFrame:
     """Per-axis median of the projected points within ``window`` pixels of a detection (u, v), and how many there are.
 
@@ -133,6 +150,16 @@ def errors_by_phase(df: DataFrame, error: str, phase: str = "phase", **options)
     return describe_errors(rows, error, by=["quarter"], **options)
 
 
+def errors_by_side(df: DataFrame, error: str, task: str = "task", **options) -> DataFrame:
+    """describe_errors by the side that a task's text names, left before right; texts without a side are left out."""
+    return describe_errors(df.withColumn("side", side_of(F.col(task))).filter("side IS NOT NULL"), error, by=["side"], **options)
+
+
+def errors_by_agreement(df: DataFrame, error: str, agree: str = "agree", **options) -> DataFrame:
+    """describe_errors of anchors on which the views agreed, and of the others."""
+    return describe_errors(df, error, by=[agree], **options)
+
+
 def side_of(task: Column) -> Column:
     return F.when(F.lower(task).contains("left"), "left").when(F.lower(task).contains("right"), "right")
 
@@ -186,19 +213,30 @@ def nearest_point(points: DataFrame, queries: DataFrame, *, by: Sequence[str] =
     return both.groupBy(*by).agg(F.min_by(point, F.struct("d2", point)).alias(point), F.sqrt(F.min("d2")).alias("distance"))
 
 
-def nearest_within(points: DataFrame, cloud: DataFrame, tolerance: float, *, by: Sequence[str] = FRAME, point: str = "point_id", found: str = "neighbour") -> DataFrame:
-    """Each point's nearest neighbour in another cloud of its frame, within a tolerance: cells of that size, 27 probes, an equi join. No neighbour: null."""
-    cell = lambda c: F.floor(F.col(c) / tolerance)
-    steps = F.array(*(F.lit(k) for k in (-1, 0, 1)))
+def nearest_within(points: DataFrame, cloud: DataFrame, tolerance: float, *, by: Sequence[str] = FRAME, point: str = "point_id", found: str = "neighbour", missing: str = "null") -> DataFrame:
+    """Each point's nearest neighbour in another cloud of its frame, within a tolerance; no neighbour: null, or with ``missing="error"`` a failure.
+
+    Cells are twice the tolerance wide: a point's neighbours lie in its own cell or in the nearer
+    one along each axis, so that 8 probes and an equi join find them.
+    """
+    if missing not in ("null", "error"):
+        raise ValueError(f"missing is null or error, not {missing}")
+    width = 2 * tolerance
     asked = points.select(*by, point, *XYZ)
     probes = asked
     for c in XYZ:
-        probes = probes.withColumn(f"_s{c}", F.explode(steps)).withColumn(f"_c{c}", cell(c) + F.col(f"_s{c}")).drop(f"_s{c}")
-    grid = cloud.select(*by, F.col(point).alias(found), *(F.col(c).alias(f"_{c}") for c in XYZ)).withColumns({f"_c{c}": F.floor(F.col(f"_{c}") / tolerance) for c in XYZ})
+        at = F.col(c) / width
+        nearer = F.floor(at) + F.when(at - F.floor(at) < 0.5, -1).otherwise(1)
+        probes = probes.withColumn(f"_c{c}", F.explode(F.array(F.floor(at), nearer)))
+    grid = cloud.select(*by, F.col(point).alias(found), *(F.col(c).alias(f"_{c}") for c in XYZ)).withColumns({f"_c{c}": F.floor(F.col(f"_{c}") / width) for c in XYZ})
     d2 = reduce(lambda a, b: a + b, [(F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in XYZ])
     hits = probes.join(grid, [*by, *(f"_c{c}" for c in XYZ)]).withColumn("d2", d2).filter(F.col("d2") <= tolerance * tolerance)
     best = hits.groupBy(*by, point).agg(F.min_by(found, F.struct("d2", found)).alias(found), F.sqrt(F.min("d2")).alias("distance"))
-    return asked.select(*by, point).join(best, [*by, point], "left")
+    out = asked.select(*by, point).join(best, [*by, point], "left")
+    if missing == "null":
+        return out
+    lost = F.raise_error(F.concat(F.lit(f"no neighbour within {tolerance} of point "), F.col(point).cast("string"))).cast(out.schema[found].dataType)
+    return out.withColumn(found, F.when(F.col("distance").isNull(), lost).otherwise(F.col(found)))
 
 
 def encode_record(anchors: Column, slots: int) -> Column:

@@ -29,9 +29,10 @@ def alternatives(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "<br>"), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def choose_alternative(text: Column, *keys: str, seed: int = 0) -> Column:
+def choose_alternative(text: Column, *keys: str, seed: int = 0, choice: Column | None = None) -> Column:
+    """One of the readings, by a seeded hash of the keys or by a whole number."""
     options = alternatives(text)
-    return F.element_at(options, (F.pmod(F.xxhash64(F.lit(seed), *keys), F.greatest(F.size(options), F.lit(1))) + 1).cast("int"))
+    return F.element_at(options, (F.pmod(F.xxhash64(F.lit(seed), *keys) if choice is None else choice, F.greatest(F.size(options), F.lit(1))) + 1).cast("int"))
 
 
 def replace_tokens(text: Column) -> Column:
@@ -49,7 +50,7 @@ def map_role(role: Column) -> Column:
 
 
 def pointing_queries(task: Column, instruction: Column) -> Column:
-    """The questions to a pointing model for a task's instruction, as an array."""
+    """The questions to a pointing model for a task's instruction, as an array. Task names and question texts are fixed values."""
     side = F.lower(F.regexp_extract(instruction, r"(?i)\b(left|right)\b", 1))
     thing = lambda default: (lambda m: F.when(m == "", default).otherwise(m))(F.trim(F.regexp_extract(instruction, r"(?i)pick the (.+?) from the", 1)))
     point = lambda *parts: F.concat(F.lit("Point to the "), *parts, F.lit("."))
@@ -62,15 +63,16 @@ def pointing_queries(task: Column, instruction: Column) -> Column:
     )
 
 
-def truncate_at_action(turns: DataFrame, marker: str, *, seed: int = 0, chunk: int = 1) -> DataFrame:
+def truncate_at_action(turns: DataFrame, marker: str, *, seed: int = 0, chunk: int = 1, choice: Column | None = None) -> DataFrame:
     """Conversations cut at one of the turns that hold ``marker``, or not at all, chosen by a hash: the cut turn and its reply end it.
 
     Replies to earlier action turns become ``chunk`` pass tokens. turns: conv_id, turn, role, text.
+    choice: a whole number for a conversation in place of the seeded hash.
     """
     whole = Window.partitionBy("conv_id")
     is_action = F.col("text").contains(marker) & (F.col("role") == "user")
     ends = F.array_sort(F.collect_list(F.when(is_action, F.col("turn"))).over(whole))
-    pick = F.pmod(F.xxhash64(F.lit(seed), "conv_id"), F.size("_ends") + 1).cast("int")
+    pick = F.pmod(F.xxhash64(F.lit(seed), "conv_id") if choice is None else choice, F.size("_ends") + 1).cast("int")
     rows = turns.withColumn("_ends", ends).withColumn("_pick", pick)
     rows = rows.withColumn("_cut", F.when(F.col("_pick") < F.size("_ends"), F.get("_ends", F.col("_pick"))))
     rows = rows.filter(F.col("_cut").isNull() | (F.col("turn") <= F.col("_cut") + 1))
@@ -85,6 +87,11 @@ def record_references(rows: DataFrame, references: str, key: str) -> DataFrame:
     return rows.select(key, F.posexplode(references).alias("position", "_r")).select(key, "position", F.element_at(parts, 1).alias("repo"), F.element_at(parts, 2).cast("long").alias("idx"), F.element_at(parts, 3).cast("int").alias("chunk"))
 
 
+def resolve_references(references: DataFrame, frames: DataFrame, *, repo: str = "repo", idx: str = "idx") -> DataFrame:
+    """References (repo, idx) with the frame that they name, found by the global index within its repository; a reference to nothing has nulls."""
+    return references.join(frames, [repo, idx], "left")
+
+
 def cap_length(df: DataFrame, most: int, length: str = "seq_length") -> DataFrame:
     return df.filter(F.coalesce(F.col(length), F.lit(0)) <= most)
 

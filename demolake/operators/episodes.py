@@ -126,13 +126,19 @@ def renumber(episodes: DataFrame, kept: Column | None = None) -> DataFrame:
 def match_sequences(mine: DataFrame, source: DataFrame, value: str = "action") -> DataFrame:
     """The one source episode whose first max(1, n - 1) values equal an episode's own: episode_index, source_episode, matches.
 
-    The values' hash and frame pick candidates by an equi join on the first
-    frame alone; only these are compared whole. Not exactly one match: source_episode is null.
+    An episode is asked as one hash of its first values and their number; a source
+    offers the hash of each of its beginnings whose length is asked for. Only pairs
+    of equal hash and length are compared value by value, so that common first
+    values pair nothing. Not exactly one match: source_episode is null.
     """
     n = F.count("*").over(Window.partitionBy("episode_index"))
     asked = mine.withColumn("_n", F.greatest(n - 1, F.lit(1))).filter(F.col("frame_index") < F.col("_n")).select("episode_index", "frame_index", F.col(value).alias("_v"), "_n")
     known = source.select(F.col("episode_index").alias("source_episode"), F.col("frame_index").alias("_f"), F.col(value).alias("_w"))
-    start = asked.filter("frame_index = 0").join(known.filter("_f = 0"), F.col("_v").eqNullSafe(F.col("_w"))).select("episode_index", "source_episode")
+    one = lambda frame, v: F.xxhash64(frame, v.isNull(), v).cast("decimal(38,0)")
+    heads = asked.groupBy("episode_index", "_n").agg(F.sum(one(F.col("frame_index"), F.col("_v"))).alias("_h"))
+    upto = Window.partitionBy("source_episode").orderBy("_f").rowsBetween(Window.unboundedPreceding, 0)
+    begins = known.select("source_episode", (F.col("_f") + 1).alias("_n"), F.sum(one(F.col("_f"), F.col("_w"))).over(upto).alias("_h"))
+    start = heads.join(begins, ["_n", "_h"]).select("episode_index", "source_episode")
     pairs = asked.join(start, "episode_index").join(known.withColumnRenamed("source_episode", "_s"), (F.col("source_episode") == F.col("_s")) & (F.col("frame_index") == F.col("_f")) & F.col("_v").eqNullSafe(F.col("_w")))
     whole = pairs.groupBy("episode_index", "source_episode", "_n").agg(F.count("*").alias("_hits")).filter("_hits = _n")
     found = whole.groupBy("episode_index").agg(F.count("*").alias("matches"), F.min("source_episode").alias("source_episode"))

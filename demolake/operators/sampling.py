@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from demolake.functions.colour import uniform
-from demolake.llm.scratch import materialize
+from demolake.sources.shared import materialize
 
 FRAME = ("episode_index", "frame_index")
 
@@ -48,9 +48,9 @@ def uniform_draw(points: DataFrame, n: int, *, by: Sequence[str] = FRAME, point:
     return finite_weighted_draw(points.withColumn("_one", F.lit(1.0)), "_one", n, by=by, point=point, seed=seed).drop("_one")
 
 
-def draw_count(n: Column, cap: int, *, by: Sequence[str] = FRAME, seed: int = 0) -> Column:
-    """How many of n points to draw: all up to the cap; else some share between 0.8 and 1 of them, the cap at most."""
-    share = 0.8 + 0.2 * uniform(seed, *by)
+def draw_count(n: Column, cap: int, *, by: Sequence[str] = FRAME, seed: int = 0, u: Column | None = None) -> Column:
+    """How many of n points to draw: all up to the cap; else some share between 0.8 and 1 of them, the cap at most. u: a number in [0, 1) in place of the seeded hash."""
+    share = 0.8 + 0.2 * (uniform(seed, *by) if u is None else u)
     return F.when(n <= cap, n).otherwise(F.least(F.floor(n * share), F.lit(cap)))
 
 
@@ -104,7 +104,16 @@ def take_strategy(df: DataFrame, strategy: str, order: Sequence[str], *, seed: i
         return df
     n = math.ceil(df.count() * float(amount[:-1]) / 100) if amount.endswith("%") else int(amount)
     keys = [F.col(c) for c in order] if kind == "first" else [F.col(c).desc() for c in order] if kind == "end" else [F.xxhash64(F.lit(seed), *order), *(F.col(c) for c in order)]
-    return df.orderBy(*keys).limit(n)
+    return ranged_rows(df, keys).filter(F.col("_i") < n).select(*df.columns)
+
+
+def ranged_rows(df: DataFrame, keys: Sequence[Column]) -> DataFrame:
+    """Rows with ``_i``, their place from 0 in the order of keys: numbered within ranges, a range's first number being the sum of the sizes before it."""
+    ranged = materialize(df.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
+    before = sizes.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_o"))  # one row for each range
+    rows = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*keys)) - 1).join(F.broadcast(before), "_p")
+    return rows.withColumn("_i", F.col("_o") + F.col("_r")).drop("_p", "_o", "_r")
 
 
 def dense_index(df: DataFrame, key: Sequence[str], out: str, *, bucket_rows: int = 100_000) -> tuple[DataFrame, int]:
@@ -121,26 +130,28 @@ def dense_index(df: DataFrame, key: Sequence[str], out: str, *, bucket_rows: int
     return rows.withColumn("_p", place).join(before, "_b").withColumn(out, F.col("_o") + F.col("_p")).drop("_b", "_p", "_o"), n
 
 
-def resample(df: DataFrame, weight: float, key: Sequence[str], *, seed: int = 0) -> DataFrame:
-    """int(rows * weight) rows drawn uniformly with replacement: the slot, then the row's columns."""
-    numbered, n = dense_index(df, key, "_i")
-    slots = df.sparkSession.range(int(n * weight)).select(F.col("id").alias("slot"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(n, 1))).alias("_i"))
+def resample(df: DataFrame, weight: float, key: Sequence[str], *, seed: int = 0, choice: Callable[[Column], Column] | None = None, ordered: bool = False) -> DataFrame:
+    """int(rows * weight) rows drawn uniformly with replacement: the slot, then the row's columns.
+
+    choice: a whole number for a slot in place of the seeded hash; ``ordered`` numbers the rows in the order of key.
+    """
+    n = df.count()
+    numbered = ranged_rows(df, [F.col(c) for c in key]) if ordered else dense_index(df, key, "_i")[0]
+    pick = F.xxhash64(F.lit(seed), "id") if choice is None else choice(F.col("id"))
+    slots = df.sparkSession.range(int(n * weight)).select(F.col("id").alias("slot"), F.pmod(pick, F.lit(max(n, 1))).alias("_i"))
     return slots.join(numbered, "_i").drop("_i")
 
 
 def spread_probes(df: DataFrame, k: int, order: Sequence[str]) -> DataFrame:
     """Every max(1, n // k)-th row, the first k of them. Rows are numbered within ranges of ``order``; a range's first number is the sum of the sizes before it."""
-    ranged = materialize(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = sizes.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_o"), F.sum("_c").over(Window.partitionBy()).alias("_n"))  # one row for each range
-    rows = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1).join(F.broadcast(before), "_p")
-    rows = rows.withColumns({"_i": F.col("_o") + F.col("_r"), "_s": F.greatest(F.floor(F.col("_n") / k), F.lit(1))})
-    return rows.filter((F.col("_i") % F.col("_s") == 0) & (F.col("_i") < F.col("_s") * k)).select(*df.columns)
+    step = max(1, df.count() // k)
+    rows = ranged_rows(df, [F.col(c) for c in order])
+    return rows.filter((F.col("_i") % step == 0) & (F.col("_i") < step * k)).select(*df.columns)
 
 
-def random_frames(frames: DataFrame, k: int, *, seed: int = 0) -> DataFrame:
-    """k frames of each episode."""
-    w = Window.partitionBy("episode_index").orderBy(F.xxhash64(F.lit(seed), "episode_index", "frame_index"), "frame_index")
+def random_frames(frames: DataFrame, k: int, *, seed: int = 0, key: Column | None = None) -> DataFrame:
+    """k frames of each episode, those of the smallest key (a seeded hash by default)."""
+    w = Window.partitionBy("episode_index").orderBy(F.xxhash64(F.lit(seed), "episode_index", "frame_index") if key is None else key, "frame_index")
     return frames.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
 
 

@@ -69,15 +69,16 @@ def mask_rotation_stats(stats: DataFrame, start: int, end: int, rotation: str) -
 
 
 def merge_partials(partials: DataFrame, by: Sequence[str] = ("dim",)) -> DataFrame:
-    """Final statistics from partial rows (n, mean, m2, min, max) of disjoint parts."""
-    whole = partials.groupBy(*by).agg(
-        F.sum("n").alias("n"),
-        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"),
-        F.sum(F.col("m2") + F.col("n") * F.col("mean") * F.col("mean")).alias("_s"),
-        F.min("min").alias("min"),
-        F.max("max").alias("max"),
-    )
-    return whole.select(*by, "n", "min", "max", "mean", F.sqrt(F.greatest(F.col("_s") / F.col("n") - F.col("mean") * F.col("mean"), F.lit(0.0))).alias("std"))
+    """Final statistics from partial rows (n, mean, m2, min, max) of disjoint parts.
+
+    Squared deviations add up around the common mean (each part's own, and its
+    mean's), so that means far from zero cost no digits.
+    """
+    common = partials.groupBy(*by).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean")).withColumnsRenamed({c: f"_by_{c}" for c in by})
+    off = F.col("mean") - F.col("_mean")
+    whole = partials.join(common, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]) if by else partials.crossJoin(common)
+    out = whole.groupBy(*by).agg(F.sum("n").alias("_n"), F.min("min").alias("min"), F.max("max").alias("max"), F.first("_mean").alias("mean"), F.sqrt(F.sum(F.col("m2") + F.col("n") * off * off) / F.sum("n")).alias("std"))
+    return out.select(*by, F.col("_n").alias("n"), "min", "max", "mean", "std")
 
 
 def partial_stats(df: DataFrame, v: str, by: Sequence[str] = ()) -> DataFrame:
@@ -159,9 +160,9 @@ def cosine_to_queries(df: DataFrame, v: str, queries: DataFrame, *, key: str, bl
     return rows.crossJoin(asked).mapInArrow(run, schema)
 
 
-def pairwise_cosine_percentiles(df: DataFrame, v: str, key: str, *, n: int = 2000, percents: Sequence[int] = (1, 5, 25, 50, 75, 95, 99), seed: int = 0) -> DataFrame:
-    """Percentiles of similarity over all pairs of a sample of at most ``n`` rows, chosen by a hash."""
-    sample = df.select(key, v).orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+def pairwise_cosine_percentiles(df: DataFrame, v: str, key: str, *, n: int = 2000, percents: Sequence[int] = (1, 5, 25, 50, 75, 95, 99), seed: int = 0, order: Column | None = None) -> DataFrame:
+    """Percentiles of similarity over all pairs of a sample of at most ``n`` rows, the first by ``order`` (a seeded hash by default)."""
+    sample = df.select(key, v).orderBy(F.xxhash64(key, F.lit(seed)) if order is None else order, key).limit(n)
     pairs = cosine_to_queries(sample, v, sample, key=key).filter(F.col(key) < F.col("query_id")).select(F.col("cosine").alias("c"))
     return pairs.agg(F.count("*").alias("pairs"), *(F.percentile("c", F.lit(p / 100)).alias(f"p{p:02d}") for p in percents))
 

@@ -68,6 +68,17 @@ def merge_with_labels(points: DataFrame, size: float, *, by: Sequence[str] = FRA
     return per_label.groupBy(*by, *CELL).agg(*((F.sum(a) / F.sum("n")).alias(a) for a in AXES), F.sum("n").alias("n_points"), F.max_by("label", F.struct("n", "label")).alias("label"))
 
 
+def voxel_ordered(points: DataFrame, size: float, *, by: Sequence[str] = FRAME) -> DataFrame:
+    """Rows with their packed cell key (vkey), dealt by frame and sorted by it within each task, as a writer stores them."""
+    keyed = cells(points, size).withColumn("vkey", pack_key(size)).drop(*CELL)
+    return keyed.repartition(*by).sortWithinPartitions(*by, "vkey")
+
+
+def fuse_views(views: Sequence[DataFrame]) -> DataFrame:
+    """One cloud of all cameras' points: the union of their tables, columns by name."""
+    return reduce(lambda a, b: a.unionByName(b), views)
+
+
 def transfer_labels(points: DataFrame, labels: DataFrame, size: float, *, by: Sequence[str] = FRAME) -> DataFrame:
     """Labels of one cloud onto another by cell: label 0 where no cell matches; ``matched`` tells which."""
     keyed = cells(points, size).withColumn("vkey", pack_key(size)).drop(*CELL)

@@ -119,31 +119,47 @@ def t04_choose_anchor(spark, sf_dir):
     return g.select(*_K, chosen.alias("a")).select(*_K, F.col("a")[0]["x"].alias("centre_x"), F.size("a").alias("n_anchors"))
 
 
-@query()
+@query("""WITH c AS (SELECT episode_index, frame_index, count(*) AS n FROM points GROUP BY ALL),
+k AS (SELECT episode_index, frame_index, CAST(CASE WHEN n <= 64 THEN n ELSE least(floor(n * (8e-1 + 2e-1 * (((episode_index * 7919 + frame_index * 104729) % 1024) / 1024e0))), 64) END AS BIGINT) AS cap FROM c),
+r AS (SELECT p.episode_index, p.frame_index, p.point_id, cap, row_number() OVER (PARTITION BY p.episode_index, p.frame_index ORDER BY (p.point_id * 7919 + p.ok * 31) % 1009 DESC, p.point_id) AS r FROM points p JOIN k USING (episode_index, frame_index))
+SELECT episode_index, frame_index, point_id, cap FROM r WHERE r <= cap""")
 def t02_capped_draw(spark, sf_dir):
-    """A share of each cloud between 0.8 and 1, 64 points at most, drawn uniformly."""
+    """A share of each cloud between 0.8 and 1, 64 points at most, drawn uniformly; shares and keys from the ids."""
     p = table(spark, sf_dir, "points")
-    caps = p.groupBy(*_K).agg(F.count("*").alias("n")).select(*_K, sampling.draw_count(F.col("n"), 64, seed=3).alias("cap"))
-    drawn = sampling.finite_weighted_draw(p.join(caps, _K).withColumn("one", F.lit(1.0)), "one", 64, seed=5, cap=F.col("cap"))
+    share = F.pmod(F.col("episode_index") * 7919 + F.col("frame_index") * 104729, F.lit(1024)) / 1024.0
+    caps = p.groupBy(*_K).agg(F.count("*").alias("n")).select(*_K, sampling.draw_count(F.col("n"), 64, u=share).cast("long").alias("cap"))
+    key = (F.pmod(F.col("point_id") * 7919 + F.col("ok") * 31, F.lit(1009)) + 1) / 1024.0
+    drawn = sampling.finite_weighted_draw(p.join(caps, _K).withColumn("one", F.lit(1.0)), "one", 64, key=key, cap=F.col("cap"))
     return drawn.select(*_K, "point_id", "cap")
 
 
-@query()
+@query(f"""WITH a AS (SELECT *, role = 'user' AND contains(text, 'the') AS act FROM conversations), e AS (SELECT conv_id, list(turn ORDER BY turn) FILTER (act) AS ends FROM a GROUP BY conv_id),
+c AS (SELECT conv_id, ends[(conv_id * 7919) % (coalesce(len(ends), 0) + 1) + 1] AS cut FROM e),
+r AS (SELECT a.conv_id, turn, role, text, cut, coalesce(lag(act) OVER (PARTITION BY a.conv_id ORDER BY turn), false) AS before FROM a JOIN c USING (conv_id))
+SELECT conv_id, turn, role, CASE WHEN before AND role = 'assistant' AND (cut IS NULL OR turn <= cut) THEN '{conversation.PASS * 2}' ELSE text END AS text FROM r WHERE cut IS NULL OR turn <= cut + 1""")
 def f26_truncated_conversations(spark, sf_dir):
     """cut at one of the user's turns with a marker, earlier replies passed over."""
-    return conversation.truncate_at_action(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), "the", seed=2)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation.truncate_at_action(turns, "the", chunk=2, choice=F.col("conv_id") * 7919)
 
 
-@query()
+@query("""WITH r AS (SELECT episode_index, frame_index, row_number() OVER (PARTITION BY episode_index ORDER BY (episode_index * 31 + frame_index * 7919) % 1009, frame_index) AS r FROM frames) SELECT episode_index, frame_index FROM r WHERE r <= 3""")
 def t10_random_frames(spark, sf_dir):
-    return sampling.random_frames(table(spark, sf_dir, "frames").select(*_K), 3, seed=1)
+    key = F.pmod(F.col("episode_index") * 31 + F.col("frame_index") * 7919, F.lit(1009))
+    return sampling.random_frames(table(spark, sf_dir, "frames").select(*_K), 3, key=key)
 
 
-@query()
+_CENTS = ", ".join(f"round(quantile_cont(c, {p}e-2), 7) AS p{p:02d}" for p in (1, 5, 25, 50, 75, 95, 99))
+
+
+@query(f"""WITH s AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings ORDER BY (vec_id * 7919) % 10007, vec_id LIMIT 2000), u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM s),
+p AS (SELECT list_dot_product(a.v, b.v) / (a.n * b.n) AS c FROM u a JOIN u b ON a.vec_id < b.vec_id)
+SELECT count(*) AS pairs, {_CENTS} FROM p""")
 def a32_pairwise_percentiles(spark, sf_dir):
     from demolake.operators.vectors import pairwise_cosine_percentiles
 
-    return pairwise_cosine_percentiles(table(spark, sf_dir, "embeddings"), "embedding", "vec_id")
+    out = pairwise_cosine_percentiles(table(spark, sf_dir, "embeddings"), "embedding", "vec_id", order=F.pmod(F.col("vec_id") * 7919, F.lit(10007)))
+    return out.select("pairs", *(F.round(c, 7).alias(c) for c in out.columns if c != "pairs"))
 
 
 @query()

@@ -62,8 +62,8 @@ VIEWS = {
   n_nationkey / 32e0 AS tx, 25e-2 AS ty, 125e-2 AS tz FROM nation WHERE n_nationkey < 3""",
     "poses": """SELECT vec_id, CAST(element_at(embedding, 1) AS DOUBLE) AS q1, CAST(element_at(embedding, 2) AS DOUBLE) AS q2,
   CAST(element_at(embedding, 3) AS DOUBLE) AS q3, CAST(element_at(embedding, 4) AS DOUBLE) AS q4 FROM embeddings""",
-    "runs": """SELECT CAST(c_custkey % 6 AS INT) AS config, CAST(CASE WHEN c_custkey % 2 = 0 THEN 50 ELSE 250 END AS BIGINT) AS steps,
-  CASE WHEN c_custkey % 2 = 0 THEN 64e0 ELSE 160e0 END + (c_custkey % 6) * 8e0 AS seconds, c_custkey AS run FROM customer WHERE c_custkey <= 12""",
+    "runs": """SELECT CAST(c_custkey % 6 AS INT) AS config, CAST(CASE WHEN c_custkey % 4 < 2 THEN 50 ELSE 250 END AS BIGINT) AS steps,
+  CASE WHEN c_custkey % 4 < 2 THEN 64e0 ELSE 160e0 END + (c_custkey % 6) * 8e0 AS seconds, c_custkey AS run FROM customer""",
     "all_runs": """SELECT CAST(c_custkey % 6 AS INT) AS config, CAST(CASE WHEN c_custkey % 12 < 6 THEN 50 ELSE 250 END AS BIGINT) AS steps,
   CASE WHEN c_custkey % 12 < 6 THEN 64e0 + (c_custkey % 6) * 4e0 ELSE 160e0 + (c_custkey % 6) * 8e0 END + c_custkey % 5 AS seconds, c_custkey AS run FROM customer""",
     "calib": """SELECT CAST(o_orderkey AS BIGINT) AS episode_index, concat('cam', CAST(o_custkey % 3 AS VARCHAR(4))) AS view_name,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,9 +19,18 @@ TRIALS = T.StructType([
 
 
 def read_frames(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] | None = None, episodes: Sequence[int] | None = None, chunk_size: int | None = None) -> DataFrame:
-    """Frames under files or folders, only the columns asked for. With a chunk size, ``episode_chunk`` prunes the partitions of the given episodes."""
+    """Frames under files or folders, only the columns asked for. With a chunk size, ``episode_chunk`` prunes the partitions of the given episodes.
+
+    A folder without any Parquet file is an error.
+    """
     reader = spark.read if chunk_size else spark.read.option("recursiveFileLookup", True)
-    df = reader.parquet(*([paths] if isinstance(paths, str) else paths))
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    try:
+        df = reader.parquet(*paths)
+    except AnalysisException as e:
+        if e.getCondition() == "UNABLE_TO_INFER_SCHEMA":
+            raise FileNotFoundError(f"no Parquet files under {', '.join(paths)}") from e
+        raise
     if episodes is not None:
         if chunk_size:
             df = df.filter(F.col("episode_chunk").isin(sorted({e // chunk_size for e in episodes})))
@@ -40,17 +50,41 @@ def read_tasks(spark: SparkSession, path: str) -> DataFrame:
 
 def read_trials(spark: SparkSession, root: str) -> DataFrame:
     """Final per-trial results with the identity that their paths carry: task-sampling-nP-sS / checkpoint-STEP."""
-    path = F.col("_metadata.file_path")
-    rows = spark.read.schema(TRIALS).option("recursiveFileLookup", True).option("pathGlobFilter", "per_trial_seed*_n*.json").option("multiLine", True).json(root).withColumn("path", path)
-    run = F.regexp_extract("path", r"/([^/]+-n\d+-s\d+)/", 1)
-    step = F.regexp_extract("path", r"/checkpoint-(\d+)/", 1)
-    out = rows.filter(step != "").select("path", run.alias("run"), step.cast("long").alias("step"), "seed", "seed_per_episode", F.size(F.coalesce("skipped", F.array().cast("array<bigint>"))).alias("n_skipped"), F.explode("trials").alias("t"))
+    rows = spark.read.schema(TRIALS).option("recursiveFileLookup", True).option("pathGlobFilter", "per_trial_seed*_n*.json").option("multiLine", True).json(root).withColumn("path", F.col("_metadata.file_path"))
+    out = path_identity(rows).select("run", "step", "seed", "seed_per_episode", F.size(F.coalesce("skipped", F.array().cast("array<bigint>"))).alias("n_skipped"), F.explode("trials").alias("t"))
     return out.select("run", "step", "seed", "seed_per_episode", "n_skipped", "t.*")
 
 
-def write_trials(df: DataFrame, path: str, *, final: bool) -> None:
-    """Appends JSON lines; partial and final results never share a folder."""
-    df.write.mode("append").json(f"{path}/{'final' if final else 'partial'}")
+def path_identity(rows: DataFrame, path: str = "path") -> DataFrame:
+    """Rows whose path is that of a final result, with run and step; partial files and other folders are passed over."""
+    run = F.regexp_extract(path, r"/([^/]+-n\d+-s\d+)/", 1)
+    step = F.regexp_extract(path, r"/checkpoint-(\d+)/", 1)
+    final = F.col(path).rlike(r"/per_trial_seed[^/]*_n[^/]*\.json$")
+    return rows.filter(final & (step != "")).withColumns({"run": run, "step": step.cast("long")})
+
+
+def write_trials(df: DataFrame, path: str, *, final: bool, batch: str) -> None:
+    """JSON lines of one batch, in a folder of its own: a batch written again replaces itself. Partial and final results never share a folder."""
+    df.write.mode("overwrite").json(f"{path}/{'final' if final else 'partial'}/batch={batch}")
+
+
+def read_results(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
+    """Results as written by write_trials: final records, and the partial ones whose key has no final record yet (``is_final``)."""
+    of = lambda kind: spark.read.schema(schema).option("recursiveFileLookup", True).json(f"{path}/{kind}")
+    final = of("final")
+    return final.withColumn("is_final", F.lit(True)).unionByName(of("partial").join(final.select(*keys), list(keys), "left_anti").withColumn("is_final", F.lit(False)))
+
+
+def read_points(frames: DataFrame, points: DataFrame, keys: Sequence[str] = ("episode_index", "frame_index")) -> DataFrame:
+    """The points of every frame; a frame without points is an error."""
+    rows = frames.join(points.withColumn("_there", F.lit(True)), list(keys), "left")
+    lost = F.raise_error(F.concat(F.lit("no points of frame "), F.concat_ws("-", *(F.col(k).cast("string") for k in keys)))).cast("boolean")
+    return rows.filter(F.coalesce(F.col("_there"), lost)).drop("_there")
+
+
+def read_anchors(frames: DataFrame, anchors: DataFrame, keys: Sequence[str] = ("episode_index", "frame_index")) -> DataFrame:
+    """The anchors of every frame, null where there are none."""
+    return frames.join(anchors, list(keys), "left")
 
 
 def write_stats(stats: DataFrame, path: str, *, prefix: str, num_data: int) -> None:

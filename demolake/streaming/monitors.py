@@ -28,19 +28,28 @@ def coverage_alarm(replans: DataFrame, *, width: str = "10 minutes", late: str =
 
 
 class HoldAnchor(StatefulProcessor):
-    """Holds an episode's last key-frame anchor; rows older than the held key frame are dropped and counted."""
+    """Holds an episode's last key-frame anchor; rows older than the held key frame are dropped and counted.
+
+    The frame marked as the episode's last sets a timer, and so does each frame for
+    an episode that just stops: ``idle_ms`` later, without a newer frame, the state is cleared.
+    """
+
+    def __init__(self, idle_ms: int) -> None:
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getValueState("held", "frame long, x double, y double, z double")
         self.dropped = handle.getValueState("dropped", "n long")
+        self.ends = handle.getValueState("ends", "at long")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802
-        frames = pd.concat(list(rows)).sort_values("frame_index")
         at, x, y, z = self.held.get() if self.held.exists() else (-1, None, None, None)
-        late = self.dropped.get()[0] if self.dropped.exists() else 0
+        late, over = self.dropped.get()[0] if self.dropped.exists() else 0, False
+        frames = sorted((r for part in rows for r in part[["frame_index", "is_key", "is_last", "x", "y", "z"]].itertuples(index=False)), key=lambda r: r.frame_index)
         out = []
-        for r in frames.itertuples():
+        for r in frames:
+            over |= bool(r.is_last)
             if r.frame_index < at:
                 late += 1
                 continue
@@ -50,16 +59,28 @@ class HoldAnchor(StatefulProcessor):
         if at >= 0:
             self.held.update((at, x, y, z))
         self.dropped.update((late,))
+        now = timerValues.getCurrentProcessingTimeInMs()
+        if self.ends.exists():
+            self.handle.deleteTimer(self.ends.get()[0])
+        end = now + (0 if over else self.idle_ms)
+        self.handle.registerTimer(end)
+        self.ends.update((end,))
         yield pd.DataFrame(out, columns=["episode_index", "frame_index", "x", "y", "z", "n_late"]).astype({"x": float, "y": float, "z": float})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        for state in (self.held, self.dropped, self.ends):
+            state.clear()
+        yield pd.DataFrame({"episode_index": pd.Series(dtype="int64"), "frame_index": pd.Series(dtype="int64"), "x": pd.Series(dtype=float), "y": pd.Series(dtype=float), "z": pd.Series(dtype=float), "n_late": pd.Series(dtype="int64")})
+
     def close(self) -> None:
         pass
 
 
-def hold_anchors(frames: DataFrame) -> DataFrame:
-    """frames: episode_index, frame_index, is_key, x, y, z. Needs the RocksDB state store."""
-    return frames.groupBy("episode_index").transformWithStateInPandas(
-        statefulProcessor=HoldAnchor(), outputStructType="episode_index long, frame_index long, x double, y double, z double, n_late long", outputMode="Append", timeMode="None"
+def hold_anchors(frames: DataFrame, *, idle_ms: int = 3_600_000) -> DataFrame:
+    """frames: episode_index, frame_index, is_key, x, y, z, and is_last if there is an end mark. Needs the RocksDB state store."""
+    rows = frames if "is_last" in frames.columns else frames.withColumn("is_last", F.lit(False))
+    return rows.groupBy("episode_index").transformWithStateInPandas(
+        statefulProcessor=HoldAnchor(idle_ms), outputStructType="episode_index long, frame_index long, x double, y double, z double, n_late long", outputMode="Append", timeMode="ProcessingTime"
     )
 
 
@@ -76,8 +97,19 @@ def read_stats(spark, path: str) -> DataFrame:
     return merge_partials(spark.read.parquet(path))
 
 
-def refuse_all_skipped(batch: DataFrame, number: int) -> None:
-    """For foreachBatch: a batch whose trials were all skipped is a failure, not a rate of zero."""
-    n, skipped = batch.agg(F.count("*"), F.count_if(F.col("success").isNull())).first()
-    if n and n == skipped:
-        raise RuntimeError(f"all {n} trials of batch {number} were skipped")
+class RunGate:
+    """For foreachBatch: a run whose trials were all skipped is a failure, not a rate of zero. ``check`` judges when the run ends.
+
+    Counts are kept by batch, so that a batch sent again counts once.
+    """
+
+    def __init__(self) -> None:
+        self.seen: dict[int, tuple[int, int]] = {}
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        self.seen[number] = tuple(batch.agg(F.count("*"), F.count_if(F.col("success").isNull())).first())
+
+    def check(self) -> None:
+        n, skipped = (sum(v) for v in zip(*self.seen.values(), strict=True)) if self.seen else (0, 0)
+        if n and n == skipped:
+            raise RuntimeError(f"all {n} trials of the run were skipped")

@@ -60,8 +60,38 @@ def test_partial_statistics_merge(spark, tmp_path):
         assert (got[r.dim].n, got[r.dim].mean, got[r.dim]["std"]) == (r.n, pytest.approx(r.mean), pytest.approx(r["std"]))
 
 
-def test_all_skipped_is_an_error(spark):
-    df = spark.createDataFrame([(1, None), (2, None)], "trial long, success boolean")
-    with pytest.raises(RuntimeError, match="skipped"):
-        monitors.refuse_all_skipped(df, 0)
-    monitors.refuse_all_skipped(df.withColumn("success", F.lit(True)), 0)
+def test_state_is_cleared_when_the_episode_ends(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "episode_index long, frame_index long, is_key boolean, is_last boolean, x double, y double, z double"
+    place = str(tmp_path / "in")
+    first = spark.createDataFrame([(0, 0, True, False, 1.0, 0.0, 0.0), (0, 1, False, True, None, None, None), (1, 0, True, False, 2.0, 0.0, 0.0)], schema)
+    later = spark.createDataFrame([(e, 2, False, False, None, None, None) for e in (0, 1)], schema)
+    for n, df in enumerate((first, spark.createDataFrame([(9, 0, False, False, None, None, None)], schema), later)):
+        df.coalesce(1).write.mode("append").parquet(place)
+        query = monitors.hold_anchors(spark.readStream.schema(schema).parquet(place)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    got = {(r.episode_index, r.frame_index): r.x for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got[1, 2] == 2.0 and got[0, 1] == 1.0
+    assert got[0, 2] is None  # nothing is held of an episode that had ended
+
+
+def test_merged_statistics_far_from_zero(spark):
+    rows = [(k % 7, [1e9 + (k % 11) / 8]) for k in range(1000)]
+    df = spark.createDataFrame(rows, "part long, v array<double>")
+    parts = vectors.partial_stats(df, "v", ["part"])
+    got = vectors.merge_partials(parts).first()
+    want = [(k % 11) / 8 for k in range(1000)]
+    mean = sum(want) / 1000
+    assert got["std"] == pytest.approx((sum((x - mean) ** 2 for x in want) / 1000) ** 0.5, rel=1e-9) and got.n == 1000
+
+
+def test_a_run_of_skipped_trials_is_an_error(spark):
+    skipped = spark.createDataFrame([(1, None), (2, None)], "trial long, success boolean")
+    gate = monitors.RunGate()
+    gate(skipped, 0)
+    gate(skipped, 0)
+    with pytest.raises(RuntimeError, match="all 2 trials"):
+        gate.check()
+    gate(skipped.withColumn("success", F.lit(True)), 1)
+    gate.check()
+    monitors.RunGate().check()
