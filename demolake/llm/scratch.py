@@ -1,38 +1,5 @@
-"""Intermediate tables in the folder that driver and executors share.
+"""Intermediate tables in the shared folder; see ``demolake.sources.shared``."""
 
-``spark.checkpoint.dir`` names that folder on a cluster. Where it is unset, a
-temporary folder serves, but only for a local master: on a cluster such a
-folder would exist on one machine alone.
-"""
+from demolake.sources.shared import mark, materialize, new_folder, release, shared_dir
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        return own.get().rstrip("/")
-    folder = tempfile.mkdtemp(prefix="spark-demolake-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` once as Parquet in the shared folder and returns the table read back.
-
-    Cuts the lineage: a lost executor costs only the tasks that read this table.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["mark", "materialize", "new_folder", "release", "shared_dir"]

@@ -10,24 +10,35 @@ the smallest page_id is the response and the others are revisits without a
 payload of their own. Smaller payloads, empty ones included, are always
 responses; their bytes are stored once all the same.
 
+In a header line ``%``, carriage return and line feed of a url are percent-encoded,
+and decoded when records are parsed, so that any url comes back as it was.
+
 Nulls: a null payload is empty, a null url is written empty, a null page_id
 sorts after all others and is written empty. Rows that repeat a page_id and its
-payload have the same record type. Line ends in a url are percent-encoded.
+payload have the same record type.
 Extra columns are left out; an empty table gives an empty archive.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demolake.llm.scratch import shared_dir
+from demolake.llm.scratch import new_folder
 
 _EOL = "\r\n"
 
 
+#: What a header line can't hold, in the order in which it is escaped.
+_ESCAPES = (("%", "%25"), ("\r", "%0D"), ("\n", "%0A"))
+
+
+def _replaced(text: Column, pairs) -> Column:
+    for old, new in pairs:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
 def _captures(pages: DataFrame, payload: str) -> DataFrame:
     bytes_ = F.encode(F.coalesce(F.col(payload).cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), bytes_.alias("payload"))
@@ -40,7 +51,7 @@ def record_headers(captures: DataFrame, owners: DataFrame, *, revisit_bytes: int
     response = F.col("page_id").eqNullSafe(F.col("owner")) | (F.col("size") < revisit_bytes)
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(_EOL))
-    url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    url = _replaced(F.col("url"), _ESCAPES)
     header = F.concat(
         F.lit(f"WARC/1.1{_EOL}"),
         line("WARC-Type", F.when(response, "response").otherwise("revisit")),
@@ -92,7 +103,7 @@ def parse_records(records: DataFrame) -> DataFrame:
         "size",
         field("WARC-Record-ID", "<urn:page:([^>]*)>").alias("page"),
         field("WARC-Type", "([a-z]+)").alias("record_type"),
-        field("WARC-Target-URI", "([^\r\n]*)").alias("url"),
+        _replaced(field("WARC-Target-URI", "([^\r\n]*)"), [(new, old) for old, new in reversed(_ESCAPES)]).alias("url"),
         field("WARC-Refers-To", "<urn:page:([^>]*)>").alias("refers"),
         field("WARC-Payload-Digest", "sha256:([0-9a-f]+)").alias("payload_digest"),
         F.expr("substring(record, octet_length(encode(substring_index(decode(record, 'UTF-8'), '\r\n\r\n', 1), 'UTF-8')) + 5)").alias("rest"),
@@ -102,7 +113,7 @@ def parse_records(records: DataFrame) -> DataFrame:
 
 
 def op7_content_addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = new_folder(spark, "warc")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
     back = parse_records(read_archive(spark, path))
     return back.select("page_id", F.coalesce(F.octet_length("payload").cast("long"), F.col("size")).alias("payload_bytes"), "payload_digest", "record_type", "refers_to")

@@ -5,6 +5,14 @@ import pytest
 from demolake.llm import chat, warc
 
 
+def test_urls_come_back_as_they_were(spark, tmp_path):
+    urls = ["http://a/%0A?q=1%", "x\r\ny", "", "%25", None, "plain é"]
+    pages = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    warc.write_archive(pages, str(tmp_path / "u"))
+    got = {r.page_id: r.url for r in warc.parse_records(warc.read_archive(spark, str(tmp_path / "u"))).collect()}
+    assert got == {i: u or "" for i, u in enumerate(urls)}
+
+
 def test_archive_round_trip(spark, tmp_path):
     big, odd = "x" * 150, "é\r\n\r\nWARC/1.1\r\nWARC-Type: revisit\r\n"
     rows = [(3, "http://a/\r\nX: y", big), (1, "http://b", big), (2, None, big), (4, "u", None), (5, "u", ""), (6, "u", "short"), (7, "u", "short"), (8, "u", odd * 9), (9, "v", odd * 9), (9, "v", odd * 9), (1, "http://b", big)]
