@@ -6,14 +6,12 @@ return the columns of ``documents``; the last adds how often a document is read.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demolake.llm import decontaminate, mixing, simhash, substring, toxicity
 from demolake.llm.langid import held_out
-from demolake.llm.scratch import materialize, shared_dir
+from demolake.llm.scratch import mark, new_folder, release
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -62,9 +60,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The last stage's rows. A stage's intermediate tables, and its input, are deleted once its output is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        since = mark()
+        out = stage(spark, docs, sf_dir)
+        path = new_folder(spark, f"pipeline-{name}")
+        out.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.parquet(path)
+        release(spark, since - (name != STAGES[0][0]), keep=1)
     return docs
