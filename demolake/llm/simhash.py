@@ -241,55 +241,63 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def candidates(rows: DataFrame, limit: int, turn: int | None, few: int = 4) -> DataFrame:
-    """Candidate pairs a, b of rows (key, fp, c0, c1, root): near in 128 bits, in different components; with key and dense.
+def candidates(rows: DataFrame, limit: int, turn: int | None) -> DataFrame:
+    """Candidate pairs a, b of rows (key, fp, c0, c1, root): near in 128 bits, in different components.
 
-    A bucket with over ``few`` candidates a member is dense: its members are paired with
-    their nearest and with one chosen by a hash (another one each turn). ``turn`` None: all pairs.
+    Each member of a bucket is paired with its nearest and with one chosen by a hash
+    (another one each turn). Where these are not all its candidates, the bucket is dense:
+    its pairs are marked so, and each member is named in a row without b. ``turn`` None: all pairs.
     """
-    few_ = 1 << 62 if turn is None else few
+
+    def near(u, v, root, k):
+        """Candidates of up to 256 members from k on: their distances to all members (999: none)."""
+        d = np.bitwise_count(u[k : k + 256, None] ^ u).astype(np.int16) + np.bitwise_count(v[k : k + 256, None] ^ v)
+        d[(d > limit) | (root[k : k + 256, None] == root)] = 999
+        return d
 
     def act(keys, fp, c0, c1, root):
         u, v = c0.view(np.uint64), c1.view(np.uint64)
+        order = mix(fp.view(np.uint64) + np.uint64(turn or 0) * np.uint64(0x9E3779B97F4A7C15)).astype(np.float64)
         starts, sizes = bounds(keys)
-        i, j, apart = small_pairs(sizes, [u, v], 16, limit)
+        i, j, apart = small_pairs(sizes, [u, v], 3, limit)
         other = root[i] != root[j]
-        found = [(i[other], j[other], apart[other], np.zeros(int(other.sum()), dtype=bool))]
-        for s, size in zip(starts[sizes > 16].tolist(), sizes[sizes > 16].tolist(), strict=True):
-            own = slice(s, s + size)
-            near, total = [], 0
-            for k in range(0, size, 256):
-                d = np.bitwise_count(u[own][k : k + 256, None] ^ u[own]).astype(np.int16) + np.bitwise_count(v[own][k : k + 256, None] ^ v[own])
-                d[(d > limit) | (root[own][k : k + 256, None] == root[own])] = 999
-                x, y = np.nonzero(d < 999)
-                total += len(x)
-                up = x + k < y
-                near.append((s + k + x[up], s + y[up], d[x[up], y[up]].astype(np.int32), np.zeros(int(up.sum()), dtype=bool)))
-                if total > 2 * few_ * size:  # links count twice here
-                    break
-            if total <= 2 * few_ * size:
-                found += near
+        found, members = [(i[other], j[other], apart[other], np.zeros(int(other.sum()), dtype=bool))], []
+        for s, size in zip(starts[sizes > 3].tolist(), sizes[sizes > 3].tolist(), strict=True):
+            own, total, links = slice(s, s + size), 0, []
+            if (root[own] == root[s]).all():
                 continue
             for k in range(0, size, 256):
-                d = np.bitwise_count(u[own][k : k + 256, None] ^ u[own]).astype(np.int16) + np.bitwise_count(v[own][k : k + 256, None] ^ v[own])
-                d[(d > limit) | (root[own][k : k + 256, None] == root[own])] = 999
-                x = np.arange(len(d))
-                order = mix(u[own] + np.uint64(turn or 0) * np.uint64(0x9E3779B97F4A7C15)).astype(np.float64)
-                for y in (d.argmin(axis=1), np.where(d < 999, order, np.inf).argmin(axis=1)):
-                    ok = d[x, y] < 999
-                    found.append((s + k + x[ok], s + y[ok], d[x[ok], y[ok]].astype(np.int32), np.ones(int(ok.sum()), dtype=bool)))
+                d = near(u[own], v[own], root[own], k)
+                one, two = np.nonzero(d < 999)
+                total += len(one)
+                if turn is not None and len(one):
+                    one = np.unique(one)
+                    two = np.concatenate([d[one].argmin(axis=1), np.where(d[one] < 999, order[own], np.inf).argmin(axis=1)])
+                    one = np.concatenate([one, one])
+                links.append((s + k + one, s + two, d[one, two].astype(np.int32)))
+            if not total:
+                continue
+            i, j, apart = (np.concatenate(c) for c in zip(*links, strict=True))
+            _, first = np.unique(np.minimum(i, j) * len(keys) + np.maximum(i, j), return_index=True)
+            dense = 2 * len(first) < total
+            found.append((i[first], j[first], apart[first], np.full(len(first), dense)))
+            if dense:
+                members.append(fp[own])
         i, j, apart, dense = (np.concatenate(c) for c in zip(*found, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(keys[i]), pa.array(fp[i]), pa.array(fp[j]), pa.array(apart), pa.array(dense)], names=["key", "a", "b", "apart", "dense"])
+        yield pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[j]), pa.array(apart), pa.array(dense)], names=["a", "b", "apart", "dense"])
+        named = np.unique(np.concatenate(members)) if members else fp[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(named), pa.nulls(len(named), pa.int64()), pa.nulls(len(named), pa.int32()), pa.nulls(len(named), pa.bool_())], names=["a", "b", "apart", "dense"])
 
-    return by_bucket(rows.select("key", "fp", "c0", "c1", "root"), act, "key long, a long, b long, apart int, dense boolean")
+    return by_bucket(rows.select("key", "fp", "c0", "c1", "root"), act, "a long, b long, apart int, dense boolean")
 
 
 def _pairs(found: DataFrame) -> DataFrame:
-    """Distinct pairs: all from sparse buckets; of each member of dense ones the two nearest and two more."""
+    """Distinct pairs: all of sparse buckets; of each member of dense ones the two nearest and two more."""
     every = F.collect_set(F.struct("apart", F.xxhash64("a", "b").alias("h"), "b")).alias("all")  # at most two a bucket
     two = lambda first: F.slice(F.array_sort(F.transform("all", first)), 1, 2)
-    picked = found.filter("dense").groupBy("a").agg(every).select("a", F.explode(F.array_union(F.transform(two(lambda x: F.struct(x.apart, x.h, x.b)), lambda x: x.b), F.transform(two(lambda x: F.struct(x.h, x.b)), lambda x: x.b))).alias("b"))
-    both = found.filter("NOT dense").select("a", "b").union(picked)
+    picked = F.array_union(F.transform(two(lambda x: F.struct(x.apart, x.h, x.b)), lambda x: x.b), F.transform(two(lambda x: F.struct(x.h, x.b)), lambda x: x.b))
+    few = found.filter("dense").groupBy("a").agg(every).select("a", F.explode(picked).alias("b"))
+    both = found.filter("NOT dense").select("a", "b").union(few)
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -306,7 +314,6 @@ def _in_chunks(rows: DataFrame, bucket: int) -> DataFrame:
 
 def link_texts(signed_: DataFrame, texts: Callable[[DataFrame], DataFrame], *, shingle: int = 5, least: float = 0.8, miss: float = 0.002, rounds: int = 3, bucket: int = BUCKET) -> DataFrame:
     """Columns node, root for every fp that a link reaches. signed_: distinct fp with bits; texts: gives (fp, text) of a table of fp."""
-    spark = signed_.sparkSession
     fps = signed_.filter("bits IS NOT NULL")
     n = fps.count()
     # Bits differ as often as the angle between the sets; sets of few runs a little more often than that.
@@ -314,25 +321,26 @@ def link_texts(signed_: DataFrame, texts: Callable[[DataFrame], DataFrame], *, s
     plan = plan_bands(bit_statistics(fps, LANES), max(n, 2), differ, miss)
     limit = math.ceil(128 * differ + 4.4 * math.sqrt(128 * differ * (1 - differ)))
     fan_out = sum(n_keys(len(group), t) for _, group, t in plan)
-    spread = max(1, n * fan_out // 1_000_000)
-    keyed = probe_keys(fps.repartition(spread, "fp").select("fp", "bits"), plan, lambda lane: F.col("bits")[lane], ["fp", "bits"]).select("key", "fp", F.col("bits")[0].alias("c0"), F.col("bits")[1].alias("c1"))
-    found = materialize(candidates(_in_chunks(keyed, bucket).withColumn("root", F.col("fp")), limit, 0), "candidates")
-    pairs = _pairs(found)
-    links = _verified(pairs, texts, shingle, least, None)
-    dense = materialize(found.filter("dense").select("key").distinct(), "dense")
-    roots = components(links)
-    if dense.isEmpty():
-        return roots
-    crowd = materialize(_in_chunks(keyed, bucket).join(dense, "key", "left_semi"), "crowd")
-    for turn in [*range(1, rounds + 1), None]:
-        rooted = crowd.join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", "c0", "c1", F.coalesce("root", "fp").alias("root"))
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
-        found = materialize(candidates(rooted.join(mixed, "key", "left_semi"), limit, turn), "candidates")
+
+    def filed(members: DataFrame, rows: int) -> DataFrame:
+        spread = members.repartition(max(1, rows * fan_out // 1_000_000), "fp")
+        keyed = probe_keys(spread, plan, lambda lane: F.col("bits")[lane], ["fp", "bits", "root"])
+        return _in_chunks(keyed.select("key", "fp", F.col("bits")[0].alias("c0"), F.col("bits")[1].alias("c1"), "root"), bucket)
+
+    found = materialize(candidates(filed(fps.select("fp", "bits", F.col("fp").alias("root")), n), limit, 0), "candidates")
+    links = _verified(_pairs(found), texts, shingle, least, None)
+    dense = found.filter("b IS NULL").select(F.col("a").alias("fp")).distinct()
+    members = materialize(fps.select("fp", "bits").join(dense, "fp", "left_semi"), "members")
+    m = members.count()
+    for turn in [*range(1, rounds + 1), None] if m else ():
+        # A few steps contract what is linked; what they leave apart is only compared again.
+        roots = components(links, limit=2).groupBy("node").agg(F.min("root").alias("root"))
+        rooted = members.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "bits", F.coalesce("root", "fp").alias("root"))
+        found = materialize(candidates(filed(rooted, m), limit, turn), "candidates")
         if found.isEmpty():
-            return roots
+            break
         links = _verified(_pairs(found), texts, shingle, least, links)
-        roots = components(links)
-    return roots
+    return components(links)
 
 
 def _verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], shingle: int, least: float, links: DataFrame | None) -> DataFrame:

@@ -31,3 +31,23 @@ def test_near_copies_against_all_pairs(spark):
                 group = [new if g == old else g for g in group]
     assert linked > 10 and apart > 10
     assert [i for i, _ in sorted(staged(spark, rows))] == sorted(set(group))
+
+
+def test_crowded_groups_against_all_pairs(spark):
+    """Large groups of copies about as far apart as the bound: each member is first compared with few others."""
+    rnd, rows = random.Random(9), []
+    for size, edits in ((150, (1, 2)), (60, (2,)), (40, (3,))):
+        base = [f"w{rnd.randrange(10**5)}" for _ in range(120)]
+        for _ in range(size):
+            w = list(base)
+            for _ in range(rnd.choice(edits)):
+                w[rnd.randrange(len(w))] = f"x{rnd.randrange(10**5)}"
+            rows.append((len(rows), " ".join(w)))
+    sets, group = [runs(t) for _, t in rows], list(range(len(rows)))
+    for j in range(len(rows)):
+        for i in range(j):
+            if group[i] != group[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    assert 20 < len(set(group)) < 160
+    assert [i for i, _ in sorted(staged(spark, rows))] == sorted(set(group))
