@@ -10,13 +10,15 @@ Two forms share the machinery of ``pigeonhole``:
   leaves out; and those that still crowd under every value within half the
   radius of theirs: two that share such a value link, and a value has a bounded
   number of them. So any group costs its size, not its square.
-* ``near_copies``: texts link if the sets of their runs of ``shingle`` words have
-  a Jaccard similarity of ``least`` or more. Their fingerprints have 1,024 bits,
-  which differ with a probability that the similarity bounds; parts are probed
-  until a pair at ``least`` escapes with ``miss`` at most. Candidates whose first
-  128 bits are near are checked on the whole sets. In a bucket with many
-  candidates each member is first checked against few of them, for some rounds;
-  what still lies in different components is then checked whole.
+* ``near_copies``: texts are alike if the sets of their runs of ``shingle`` words
+  have a Jaccard similarity of ``least`` or more. Their fingerprints have 1,024
+  bits, which differ with a probability that the similarity bounds; parts are
+  probed until a pair at ``least`` escapes with ``miss`` at most. The members of a
+  bucket whose fingerprints are near enough make a least spanning forest by their
+  differing bits; its edges, fewer than the members, are checked on the whole sets,
+  and those at ``least`` or above link. A pair that is alike, but no edge, is joined
+  by edges between nearer fingerprints. A bucket of over ``bucket`` members is
+  searched by pairs of chunks.
 
 Linked documents form components. Copies are one fingerprint (in ``near_copies``
 one hash of all lower-case words).
@@ -241,113 +243,102 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def candidates(rows: DataFrame, limit: int, turn: int | None) -> DataFrame:
-    """Candidate pairs a, b of rows (key, fp, c0, c1, root): near in 128 bits, in different components.
-
-    Each member of a bucket is paired with its nearest and with one chosen by a hash
-    (another one each turn). Where these are not all its candidates, the bucket is dense:
-    its pairs are marked so, and each member is named in a row without b. ``turn`` None: all pairs.
-    """
-
-    def near(u, v, root, k):
-        """Candidates of up to 256 members from k on: their distances to all members (999: none)."""
-        d = np.bitwise_count(u[k : k + 256, None] ^ u).astype(np.int16) + np.bitwise_count(v[k : k + 256, None] ^ v)
-        d[(d > limit) | (root[k : k + 256, None] == root)] = 999
-        return d
-
-    def act(keys, fp, c0, c1, root):
-        u, v = c0.view(np.uint64), c1.view(np.uint64)
-        order = mix(fp.view(np.uint64) + np.uint64(turn or 0) * np.uint64(0x9E3779B97F4A7C15)).astype(np.float64)
+def forest(i: np.ndarray, j: np.ndarray, apart: np.ndarray, n: int) -> np.ndarray:
+    """Which of the edges (i, j) among n nodes make the least spanning forest by (apart, place): each tree takes its shortest edge out, until none is left."""
+    order = np.argsort(apart, kind="stable")
+    i, j = i[order], j[order]
+    tree, left, taken = np.arange(n), np.arange(len(i)), []
+    while len(left):
+        a, b = tree[i[left]], tree[j[left]]
+        out = a != b
+        left, a, b = left[out], a[out], b[out]
+        if not len(left):
+            break
+        best = np.full(n, len(i))
+        np.minimum.at(best, a, left)
+        np.minimum.at(best, b, left)
+        mine = np.unique(best[best < len(i)])
+        taken.append(mine)
+        # Trees join along these edges: to the smaller number, until nothing changes.
+        one, two = tree[i[mine]], tree[j[mine]]
+        name = np.arange(n)
+        while True:
+            low = np.minimum(name[one], name[two])
+            before = name.copy()
+            np.minimum.at(name, one, low)
+            np.minimum.at(name, two, low)
+            name = name[name]
+            if (name == before).all():
+                break
+        tree = name[tree]
+    return order[np.concatenate(taken)] if taken else order[:0]
+
+
+def nearest_links(rows: DataFrame, near: int, limit: int) -> DataFrame:
+    """Pairs (a, b) of rows (key, fp, bits) that make a least spanning forest of each bucket: over members whose first 128 bits
+    differ in ``near`` at most and all bits in ``limit`` at most, by the number of differing bits."""
+
+    def act(keys, fp, bits):
+        lanes = np.ascontiguousarray(np.stack(bits).view(np.uint64)) if len(bits) else np.zeros((0, LANES), np.uint64)
+        u, v = np.ascontiguousarray(lanes[:, 0]), np.ascontiguousarray(lanes[:, 1])
         starts, sizes = bounds(keys)
-        i, j, apart = small_pairs(sizes, [u, v], 3, limit)
-        other = root[i] != root[j]
-        found, members = [(i[other], j[other], apart[other], np.zeros(int(other.sum()), dtype=bool))], []
-        for s, size in zip(starts[sizes > 3].tolist(), sizes[sizes > 3].tolist(), strict=True):
-            own, total, links = slice(s, s + size), 0, []
-            if (root[own] == root[s]).all():
-                continue
-            for k in range(0, size, 256):
-                d = near(u[own], v[own], root[own], k)
-                one, two = np.nonzero(d < 999)
-                total += len(one)
-                if turn is not None and len(one):
-                    one = np.unique(one)
-                    two = np.concatenate([d[one].argmin(axis=1), np.where(d[one] < 999, order[own], np.inf).argmin(axis=1)])
-                    one = np.concatenate([one, one])
-                links.append((s + k + one, s + two, d[one, two].astype(np.int32)))
-            if not total:
-                continue
-            i, j, apart = (np.concatenate(c) for c in zip(*links, strict=True))
-            _, first = np.unique(np.minimum(i, j) * len(keys) + np.maximum(i, j), return_index=True)
-            dense = 2 * len(first) < total
-            found.append((i[first], j[first], apart[first], np.full(len(first), dense)))
-            if dense:
-                members.append(fp[own])
-        i, j, apart, dense = (np.concatenate(c) for c in zip(*found, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[j]), pa.array(apart), pa.array(dense)], names=["a", "b", "apart", "dense"])
-        named = np.unique(np.concatenate(members)) if members else fp[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(named), pa.nulls(len(named), pa.int64()), pa.nulls(len(named), pa.int32()), pa.nulls(len(named), pa.bool_())], names=["a", "b", "apart", "dense"])
-
-    return by_bucket(rows.select("key", "fp", "c0", "c1", "root"), act, "a long, b long, apart int, dense boolean")
-
-
-def _pairs(found: DataFrame) -> DataFrame:
-    """Distinct pairs: all of sparse buckets; of each member of dense ones the two nearest and two more."""
-    every = F.collect_set(F.struct("apart", F.xxhash64("a", "b").alias("h"), "b")).alias("all")  # at most two a bucket
-    two = lambda first: F.slice(F.array_sort(F.transform("all", first)), 1, 2)
-    picked = F.array_union(F.transform(two(lambda x: F.struct(x.apart, x.h, x.b)), lambda x: x.b), F.transform(two(lambda x: F.struct(x.h, x.b)), lambda x: x.b))
-    few = found.filter("dense").groupBy("a").agg(every).select("a", F.explode(picked).alias("b"))
-    both = found.filter("NOT dense").select("a", "b").union(few)
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = [small_pairs(sizes, [u, v], 12, near)[:2]]
+        kept: list[tuple] = []
+
+        def settle():
+            i, j = (np.concatenate(c) for c in zip(*pairs, strict=True))
+            pairs.clear()
+            apart = np.zeros(len(i), dtype=np.int32)
+            for lane in range(LANES):
+                x = lanes[:, lane]
+                apart += np.bitwise_count(x[i] ^ x[j])
+            fine = apart <= limit
+            i, j = i[fine], j[fine]
+            nodes, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+            edges = forest(at[: len(i)], at[len(i) :], apart[fine], len(nodes))
+            kept.append((fp[i[edges]], fp[j[edges]]))
+
+        for s, size in zip(starts[sizes > 12].tolist(), sizes[sizes > 12].tolist(), strict=True):
+            for k in range(s, s + size, 256):
+                x, y = u[k : min(k + 256, s + size)], v[k : min(k + 256, s + size)]
+                d = np.bitwise_count(x[:, None] ^ u[k : s + size]) + np.bitwise_count(y[:, None] ^ v[k : s + size])
+                one, two = np.nonzero(d <= near)
+                up = one < two
+                pairs.append((k + one[up], k + two[up]))
+            if sum(len(p[0]) for p in pairs) > 1_000_000:  # buckets are settled whole
+                settle()
+        if pairs:
+            settle()
+        a, b = (np.concatenate(c) for c in zip(*kept, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return by_bucket(rows.select("key", "fp", "bits"), act, "a long, b long", at_once=20_000).distinct()
 
 
 def _in_chunks(rows: DataFrame, bucket: int) -> DataFrame:
-    """Rows whose crowded keys are cut: each pair of chunks of a crowded bucket is a bucket of its own, of about twice ``bucket`` rows at most."""
+    """Rows whose crowded keys are cut: each pair of chunks of a crowded bucket is a bucket of its own, of about ``bucket`` rows at most."""
     crowded = _crowded(rows, bucket)
     if crowded.isEmpty():
         return rows
-    chunks = F.ceil(F.col("n") / bucket).cast("long")
+    chunks = F.ceil(2 * F.col("n") / bucket).cast("long")
     cut = rows.join(crowded, "key").withColumn("_c", F.pmod(F.xxhash64("fp", F.lit(5)), chunks)).withColumn("_o", F.explode(F.sequence(F.lit(0), chunks - 1)))
     cut = cut.select(F.xxhash64("key", F.least("_c", "_o"), F.greatest("_c", "_o")).alias("key"), *(c for c in rows.columns if c != "key"))
     return rows.join(crowded, "key", "left_anti").union(cut)
 
 
-def link_texts(signed_: DataFrame, texts: Callable[[DataFrame], DataFrame], *, shingle: int = 5, least: float = 0.8, miss: float = 0.002, rounds: int = 3, bucket: int = BUCKET) -> DataFrame:
+def link_texts(signed_: DataFrame, texts: Callable[[DataFrame], DataFrame], *, shingle: int = 5, least: float = 0.8, miss: float = 0.002, bucket: int = 2048) -> DataFrame:
     """Columns node, root for every fp that a link reaches. signed_: distinct fp with bits; texts: gives (fp, text) of a table of fp."""
     fps = signed_.filter("bits IS NOT NULL")
     n = fps.count()
     # Bits differ as often as the angle between the sets; sets of few runs a little more often than that.
     differ = math.acos(2 * least / (1 + least)) / math.pi + 0.01
     plan = plan_bands(bit_statistics(fps, LANES), max(n, 2), differ, miss)
-    limit = math.ceil(128 * differ + 4.4 * math.sqrt(128 * differ * (1 - differ)))
-    fan_out = sum(n_keys(len(group), t) for _, group, t in plan)
-
-    def filed(members: DataFrame, rows: int) -> DataFrame:
-        spread = members.repartition(max(1, rows * fan_out // 1_000_000), "fp")
-        keyed = probe_keys(spread, plan, lambda lane: F.col("bits")[lane], ["fp", "bits", "root"])
-        return _in_chunks(keyed.select("key", "fp", F.col("bits")[0].alias("c0"), F.col("bits")[1].alias("c1"), "root"), bucket)
-
-    found = materialize(candidates(filed(fps.select("fp", "bits", F.col("fp").alias("root")), n), limit, 0), "candidates")
-    links = _verified(_pairs(found), texts, shingle, least, None)
-    dense = found.filter("b IS NULL").select(F.col("a").alias("fp")).distinct()
-    members = materialize(fps.select("fp", "bits").join(dense, "fp", "left_semi"), "members")
-    m = members.count()
-    for turn in [*range(1, rounds + 1), None] if m else ():
-        # A few steps contract what is linked; what they leave apart is only compared again.
-        roots = components(links, limit=2).groupBy("node").agg(F.min("root").alias("root"))
-        rooted = members.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "bits", F.coalesce("root", "fp").alias("root"))
-        found = materialize(candidates(filed(rooted, m), limit, turn), "candidates")
-        if found.isEmpty():
-            break
-        links = _verified(_pairs(found), texts, shingle, least, links)
-    return components(links)
-
-
-def _verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], shingle: int, least: float, links: DataFrame | None) -> DataFrame:
-    pairs = materialize(pairs, "pairs")
+    within = lambda size, wide: math.ceil(size * differ + wide * math.sqrt(size * differ * (1 - differ)))
+    spread = fps.repartition(max(1, n * sum(n_keys(len(group), t) for _, group, t in plan) // 200_000), "fp")
+    keyed = probe_keys(spread.select("fp", "bits"), plan, lambda lane: F.col("bits")[lane], ["fp", "bits"]).select("key", "fp", "bits")
+    pairs = materialize(nearest_links(_in_chunks(keyed, bucket), within(128, 4.4), within(64 * LANES, 3.5)), "pairs")
     sets = materialize(run_sets(texts(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()), shingle), "sets")
-    new = similar(pairs, sets, least)
-    return materialize(new if links is None else new.union(links), "links")
+    return components(similar(pairs, sets, least))
 
 
 def near_copies(docs: DataFrame, *, order: Sequence[str] = ("doc_id",), shingle: int = 5, least: float = 0.8) -> DataFrame:
