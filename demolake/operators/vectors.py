@@ -8,6 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from demolake.sources.shared import materialize
 
 
 def concat_vectors(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
@@ -41,7 +44,8 @@ def vector_stats(df: DataFrame, v: str, *, by: Sequence[str] = (), quantiles: Se
 
     With a known ``width`` the dimensions are aggregates of one row each way,
     without exploding; partial results merge, whatever the split. Exact quantiles
-    keep the distinct values of a dimension; ``exact=False`` keeps a sketch.
+    keep the distinct values of a dimension in one task; ``exact=False`` keeps a
+    sketch, and ``quantiles_by_rank`` sorts over all tasks.
     """
 
     def aggs(x: Column) -> list[tuple[str, Column]]:
@@ -56,6 +60,32 @@ def vector_stats(df: DataFrame, v: str, *, by: Sequence[str] = (), quantiles: Se
     return wide.select(*by, F.posexplode(F.array(*(F.col(f"_{k}") for k in range(width)))).alias("dim", "s")).select(*by, "dim", "s.*")
 
 
+def quantiles_by_rank(df: DataFrame, v: str, quantiles: Sequence[float]) -> DataFrame:
+    """Exact quantiles of each dimension by linear interpolation, for vectors of any number: dim, n, qNN.
+
+    Values are sorted in ranges over all tasks, and only the ranks around each
+    quantile are kept, so that no task holds a dimension's distinct values.
+    """
+    flat = df.select(F.posexplode(v).alias("dim", "_v")).select("dim", F.col("_v").cast("double").alias("x")).filter("x IS NOT NULL")
+    ranged = materialize(flat.repartitionByRange("dim", "x").withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("dim", "_p").agg(F.count("*").alias("_c"))  # one row for each dimension and range
+    before = sizes.select("dim", "_p", (F.sum("_c").over(Window.partitionBy("dim").orderBy("_p")) - F.col("_c")).alias("_o"), F.sum("_c").over(Window.partitionBy("dim")).alias("n"))
+    at = F.row_number().over(Window.partitionBy("_p", "dim").orderBy("x")) - 1
+    ranked = ranged.withColumn("_r", at).join(before, ["dim", "_p"]).select("dim", "n", "x", (F.col("_o") + F.col("_r")).alias("_i"))
+    low = {q: F.floor(F.lit(q) * (F.col("n") - 1)) for q in quantiles}
+    near = F.lit(False)
+    for q in quantiles:
+        near = near | (F.col("_i") == low[q]) | (F.col("_i") == low[q] + 1)
+    kept = ranked.filter(near)
+
+    def value(q: float) -> Column:
+        part = F.lit(q) * (F.col("n") - 1) - low[q]
+        a, b = F.max(F.when(F.col("_i") == low[q], F.col("x"))), F.max(F.when(F.col("_i") == low[q] + 1, F.col("x")))
+        return a + F.coalesce(F.max(part) * (b - a), F.lit(0.0))
+
+    return kept.groupBy("dim").agg(F.max("n").alias("n"), *(value(q).alias(f"q{round(100 * q):02d}") for q in quantiles))
+
+
 def replace_zero_std(stats: DataFrame, std: str = "std") -> DataFrame:
     return stats.withColumn(std, F.when(F.col(std) == 0, 1.0).otherwise(F.col(std)))
 

@@ -12,6 +12,14 @@ from demolake.plans.fixtures import table
 _LONG = "SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings"
 
 
+@query(f"""WITH e AS ({_LONG})
+SELECT dim, count(*) AS n, round(quantile_cont(v, 1e-2), 9) AS q01, round(quantile_cont(v, 5e-1), 9) AS q50, round(quantile_cont(v, 99e-2), 9) AS q99 FROM e GROUP BY dim""")
+def a02_quantiles_by_rank(spark, sf_dir):
+    """A2 without a task that holds a dimension's values."""
+    out = vectors.quantiles_by_rank(table(spark, sf_dir, "embeddings"), "embedding", (0.01, 0.5, 0.99))
+    return out.withColumns({c: F.round(c, 9) for c in ("q01", "q50", "q99")})
+
+
 @query(f"""WITH e AS ({_LONG})
 SELECT dim, count(*) AS n, min(v) AS min, max(v) AS max, round(avg(v), 9) AS mean, round(stddev_pop(v), 9) AS std, quantile_cont(v, 1e-2) AS q01, quantile_cont(v, 1e-1) AS q10,
   quantile_cont(v, 5e-1) AS q50, quantile_cont(v, 9e-1) AS q90, quantile_cont(v, 99e-2) AS q99 FROM e GROUP BY dim""")
