@@ -13,6 +13,7 @@ from tests.llm.test_simhash import brute
 from tests.test_queries import SF, TABLES, rows
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+LARGER = SF.replace("sf0.001", "sf0.01")  # enough labels to learn from
 QUERIES = {n: q for n, q in __spark_entry__.queries().items() if n.startswith("op")}
 
 
@@ -80,9 +81,9 @@ def test_op6_against_a_plain_reading(spark):
 
 @pytest.mark.parametrize(("prefix", "label", "modulus", "rest", "least"), [("op9", "toxic", 3, 1, 0.7), ("op10", "quality", 5, 0, 0.3)])
 def test_scores(spark, prefix, label, modulus, rest, least):
-    got = of(prefix)(spark, SF).collect()
-    ids = [r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()]
+    got = of(prefix)(spark, LARGER).collect()
+    ids = [r.doc_id for r in spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id").collect()]
     assert sorted(r.doc_id for r in got) == sorted(ids)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= least) and r.held_out == held(r.doc_id, modulus, rest) for r in got)
-    truth = {r.doc_id: r[label] for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r[label] is not None}
+    truth = {r.doc_id: r[label] for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect() if r[label] is not None}
     assert np.mean([r.predicted == truth[r.doc_id] for r in got if r.held_out and r.doc_id in truth]) > 0.8
