@@ -101,14 +101,14 @@ def mask_rotation_stats(stats: DataFrame, start: int, end: int, rotation: str) -
 def merge_partials(partials: DataFrame, by: Sequence[str] = ("dim",)) -> DataFrame:
     """Final statistics from partial rows (n, mean, m2, min, max) of disjoint parts.
 
-    Squared deviations add up around the common mean (each part's own, and its
-    mean's), so that means far from zero cost no digits.
+    Means and squared deviations add up around one of the parts' means, so that
+    means far from zero cost no digits.
     """
-    common = partials.groupBy(*by).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean")).withColumnsRenamed({c: f"_by_{c}" for c in by})
-    off = F.col("mean") - F.col("_mean")
-    whole = partials.join(common, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]) if by else partials.crossJoin(common)
-    out = whole.groupBy(*by).agg(F.sum("n").alias("_n"), F.min("min").alias("min"), F.max("max").alias("max"), F.first("_mean").alias("mean"), F.sqrt(F.sum(F.col("m2") + F.col("n") * off * off) / F.sum("n")).alias("std"))
-    return out.select(*by, F.col("_n").alias("n"), "min", "max", "mean", "std")
+    around = partials.groupBy(*by).agg(F.min("mean").alias("_m0")).withColumnsRenamed({c: f"_by_{c}" for c in by})
+    whole = partials.join(around, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]) if by else partials.crossJoin(around)
+    off = F.col("mean") - F.col("_m0")
+    sums = whole.groupBy(*by).agg(F.sum("n").alias("_n"), F.min("min").alias("min"), F.max("max").alias("max"), F.first("_m0").alias("_m0"), (F.sum(F.col("n") * off) / F.sum("n")).alias("_d"), (F.sum(F.col("m2") + F.col("n") * off * off) / F.sum("n")).alias("_s"))
+    return sums.select(*by, F.col("_n").alias("n"), "min", "max", (F.col("_m0") + F.col("_d")).alias("mean"), F.sqrt(F.greatest(F.col("_s") - F.col("_d") * F.col("_d"), F.lit(0.0))).alias("std"))
 
 
 def partial_stats(df: DataFrame, v: str, by: Sequence[str] = ()) -> DataFrame:

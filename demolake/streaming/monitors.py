@@ -30,11 +30,11 @@ def coverage_alarm(replans: DataFrame, *, width: str = "10 minutes", late: str =
 class HoldAnchor(StatefulProcessor):
     """Holds an episode's last key-frame anchor; rows older than the held key frame are dropped and counted.
 
-    The frame marked as the episode's last sets a timer, and so does each frame for
-    an episode that just stops: ``idle_ms`` later, without a newer frame, the state is cleared.
+    The frame marked as the episode's last clears its state. With ``idle_ms`` a timer
+    does so, too, for an episode that just stops: so long after its newest frame.
     """
 
-    def __init__(self, idle_ms: int) -> None:
+    def __init__(self, idle_ms: int | None) -> None:
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -56,31 +56,40 @@ class HoldAnchor(StatefulProcessor):
             if r.is_key:
                 at, x, y, z = (int(r.frame_index), *(None if pd.isna(v) else float(v) for v in (r.x, r.y, r.z)))
             out.append((key[0], int(r.frame_index), x, y, z, late))
-        if at >= 0:
-            self.held.update((at, x, y, z))
-        self.dropped.update((late,))
-        now = timerValues.getCurrentProcessingTimeInMs()
-        if self.ends.exists():
+        if self.idle_ms is not None and self.ends.exists():
             self.handle.deleteTimer(self.ends.get()[0])
-        end = now + (0 if over else self.idle_ms)
-        self.handle.registerTimer(end)
-        self.ends.update((end,))
+        if over:
+            self.clear()
+        else:
+            if at >= 0:
+                self.held.update((at, x, y, z))
+            self.dropped.update((late,))
+            if self.idle_ms is not None:
+                end = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
+                self.handle.registerTimer(end)
+                self.ends.update((end,))
         yield pd.DataFrame(out, columns=["episode_index", "frame_index", "x", "y", "z", "n_late"]).astype({"x": float, "y": float, "z": float})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+    def clear(self) -> None:
         for state in (self.held, self.dropped, self.ends):
             state.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        self.clear()
         yield pd.DataFrame({"episode_index": pd.Series(dtype="int64"), "frame_index": pd.Series(dtype="int64"), "x": pd.Series(dtype=float), "y": pd.Series(dtype=float), "z": pd.Series(dtype=float), "n_late": pd.Series(dtype="int64")})
 
     def close(self) -> None:
         pass
 
 
-def hold_anchors(frames: DataFrame, *, idle_ms: int = 3_600_000) -> DataFrame:
-    """frames: episode_index, frame_index, is_key, x, y, z, and is_last if there is an end mark. Needs the RocksDB state store."""
+def hold_anchors(frames: DataFrame, *, idle_ms: int | None = None) -> DataFrame:
+    """frames: episode_index, frame_index, is_key, x, y, z, and is_last if there is an end mark. Needs the RocksDB state store.
+
+    Where episodes may stop without an end mark, give ``idle_ms``: the stream then runs batches without data, too, to look at its timers.
+    """
     rows = frames if "is_last" in frames.columns else frames.withColumn("is_last", F.lit(False))
     return rows.groupBy("episode_index").transformWithStateInPandas(
-        statefulProcessor=HoldAnchor(idle_ms), outputStructType="episode_index long, frame_index long, x double, y double, z double, n_late long", outputMode="Append", timeMode="ProcessingTime"
+        statefulProcessor=HoldAnchor(idle_ms), outputStructType="episode_index long, frame_index long, x double, y double, z double, n_late long", outputMode="Append", timeMode="None" if idle_ms is None else "ProcessingTime"
     )
 
 

@@ -75,14 +75,46 @@ def test_state_is_cleared_when_the_episode_ends(spark, tmp_path):
     assert got[0, 2] is None  # nothing is held of an episode that had ended
 
 
+def test_state_is_cleared_after_a_silence(spark, tmp_path):
+    import time
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "episode_index long, frame_index long, is_key boolean, x double, y double, z double"
+    place = str(tmp_path / "in")
+    spark.createDataFrame([(0, 0, True, 1.0, 0.0, 0.0)], schema).coalesce(1).write.parquet(place)
+    query = monitors.hold_anchors(spark.readStream.schema(schema).parquet(place), idle_ms=500).writeStream.format("memory").queryName("silent").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
+
+    def seen(n):
+        for _ in range(120):
+            rows = spark.table("silent").collect()
+            if len(rows) >= n:
+                return {r.frame_index: r.x for r in rows}
+            time.sleep(0.5)
+        raise AssertionError(f"{n} rows were not seen")
+
+    try:
+        assert seen(1) == {0: 1.0}
+        time.sleep(4)
+        spark.createDataFrame([(0, 1, False, None, None, None)], schema).coalesce(1).write.mode("append").parquet(place)
+        assert seen(2) == {0: 1.0, 1: None}
+    finally:
+        query.stop()
+
+
 def test_merged_statistics_far_from_zero(spark):
-    rows = [(k % 7, [1e9 + (k % 11) / 8]) for k in range(1000)]
-    df = spark.createDataFrame(rows, "part long, v array<double>")
-    parts = vectors.partial_stats(df, "v", ["part"])
-    got = vectors.merge_partials(parts).first()
-    want = [(k % 11) / 8 for k in range(1000)]
-    mean = sum(want) / 1000
-    assert got["std"] == pytest.approx((sum((x - mean) ** 2 for x in want) / 1000) ** 0.5, rel=1e-9) and got.n == 1000
+    """Parts with exact means and squared deviations, so that only the merge can lose digits."""
+    from fractions import Fraction
+
+    values = [[Fraction(10**9) + Fraction((k * 7 + p) % 16, 8) for k in range(64)] for p in range(5)]
+    parts = []
+    for v in values:
+        mean = sum(v) / len(v)
+        parts.append((0, len(v), float(mean), float(sum((x - mean) ** 2 for x in v)), float(min(v)), float(max(v))))
+    got = vectors.merge_partials(spark.createDataFrame(parts, "dim int, n long, mean double, m2 double, min double, max double")).first()
+    flat = [x for v in values for x in v]
+    mean = sum(flat) / len(flat)
+    assert got["std"] == pytest.approx(float(sum((x - mean) ** 2 for x in flat) / len(flat)) ** 0.5, rel=1e-9) and got.n == 320
+    assert got["mean"] == pytest.approx(float(mean), rel=1e-15)
 
 
 def test_a_run_of_skipped_trials_is_an_error(spark):
