@@ -29,11 +29,11 @@ def of(prefix):
     return next(q for n, q in QUERIES.items() if n.startswith(f"{prefix}_"))
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_thirteen_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
-@pytest.mark.parametrize("prefix", ["op1", "op5", "op7", "op8"])
+@pytest.mark.parametrize("prefix", ["op1", "op5", "op7", "op8", "op12"])
 def test_sql_twin(spark, duck, prefix):
     name = next(n for n in QUERIES if n.startswith(f"{prefix}_"))
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(duck.execute(__spark_entry__.oracle_sql()[name]).df())
