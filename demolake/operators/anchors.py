@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from demolake.operators.quantiles import exact_quantiles, with_quantiles
+
 FRAME = ("episode_index", "frame_index")
 XYZ = ("x", "y", "z")
 VIEWS = ("left", "right", "wrist")
@@ -134,14 +136,9 @@ def pointing_outcomes(asked: DataFrame, *, pointed: Column, lifted: Column, trut
 def describe_errors(df: DataFrame, error: str, *, unit: str = "m", scale: float = 1.0, thresholds: Sequence[float] = (0.02, 0.04, 0.08, 0.16, 0.32), by: Sequence[str] = ()) -> DataFrame:
     """n, median, mean, p25, p75, p90 in a unit, and the share strictly within each threshold; without rows only n."""
     e = F.col(error) * scale
-    q = lambda p: F.percentile(e, F.lit(p))
-    return df.filter(F.col(error).isNotNull()).groupBy(*by).agg(
-        F.count("*").alias("n"),
-        q(0.5).alias(f"median_{unit}"),
-        F.avg(e).alias(f"mean_{unit}"),
-        *(q(p / 100).alias(f"p{p}_{unit}") for p in (25, 75, 90)),
-        *(F.avg((e < t).cast("int")).alias(f"within_{t:g}".replace(".", "_")) for t in thresholds),
-    )
+    rows = df.filter(F.col(error).isNotNull())
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(e).alias(f"mean_{unit}"), *(F.avg((e < t).cast("int")).alias(f"within_{t:g}".replace(".", "_")) for t in thresholds))
+    return with_quantiles(out, rows, e, {f"median_{unit}": 0.5, **{f"p{p}_{unit}": p / 100 for p in (25, 75, 90)}}, by)
 
 
 def errors_by_phase(df: DataFrame, error: str, phase: str = "phase", **options) -> DataFrame:
@@ -166,14 +163,23 @@ def side_of(task: Column) -> Column:
 
 def distractor_margin(rows: DataFrame, error: str, distractor: str, by: Sequence[str] = ()) -> DataFrame:
     """Share of anchors nearer to the distractor than to the target, and the median distance to it."""
-    return rows.filter(F.col(error).isNotNull() & F.col(distractor).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col(distractor) < F.col(error)).cast("int")).alias("nearer_distractor"), F.median(distractor).alias("median_distance"))
+    both = rows.filter(F.col(error).isNotNull() & F.col(distractor).isNotNull())
+    out = both.groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col(distractor) < F.col(error)).cast("int")).alias("nearer_distractor"))
+    return with_quantiles(out, both, distractor, {"median_distance": 0.5}, by)
 
 
-def pixel_errors(detections: DataFrame, truth: DataFrame, *, keys: Sequence[str] = (*FRAME, "view_id"), thresholds: Sequence[float] = (4, 16)) -> DataFrame:
-    """Per view: how often the truth is visible, how often it was also pointed at, and the pixel error. truth: keys, tu, tv, visible."""
+def pixel_errors(detections: DataFrame, truth: DataFrame, *, keys: Sequence[str] = (*FRAME, "view_id"), thresholds: Sequence[float] = (4, 16), by: Sequence[str] = ("view_id",)) -> DataFrame:
+    """How often the truth is visible, how often it was also pointed at, and the pixel error, per view or other groups. truth: keys, tu, tv, visible."""
     rows = truth.join(detections.select(*keys, "u", "v"), list(keys), "left")
     e = F.when(F.col("visible") & F.col("u").isNotNull(), F.sqrt((F.col("u") - F.col("tu")) * (F.col("u") - F.col("tu")) + (F.col("v") - F.col("tv")) * (F.col("v") - F.col("tv"))))
-    return rows.withColumn("_e", e).groupBy("view_id").agg(F.count_if("visible").alias("n_visible"), F.count("_e").alias("n_pointed"), F.median("_e").alias("median_px"), F.avg("_e").alias("mean_px"), *(F.avg((F.col("_e") < t).cast("int")).alias(f"within_{t}px") for t in thresholds))
+    rows = rows.withColumn("_e", e)
+    out = rows.groupBy(*by).agg(F.count_if("visible").alias("n_visible"), F.count("_e").alias("n_pointed"), F.avg("_e").alias("mean_px"), *(F.avg((F.col("_e") < t).cast("int")).alias(f"within_{t}px") for t in thresholds))
+    return with_quantiles(out, rows, "_e", {"median_px": 0.5}, by)
+
+
+def lift_outcome(pointed: Column, lifted: Column) -> Column:
+    """What became of a view's pointing: lifted to a position, pointed without a lift, or pointed nowhere."""
+    return F.when(lifted, "lifted").when(pointed, "no_lift").otherwise("nowhere")
 
 
 def anchor_coverage(frames: DataFrame, *, hit: Column, agree: Column, both: Column, wrist: Column, truth: Column) -> DataFrame:
@@ -190,14 +196,18 @@ def target_motion(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     a = targets.filter("set_name = 'target'").drop("set_name")
     b = targets.filter("set_name = 'distractor'").select("source_episode", "frame_index", *(F.col(c).alias(f"_{c}") for c in XYZ))
     gap = a.join(b, ["source_episode", "frame_index"]).select(distance([F.col(c) for c in XYZ], [F.col(f"_{c}") for c in XYZ]).alias("d"))
-    apart = gap.agg(F.count("*").alias("n"), F.median("d").alias("median"), F.min("d").alias("min"), F.max("d").alias("max"))
+    apart = with_quantiles(gap.agg(F.count("*").alias("n"), F.min("d").alias("min"), F.max("d").alias("max")), gap, "d", {"median": 0.5})
     most = displacement(targets, ["source_episode", "set_name"]).groupBy("set_name", "source_episode").agg(F.max("displacement").alias("m"))
-    return apart, most.groupBy("set_name").agg(F.count("*").alias("episodes"), F.median("m").alias("median_travel"), F.max("m").alias("max_travel"))
+    travel = most.groupBy("set_name").agg(F.count("*").alias("episodes"), F.max("m").alias("max_travel"))
+    return apart, with_quantiles(travel, most, "m", {"median_travel": 0.5}, ["set_name"])
 
 
 def calibration_report(calib: DataFrame, elements: Sequence[str], *, fine: float = 1e-3, poor: float = 1e-2) -> DataFrame:
     """Per view: the largest population std over a matrix's elements, a verdict, and the element-wise median."""
-    out = calib.groupBy("view_name").agg(F.count("*").alias("n"), F.greatest(*(F.stddev_pop(c) for c in elements)).alias("max_std"), *(F.median(c).alias(c) for c in elements))
+    out = calib.groupBy("view_name").agg(F.count("*").alias("n"), F.greatest(*(F.stddev_pop(c) for c in elements)).alias("max_std"))
+    each = calib.select("view_name", F.explode(F.array(*(F.struct(F.lit(c).alias("element"), F.col(c).cast("double").alias("x")) for c in elements))).alias("e")).select("view_name", "e.*")
+    median = exact_quantiles(each, "x", {"median": 0.5}, ["view_name", "element"]).groupBy("view_name").pivot("element", list(elements)).agg(F.max("median"))
+    out = out.join(median, "view_name", "left")
     return out.withColumn("verdict", F.when(F.col("max_std") < fine, "constant").when(F.col("max_std") < poor, "nearly constant").otherwise("varies"))
 
 

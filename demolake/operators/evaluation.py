@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from demolake.operators.quantiles import exact_quantiles
+
 ARM = ("task", "sampling", "npoints", "step")
 
 
@@ -103,7 +105,9 @@ def grid_probe(clouds: DataFrame, *, radii: Sequence[float], target: int, budget
     per = clouds.groupBy("grid", "episode_index", "frame_index").agg(F.count("*").alias("n"), F.count_if(F.col("label") == target).alias("target"), *(F.count_if(F.col("distance") <= r).alias(f"within_{k}") for k, r in enumerate(radii)))
     per = per.withColumn("drawn", F.least("n", F.lit(budget)))
     names = ["n", "target", "drawn", *(f"within_{k}" for k in range(len(radii)))]
-    out = per.groupBy("grid").agg(F.count("*").alias("n_frames"), *(F.median(c).alias(c) for c in names))
+    each = per.select("grid", F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in names))).alias("e")).select("grid", "e.*")
+    median = exact_quantiles(each, "x", {"median": 0.5}, ["grid", "name"]).groupBy("grid").pivot("name", names).agg(F.max("median"))
+    out = per.groupBy("grid").agg(F.count("*").alias("n_frames")).join(median, "grid")
     ref = out.filter(F.col("grid") == base).select(F.col("n").alias("_n"))
     return out.join(F.broadcast(ref)).withColumns({"ratio": F.col("n") / F.col("_n"), "saturation": F.col("drawn") / F.col("n")}).drop("_n")
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from demolake.operators.quantiles import exact_quantiles, quantile_name, sketch_columns, vector_values, with_quantiles
 from demolake.sources.shared import materialize
 
 
@@ -44,46 +45,29 @@ def vector_stats(df: DataFrame, v: str, *, by: Sequence[str] = (), quantiles: Se
 
     With a known ``width`` the dimensions are aggregates of one row each way,
     without exploding; partial results merge, whatever the split. Exact quantiles
-    keep the distinct values of a dimension in one task; ``exact=False`` keeps a
-    sketch, and ``quantiles_by_rank`` sorts over all tasks.
+    are found by rank over all tasks; ``exact=False`` takes sketches, in the same pass as the rest.
     """
 
     def aggs(x: Column) -> list[tuple[str, Column]]:
         x = x.cast("double")
-        quantile = (lambda q: F.percentile(x, F.lit(q))) if exact else (lambda q: F.percentile_approx(x, q, 10000))
         own = [("n", F.count(x)), ("min", F.min(x)), ("max", F.max(x)), ("mean", F.avg(x)), ("std", F.stddev_pop(x))]
-        return own + [(f"q{round(100 * q):02d}", quantile(q)) for q in quantiles]
+        return own if exact or not quantiles else [*own, ("sketch", F.kll_sketch_agg_double(x, F.lit(1024)))]
 
     if width is None:
-        return df.select(*by, F.posexplode(v).alias("dim", "_x")).groupBy(*by, "dim").agg(*(a.alias(n) for n, a in aggs(F.col("_x"))))
-    wide = df.groupBy(*by).agg(*(F.struct(*(a.alias(n) for n, a in aggs(F.element_at(v, k + 1)))).alias(f"_{k}") for k in range(width)))
-    return wide.select(*by, F.posexplode(F.array(*(F.col(f"_{k}") for k in range(width)))).alias("dim", "s")).select(*by, "dim", "s.*")
+        out = df.select(*by, F.posexplode(v).alias("dim", "_x")).groupBy(*by, "dim").agg(*(a.alias(n) for n, a in aggs(F.col("_x"))))
+    else:
+        wide = df.groupBy(*by).agg(*(F.struct(*(a.alias(n) for n, a in aggs(F.element_at(v, k + 1)))).alias(f"_{k}") for k in range(width)))
+        out = wide.select(*by, F.posexplode(F.array(*(F.col(f"_{k}") for k in range(width)))).alias("dim", "s")).select(*by, "dim", "s.*")
+    if not quantiles:
+        return out
+    if not exact:
+        return out.select(*by, "dim", "n", "min", "max", "mean", "std", *sketch_columns("sketch", quantiles)[1:])
+    return with_quantiles(out, vector_values(df, v, by), "x", {quantile_name(q): q for q in quantiles}, [*by, "dim"])
 
 
 def quantiles_by_rank(df: DataFrame, v: str, quantiles: Sequence[float]) -> DataFrame:
-    """Exact quantiles of each dimension by linear interpolation, for vectors of any number: dim, n, qNN.
-
-    Values are sorted in ranges over all tasks, and only the ranks around each
-    quantile are kept, so that no task holds a dimension's distinct values.
-    """
-    flat = df.select(F.posexplode(v).alias("dim", "_v")).select("dim", F.col("_v").cast("double").alias("x")).filter("x IS NOT NULL")
-    ranged = materialize(flat.repartitionByRange("dim", "x").withColumn("_p", F.spark_partition_id()), "ranges")
-    sizes = ranged.groupBy("dim", "_p").agg(F.count("*").alias("_c"))  # one row for each dimension and range
-    before = sizes.select("dim", "_p", (F.sum("_c").over(Window.partitionBy("dim").orderBy("_p")) - F.col("_c")).alias("_o"), F.sum("_c").over(Window.partitionBy("dim")).alias("n"))
-    at = F.row_number().over(Window.partitionBy("_p", "dim").orderBy("x")) - 1
-    ranked = ranged.withColumn("_r", at).join(before, ["dim", "_p"]).select("dim", "n", "x", (F.col("_o") + F.col("_r")).alias("_i"))
-    low = {q: F.floor(F.lit(q) * (F.col("n") - 1)) for q in quantiles}
-    near = F.lit(False)
-    for q in quantiles:
-        near = near | (F.col("_i") == low[q]) | (F.col("_i") == low[q] + 1)
-    kept = ranked.filter(near)
-
-    def value(q: float) -> Column:
-        part = F.lit(q) * (F.col("n") - 1) - low[q]
-        a, b = F.max(F.when(F.col("_i") == low[q], F.col("x"))), F.max(F.when(F.col("_i") == low[q] + 1, F.col("x")))
-        return a + F.coalesce(F.max(part) * (b - a), F.lit(0.0))
-
-    return kept.groupBy("dim").agg(F.max("n").alias("n"), *(value(q).alias(f"q{round(100 * q):02d}") for q in quantiles))
+    """Exact quantiles of each dimension by linear interpolation, for vectors of any number: dim, n, qNN."""
+    return exact_quantiles(vector_values(df, v), "x", quantiles, ["dim"])
 
 
 def replace_zero_std(stats: DataFrame, std: str = "std") -> DataFrame:
@@ -98,24 +82,53 @@ def mask_rotation_stats(stats: DataFrame, start: int, end: int, rotation: str) -
     return stats.withColumns({"mean": F.when(inside, 0.0).otherwise(F.col("mean")), "std": F.when(inside, 1.0).otherwise(F.col("std"))})
 
 
-def merge_partials(partials: DataFrame, by: Sequence[str] = ("dim",)) -> DataFrame:
-    """Final statistics from partial rows (n, mean, m2, min, max) of disjoint parts.
+def merge_partials(partials: DataFrame, by: Sequence[str] = ("dim",), quantiles: Sequence[float] = ()) -> DataFrame:
+    """Final statistics from partial rows (n, mean, m2, min, max, and sketch for quantiles) of disjoint parts.
 
     Means and squared deviations add up around one of the parts' means, so that
-    means far from zero cost no digits.
+    means far from zero cost no digits. Quantiles qNN come from the merged sketches.
     """
     around = partials.groupBy(*by).agg(F.min("mean").alias("_m0")).withColumnsRenamed({c: f"_by_{c}" for c in by})
     whole = partials.join(around, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]) if by else partials.crossJoin(around)
     off = F.col("mean") - F.col("_m0")
-    sums = whole.groupBy(*by).agg(F.sum("n").alias("_n"), F.min("min").alias("min"), F.max("max").alias("max"), F.first("_m0").alias("_m0"), (F.sum(F.col("n") * off) / F.sum("n")).alias("_d"), (F.sum(F.col("m2") + F.col("n") * off * off) / F.sum("n")).alias("_s"))
-    return sums.select(*by, F.col("_n").alias("n"), "min", "max", (F.col("_m0") + F.col("_d")).alias("mean"), F.sqrt(F.greatest(F.col("_s") - F.col("_d") * F.col("_d"), F.lit(0.0))).alias("std"))
+    merged = [F.kll_merge_agg_double("sketch").alias("_k")] if quantiles else []
+    sums = whole.groupBy(*by).agg(F.sum("n").alias("_n"), F.min("min").alias("min"), F.max("max").alias("max"), F.first("_m0").alias("_m0"), (F.sum(F.col("n") * off) / F.sum("n")).alias("_d"), (F.sum(F.col("m2") + F.col("n") * off * off) / F.sum("n")).alias("_s"), *merged)
+    own = [F.col("_n").alias("n"), "min", "max", (F.col("_m0") + F.col("_d")).alias("mean"), F.sqrt(F.greatest(F.col("_s") - F.col("_d") * F.col("_d"), F.lit(0.0))).alias("std")]
+    return sums.select(*by, *own, *(sketch_columns("_k", quantiles)[1:] if quantiles else ()))
 
 
-def partial_stats(df: DataFrame, v: str, by: Sequence[str] = ()) -> DataFrame:
-    """The rows that merge_partials takes."""
+def partial_stats(df: DataFrame, v: str, by: Sequence[str] = (), *, sketch: int | None = None) -> DataFrame:
+    """The rows that merge_partials takes; with ``sketch``, its size, quantiles can be asked of them, too."""
     x = F.col("_x")
     rows = df.select(*by, F.posexplode(v).alias("dim", "_v")).withColumn("_x", F.col("_v").cast("double"))
-    return rows.groupBy(*by, "dim").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), (F.var_pop(x) * F.count(x)).alias("m2"), F.min(x).alias("min"), F.max(x).alias("max"))
+    held = [F.kll_sketch_agg_double("_x", F.lit(sketch)).alias("sketch")] if sketch else []
+    return rows.groupBy(*by, "dim").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), (F.var_pop(x) * F.count(x)).alias("m2"), F.min(x).alias("min"), F.max(x).alias("max"), *held)
+
+
+class StatsAccumulator:
+    """Statistics and quantiles of a vector column, gathered part by part: ``update`` takes rows, ``merge`` another accumulator, ``result`` may be asked at any time.
+
+    The state is a table of partial rows in the shared folder for each part: the rows themselves aren't kept or read again.
+    Two accumulators must not have a part in common.
+    """
+
+    def __init__(self, v: str, *, sketch: int = 1024):
+        self.v, self.sketch, self.parts = v, sketch, []
+
+    def update(self, df: DataFrame) -> StatsAccumulator:
+        self.parts.append(materialize(partial_stats(df, self.v, sketch=self.sketch), "partials"))
+        return self
+
+    def merge(self, other: StatsAccumulator) -> StatsAccumulator:
+        if (self.v, self.sketch) != (other.v, other.sketch):
+            raise ValueError("accumulators of different columns or sketches don't merge")
+        self.parts += other.parts
+        return self
+
+    def result(self, quantiles: Sequence[float] = ()) -> DataFrame:
+        if not self.parts:
+            raise ValueError("nothing was gathered yet")
+        return merge_partials(reduce(DataFrame.unionByName, self.parts), quantiles=quantiles)
 
 
 def normalise(x: Column, mean: Column, std: Column, *, guard: float | None = None) -> Column:

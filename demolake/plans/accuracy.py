@@ -119,6 +119,22 @@ def a19_pixel_errors(spark, sf_dir):
     return out.withColumns({"median_px": F.round("median_px", 9), "mean_px": F.round("mean_px", 9)})
 
 
+@query("""WITH t AS (SELECT episode_index, frame_index, view_id, (frame_index * 3 + episode_index) % 64 AS tu, (frame_index * 5 + episode_index) % 48 AS tv, episode_index % 4 <> 0 AS visible FROM detections),
+d AS (SELECT episode_index, frame_index, view_id, (frame_index * 7 + episode_index) % 64 AS u, (frame_index * 2 + episode_index) % 48 AS v, x IS NOT NULL AS lifted FROM detections WHERE (episode_index + frame_index) % 5 <> 0),
+j AS (SELECT t.*, CASE WHEN visible AND u IS NOT NULL THEN sqrt((u - tu) * (u - tu) + (v - tv) * (v - tv)) END AS e, CASE WHEN lifted THEN 'lifted' WHEN u IS NOT NULL THEN 'no_lift' ELSE 'nowhere' END AS outcome FROM t LEFT JOIN d USING (episode_index, frame_index, view_id))
+SELECT view_id, outcome, count(*) FILTER (visible) AS n_visible, count(e) AS n_pointed, round(median(e), 9) AS median_px, round(avg(e), 9) AS mean_px, avg(CAST(e < 4 AS INT)) AS within_4px, avg(CAST(e < 16 AS INT)) AS within_16px FROM j GROUP BY view_id, outcome""")
+def a19_pixel_errors_by_outcome(spark, sf_dir):
+    """Pixel errors of pointings that were lifted, of those that weren't, and what was visible without one."""
+    d = table(spark, sf_dir, "detections")
+    e, f = F.col("episode_index"), F.col("frame_index")
+    found = d.filter((e + f) % 5 != 0).select(*_K, "view_id", ((f * 7 + e) % 64).alias("u"), ((f * 2 + e) % 48).alias("v"), F.col("x").isNotNull().alias("lifted"))
+    truth = d.select(*_K, "view_id", ((f * 3 + e) % 64).alias("tu"), ((f * 5 + e) % 48).alias("tv"), (e % 4 != 0).alias("visible"))
+    of = found.select(*_K, "view_id", "lifted")
+    truth = truth.join(of, [*_K, "view_id"], "left").withColumn("outcome", anchors.lift_outcome(F.col("lifted").isNotNull(), F.coalesce("lifted", F.lit(False)))).drop("lifted")
+    out = anchors.pixel_errors(found, truth, by=["view_id", "outcome"])
+    return out.withColumns({"median_px": F.round("median_px", 9), "mean_px": F.round("mean_px", 9)})
+
+
 @query("""WITH w AS (SELECT episode_index, frame_index, query_id, max(CASE view_name WHEN 'left' THEN 1 ELSE 0 END) AS l, max(CASE view_name WHEN 'right' THEN 1 ELSE 0 END) AS r, max(CASE view_name WHEN 'wrist' THEN 1 ELSE 0 END) AS k FROM lifts GROUP BY ALL),
 c AS (SELECT count(*) AS n_frames, count(*) FILTER (l + r > 0) AS n_hit, count(*) FILTER (l + r = 2) AS n_both, count(*) FILTER (l + r = 2 AND (episode_index + frame_index) % 2 = 0) AS n_agree, count(*) FILTER (k = 1) AS n_wrist, count(*) FILTER (episode_index % 5 = 0) AS n_no_truth FROM w)
 SELECT *, round(n_hit / CAST(greatest(n_frames, 1) AS DOUBLE), 4) AS hit_rate, round(n_agree / CAST(greatest(n_both, 1) AS DOUBLE), 4) AS agree_rate, round(n_wrist / CAST(greatest(n_hit, 1) AS DOUBLE), 4) AS wrist_rate FROM c""")

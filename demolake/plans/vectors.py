@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demolake.functions import rotation
-from demolake.operators import vectors
+from demolake.operators import quantiles, vectors
 from demolake.plans.catalog import query
 from demolake.plans.fixtures import table
 
@@ -29,6 +32,38 @@ def a01_vector_stats(spark, sf_dir):
     return out.withColumns({"mean": F.round("mean", 9), "std": F.round("std", 9)})
 
 
+_QS = (0.01, 0.1, 0.5, 0.9, 0.99)
+_PART = "pmod(vec_id * 31 + floor(vec_id / 7), 8)"
+
+
+@query(f"""WITH e AS ({_LONG})
+SELECT dim, count(*) AS n, {", ".join(f"round(quantile_cont(v, {round(100 * q)}e-2), 9) AS q{round(100 * q):02d}" for q in _QS)} FROM e GROUP BY dim""")
+def r04_merged_quantiles(spark, sf_dir):
+    """Exact quantiles of eight parts, merged from the parts' counts of values."""
+    rows = table(spark, sf_dir, "embeddings")
+    states = [quantiles.value_counts(quantiles.vector_values(rows.filter(f"{_PART} = {k}"), "embedding"), "x", ["dim"]) for k in range(8)]
+    out = quantiles.counted_quantiles(quantiles.merge_counts(reduce(DataFrame.unionByName, states), ["dim"]), _QS, ["dim"])
+    return out.withColumns({quantiles.quantile_name(q): F.round(quantiles.quantile_name(q), 9) for q in _QS})
+
+
+@query("""SELECT l_returnflag AS flag, count(*) AS n, quantile_cont(CAST(l_quantity AS DOUBLE), 1e-1) AS q10, quantile_cont(CAST(l_quantity AS DOUBLE), 5e-1) AS q50, quantile_cont(CAST(l_quantity AS DOUBLE), 99e-2) AS q99
+FROM lineitem GROUP BY l_returnflag""")
+def a02_quantiles_of_few_values(spark, sf_dir):
+    """A2 where a few values hold all rows: quantiles by rank of counted values."""
+    return quantiles.exact_quantiles(table(spark, sf_dir, "lineitem"), "l_quantity", (0.1, 0.5, 0.99), ["l_returnflag"]).withColumnRenamed("l_returnflag", "flag")
+
+
+@query(f"""WITH e AS ({_LONG})
+SELECT dim, count(*) AS n, min(v) AS min, max(v) AS max, round(avg(v), 9) AS mean, round(stddev_pop(v), 9) AS std, min(v) AS q00, max(v) AS q100 FROM e GROUP BY dim""")
+def x02_accumulator(spark, sf_dir):
+    """Eight parts in two accumulators, merged; the ends of its sketches are the least and the greatest value."""
+    rows = table(spark, sf_dir, "embeddings")
+    one, other = vectors.StatsAccumulator("embedding"), vectors.StatsAccumulator("embedding")
+    for k in range(8):
+        (one if k % 2 else other).update(rows.filter(f"{_PART} = {k}"))
+    return one.merge(other).result((0.0, 1.0)).withColumns({"mean": F.round("mean", 9), "std": F.round("std", 9)})
+
+
 @query(f"""WITH e AS ({_LONG})
 SELECT dim, count(*) AS n, min(v) AS min, max(v) AS max, CASE WHEN dim BETWEEN 3 AND 6 THEN 0 ELSE round(avg(v), 9) END AS mean,
   CASE WHEN dim BETWEEN 3 AND 6 THEN 1 ELSE round(stddev_pop(v), 9) END AS std FROM e GROUP BY dim""")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from demolake.operators.evaluation import wilson
+from demolake.operators.quantiles import counted_quantiles, merge_counts, value_counts, vector_values
 from demolake.operators.vectors import merge_partials, partial_stats
 
 
@@ -93,17 +94,35 @@ def hold_anchors(frames: DataFrame, *, idle_ms: int | None = None) -> DataFrame:
     )
 
 
-def stats_sink(path: str, vector: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: writes each batch's partial statistics to a folder of its own, so that a batch run again replaces itself."""
+def stats_sink(path: str, vector: str, *, sketch: int | None = None) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: writes each batch's partial statistics to a folder of its own, so that a batch run again replaces itself.
+
+    With ``sketch``, its size, quantiles can be read within a rank error, from rows of bounded size.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        partial_stats(batch, vector, sketch=sketch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def read_stats(spark, path: str, quantiles: Sequence[float] = ()) -> DataFrame:
+    return merge_partials(spark.read.parquet(path), quantiles=quantiles)
+
+
+def counts_sink(path: str, vector: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: the exact quantile state of each batch, the counts of each dimension's values, in a folder of its own."""
 
     def write(batch: DataFrame, number: int) -> None:
-        partial_stats(batch, vector).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        value_counts(vector_values(batch, vector), "x", ["dim"]).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
 
 
-def read_stats(spark, path: str) -> DataFrame:
-    return merge_partials(spark.read.parquet(path))
+def read_quantiles(spark, path: str, quantiles: Sequence[float]) -> DataFrame:
+    """Exact quantiles per dimension of all batches that counts_sink wrote."""
+    counts = merge_counts(spark.read.parquet(path).drop("batch"), ["dim"])
+    return counted_quantiles(counts, quantiles, ["dim"])
 
 
 class RunGate:
