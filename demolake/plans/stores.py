@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from demolake.functions import geometry
 from demolake.operators import anchors, conversation, evaluation, sampling, vectors, voxel
 from demolake.plans.catalog import query
 from demolake.plans.fixtures import table
-from demolake.sources import tables
+from demolake.sources import arrays, tables
 from demolake.sources.shared import new_folder
 
 _K = ["episode_index", "frame_index"]
@@ -54,6 +55,36 @@ def s05_keyed_read(spark, sf_dir):
     return tables.read_anchors(n, held)
 
 
+def _array_cache(spark, sf_dir):
+    """The points of every supplier as an episode's arrays; frames are numbered from 0, and ``line`` has their own number."""
+    path = new_folder(spark, "arrays")
+    p = table(spark, sf_dir, "points")
+    keys = p.select(*_K).distinct().withColumn("at", F.row_number().over(Window.partitionBy("episode_index").orderBy("frame_index")) - 1)
+    mean = p.groupBy(*_K).agg(F.array(*(F.avg(c) for c in "xyz")).alias("centre"))
+    frames = keys.join(mean, _K).select("episode_index", F.col("at").alias("frame_index"), F.col("frame_index").alias("line"), "centre")
+    points = p.join(keys, _K).select("episode_index", F.col("at").alias("frame_index"), "point_id", "x", "y", "z", "label")
+    arrays.write_episode_arrays(frames, points, path)
+    return path
+
+
+@query("SELECT episode_index, frame_index AS line, point_id, x, y, z, label FROM points")
+def s07_array_caches(spark, sf_dir):
+    """Per-episode arrays with offsets, written and read back as frames and points."""
+    path = _array_cache(spark, sf_dir)
+    points = arrays.read_episode_arrays(spark, path, "points", "episode_index long, frame_index long, point_id long, x double, y double, z double, label int")
+    lines = arrays.read_episode_arrays(spark, path, "frames", "episode_index long, frame_index long, line long")
+    return points.join(lines, _K).select("episode_index", "line", (F.col("point_id") + 1).alias("point_id"), "x", "y", "z", "label")
+
+
+@query("SELECT episode_index, frame_index AS line, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM points WHERE episode_index % 7 = 3 AND episode_index > 5 GROUP BY 1, 2")
+def s07_array_caches_of_episodes(spark, sf_dir):
+    """Of array caches only the files of the episodes asked for."""
+    path = _array_cache(spark, sf_dir)
+    asked = [r[0] for r in table(spark, sf_dir, "supplier").filter("s_suppkey % 7 = 3").select("s_suppkey").collect()]
+    rows = arrays.read_episode_arrays(spark, path, "frames", "episode_index long, line long, centre array<double>", episodes=asked).filter("episode_index > 5")
+    return rows.select("episode_index", "line", *(F.col("centre")[k].alias(f"c{c}") for k, c in enumerate("xyz")))
+
+
 @query("""WITH p AS (SELECT trial, task || '-' || sampling || '-n' || npoints || '-s' || seed AS run, CASE WHEN trial % 7 = 0 THEN NULL ELSE step END AS step, trial % 11 = 0 AS part FROM trials)
 SELECT trial, run, CAST(step AS BIGINT) AS step FROM p WHERE step IS NOT NULL AND NOT part""")
 def s11_path_identity(spark, sf_dir):
