@@ -173,6 +173,18 @@ def assemble(frames: DataFrame, points: DataFrame, *, labels: DataFrame | None =
     return out
 
 
+def assemble_by_frame(frames: DataFrame, points: DataFrame, *, labels: DataFrame | None = None, anchors: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """As assemble, but the labels (point_id, label) of a frame travel as one map: all joins are by the frame alone, which tables that are bucketed by it need no shuffle for. A point that is labelled twice is an error."""
+    out = frames.join(points, list(FRAME))
+    if labels is not None:
+        packed = labels.groupBy(*FRAME).agg(F.map_from_entries(F.collect_list(F.struct("point_id", "label"))).alias("_labels"))
+        out = out.join(packed, list(FRAME), "left").withColumn("label", F.try_element_at("_labels", F.col("point_id"))).drop("_labels")
+    for other in (anchors, targets):
+        if other is not None:
+            out = out.join(other, list(FRAME), "left")
+    return out
+
+
 def missing_keys(asked: DataFrame, known: DataFrame, keys: Sequence[str] = FRAME) -> DataFrame:
     return asked.select(*keys).distinct().join(known.select(*keys).distinct(), list(keys), "left_anti")
 

@@ -86,6 +86,14 @@ def transfer_labels(points: DataFrame, labels: DataFrame, size: float, *, by: Se
     return keyed.join(known, [*by, "vkey"], "left").withColumns({"label": F.coalesce("_label", F.lit(0)), "matched": F.col("_label").isNotNull()}).drop("_label")
 
 
+def transfer_labels_by_frame(points: DataFrame, labels: DataFrame, size: float, *, by: Sequence[str] = FRAME) -> DataFrame:
+    """As transfer_labels, but the labels of a frame travel as one map: a join by the frame alone, which tables that are bucketed by it need no shuffle for."""
+    known = labels.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(pack_key(size).alias("k"), F.col("label").alias("v")))).alias("_labels"))
+    out = cells(points, size).withColumn("vkey", pack_key(size)).drop(*CELL).join(known, list(by), "left")
+    found = F.try_element_at("_labels", F.col("vkey"))
+    return out.withColumns({"label": F.coalesce(found, F.lit(0)), "matched": found.isNotNull()}).drop("_labels")
+
+
 def unmatched_share(transferred: DataFrame, *, by: Sequence[str] = FRAME, limit: float | None = None) -> DataFrame:
     """Overall and worst-frame share of points without a label; with ``limit``, an error above it."""
     frames = transferred.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(~F.col("matched")).alias("missing"))

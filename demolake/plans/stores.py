@@ -9,7 +9,7 @@ from demolake.functions import geometry
 from demolake.operators import anchors, conversation, evaluation, sampling, vectors, voxel
 from demolake.plans.catalog import query
 from demolake.plans.fixtures import table
-from demolake.sources import arrays, tables
+from demolake.sources import arrays, frame_store, tables
 from demolake.sources.shared import new_folder
 
 _K = ["episode_index", "frame_index"]
@@ -85,6 +85,49 @@ def s07_array_caches_of_episodes(spark, sf_dir):
     return rows.select("episode_index", "line", *(F.col("centre")[k].alias(f"c{c}") for k, c in enumerate("xyz")))
 
 
+def _frame_store(spark, sf_dir):
+    """Points, labels of three quarters of them by cell, and anchors where a frame has a label 4."""
+    store = frame_store.FrameStore.create(spark, new_folder(spark, "frame-store"), buckets=16, chunk_size=20)
+    p = table(spark, sf_dir, "points")
+    store.write("points", p.select(*_K, "point_id", "x", "y", "z"), order=["point_id"])
+    store.write("labels", voxel.voxel_labels(p.filter("pk % 4 <> 0"), 0.125).select(*_K, *voxel.CELL, "label"))
+    store.write("anchors", p.filter("label = 4 AND ok % 3 = 0").groupBy(*_K).agg(F.avg("x").alias("anchor_x")))
+    return store
+
+
+@query(f"""WITH p AS (SELECT *, CAST(floor(x / 125e-3) AS INT) AS ix, CAST(floor(y / 125e-3) AS INT) AS iy, CAST(floor(z / 125e-3) AS INT) AS iz FROM points),
+n AS (SELECT {", ".join(_K)}, ix, iy, iz, label, count(*) AS n FROM p WHERE pk % 4 <> 0 GROUP BY ALL),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {", ".join(_K)}, ix, iy, iz ORDER BY n DESC, label DESC) AS k FROM n) WHERE k = 1),
+a AS (SELECT {", ".join(_K)}, avg(x) AS anchor_x FROM points WHERE label = 4 AND ok % 3 = 0 GROUP BY ALL)
+SELECT {", ".join(f"p.{k}" for k in _K)}, p.point_id, coalesce(l.label, 0) AS label, l.label IS NOT NULL AS matched, a.anchor_x
+FROM p LEFT JOIN l USING ({", ".join(_K)}, ix, iy, iz) LEFT JOIN a USING ({", ".join(_K)})""")
+def j01_stored_assembly(spark, sf_dir):
+    """Samples from a store of bucketed tables, labels by cell and anchors by frame, without a shuffle."""
+    store = _frame_store(spark, sf_dir)
+    labelled = voxel.transfer_labels_by_frame(store.read("points"), store.read("labels"), 0.125)
+    return tables.read_anchors(labelled, store.read("anchors")).select(*_K, "point_id", "label", "matched", "anchor_x")
+
+
+@query(f"""WITH f AS (SELECT DISTINCT {", ".join(_K)} FROM points), a AS (SELECT DISTINCT {", ".join(_K)} FROM points WHERE label = 4 AND ok % 3 = 0),
+l AS (SELECT {", ".join(_K)}, count(DISTINCT (floor(x / 125e-3), floor(y / 125e-3), floor(z / 125e-3))) AS n FROM points WHERE pk % 4 <> 0 GROUP BY ALL),
+c AS (SELECT 'points' AS "table", (SELECT count(*) FROM points) AS n_rows, count(*) AS n_frames FROM f UNION ALL SELECT 'labels', sum(n), count(*) FROM l UNION ALL SELECT 'anchors', count(*), count(*) FROM a)
+SELECT "table", CAST(n_rows AS BIGINT) AS n_rows, n_frames, (SELECT count(*) FROM f) - n_frames AS n_missing, CAST(0 AS BIGINT) AS n_extra, n_frames / CAST((SELECT count(*) FROM f) AS DOUBLE) AS covered FROM c""")
+def s17_coverage(spark, sf_dir):
+    """Rows and frames of every table of a store, and what it covers of the frames with points."""
+    return _frame_store(spark, sf_dir).coverage("points", ["points", "labels", "anchors"])
+
+
+@query(f"""SELECT DISTINCT {", ".join(_K)} FROM points WHERE episode_index % 40 < 3 AND frame_index > 4""")
+def s13_pending_chunks(spark, sf_dir):
+    """Frames not in the store yet; chunks whose manifest agrees aren't read."""
+    store = frame_store.FrameStore.create(spark, new_folder(spark, "frame-store"), buckets=4, chunk_size=20)
+    rows = table(spark, sf_dir, "points").groupBy(*_K).agg(F.count("*").alias("n"))
+    late = "episode_index % 40 < 3 AND frame_index > 2"
+    store.write("done", rows.filter(f"NOT ({late})"))
+    store.write("done", rows.filter(f"{late} AND frame_index <= 4"), append=True)
+    return store.pending(rows.select(*_K), "done")
+
+
 @query("""WITH p AS (SELECT trial, task || '-' || sampling || '-n' || npoints || '-s' || seed AS run, CASE WHEN trial % 7 = 0 THEN NULL ELSE step END AS step, trial % 11 = 0 AS part FROM trials)
 SELECT trial, run, CAST(step AS BIGINT) AS step FROM p WHERE step IS NOT NULL AND NOT part""")
 def s11_path_identity(spark, sf_dir):
