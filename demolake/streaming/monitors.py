@@ -1,4 +1,4 @@
-"""Structured Streaming twins of the batch operators: running success, anchor hold, coverage, partial statistics, quality gate."""
+"""Structured Streaming twins of the batch operators: running success, anchor hold, coverage, results, partial statistics, quality gate."""
 
 from __future__ import annotations
 
@@ -94,6 +94,58 @@ def hold_anchors(frames: DataFrame, *, idle_ms: int | None = None) -> DataFrame:
     )
 
 
+class KeepBest(StatefulProcessor):
+    """Keeps the best record of a key: a final before a partial one, then the newest version; emits it when it changes."""
+
+    def __init__(self, ttl_ms: int | None) -> None:
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "is_final boolean, version long, record string", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        before = tuple(self.held.get()) if self.held.exists() else None
+        best = before
+        for part in rows:
+            for r in part[["record_final", "record_version", "record_json"]].itertuples(index=False):
+                new = (bool(r[0]), int(r[1]), r[2])
+                best = new if best is None or new > best else best
+        if best != before:
+            self.held.update(best)
+        out = [best] if best != before else []
+        yield pd.DataFrame(out, columns=["is_final", "version", "record"]).astype({"is_final": bool, "version": "int64", "record": object})
+
+    def close(self) -> None:
+        pass
+
+
+def keep_results(records: DataFrame, keys: Sequence[str], *, version: str, final: str = "is_final", ttl_ms: int | None = None) -> DataFrame:
+    """A stream of partial and final records as changes of each key's result; needs the RocksDB state store.
+
+    Of a key's records the one that is greatest by (final, version, content) holds, so that neither the order in which records come nor
+    records that come again make a difference, and a partial record that comes late never replaces a final one. State stays for every
+    key, or for ``ttl_ms`` after its last change; a record that comes after that counts as new. A null version is 0.
+    """
+    own = F.to_json(F.struct(*records.columns))
+    rows = records.select(*keys, F.coalesce(final, F.lit(False)).alias("record_final"), F.coalesce(F.col(version).cast("long"), F.lit(0)).alias("record_version"), own.alias("record_json"))
+    changes = rows.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=KeepBest(ttl_ms), outputStructType="is_final boolean, version long, record string", outputMode="Update", timeMode="None" if ttl_ms is None else "ProcessingTime"
+    )
+    return changes.withColumn("r", F.from_json("record", records.schema)).select("r.*")
+
+
+def changes_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: each batch's changes in a folder of its own, so that a batch run again replaces itself."""
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def read_changes(spark, path: str, keys: Sequence[str], *, version: str, final: str = "is_final") -> DataFrame:
+    """Each key's result after all changes that changes_sink wrote."""
+    rows = spark.read.parquet(path).drop("batch")
+    best = F.max_by(F.struct(*rows.columns), F.struct(F.coalesce(final, F.lit(False)), F.coalesce(version, F.lit(0)), F.to_json(F.struct(*rows.columns))))
+    return rows.groupBy(*keys).agg(best.alias("_r")).select("_r.*")
+
+
 def stats_sink(path: str, vector: str, *, sketch: int | None = None) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: writes each batch's partial statistics to a folder of its own, so that a batch run again replaces itself.
 

@@ -127,3 +127,31 @@ def test_a_run_of_skipped_trials_is_an_error(spark):
     gate(skipped.withColumn("success", F.lit(True)), 1)
     gate.check()
     monitors.RunGate().check()
+
+
+def test_final_results_replace_partial_ones_in_any_order(spark, tmp_path):
+    """The stream ends where the batch reader does, however records are dealt, and when some come again."""
+    import random
+
+    from demolake.plans.streams import streamed
+    from demolake.sources import tables
+
+    schema = "trial long, version long, is_final boolean, success boolean, note string"
+    records = [(t, v, False, None, f"p{v}") for t in range(40) for v in range(1, 2 + t % 3)] + [(t, 1, True, t % 2 == 0, None) for t in range(40) if t % 4]
+    df = spark.createDataFrame(records, schema)
+    keys = ["trial"]
+    newest = df.filter("NOT is_final").groupBy("trial").agg(F.max("version").alias("version"))
+    tables.write_trials(df.filter("is_final").drop("is_final"), str(tmp_path / "r"), final=True, batch="a")
+    tables.write_trials(df.filter("NOT is_final").join(newest, ["trial", "version"]).drop("is_final"), str(tmp_path / "r"), final=False, batch="b")
+    batch = tables.read_results(spark, str(tmp_path / "r"), df.drop("is_final").schema, keys)
+    want = sorted((r.trial, r.version, r.is_final, r.success, r.note) for r in batch.collect())
+    for seed in (1, 2):
+        rows = records + random.Random(seed).sample(records, 30)
+        random.Random(seed).shuffle(rows)
+        parts = [spark.createDataFrame(rows[k::3], schema).coalesce(1) for k in range(3)]
+        out = streamed(parts, lambda s: monitors.keep_results(s, keys, version="version"), "update")
+        got = monitors.read_changes(spark, out, keys, version="version").collect()
+        assert sorted(tuple(r) for r in got) == want
+        again = spark.read.parquet(out).filter("batch = 1").drop("batch")  # a batch run again replaces itself
+        monitors.changes_sink(out)(spark.createDataFrame(again.collect(), again.schema), 1)
+        assert sorted(tuple(r) for r in monitors.read_changes(spark, out, keys, version="version").collect()) == want
