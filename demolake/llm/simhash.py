@@ -15,10 +15,13 @@ Two forms share the machinery of ``pigeonhole``:
   bits, which differ with a probability that the similarity bounds; parts are
   probed until a pair at ``least`` escapes with ``miss`` at most. The members of a
   bucket whose fingerprints are near enough make a least spanning forest by their
-  differing bits; its edges, fewer than the members, are checked on the whole sets,
-  and those at ``least`` or above link. A pair that is alike, but no edge, is joined
-  by edges between nearer fingerprints. A bucket of over ``bucket`` members is
-  searched by pairs of chunks.
+  differing bits, whose edges, fewer than the members, are checked on the whole
+  sets; those at ``least`` or above link. Where a forest left candidates out, its
+  members meet again, nearest candidates first, and every candidate between two
+  that are not connected yet is checked, until none is left: so the components are
+  those of checking all candidates, and pairs that are connected anyway cost nothing.
+  Members of a bucket of over ``bucket`` meet in chunks, and some leaders meet all;
+  afterwards only those meet again that the bucket's largest component lacks.
 
 Linked documents form components. Copies are one fingerprint (in ``near_copies``
 one hash of all lower-case words).
@@ -243,8 +246,8 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def forest(i: np.ndarray, j: np.ndarray, apart: np.ndarray, n: int) -> np.ndarray:
-    """Which of the edges (i, j) among n nodes make the least spanning forest by (apart, place): each tree takes its shortest edge out, until none is left."""
+def forest(i: np.ndarray, j: np.ndarray, apart: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the edges (i, j) among n nodes make the least spanning forest by (apart, place), and each node's tree: each tree takes its shortest edge out, until none is left."""
     order = np.argsort(apart, kind="stable")
     i, j = i[order], j[order]
     tree, left, taken = np.arange(n), np.arange(len(i)), []
@@ -271,59 +274,118 @@ def forest(i: np.ndarray, j: np.ndarray, apart: np.ndarray, n: int) -> np.ndarra
             if (name == before).all():
                 break
         tree = name[tree]
-    return order[np.concatenate(taken)] if taken else order[:0]
+    return (order[np.concatenate(taken)] if taken else order[:0]), tree
+
+
+def _distance(lanes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    apart = np.zeros(len(i), dtype=np.int32)
+    for lane in range(LANES):
+        x = lanes[:, lane]
+        apart += np.bitwise_count(x[i] ^ x[j])
+    return apart
+
+
+def _lanes(bits: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(np.stack(bits).view(np.uint64)) if len(bits) else np.zeros((0, LANES), np.uint64)
+
+
+def _blocks(u: np.ndarray, v: np.ndarray, s: int, size: int, near: int):
+    """Pairs of one bucket whose first 128 bits differ in ``near`` at most, a block of rows at a time."""
+    for k in range(s, s + size, 256):
+        x, y = u[k : min(k + 256, s + size)], v[k : min(k + 256, s + size)]
+        one, two = np.nonzero(np.bitwise_count(x[:, None] ^ u[k : s + size]) + np.bitwise_count(y[:, None] ^ v[k : s + size]) <= near)
+        up = one < two
+        yield k + one[up], k + two[up]
 
 
 def nearest_links(rows: DataFrame, near: int, limit: int) -> DataFrame:
-    """Pairs (a, b) of rows (key, fp, bits) that make a least spanning forest of each bucket: over members whose first 128 bits
-    differ in ``near`` at most and all bits in ``limit`` at most, by the number of differing bits."""
+    """Of each bucket of rows (key, fp, bits) a least spanning forest, and the members of trees that left candidates out.
+
+    Candidates are members whose first 128 bits differ in ``near`` at most and all bits in ``limit`` at most; distances are differing bits.
+    An edge is a row (a, b) without key; a member is a row (a) with a key of its tree, equal for equal trees of other buckets.
+    """
 
     def act(keys, fp, bits):
-        lanes = np.ascontiguousarray(np.stack(bits).view(np.uint64)) if len(bits) else np.zeros((0, LANES), np.uint64)
+        lanes = _lanes(bits)
         u, v = np.ascontiguousarray(lanes[:, 0]), np.ascontiguousarray(lanes[:, 1])
         starts, sizes = bounds(keys)
         pairs = [small_pairs(sizes, [u, v], 12, near)[:2]]
         kept: list[tuple] = []
+        names = mix(fp.view(np.uint64))
 
         def settle():
             i, j = (np.concatenate(c) for c in zip(*pairs, strict=True))
             pairs.clear()
-            apart = np.zeros(len(i), dtype=np.int32)
-            for lane in range(LANES):
-                x = lanes[:, lane]
-                apart += np.bitwise_count(x[i] ^ x[j])
+            apart = _distance(lanes, i, j)
             fine = apart <= limit
             i, j = i[fine], j[fine]
             nodes, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-            edges = forest(at[: len(i)], at[len(i) :], apart[fine], len(nodes))
-            kept.append((fp[i[edges]], fp[j[edges]]))
+            edges, tree = forest(at[: len(i)], at[len(i) :], apart[fine], len(nodes))
+            a, b = fp[i[edges]], fp[j[edges]]
+            kept.append((np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int64)))
+            size, held = np.bincount(tree, minlength=len(nodes)), np.bincount(tree[at[: len(i)]], minlength=len(nodes))
+            name = np.zeros(len(nodes), np.uint64)
+            np.add.at(name, tree, names[nodes])
+            more = (held >= size)[tree]
+            kept.append((fp[nodes[more]], np.zeros(more.sum(), np.int64), (mix(name)[tree[more]] | np.uint64(1)).view(np.int64)))
 
         for s, size in zip(starts[sizes > 12].tolist(), sizes[sizes > 12].tolist(), strict=True):
-            for k in range(s, s + size, 256):
-                x, y = u[k : min(k + 256, s + size)], v[k : min(k + 256, s + size)]
-                d = np.bitwise_count(x[:, None] ^ u[k : s + size]) + np.bitwise_count(y[:, None] ^ v[k : s + size])
-                one, two = np.nonzero(d <= near)
-                up = one < two
-                pairs.append((k + one[up], k + two[up]))
+            pairs.extend(_blocks(u, v, s, size, near))
             if sum(len(p[0]) for p in pairs) > 1_000_000:  # buckets are settled whole
                 settle()
         if pairs:
             settle()
-        a, b = (np.concatenate(c) for c in zip(*kept, strict=True))
+        a, b, key = (np.concatenate(c) for c in zip(*kept, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(key)], names=["a", "b", "key"])
+
+    return by_bucket(rows.select("key", "fp", "bits"), act, "a long, b long, key long", at_once=20_000).distinct()
+
+
+def unconnected(rows: DataFrame, near: int, low: int, limit: int) -> DataFrame:
+    """All candidate pairs (a, b) of buckets (key, fp, root, bits) that have different roots and differ in more than ``low`` bits and ``limit`` at most."""
+
+    def act(keys, fp, root, bits):
+        lanes = _lanes(bits)
+        u, v = np.ascontiguousarray(lanes[:, 0]), np.ascontiguousarray(lanes[:, 1])
+        starts, sizes = bounds(keys)
+        found = []
+        for s, size in zip(starts.tolist(), sizes.tolist(), strict=True):
+            for i, j in _blocks(u, v, s, size, near):
+                other = root[i] != root[j]
+                i, j = i[other], j[other]
+                apart = _distance(lanes, i, j)
+                fine = (apart > low) & (apart <= limit)
+                found.append((fp[i[fine]], fp[j[fine]]))
+        a, b = (np.concatenate(c) for c in zip(*found, strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return by_bucket(rows.select("key", "fp", "bits"), act, "a long, b long", at_once=20_000).distinct()
+    return by_bucket(rows.select("key", "fp", "root", "bits"), act, "a long, b long", at_once=20_000).distinct()
 
 
-def _in_chunks(rows: DataFrame, bucket: int) -> DataFrame:
-    """Rows whose crowded keys are cut: each pair of chunks of a crowded bucket is a bucket of its own, of about ``bucket`` rows at most."""
-    crowded = _crowded(rows, bucket)
-    if crowded.isEmpty():
-        return rows
+def _with_leaders(rows: DataFrame, crowded: DataFrame, bucket: int, leaders: int = 64) -> DataFrame:
+    """Rows of crowded keys in chunks of about half of ``bucket``; the leaders of a key, some of its rows by hash, are in all its chunks."""
     chunks = F.ceil(2 * F.col("n") / bucket).cast("long")
-    cut = rows.join(crowded, "key").withColumn("_c", F.pmod(F.xxhash64("fp", F.lit(5)), chunks)).withColumn("_o", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    cut = cut.select(F.xxhash64("key", F.least("_c", "_o"), F.greatest("_c", "_o")).alias("key"), *(c for c in rows.columns if c != "key"))
-    return rows.join(crowded, "key", "left_anti").union(cut)
+    inside = rows.join(crowded, "key").withColumn("_h", F.xxhash64("fp", F.lit(5)))
+    # about so many leaders a key: a row leads if its hash is in the key's share
+    leads = F.pmod(F.shiftright("_h", 20), F.lit(1 << 30)) * F.col("n") < leaders * (1 << 30)
+    own = F.pmod("_h", chunks)
+    dealt = inside.withColumn("_c", F.explode(F.when(leads, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(own))))
+    return dealt.select(F.xxhash64("key", "_c").alias("key"), *(c for c in rows.columns if c != "key"))
+
+
+def _minor_meet_all(rows: DataFrame, bucket: int) -> DataFrame:
+    """Rows (key, fp, root, bits) of crowded keys, so that each row outside of a key's largest component meets all rows of its key: chunks of the former by chunks of all."""
+    half = bucket // 2
+    counts = rows.groupBy("key", "root").agg(F.count("*").alias("_n"))
+    tops = counts.groupBy("key").agg(F.max_by("root", F.struct("_n", "root")).alias("_top"), F.sum("_n").alias("_all"), F.max("_n").alias("_most"))
+    tops = tops.filter("_all > _most")
+    inside = rows.join(tops, "key").withColumns({"_minor": F.col("root") != F.col("_top"), "_h": F.xxhash64("fp", F.lit(7))})
+    minors, alls = F.ceil((F.col("_all") - F.col("_most")) / half).cast("long"), F.ceil(F.col("_all") / half).cast("long")
+    mine, other = F.pmod("_h", minors), F.pmod("_h", alls)
+    as_all = inside.withColumns({"_i": F.explode(F.sequence(F.lit(0), minors - 1)), "_j": other})
+    as_minor = inside.filter("_minor").withColumns({"_i": mine, "_j": F.explode(F.sequence(F.lit(0), alls - 1))})
+    dealt = as_all.unionByName(as_minor).select(F.xxhash64("key", "_i", "_j").alias("key"), "fp", "root", "bits")
+    return dealt.dropDuplicates(["key", "fp"])
 
 
 def link_texts(signed_: DataFrame, texts: Callable[[DataFrame], DataFrame], *, shingle: int = 5, least: float = 0.8, miss: float = 0.002, bucket: int = 2048) -> DataFrame:
@@ -334,11 +396,36 @@ def link_texts(signed_: DataFrame, texts: Callable[[DataFrame], DataFrame], *, s
     differ = math.acos(2 * least / (1 + least)) / math.pi + 0.01
     plan = plan_bands(bit_statistics(fps, LANES), max(n, 2), differ, miss)
     within = lambda size, wide: math.ceil(size * differ + wide * math.sqrt(size * differ * (1 - differ)))
+    near, limit = within(128, 4.4), within(64 * LANES, 3.5)
     spread = fps.repartition(max(1, n * sum(n_keys(len(group), t) for _, group, t in plan) // 200_000), "fp")
     keyed = probe_keys(spread.select("fp", "bits"), plan, lambda lane: F.col("bits")[lane], ["fp", "bits"]).select("key", "fp", "bits")
-    pairs = materialize(nearest_links(_in_chunks(keyed, bucket), within(128, 4.4), within(64 * LANES, 3.5)), "pairs")
-    sets = materialize(run_sets(texts(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()), shingle), "sets")
-    return components(similar(pairs, sets, least))
+    crowded = _crowded(keyed, bucket)
+    full = not crowded.isEmpty()
+    met = keyed.join(crowded, "key", "left_anti").union(_with_leaders(keyed, crowded, bucket)) if full else keyed
+    found = materialize(nearest_links(met, near, limit), "pairs")
+    doubt = found.filter("key != 0").select("key", F.col("a").alias("fp"))
+    inside = materialize(keyed.join(crowded, "key", "left_semi").select("key", "fp"), "crowded-rows") if full else None
+    asked = found.filter("key = 0").select(F.explode(F.array("a", "b")).alias("fp"))
+    sets = materialize(run_sets(texts((asked.union(inside.select("fp")) if full else asked).distinct()), shingle), "sets")
+    links = materialize(similar(found.filter("key = 0").select("a", "b"), sets, least), "links")
+    roots = components(links)
+    low = -1
+    for high in (within(64 * LANES, -1), within(64 * LANES, 1), limit):
+        named = roots.withColumnRenamed("node", "fp")
+        of = lambda rows, named=named: rows.join(named, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+        rows = of(doubt)
+        several = rows.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a != _b").select("key")
+        open_ = rows.join(several, "key", "left_semi").join(fps, "fp")
+        if full:
+            open_ = open_.unionByName(_minor_meet_all(of(inside).join(fps, "fp"), bucket))
+        more = materialize(unconnected(open_, near, low, high), "pairs")
+        if not more.isEmpty():
+            new = materialize(similar(more, sets, least), "links")
+            if not new.isEmpty():
+                links = links.union(new)
+                roots = components(links)
+        low = high
+    return roots
 
 
 def near_copies(docs: DataFrame, *, order: Sequence[str] = ("doc_id",), shingle: int = 5, least: float = 0.8) -> DataFrame:
