@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demolake.llm.scratch import mark, materialize, release
+from demolake.llm.scratch import delete, stored
 
 
 def components(edges: DataFrame, name: str = "components", limit: int | None = None) -> DataFrame:
@@ -18,7 +18,7 @@ def components(edges: DataFrame, name: str = "components", limit: int | None = N
     stay linear; a node's smallest neighbour is found by a partial aggregation.
     """
     spark = edges.sparkSession
-    edges = materialize(edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+    edges, path = stored(edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
     state, rounds = None, 0
     while True:
         rounds += 1
@@ -27,9 +27,9 @@ def components(edges: DataFrame, name: str = "components", limit: int | None = N
         large = both.join(low, "u").filter("v > u AND v != m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
         small = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
         stars = large.join(small, F.col("b") == F.col("u")).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a != b").distinct()
-        since = mark()
-        edges = materialize(stars, name)
-        release(spark, since - 1, keep=1)  # the edges before
+        before = path
+        edges, path = stored(stars, name)
+        delete(spark, before)
         if rounds == limit:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

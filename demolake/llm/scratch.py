@@ -1,5 +1,5 @@
 """Intermediate tables in the shared folder; see ``demolake.sources.shared``."""
 
-from demolake.sources.shared import mark, materialize, new_folder, release, shared_dir
+from demolake.sources.shared import delete, materialize, new_folder, shared_dir, stored, temporary_tables
 
-__all__ = ["mark", "materialize", "new_folder", "release", "shared_dir"]
+__all__ = ["delete", "materialize", "new_folder", "shared_dir", "stored", "temporary_tables"]
