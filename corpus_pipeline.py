@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from demolake.llm import decontaminate, mixing, simhash, substring, toxicity
 from demolake.llm.langid import held_out
-from demolake.llm.scratch import mark, new_folder, release
+from demolake.llm.scratch import delete, new_folder, temporary_tables
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -61,12 +61,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. A stage's intermediate tables, and its input, are deleted once its output is written."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        since = mark()
-        out = stage(spark, docs, sf_dir)
-        path = new_folder(spark, f"pipeline-{name}")
-        out.write.option("compression", "zstd").parquet(path)
+        before, path = path, new_folder(spark, f"pipeline-{name}")
+        with temporary_tables(spark):
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
         docs = spark.read.parquet(path)
-        release(spark, since - (name != STAGES[0][0]), keep=1)
+        if before:
+            delete(spark, before)
     return docs

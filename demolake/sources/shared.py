@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[str] = []
+#: The paths that the innermost ``temporary_tables`` of this thread has to delete.
+_owned: ContextVar[list[str] | None] = ContextVar("owned", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,33 +34,46 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses; ``release`` deletes it."""
+    """A path in the shared folder that nothing else uses."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    if (owned := _owned.get()) is not None:
+        owned.append(path)
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` once as Parquet in the shared folder and returns the table read back.
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing still to run reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end, also after a failure, the tables that were written inside.
+
+    Knows only what its own thread wrote, and of nested blocks each its own: calls in other threads lose nothing.
+    """
+    owned: list[str] = []
+    token = _owned.set(owned)
+    try:
+        yield
+    finally:
+        _owned.reset(token)
+        for path in owned:
+            delete(spark, path)
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Writes ``df`` once as Parquet in the shared folder; returns the table read back, and its path.
 
     Cuts the lineage: a lost executor costs only the tasks that read this table.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+    return spark.read.schema(df.schema).parquet(path), path
 
-def mark() -> int:
-    """To be given to ``release``: how many tables were written before."""
-    return len(_written)
 
-
-def release(spark: SparkSession, since: int, keep: int = 0) -> None:
-    """Deletes the tables written since a mark but the last ``keep``; only for tables that nothing still to run reads."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    end = len(_written) - keep
-    for path in _written[since:end]:
-        at = hadoop(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    del _written[since:end]
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """The table alone; see ``stored``."""
+    return stored(df, name)[0]
