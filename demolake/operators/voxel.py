@@ -142,42 +142,62 @@ def z_order(depth: int, order: Sequence[str] = CELL) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
 
-def _bit(x: Column, k: int) -> Column:
-    return F.shiftright(x, k).bitwiseAND(F.lit(1).cast("long"))
+def skilling_steps(start: Column, steps: Sequence[tuple[int, int]]) -> Column:
+    """Steps (level of bits, axis) of Skilling's transform over a struct of three numbers a, b, c, as one fold: the expression doesn't grow with the depth.
+
+    Where the axis has the level's bit, the lower bits of the first axis turn over; else both axes exchange theirs.
+    """
+
+    def step(x: Column, at: Column) -> Column:
+        level, axis = F.floor(at / 3).cast("int"), at % 3
+        mine = F.when(axis == 0, x["a"]).when(axis == 1, x["b"]).otherwise(x["c"])
+        low = F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1
+        has = F.call_function("shiftright", mine, level).bitwiseAND(F.lit(1).cast("long")) == 1
+        swap = x["a"].bitwiseXOR(mine).bitwiseAND(low)
+        other = F.when(has, F.lit(0).cast("long")).otherwise(swap)
+        return F.struct(
+            x["a"].bitwiseXOR(F.when(has, low).otherwise(swap)).alias("a"),
+            F.when(axis == 1, x["b"].bitwiseXOR(other)).otherwise(x["b"]).alias("b"),
+            F.when(axis == 2, x["c"].bitwiseXOR(other)).otherwise(x["c"]).alias("c"),
+        )
+
+    if not steps:
+        return start
+    return F.aggregate(F.array(*(F.lit(3 * level + axis) for level, axis in steps)), start, step)
 
 
 def with_hilbert_order(df: DataFrame, depth: int, out: str, order: Sequence[str] = CELL) -> DataFrame:
     """Adds the Hilbert code of three cell numbers: Skilling's transform, a level of bits at a time, as column arithmetic."""
-    one = F.lit(1).cast("long")
-    names = [f"_h{k}" for k in range(3)]
-    df = df.withColumns({n: F.col(c).cast("long") for n, c in zip(names, order, strict=True)})
-    for level in range(depth - 1, 0, -1):
-        q, low = 1 << level, F.lit((1 << level) - 1).cast("long")
-        for k in range(3):
-            a, x = F.col(names[0]), F.col(names[k])
-            swap = a.bitwiseXOR(x).bitwiseAND(low)
-            set_ = x.bitwiseAND(F.lit(q)) != 0
-            df = df.withColumn("_s", F.when(set_, F.lit(0).cast("long")).otherwise(swap)).withColumn("_f", F.when(set_, low).otherwise(F.lit(0).cast("long")))
-            df = df.withColumn(names[0], F.col(names[0]).bitwiseXOR(F.col("_f")).bitwiseXOR(F.col("_s")))
-            if k:
-                df = df.withColumn(names[k], F.col(names[k]).bitwiseXOR(F.col("_s")))
-    df = df.withColumn(names[1], F.col(names[1]).bitwiseXOR(F.col(names[0])))
-    df = df.withColumn(names[2], F.col(names[2]).bitwiseXOR(F.col(names[1])))
-    turn = F.lit(0).cast("long")
-    for level in range(depth - 1, 0, -1):
-        turn = turn.bitwiseXOR(F.when(_bit(F.col(names[2]), level) == one, F.lit((1 << level) - 1).cast("long")).otherwise(F.lit(0).cast("long")))
-    df = df.withColumn("_t", turn)
-    code = reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(_bit(F.col(names[k]).bitwiseXOR(F.col("_t")), level), 3 * level + 2 - k) for level in range(depth) for k in range(3)])
-    return df.withColumn(out, code).drop(*names, "_s", "_f", "_t")
+    start = F.struct(*(F.col(c).cast("long").alias(n) for n, c in zip("abc", order, strict=True)))
+    turned = skilling_steps(start, [(level, axis) for level in range(depth - 1, 0, -1) for axis in range(3)])
+    bind = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    bit = lambda x, k: F.shiftright(x, k).bitwiseAND(F.lit(1).cast("long"))
+
+    def gray(x: Column) -> Column:
+        b = x["a"].bitwiseXOR(x["b"])
+        return F.struct(x["a"].alias("a"), b.alias("b"), b.bitwiseXOR(x["c"]).alias("c"))
+
+    def with_turn(x: Column) -> Column:
+        turn = reduce(lambda t, level: t.bitwiseXOR(bit(x["c"], level) * F.lit((1 << level) - 1)), range(depth - 1, 0, -1), F.lit(0).cast("long"))
+        return F.struct(*(x[n].bitwiseXOR(turn).alias(n) for n in "abc"))
+
+    def code(x: Column) -> Column:
+        return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(bit(x[n], level), 3 * level + 2 - k) for level in range(depth) for k, n in enumerate("abc")])
+
+    return df.withColumn(out, bind(bind(bind(turned, gray), with_turn), code))
 
 
 def serialise(points: DataFrame, size: float, *, depth: int = 10, curve: str = "z", by: Sequence[str] = FRAME) -> DataFrame:
     """Each point's code on a space-filling curve, and its place along the curve within its cloud (ties to the smaller point_id).
 
-    curve: z, z-trans, hilbert or hilbert-trans (first two axes exchanged).
+    curve: z, z-trans, hilbert or hilbert-trans (first two axes exchanged). A cloud that is wider than ``depth`` levels is an error.
     """
+    from demolake.operators.curves import check_depth, inside
+
+    check_depth(depth)
     corner = Window.partitionBy(*by)
     grid = points.withColumns({c: ((F.col(a) - F.min(a).over(corner)) / size).cast("long") for c, a in zip(CELL, AXES, strict=True)})
+    grid = inside(grid, depth)
     order = (CELL[1], CELL[0], CELL[2]) if curve.endswith("-trans") else CELL
     coded = grid.withColumn("code", z_order(depth, order)) if curve.startswith("z") else with_hilbert_order(grid, depth, "code", order)
     return coded.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("code", "point_id")) - 1)

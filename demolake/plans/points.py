@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from demolake.functions.colour import jitter_colours
 from demolake.functions.geometry import density_weight, in_workspace, squared_distance
-from demolake.operators import anchors, sampling, voxel
+from demolake.operators import anchors, curves, pooling, sampling, voxel
 from demolake.plans.catalog import query
 from demolake.plans.fixtures import table
 
@@ -113,9 +114,88 @@ def t06_z_order(spark, sf_dir):
     return voxel.serialise(table(spark, sf_dir, "points"), 0.03125, depth=6).select("episode_index", "frame_index", "point_id", "code", "place")
 
 
-@query()
+def _hilbert_sql(depth, axes="xyz"):
+    """Steps of Skilling's transform as a chain of subqueries over g (a, b, c from the cells gx, gy, gz), then the code."""
+    steps, last = [f"h0 AS (SELECT *, {', '.join(f'g{x} AS {n}' for x, n in zip(axes, 'abc', strict=True))} FROM g)"], 0
+    for level in range(depth - 1, 0, -1):
+        q, p = 1 << level, (1 << level) - 1
+        for n in "abc":
+            turned = f"CASE WHEN {n} & {q} <> 0 THEN xor(a, {p}) ELSE xor(a, xor(a, {n}) & {p}) END"
+            other = "" if n == "a" else f", CASE WHEN {n} & {q} <> 0 THEN {n} ELSE xor({n}, xor(a, {n}) & {p}) END AS {n}"
+            steps.append(f"h{last + 1} AS (SELECT * REPLACE ({turned} AS a{other}) FROM h{last})")
+            last += 1
+    steps.append(f"k1 AS (SELECT * REPLACE (xor(b, a) AS b) FROM h{last}), k2 AS (SELECT * REPLACE (xor(c, b) AS c) FROM k1)")
+    turn = "0"
+    for level in range(depth - 1, 0, -1):
+        turn = f"xor({turn}, CASE WHEN c & {1 << level} <> 0 THEN {(1 << level) - 1} ELSE 0 END)"
+    code = " | ".join(f"(((xor({n}, t) >> {k}) & 1) << {3 * k + 2 - i})" for k in range(depth) for i, n in enumerate("abc"))
+    return ", ".join(steps) + f", k3 AS (SELECT *, {turn} AS t FROM k2), c AS (SELECT *, {code} AS code FROM k3)"
+
+
+_GRID = """g AS (SELECT episode_index, frame_index, point_id, CAST(trunc((x - min(x) OVER w) / 3125e-5) AS BIGINT) AS gx, CAST(trunc((y - min(y) OVER w) / 3125e-5) AS BIGINT) AS gy,
+  CAST(trunc((z - min(z) OVER w) / 3125e-5) AS BIGINT) AS gz FROM points WINDOW w AS (PARTITION BY episode_index, frame_index))"""
+_PLACED = "SELECT episode_index, frame_index, point_id, code, CAST(row_number() OVER (PARTITION BY episode_index, frame_index ORDER BY code, point_id) - 1 AS INT) AS place FROM c"
+_CODE = ["episode_index", "frame_index", "point_id", "code", "place"]
+
+
+@query(f"WITH {_GRID}, {_hilbert_sql(6)} {_PLACED}")
 def t06_hilbert_order(spark, sf_dir):
-    return voxel.serialise(table(spark, sf_dir, "points"), 0.03125, depth=6, curve="hilbert").select("episode_index", "frame_index", "point_id", "code", "place")
+    return voxel.serialise(table(spark, sf_dir, "points"), 0.03125, depth=6, curve="hilbert").select(*_CODE)
+
+
+@query(f"WITH {_GRID}, {_hilbert_sql(6, 'yxz')} {_PLACED}")
+def t06_hilbert_trans_order(spark, sf_dir):
+    """With the first two axes exchanged."""
+    return voxel.serialise(table(spark, sf_dir, "points"), 0.03125, depth=6, curve="hilbert-trans").select(*_CODE)
+
+
+@query(f"WITH {_GRID} SELECT episode_index, frame_index, point_id, gx AS ix, gy AS iy, gz AS iz FROM g")
+def t06_cells_of_codes(spark, sf_dir):
+    """Hilbert codes decoded are the cells that they came from."""
+    coded = voxel.serialise(table(spark, sf_dir, "points"), 0.03125, depth=6, curve="hilbert").select(*_CODE)
+    return curves.hilbert_cells(coded, "code", 6).select("episode_index", "frame_index", "point_id", "ix", "iy", "iz")
+
+
+@query(f"""WITH {_GRID}, c AS (SELECT *, {_BITS} AS code FROM g), p AS (SELECT episode_index, frame_index, row_number() OVER w1 - 1 AS n, row_number() OVER w2 - 1 AS p FROM c
+  WINDOW w1 AS (PARTITION BY episode_index, frame_index ORDER BY point_id), w2 AS (PARTITION BY episode_index, frame_index ORDER BY code, point_id))
+SELECT a.episode_index, a.frame_index, CAST(a.n AS INT) AS i, CAST(b.n AS INT) AS "order", CAST(a.p AS INT) AS inverse FROM p a JOIN p b ON a.episode_index = b.episode_index AND a.frame_index = b.frame_index AND a.n = b.p""")
+def t06_permutations(spark, sf_dir):
+    """The order of each cloud along the curve, and its inverse."""
+    return curves.permutations(voxel.serialise(table(spark, sf_dir, "points"), 0.03125, depth=6))
+
+
+@query(f"""WITH {_GRID}, c AS (SELECT *, {_BITS} AS code FROM g), b AS (SELECT *, dense_rank() OVER (PARTITION BY episode_index ORDER BY frame_index) - 1 AS batch FROM c)
+SELECT episode_index, frame_index, point_id, (batch << 18) | code AS code, CAST(row_number() OVER (PARTITION BY episode_index ORDER BY batch, code, point_id) - 1 AS INT) AS place FROM b""")
+def t06_batch_codes(spark, sf_dir):
+    """An episode's clouds in one order, by a code with the cloud's number in front."""
+    coded = voxel.serialise(table(spark, sf_dir, "points"), 0.03125, depth=6)
+    batch = F.dense_rank().over(Window.partitionBy("episode_index").orderBy("frame_index")) - 1
+    rows = coded.withColumn("code", curves.batch_code(F.col("code"), batch, 6))
+    return rows.select("episode_index", "frame_index", "point_id", "code", (F.row_number().over(Window.partitionBy("episode_index").orderBy("code", "point_id")) - 1).alias("place"))
+
+
+_LEVELS = """f AS (SELECT episode_index, frame_index, point_id, label, CAST(floor(x / 625e-4) AS BIGINT) AS x0, CAST(floor(y / 625e-4) AS BIGINT) AS y0, CAST(floor(z / 625e-4) AS BIGINT) AS z0 FROM points),
+g AS (SELECT *, CAST(trunc(x0 / 2e0) AS BIGINT) AS x1, CAST(trunc(y0 / 2e0) AS BIGINT) AS y1, CAST(trunc(z0 / 2e0) AS BIGINT) AS z1 FROM f),
+h AS (SELECT *, CAST(trunc(x1 / 3e0) AS BIGINT) AS x2, CAST(trunc(y1 / 3e0) AS BIGINT) AS y2, CAST(trunc(z1 / 3e0) AS BIGINT) AS z2 FROM g),
+i AS (SELECT episode_index, frame_index, point_id, label, """ + ", ".join(f"CAST(dense_rank() OVER (PARTITION BY episode_index, frame_index ORDER BY x{k}, y{k}, z{k}) - 1 AS INT) AS id{k}" for k in range(3)) + " FROM h)"
+
+
+@query(f"WITH {_LEVELS} SELECT episode_index, frame_index, point_id, id0, id1, id2 FROM i")
+def a31_pooling_ids(spark, sf_dir):
+    """Each point's cell at every level of a pooling chain."""
+    ids = pooling.pooling_ids(table(spark, sf_dir, "points"), 0.0625, [2, 3])
+    return ids.select("episode_index", "frame_index", "point_id", "id0", "id1", "id2")
+
+
+@query(f"""WITH {_LEVELS}, q AS (SELECT *, CASE WHEN label > 2 THEN label - 3 END AS query_id FROM i),
+l AS (SELECT episode_index, frame_index, 0 AS level, id0 AS cell, query_id FROM q UNION ALL SELECT episode_index, frame_index, 1, id1, query_id FROM q UNION ALL SELECT episode_index, frame_index, 2, id2, query_id FROM q)
+SELECT episode_index, frame_index, level, cell, string_agg(DISTINCT CAST(query_id AS VARCHAR), ',' ORDER BY CAST(query_id AS VARCHAR)) AS query_ids FROM l WHERE query_id IS NOT NULL GROUP BY ALL""")
+def a31_query_ids(spark, sf_dir):
+    """The queries that points answer, carried by composed parent maps to the cells of every level."""
+    ids = pooling.pooling_ids(table(spark, sf_dir, "points"), 0.0625, [2, 3])
+    ancestors = pooling.compose([pooling.parent_map(ids, k) for k in range(2)])
+    carried = ids.filter("label > 2").select("episode_index", "frame_index", F.col("id0").alias("child"), (F.col("label") - 3).alias("query_id"))
+    return pooling.carry_ids(carried, ancestors).withColumn("query_ids", F.concat_ws(",", F.col("query_ids").cast("array<string>")))
 
 
 #: A number in (0, 1) from integer arithmetic that both engines share.
