@@ -75,14 +75,35 @@ def project_rounded(p: Column, fx: Column, fy: Column, cx: Column, cy: Column) -
     return F.struct(pixel(fx, 0, cx).alias("u"), pixel(fy, 1, cy).alias("v"))
 
 
-def project_points(points: DataFrame, cams: DataFrame, *, on: Sequence[str] = ()) -> DataFrame:
-    """Points seen by cameras (view_id, fx, fy, cx, cy, tx, ty, tz), looking along +z from (tx, ty, -tz): a broadcast of the few cameras, or a join on their key."""
-    few = F.broadcast(cams)
-    both = points.join(few, list(on)) if on else points.crossJoin(few)
+def project_points(points: DataFrame, cams: DataFrame, *, on: Sequence[str] = (), most: int = 10_000) -> DataFrame:
+    """Points seen by cameras (view_id, fx, fy, cx, cy, tx, ty, tz), looking along +z from (tx, ty, -tz): every point by each of at most ``most`` cameras, or by the cameras of its key."""
+    both = points.join(cams, list(on)) if on else points.crossJoin(F.broadcast(few(cams, most)))
     p = F.array(F.col("x") + F.col("tx"), F.col("y") + F.col("ty"), F.col("z") + F.col("tz"))
+    return _seen_at(both, p)
+
+
+def project_posed(points: DataFrame, cams: DataFrame, *, on: Sequence[str], rotation: str = "cam_rotation", shift: str = "cam_shift") -> DataFrame:
+    """Points seen by the cameras of their key, such as a frame: cams has fx, fy, cx, cy, a rotation (nine numbers by rows) and a shift, from the points' coordinates to the camera's.
+
+    An equi join: Spark broadcasts the cameras only if they are small, as they grow with the frames.
+    """
+    both = points.join(cams, list(on))
+    x = F.array("x", "y", "z")
+    row = lambda k: sum((_at(F.col(rotation), 3 * k + j) * _at(x, j) for j in range(3)), _at(F.col(shift), k))
+    return _seen_at(both, F.array(*(row(k) for k in range(3))))
+
+
+def _seen_at(both: DataFrame, p: Column) -> DataFrame:
     return both.withColumn("_p", project(p, F.col("fx"), F.col("fy"), F.col("cx"), F.col("cy"))).select("*", "_p.u", "_p.v", F.col("_p.z").alias("depth"), "_p.in_front").drop("_p")
 
 
+def few(df: DataFrame, most: int) -> DataFrame:
+    """The same rows, if they are few enough to be broadcast."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} rows are too many to meet every row; join them by a key")
+    return df
+
+
 def visible(width: int, height: int) -> Column:
     return F.col("in_front") & (F.col("u") >= 0) & (F.col("u") < width) & (F.col("v") >= 0) & (F.col("v") < height)
 

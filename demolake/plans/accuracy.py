@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from demolake.operators import anchors, episodes
+from demolake.operators import anchors, episodes, records
 from demolake.plans.catalog import query
 from demolake.plans.fixtures import table
 
@@ -158,3 +158,22 @@ def f27_record_round_trip(spark, sf_dir):
     packed = rows.groupBy(*_K, "view_name").agg(F.array_sort(F.collect_list(F.struct("x", "y", "z", "query_id", "n_support"))).alias("a"))
     flat = packed.select(*_K, "view_name", anchors.encode_record(F.col("a"), 6).alias("f"))
     return flat.select(*_K, "view_name", F.inline(anchors.decode_record(F.col("f")))).withColumn("n_support", F.col("n_support").cast("long"))
+
+
+_LAYOUT = "CAST((episode_index + frame_index) % 3 + 1 AS INT) AS views, CASE WHEN (episode_index + frame_index) % 2 = 0 THEN 6 ELSE 2 END AS slots"
+_PIXEL = "CASE WHEN (frame_index + query_id) % 4 <> {k} AND views > {k} THEN (query_id * 8 + frame_index % 16) / 2e0 + {k} END"
+
+
+@query(f"""WITH l AS (SELECT episode_index, frame_index, query_id, view_name, x, y, z, CAST(n_support AS INT) AS n_support, {_LAYOUT} FROM lifts),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY episode_index, frame_index ORDER BY query_id, view_name) - 1 AS INT) AS slot FROM l)
+SELECT episode_index, frame_index, slot, query_id, n_support, n_support > 2 AS agree, x, y, z, {", ".join(f"{_PIXEL.format(k=k)} AS {v}_u, {_PIXEL.format(k=k)} + 1 AS {v}_v" for k, v in enumerate(("left", "right", "wrist")))}
+FROM r WHERE slot < slots""")
+def f27_records_by_layout(spark, sf_dir):
+    """Anchors and pixels in records of six layouts, decoded by their length."""
+    rows = table(spark, sf_dir, "lifts").selectExpr("*", *(e.strip() for e in (_LAYOUT.split(" AS views, ")[0] + " AS views", _LAYOUT.split(" AS views, ")[1])))
+    pixels = [F.expr(f"{_PIXEL.format(k=k)} + {j}").alias(f"{v}_{c}") for k, v in enumerate(records.VIEWS) for j, c in enumerate("uv")]
+    anchor = F.struct("query_id", "view_name", "x", "y", "z", "n_support", (F.col("n_support") > 2).alias("agree"), *pixels)
+    packed = rows.groupBy(*_K, "views", "slots").agg(F.array_sort(F.collect_list(anchor)).alias("a"))
+    each = [F.when((F.col("views") == v) & (F.col("slots") == s), records.encode_anchors(F.col("a"), slots=s, views=v)) for s, v in records.LAYOUTS.values()]
+    back = records.usable_anchors(records.read_records(packed.select(*_K, F.coalesce(*each).alias("record")), "record", _K))
+    return back.select(*_K, "slot", "query_id", "n_support", "agree", "x", "y", "z", *(f"{v}_{c}" for v in records.VIEWS for c in "uv"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from demolake.functions import geometry
-from demolake.operators import anchors
+from demolake.operators import anchors, episodes
 from demolake.plans.catalog import query
 from demolake.plans.fixtures import table
 
@@ -24,6 +24,21 @@ def j11_projection(spark, sf_dir):
     return rows.groupBy("view_id", "episode_index").agg(F.count("*").alias("n"), F.count_if("seen").alias("n_visible"), F.round(F.avg("u"), 6).alias("mean_u"), F.round(F.max("depth"), 9).alias("max_depth"))
 
 
+@query("""WITH g AS (SELECT episode_index, frame_index, ex, ey, ez, ((episode_index * 37 + frame_index * 101) % 64 + 1) / 16e0 AS t FROM grip),
+c AS (SELECT p.episode_index, p.frame_index, cos(t) * x + sin(t) * y - (cos(t) * ex + sin(t) * ey) + 25e-2 AS a, -sin(t) * x + cos(t) * y + sin(t) * ex - cos(t) * ey AS b, z - ez + 5e-1 AS c FROM points p JOIN g USING (episode_index, frame_index)),
+s AS (SELECT *, 64e0 * a / c + 32e0 AS u, 64e0 * b / c + 24e0 AS v FROM c)
+SELECT episode_index, frame_index, count(*) AS n, count(*) FILTER (c > 1e-6) AS n_front, count(*) FILTER (c > 1e-6 AND u >= 0 AND u < 64 AND v >= 0 AND v < 48) AS n_visible, round(avg(CASE WHEN c > 25e-2 THEN u END), 6) AS mean_u FROM s GROUP BY ALL""")
+def j11_wrist_projection(spark, sf_dir):
+    """Every point in the wrist camera of its own frame, by a join on the frame."""
+    t = (F.pmod(F.col("episode_index") * 37 + F.col("frame_index") * 101, F.lit(64)) + 1) / 16.0
+    hands = table(spark, sf_dir, "grip").select(*_K, F.array("ex", "ey", "ez").alias("hand"), F.array(F.lit(0.0), F.lit(0.0), F.sin(t / 2), F.cos(t / 2)).alias("quat"))
+    cams = episodes.wrist_camera(hands, xyz="hand", quat="quat", hand_to_camera=((1, 0, 0, 0, 1, 0, 0, 0, 1), (0.25, 0, 0.5)))
+    cams = cams.select(*_K, "cam_rotation", "cam_shift", *(F.lit(v).alias(n) for n, v in (("fx", 64.0), ("fy", 64.0), ("cx", 32.0), ("cy", 24.0))))
+    seen = geometry.project_posed(table(spark, sf_dir, "points"), cams, on=_K)
+    mean = F.round(F.avg(F.when(F.col("depth") > 0.25, F.col("u"))), 6)
+    return seen.groupBy(*_K).agg(F.count("*").alias("n"), F.count_if("in_front").alias("n_front"), F.count_if(geometry.visible(64, 48)).alias("n_visible"), mean.alias("mean_u"))
+
+
 _DETS = "dets AS (SELECT episode_index, frame_index, view_id, 8e0 + (episode_index * 7 + frame_index * 13 + view_id * 5) % 48 AS u, 4e0 + (episode_index * 11 + frame_index * 3 + view_id) % 40 AS v FROM (SELECT DISTINCT episode_index, frame_index FROM points), (SELECT DISTINCT view_id FROM cams))"
 
 
