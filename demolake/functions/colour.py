@@ -48,5 +48,16 @@ def jitter_colours(
     return df.withColumns({c: F.greatest(F.least(F.col(c), F.lit(1.0)), F.lit(0.0)) for c in RGB})
 
 
+def adjust_colours(points: DataFrame, *, by: Sequence[str], brightness: Column | float = 1.0, contrast: Column | float = 1.0, saturation: Column | float = 1.0, gamma: Column | float = 1.0) -> DataFrame:
+    """Given factors in order: brightness, contrast about the cloud's mean, saturation about the point's grey, gamma of the colour clipped to [0, 1]; the result is clipped, too."""
+    frame = Window.partitionBy(*by)
+    clipped = lambda c: F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0))
+    df = points.withColumns({c: F.col(c) * brightness for c in RGB}).withColumns({f"_mean_{c}": F.avg(c).over(frame) for c in RGB})
+    df = df.withColumns({c: (F.col(c) - F.col(f"_mean_{c}")) * contrast + F.col(f"_mean_{c}") for c in RGB})
+    df = df.withColumn("_grey", (F.col("r") + F.col("g") + F.col("b")) / 3)
+    df = df.withColumns({c: F.pow(clipped(F.col("_grey") + (F.col(c) - F.col("_grey")) * saturation), gamma if isinstance(gamma, Column) else F.lit(gamma)) for c in RGB})
+    return df.drop("_grey", *(f"_mean_{c}" for c in RGB))
+
+
 def to_signed(c: Column) -> Column:
     return c * 2.0 - 1.0

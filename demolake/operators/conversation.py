@@ -17,6 +17,8 @@ TOKENS = {
 }
 ROLES = {"human": "user", "gpt": "assistant"}
 PASS = "<|action_pass|>"
+POINTS = "<|point_start|><|point_pad|><|point_end|>"
+VLA = "<|vla|>"
 
 
 def instructions(tasks: DataFrame, text: str = "task", position: str = "task_index") -> DataFrame:
@@ -106,6 +108,22 @@ def state_prompt(task: Column, bins: Column) -> Column:
     return F.concat(F.lit("Task: "), clean, F.lit(", State: "), F.array_join(F.transform(bins, lambda b: b.cast("string")), " "), F.lit(";\nAction: "))
 
 
+def _turns(*turns: tuple[str, Column]) -> Column:
+    return F.array(*(F.struct(F.lit(role).alias("role"), content.alias("content")) for role, content in turns))
+
+
+def monolithic_prompt(task: Column, n_images: Column, *, points: Column, state: Column) -> Column:
+    """A robot sample whose reply holds the action, as turns (role, content): images, then points and state where there are any, the task, and the action."""
+    there = lambda has, token: F.when(has, token).otherwise("")
+    asked = F.concat(F.repeat(F.lit(TOKENS["<image>"]), n_images.cast("int")), there(points, POINTS), there(state, TOKENS["<state>"]), task, F.lit(VLA))
+    return _turns(("user", asked), ("assistant", F.lit(TOKENS["<action>"])))
+
+
+def dual_prompt(task: Column, n_images: Column) -> Column:
+    """A robot sample whose actions stay out of the conversation: images and the task, in one turn."""
+    return _turns(("user", F.concat(F.repeat(F.lit(TOKENS["<image>"]), n_images.cast("int")), task)))
+
+
 def plan_text(position: Sequence[Column], rotation: Sequence[Column], open_: Column) -> Column:
     """A state in words: position to two decimals, rotation in whole degrees, gripper open or closed."""
     return F.concat(

@@ -157,6 +157,18 @@ def subtask_text(frame: Column, ends: Column, texts: Column, *, cumulate: bool =
     return F.array_join(F.slice(texts, 1, i), " ") if cumulate else F.element_at(texts, i)
 
 
+def training_text(frame: Column, ends: Column, texts: Column, task: Column, mode: str, *, u: Column | None = None) -> Column:
+    """The text that a frame is trained with: its ``subtask``, all subtasks of the episode (``cumulate``), or for ``mix:w`` its subtask with probability w and else the task. Without subtasks the task; ``u`` in [0, 1) decides mixtures."""
+    kind, _, share = mode.partition(":")
+    if kind not in ("subtask", "cumulate", "mix") or (kind == "mix") != bool(share):
+        raise ValueError(f"mode is subtask, cumulate or mix:w, not {mode}")
+    if kind == "mix" and u is None:
+        raise ValueError("a mixture needs u")
+    own = F.array_join(texts, " ") if kind == "cumulate" else subtask_text(frame, ends, texts)
+    chosen = own if kind != "mix" else F.when(u < float(share), own).otherwise(task)
+    return F.when(F.coalesce(F.size(texts), F.lit(0)) > 0, chosen).otherwise(task)
+
+
 def locate_global(indices: DataFrame, sizes: DataFrame, index: str = "idx") -> DataFrame:
     """The dataset of a global row index over concatenated datasets (dataset, position, n), and the local index. The few datasets are broadcast."""
     w = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, 0)

@@ -134,4 +134,6 @@ def parse_run(name: Column, samplings: Sequence[str] = ("uniform", "eef", "oracl
 
 
 def scene_seed(seed: Column, episode: Column) -> Column:
-    return F.xxhash64(seed, episode)
+    """The seed of an episode's scene, from 0 to 2**31 - 1: a function of the run's seed and the episode alone, in whole numbers that any engine can repeat."""
+    mixed = (seed.cast("long") * 73856093).bitwiseXOR(episode.cast("long") * 19349663)
+    return F.pmod(F.pmod(mixed, F.lit(2**31)) * 48271, F.lit(2**31 - 1))

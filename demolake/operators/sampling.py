@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from demolake.functions.colour import uniform
+from demolake.operators.quantiles import with_quantiles
 from demolake.sources.shared import materialize
 
 FRAME = ("episode_index", "frame_index")
@@ -48,6 +49,12 @@ def uniform_draw(points: DataFrame, n: int, *, by: Sequence[str] = FRAME, point:
     return finite_weighted_draw(points.withColumn("_one", F.lit(1.0)), "_one", n, by=by, point=point, seed=seed).drop("_one")
 
 
+def nearest_draw(points: DataFrame, distance: str, n: int, *, by: Sequence[str] = FRAME, point: str = "point_id") -> DataFrame:
+    """The n points of each group at the least distance, ties to the smaller point."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(distance, point))
+    return points.withColumn("_k", rank).filter(F.col("_k") <= n).drop("_k")
+
+
 def draw_count(n: Column, cap: int, *, by: Sequence[str] = FRAME, seed: int = 0, u: Column | None = None) -> Column:
     """How many of n points to draw: all up to the cap; else some share between 0.8 and 1 of them, the cap at most. u: a number in [0, 1) in place of the seeded hash."""
     share = 0.8 + 0.2 * (uniform(seed, *by) if u is None else u)
@@ -167,14 +174,20 @@ def bin_argmax(candidates: DataFrame, by: Sequence[str], position: str, probabil
     return candidates.groupBy(*by).agg(F.max_by(position, F.struct(F.col(probability), (-F.col(order)).alias("_o"))).alias(position), F.max(probability).alias(probability))
 
 
-def soft_labels(frames: DataFrame, position: str, centres: Sequence[str], *, bins: int, size: float, key: Sequence[str]) -> DataFrame:
-    """Weights over candidate positions along an axis: candidates point + shift * size, weight 1 within one bin of the true position, the nearest one if none is; normalised per row of ``key``."""
-    shifts = F.explode(F.array(*(F.lit(k) for k in range(-(bins // 2), bins // 2 + 1)))).alias("shift")
+def soft_labels(frames: DataFrame, position: str, centres: Sequence[str], *, bins: int, size: float, key: Sequence[str], weights: str = "plain") -> DataFrame:
+    """Weights over candidate positions along an axis, normalised per row of ``key``: candidates are centre + shift * size, for ``bins`` shifts from -bins / 2 on.
+
+    plain: weight 1 within less than one bin of the true position. distance: 1 / distance (of at least 1e-4) within one bin. Where none is, the nearest candidate alone, ties to the first.
+    """
+    if weights not in ("plain", "distance"):
+        raise ValueError(f"weights are plain or distance, not {weights}")
+    shifts = F.explode(F.array(*(F.lit(k) for k in range(-(bins // 2), bins - bins // 2)))).alias("shift")
     rows = frames.select(*key, position, *centres, shifts)
     rows = rows.select(*key, "shift", *((F.col(c) + F.col("shift") * size).alias("candidate") for c in centres), F.col(position).alias("_p"))
     w = Window.partitionBy(*key)
     gap = F.abs(F.col("candidate") - F.col("_p"))
-    rows = rows.withColumn("_g", gap).withColumns({"_in": (F.col("_g") <= size).cast("double"), "_first": F.row_number().over(w.orderBy("_g", "shift"))})
+    inside = (F.col("_g") < size).cast("double") if weights == "plain" else F.when(F.col("_g") <= size, 1.0 / F.greatest("_g", F.lit(1e-4))).otherwise(0.0)
+    rows = rows.withColumn("_g", gap).withColumns({"_in": inside, "_first": F.row_number().over(w.orderBy("_g", "shift"))})
     rows = rows.withColumn("_any", F.max("_in").over(w)).withColumn("_w", F.when(F.col("_any") > 0, F.col("_in")).otherwise((F.col("_first") == 1).cast("double")))
     return rows.select(*key, "shift", "candidate", (F.col("_w") / F.sum("_w").over(w)).alias("weight"))
 
@@ -189,3 +202,11 @@ def audit_sampling(drawn: DataFrame, points: DataFrame, *, sigma: float, budget:
     out = out.withColumn("concentration", F.when(F.col("near_points") > 0, share))
     problems = F.array(F.when(F.col("with_anchor") == 0, "no anchor"), F.when(F.col("concentration") < 1.5, "not concentrated"), F.when(F.col("n_drawn") < F.least("n_points", F.lit(budget)), "budget unmet"))
     return out.withColumn("problems", F.filter(problems, lambda p: p.isNotNull()))
+
+
+def audit_summary(audit: DataFrame, centres: DataFrame, *, budget: int, by: Sequence[str] = FRAME) -> DataFrame:
+    """Over all frames of an audit: how many have centres (rows of ``centres``) and how many fall back, centres per anchored frame, the median drawn and its share of the budget, and frames with problems."""
+    per = centres.groupBy(*by).agg(F.count("*").alias("_c"))
+    rows = audit.join(per, list(by), "left")
+    out = rows.agg(F.count("*").alias("n_frames"), F.count("_c").alias("n_anchored"), F.count_if(F.col("_c").isNull()).alias("n_fallback"), F.avg("_c").alias("centres_per_frame"), F.count_if(F.size("problems") > 0).alias("n_with_problems"))
+    return with_quantiles(out, rows, "n_drawn", {"median_drawn": 0.5}).withColumn("drawn_share", F.col("median_drawn") / budget)

@@ -28,7 +28,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from demolake.plans import accuracy, assembly, episodes, evaluation, geometry, points, stores, streams, vectors  # noqa: F401
+    from demolake.plans import accuracy, assembly, episodes, evaluation, geometry, points, samples, stores, streams, vectors  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -113,9 +113,9 @@ def t12_bin_argmax(spark, sf_dir):
     return sampling.bin_argmax(c, ["l_orderkey"], "l_partkey", "p", "o")
 
 
-@query("""WITH c AS (SELECT f.episode_index, f.frame_index, ex, unnest([-2, -1, 0, 1, 2]) AS shift FROM grip f), d AS (SELECT *, (floor(ex * 8) / 8e0) + shift * 625e-4 AS candidate FROM c), g AS (SELECT *, abs(candidate - ex) AS gap FROM d),
-w AS (SELECT *, max(CASE WHEN gap <= 625e-4 THEN 1 ELSE 0 END) OVER k AS any_, row_number() OVER (PARTITION BY episode_index, frame_index ORDER BY gap, shift) AS r FROM g WINDOW k AS (PARTITION BY episode_index, frame_index)),
-v AS (SELECT *, CASE WHEN any_ = 1 THEN CASE WHEN gap <= 625e-4 THEN 1e0 ELSE 0e0 END ELSE CASE WHEN r = 1 THEN 1e0 ELSE 0e0 END END AS x FROM w)
+@query("""WITH c AS (SELECT f.episode_index, f.frame_index, ex, unnest([-2, -1, 0, 1]) AS shift FROM grip f), d AS (SELECT *, (floor(ex * 8) / 8e0) + shift * 625e-4 AS candidate FROM c), g AS (SELECT *, abs(candidate - ex) AS gap FROM d),
+w AS (SELECT *, max(CASE WHEN gap < 625e-4 THEN 1 ELSE 0 END) OVER k AS any_, row_number() OVER (PARTITION BY episode_index, frame_index ORDER BY gap, shift) AS r FROM g WINDOW k AS (PARTITION BY episode_index, frame_index)),
+v AS (SELECT *, CASE WHEN any_ = 1 THEN CASE WHEN gap < 625e-4 THEN 1e0 ELSE 0e0 END ELSE CASE WHEN r = 1 THEN 1e0 ELSE 0e0 END END AS x FROM w)
 SELECT episode_index, frame_index, CAST(shift AS INT) AS shift, candidate, round(x / sum(x) OVER (PARTITION BY episode_index, frame_index), 9) AS weight FROM v""")
 def f10_soft_labels(spark, sf_dir):
     g = table(spark, sf_dir, "grip").select("episode_index", "frame_index", "ex", (F.floor(F.col("ex") * 8) / 8.0).alias("centre"))
@@ -123,6 +123,17 @@ def f10_soft_labels(spark, sf_dir):
     return out.withColumn("weight", F.round("weight", 9))
 
 
+@query("""WITH c AS (SELECT episode_index, frame_index, ex, unnest([-2, -1, 0, 1]) AS shift FROM grip), g AS (SELECT *, (floor(ex * 4) / 4e0) + shift * 625e-4 AS candidate, abs((floor(ex * 4) / 4e0) + shift * 625e-4 - ex) AS gap FROM c),
+w AS (SELECT *, CASE WHEN gap <= 625e-4 THEN 1 / greatest(gap, 1e-4) ELSE 0e0 END AS i, row_number() OVER (PARTITION BY episode_index, frame_index ORDER BY gap, shift) AS r FROM g),
+v AS (SELECT *, CASE WHEN max(i) OVER (PARTITION BY episode_index, frame_index) > 0 THEN i WHEN r = 1 THEN 1e0 ELSE 0e0 END AS x FROM w)
+SELECT episode_index, frame_index, CAST(shift AS INT) AS shift, candidate, round(x / sum(x) OVER (PARTITION BY episode_index, frame_index), 9) AS weight FROM v""")
+def f10_distance_labels(spark, sf_dir):
+    """weights of one over the distance; where no candidate is near enough, the nearest alone."""
+    g = table(spark, sf_dir, "grip").select("episode_index", "frame_index", "ex", (F.floor(F.col("ex") * 4) / 4.0).alias("centre"))
+    out = sampling.soft_labels(g, "ex", ["centre"], bins=4, size=0.0625, key=["episode_index", "frame_index"], weights="distance")
+    return out.withColumn("weight", F.round("weight", 9))
+
+
 @query("SELECT p_partkey AS id, NULLIF(CASE WHEN p_partkey % 3 = 0 THEN 'NaN'::DOUBLE ELSE p_retailprice END, 'NaN'::DOUBLE) AS price FROM part")
 def s05_nan_to_null(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 3 == 0, float("nan")).otherwise(F.col("p_retailprice")).alias("price"))

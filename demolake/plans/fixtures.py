@@ -22,9 +22,6 @@ VIEWS = {
   CAST(l_partkey % 5 AS INT) AS label,
   CAST(row_number() OVER (PARTITION BY l_suppkey, l_linenumber
     ORDER BY l_orderkey, l_partkey, l_extendedprice, l_quantity, l_discount, l_tax) AS BIGINT) AS point_id FROM lineitem""",
-    "states": """SELECT f.episode_index, f.frame_index, CAST(element_at(m.embedding, 1) AS DOUBLE) * 4e0 AS ex,
-  CAST(element_at(m.embedding, 2) AS DOUBLE) * 4e0 AS ey, CAST(element_at(m.embedding, 3) AS DOUBLE) * 4e0 AS ez
-  FROM frames f JOIN embeddings m ON m.vec_id = f.idx % 500""",
     "grip": """SELECT episode_index, frame_index, ((episode_index * 37 + frame_index * 101) % 1024) / 1024e0 - 5e-1 AS ex,
   ((episode_index * 53 + frame_index * 211) % 1024) / 1024e0 - 5e-1 AS ey,
   ((episode_index * 71 + frame_index * 307) % 512) / 1024e0 AS ez
