@@ -104,6 +104,33 @@ def farthest_points(points: DataFrame, k: int, *, by: Sequence[str] = FRAME, poi
     return rows.groupBy(*keys).applyInPandas(pick, schema)
 
 
+def farthest_points_of_large_clouds(points: DataFrame, k: int, *, by: Sequence[str] = (), point: str = "point_id", most_clouds: int = 100_000) -> DataFrame:
+    """As farthest_points, for clouds that no task holds (or one cloud, without ``by``): each round every task proposes its farthest point of each cloud, and the best proposal is the next pick.
+
+    Points stay where they are; what travels is a proposal for each task and cloud, and the picks so far, k for each of at most
+    ``most_clouds`` clouds. A round measures each point against all picks so far, so that k should be tens; many small clouds are better grouped.
+    """
+    rows = points.select(*by, point, *(F.col(c).cast("double").alias(c) for c in "xyz"))
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    least = sizes.agg(F.min("n"), F.count("*")).first()
+    if least[1] > most_clouds:
+        raise ValueError(f"{least[1]} clouds are too many; group them")
+    if not by and least[0] == 0:
+        return rows.select(point).limit(0).withColumn("turn", F.lit(0))
+    if least[0] is not None and least[0] < k:
+        raise ValueError(f"a cloud has {least[0]} points, {k} are asked for")
+    seen = F.struct(F.col(point).alias("point"), "x", "y", "z")
+    picks = materialize(rows.groupBy(*by).agg(F.array(F.min_by(seen, F.col(point))).alias("picks")), "picks")
+    for _ in range(1, k):
+        d2 = F.array_min(F.transform("picks", lambda q: (F.col("x") - q["x"]) * (F.col("x") - q["x"]) + (F.col("y") - q["y"]) * (F.col("y") - q["y"]) + (F.col("z") - q["z"]) * (F.col("z") - q["z"])))
+        held = F.broadcast(picks)
+        best = rows.join(held, list(by)) if by else rows.crossJoin(held)  # no more rows than clouds
+        best = best.groupBy(*by).agg(F.min_by(seen, F.struct(-d2, point)).alias("_next"), F.first("picks").alias("_picks"))
+        picks = materialize(best.select(*by, F.concat("_picks", F.array("_next")).alias("picks")), "picks")
+    out = picks.select(*by, F.posexplode("picks").alias("turn", "p"))
+    return out.select(*by, F.col("p.point").alias(point), "turn")
+
+
 def take_strategy(df: DataFrame, strategy: str, order: Sequence[str], *, seed: int = 0) -> DataFrame:
     """first:N, end:N or random:N, N being a number or a percentage (rounded up); anything else keeps all."""
     kind, _, amount = strategy.partition(":")

@@ -275,6 +275,25 @@ def u02_fuse_views(spark, sf_dir):
     return fused.groupBy(*_K).agg(F.count("*").alias("n_points"), F.count_distinct("view_id").alias("n_views"), F.sum("u").cast("long").alias("sum_u"))
 
 
+_CLOUD = ("SELECT episode_index % 2 AS cloud, (episode_index * 16 + frame_index) * 100000 + point_id AS point_id, x, y, z FROM points")
+
+
+def _farther(n, by):
+    """The n-th round of SQL: distances to the pick before, and the farthest point."""
+    d = "(p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)"
+    before = f"least(p.d, {d})" if n > 1 else d
+    return f"""d{n} AS (SELECT p.cloud, p.point_id, p.x, p.y, p.z, {before} AS d FROM {f"d{n - 1}" if n > 1 else "p"} p JOIN c{n - 1} q ON {by}),
+c{n} AS (SELECT cloud, point_id, x, y, z FROM (SELECT *, row_number() OVER (PARTITION BY cloud ORDER BY d DESC, point_id) AS r FROM d{n}) WHERE r = 1)"""
+
+
+@query(f"""WITH p AS ({_CLOUD}), c0 AS (SELECT cloud, point_id, x, y, z FROM (SELECT *, row_number() OVER (PARTITION BY cloud ORDER BY point_id) AS r FROM p) WHERE r = 1), {", ".join(_farther(n, "p.cloud = q.cloud") for n in range(1, 6))}
+{" UNION ALL ".join(f"SELECT cloud, point_id, CAST({n} AS INT) AS turn FROM c{n}" for n in range(6))}""")
+def t05_farthest_of_large_clouds(spark, sf_dir):
+    """T5: six points of two clouds that hold all points."""
+    clouds = table(spark, sf_dir, "points").selectExpr("episode_index % 2 AS cloud", "(episode_index * 16 + frame_index) * 100000 + point_id AS point_id", "x", "y", "z")
+    return sampling.farthest_points_of_large_clouds(clouds, 6, by=["cloud"])
+
+
 @query("SELECT seed, trial, (((xor(CAST(seed AS BIGINT) * 73856093, CAST(trial AS BIGINT) * 19349663) % 2147483648) + 2147483648) % 2147483648 * 48271) % 2147483647 AS scene FROM trials")
 def f31_scene_seed(spark, sf_dir):
     """the scene of every trial, from its seed and number alone."""

@@ -172,3 +172,19 @@ def test_dense_index(spark):
     numbered, n = sampling.dense_index(df, ["k"], "i", bucket_rows=90)
     assert n == 1000 and sorted(r.i for r in numbered.collect()) == list(range(1000))
     assert sampling.resample(df, 0.3, ["k"]).count() == 300
+
+
+def test_farthest_points_of_large_clouds(spark):
+    """Equal to the grouped map on small clouds; one cloud of all points is searched by several tasks, and ties go to the smaller point."""
+    points = spark.range(900).select((F.col("id") % 3).alias("cloud"), F.col("id").alias("point_id"), *((F.pmod(F.col("id") * k, F.lit(32)) / 32).alias(c) for c, k in (("x", 7), ("y", 31), ("z", 113)))).repartition(6)
+    of = lambda df: sorted(map(tuple, df.select("cloud", "point_id", "turn").collect()))
+    assert of(sampling.farthest_points_of_large_clouds(points, 12, by=["cloud"])) == of(sampling.farthest_points(points, 12, by=["cloud"]))
+    whole = sampling.farthest_points_of_large_clouds(points, 7).orderBy("turn").collect()
+    grouped = sampling.farthest_points(points.withColumn("cloud", F.lit(0)), 7, by=["cloud"]).orderBy("turn").collect()
+    assert [r.point_id for r in whole] == [r.point_id for r in grouped]
+    assert sampling.farthest_points_of_large_clouds(points.limit(0), 3).collect() == []
+    assert sampling.farthest_points_of_large_clouds(points.limit(0), 3, by=["cloud"]).collect() == []
+    with pytest.raises(ValueError, match="has 300 points, 301 are asked for"):
+        sampling.farthest_points_of_large_clouds(points, 301, by=["cloud"])
+    with pytest.raises(ValueError, match="too many"):
+        sampling.farthest_points_of_large_clouds(points, 3, by=["cloud"], most_clouds=2)
