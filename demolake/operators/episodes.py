@@ -118,9 +118,11 @@ def offsets_of(counts: DataFrame) -> DataFrame:
 
 
 def renumber(episodes: DataFrame, kept: Column | None = None) -> DataFrame:
-    """A dense index of the retained episodes in source order; a table of episodes is small against their frames."""
+    """A dense index of the retained episodes in source order, numbered within sorted ranges."""
+    from demolake.operators.sampling import ranged_rows
+
     rows = episodes if kept is None else episodes.filter(kept)
-    return rows.withColumn("new_index", F.row_number().over(Window.orderBy("episode_index")) - 1)
+    return ranged_rows(rows, [F.col("episode_index")]).withColumnRenamed("_i", "new_index")
 
 
 def match_sequences(mine: DataFrame, source: DataFrame, value: str = "action") -> DataFrame:

@@ -129,7 +129,8 @@ def s13_pending(spark, sf_dir):
 
 @query("SELECT episode_index, CAST(row_number() OVER (ORDER BY episode_index) - 1 AS INT) AS new_index FROM (SELECT DISTINCT episode_index FROM frames WHERE episode_index % 7 <> 0)")
 def s08_renumber(spark, sf_dir):
-    return episodes.renumber(table(spark, sf_dir, "frames").select("episode_index").distinct(), F.col("episode_index") % 7 != 0)
+    out = episodes.renumber(table(spark, sf_dir, "frames").select("episode_index").distinct(), F.col("episode_index") % 7 != 0)
+    return out.withColumn("new_index", F.col("new_index").cast("int"))
 
 
 @query("""WITH n AS (SELECT l_suppkey AS episode_index, CAST(l_linenumber AS BIGINT) AS frame_index, count(*) AS n FROM lineitem GROUP BY ALL)
