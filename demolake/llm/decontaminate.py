@@ -50,19 +50,35 @@ class Automaton:
         self.full = [0] * len(self.size)  # the state of the suffix of window words
         for v in order:
             self.full[v] = v if self.size[self.link[v]] < window <= self.size[v] else self.full[self.link[v]]
-        self.items: dict[int, set[str]] = {}
-        own: dict[int, list[tuple[int, str]]] = {}
+        names = sorted({name for name, _, _ in items})
+        number = {name: k for k, name in enumerate(names)}
+        windows: dict[int, set[int]] = {}
+        own: dict[int, set[int]] = {}  # a whole short item is the longest sequence of its state
         for name, words, whole in items:
             v = 0
             for i, w in enumerate(words):
                 v = self.next[v][w]
                 if i + 1 >= window:
-                    self.items.setdefault(self.full[v], set()).add(name)
+                    windows.setdefault(self.full[v], set()).add(number[name])
             if words and whole and len(words) < window:
-                own.setdefault(v, []).append((len(words), name))
-        self.short: list[tuple] = [()] * len(self.size)  # whole short items that end wherever this state does
+                own.setdefault(v, set()).add(number[name])
+        kept: dict[frozenset[int], int] = {}  # equal sets of items are kept once, and found by their number
+        of = lambda held: {v: kept.setdefault(frozenset(ids), len(kept)) for v, ids in held.items()}
+        self.items, self.own = of(windows), of(own)
+        self.sets = [[names[k] for k in sorted(ids)] for ids in kept]
+        self.near = [0] * len(self.size)  # the longest suffix, itself included, that is a whole short item
         for v in order:
-            self.short[v] = self.short[self.link[v]] + tuple(own.get(v, ()))
+            self.near[v] = v if v in own else self.near[self.link[v]]
+        self.known: dict[frozenset[int], list[str]] = {}
+
+    def names(self, found: frozenset[int]) -> list[str]:
+        """The items of some sets, sorted; remembered, as documents of one kind find the same."""
+        if found not in self.known:
+            if sum(map(len, self.known.values())) + len(self.known) > 1_000_000:
+                self.known.clear()
+            sets = [self.sets[k] for k in found]
+            self.known[found] = sets[0] if len(sets) == 1 else sorted(set().union(*sets))
+        return self.known[found]
 
     def _extend(self, last: int, w: bytes) -> int:
         nxt, link, size = self.next, self.link, self.size
@@ -92,12 +108,12 @@ class Automaton:
             link[v] = q if size[q] == size[p] + 1 else copy(p, q)
         return v
 
-    def scan(self, words: list[bytes]) -> tuple[list[list[int]], set[str]]:
-        """Hit spans (start, end), which may overlap, and the items whose windows occur."""
-        nxt, link, size, full, short, window = self.next, self.link, self.size, self.full, self.short, self.window
+    def scan(self, words: list[bytes]) -> tuple[list[list[int]], list[str]]:
+        """Hit spans (start, end), which may overlap, and the sorted items whose windows occur."""
+        nxt, link, size, full, near, own, window = self.next, self.link, self.size, self.full, self.near, self.own, self.window
         root, v, n = nxt[0], 0, 0
         spans: list[list[int]] = []
-        found: set[str] = set()
+        found: set[int] = set()
 
         def hit(start: int, end: int) -> None:
             if spans and spans[-1][0] <= start <= spans[-1][1]:
@@ -120,13 +136,14 @@ class Automaton:
             v = t
             if n >= window:
                 hit(i + 1 - window, i + 1)
-                found |= self.items[full[v]]
-            if short[v]:
-                for m, name in short[v]:
-                    if m <= n:
-                        hit(i + 1 - m, i + 1)
-                        found.add(name)
-        return spans, found
+                found.add(self.items[full[v]])
+            u = near[v]
+            while u:  # at most one for each length below the window
+                if size[u] <= n:
+                    hit(i + 1 - size[u], i + 1)
+                    found.add(own[u])
+                u = near[link[u]]
+        return spans, self.names(frozenset(found)) if found else []
 
 
 def union(spans: list[list[int]]) -> list[list[int]]:
@@ -182,7 +199,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, window: int = 13, k
                     found = [machine.value.scan(_words(t)[1]) for t in batch.column(2).to_pylist()]
                     hit = pa.array([k for k, (spans, _) in enumerate(found) if spans], pa.int64())
                     spans = pa.array([found[k][0] for k in hit.to_pylist()], pa.list_(pa.list_(pa.int64())))
-                    names = pa.array([sorted(found[k][1]) for k in hit.to_pylist()], pa.list_(pa.string()))
+                    names = pa.array([found[k][1] for k in hit.to_pylist()], pa.list_(pa.string()))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(hit), batch.column(1).take(hit), spans, names], names=["_h1", "_h2", "_spans", "_names"])
 
         part = materialize(texts.select(*same, "text").mapInArrow(search, "_h1 long, _h2 long, _spans array<array<long>>, _names array<string>").dropDuplicates(["_h1", "_h2"]), "spans")

@@ -79,3 +79,26 @@ def test_columns_of_clashing_names(spark):
     i = spark.createDataFrame([(1, "alpha beta gamma", 3)], "item_id long, text string, n_hit int")
     assert [tuple(r) for r in decontaminate.remove_contaminated(d, i).collect()] == [(2, "nothing here", 8, "y", 6)]
     assert {r.doc_id: (r.n_hit, list(r["items"]), r.c0) for r in decontaminate.find_contamination(d, i).collect()} == {1: (3, ["1"], 5), 2: (0, [], 6)}
+
+
+def test_hot_items_cost_their_number():
+    """Very many equal short items, short items that end in another, and items of one template: no state copies another's items."""
+    many = 50_000
+    equal = [(f"i{k:05}", [b"yes"], True) for k in range(many)] + [(f"j{k:05}", [b"w%d" % k, b"yes"], True) for k in range(5_000)]
+    short = decontaminate.Automaton(equal, 13)
+    assert len(short.sets) == 5_001 and sum(map(len, short.sets)) == many + 5_000
+    spans, names = short.scan([b"no", b"w7", b"yes", b"no", b"yes"])
+    assert decontaminate.union(spans) == [[1, 3], [4, 5]] and names == [*(f"i{k:05}" for k in range(many)), "j00007"]
+    template = [b"t%d" % k for k in range(40)]
+    long = decontaminate.Automaton([(f"i{k:05}", [*template, b"q%d" % k], False) for k in range(5_000)], 13)
+    spans, names = long.scan(template * 20)
+    assert len(names) == 5_000 and len(long.known) == 1 and decontaminate.union(spans) == [[0, 800]]
+
+
+def test_short_items_inside_each_other():
+    words = [b"a", b"b", b"a", b"b", b"c"]
+    items = [("abc", words[2:], True), ("bc", words[3:], True), ("c", words[4:], True), ("b", [b"b"], True), ("again", [b"b"], True), ("xbc", [b"x", b"b", b"c"], True)]
+    automaton = decontaminate.Automaton(items, 5)
+    spans, names = automaton.scan(words)
+    assert decontaminate.union(spans) == [[1, 2], [2, 5]] and names == ["abc", "again", "b", "bc", "c"]
+    assert automaton.scan([b"x", b"b", b"c"])[1] == ["again", "b", "bc", "c", "xbc"] and automaton.scan([b"z"]) == ([], [])
