@@ -18,7 +18,8 @@ Two forms share the machinery of ``pigeonhole``:
   differing bits, whose edges, fewer than the members, are checked on the whole
   sets; those at ``least`` or above link. Where a forest left candidates out, its
   members meet again, nearest candidates first, and every candidate between two
-  that are not connected yet is checked, until none is left: so the components are
+  that are not connected yet is checked, unless counts of their runs by ranges of
+  hashes show that they share too few, until none is left: so the components are
   those of checking all candidates, and pairs that are connected anyway cost nothing.
   Members of a bucket of over ``bucket`` meet in chunks, and some leaders meet all;
   afterwards only those meet again that the bucket's largest component lacks.
@@ -53,6 +54,8 @@ from demolake.llm.text import mix, pieces, range_hashes, releasing, small_batche
 
 BUCKET = 4096
 LANES = 16
+#: Ranges of hashes in which runs are counted: what two texts share is in each no more than the smaller count.
+CELLS = 256
 _ODDS = mix(np.arange(1, LANES + 1, dtype=np.uint64)) | np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -217,15 +220,20 @@ def wide_fingerprints(docs: DataFrame, *, keep: Sequence[str], shingle: int = 5)
 
 
 def run_sets(texts: DataFrame, shingle: int = 5) -> DataFrame:
-    """Columns fp and runs, the bytes of the sorted hashes, of (fp, text)."""
+    """Columns fp, runs, the bytes of the sorted hashes, and counts, how many of them fall into each of ``CELLS`` ranges, of (fp, text)."""
+
+    def counts(s: np.ndarray) -> bytes:
+        ends = np.searchsorted(s, np.arange(1, CELLS, dtype=np.uint64) << np.uint64(64 - int(CELLS).bit_length() + 1))
+        return np.diff(np.concatenate([[0], ends, [len(s)]])).astype(np.int32).tobytes()
 
     @releasing
     def run(batches):
         for whole in batches:
             for batch in pieces(whole, 1, 2 << 20):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in run_hashes(batch.column(1), shingle)[1]], pa.binary())], names=["fp", "runs"])
+                sets = run_hashes(batch.column(1), shingle)[1]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([counts(s) for s in sets], pa.binary())], names=["fp", "runs", "counts"])
 
-    return texts.select("fp", "text").mapInArrow(run, "fp long, runs binary")
+    return texts.select("fp", "text").mapInArrow(run, "fp long, runs binary, counts binary")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -242,7 +250,7 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                     kept.append(both >= least * (len(x) + len(y) - both) - 1e-9)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    one, two = sets.toDF("a", "x"), sets.toDF("b", "y")
+    one, two = (sets.select(F.col("fp").alias(n), F.col("runs").alias(v)) for n, v in (("a", "x"), ("b", "y")))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -341,25 +349,31 @@ def nearest_links(rows: DataFrame, near: int, limit: int) -> DataFrame:
     return by_bucket(rows.select("key", "fp", "bits"), act, "a long, b long, key long", at_once=20_000).distinct()
 
 
-def unconnected(rows: DataFrame, near: int, low: int, limit: int) -> DataFrame:
-    """All candidate pairs (a, b) of buckets (key, fp, root, bits) that have different roots and differ in more than ``low`` bits and ``limit`` at most."""
+def unconnected(rows: DataFrame, near: int, low: int, limit: int, least: float) -> DataFrame:
+    """All candidate pairs (a, b) of buckets (key, fp, root, bits, counts) that have different roots, differ in more than ``low`` bits and ``limit`` at most,
+    and can have a similarity of ``least`` or more: they share no more runs than the smaller counts of each range add up to."""
 
-    def act(keys, fp, root, bits):
+    def act(keys, fp, root, bits, counts):
         lanes = _lanes(bits)
         u, v = np.ascontiguousarray(lanes[:, 0]), np.ascontiguousarray(lanes[:, 1])
+        cells = np.frombuffer(b"".join(counts), np.int32).reshape(len(fp), CELLS)
+        size = cells.sum(axis=1, dtype=np.int64)
         starts, sizes = bounds(keys)
         found = []
-        for s, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-            for i, j in _blocks(u, v, s, size, near):
+        for s, many in zip(starts.tolist(), sizes.tolist(), strict=True):
+            for i, j in _blocks(u, v, s, many, near):
                 other = root[i] != root[j]
                 i, j = i[other], j[other]
                 apart = _distance(lanes, i, j)
                 fine = (apart > low) & (apart <= limit)
-                found.append((fp[i[fine]], fp[j[fine]]))
+                i, j = i[fine], j[fine]
+                both = np.concatenate([np.minimum(cells[i[k : k + 8192]], cells[j[k : k + 8192]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), 8192)] or [np.zeros(0, np.int64)])
+                can = both >= least * (size[i] + size[j] - both) - 1e-9
+                found.append((fp[i[can]], fp[j[can]]))
         a, b = (np.concatenate(c) for c in zip(*found, strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return by_bucket(rows.select("key", "fp", "root", "bits"), act, "a long, b long", at_once=20_000).distinct()
+    return by_bucket(rows.select("key", "fp", "root", "bits", "counts"), act, "a long, b long", at_once=20_000).distinct()
 
 
 def _with_leaders(rows: DataFrame, crowded: DataFrame, bucket: int, leaders: int = 64) -> DataFrame:
@@ -374,7 +388,7 @@ def _with_leaders(rows: DataFrame, crowded: DataFrame, bucket: int, leaders: int
 
 
 def _minor_meet_all(rows: DataFrame, bucket: int) -> DataFrame:
-    """Rows (key, fp, root, bits) of crowded keys, so that each row outside of a key's largest component meets all rows of its key: chunks of the former by chunks of all."""
+    """Rows (key, fp, root, and others) of crowded keys, so that each row outside of a key's largest component meets all rows of its key: chunks of the former by chunks of all."""
     half = bucket // 2
     counts = rows.groupBy("key", "root").agg(F.count("*").alias("_n"))
     tops = counts.groupBy("key").agg(F.max_by("root", F.struct("_n", "root")).alias("_top"), F.sum("_n").alias("_all"), F.max("_n").alias("_most"))
@@ -384,7 +398,7 @@ def _minor_meet_all(rows: DataFrame, bucket: int) -> DataFrame:
     mine, other = F.pmod("_h", minors), F.pmod("_h", alls)
     as_all = inside.withColumns({"_i": F.explode(F.sequence(F.lit(0), minors - 1)), "_j": other})
     as_minor = inside.filter("_minor").withColumns({"_i": mine, "_j": F.explode(F.sequence(F.lit(0), alls - 1))})
-    dealt = as_all.unionByName(as_minor).select(F.xxhash64("key", "_i", "_j").alias("key"), "fp", "root", "bits")
+    dealt = as_all.unionByName(as_minor).select(F.xxhash64("key", "_i", "_j").alias("key"), *(c for c in rows.columns if c != "key"))
     return dealt.dropDuplicates(["key", "fp"])
 
 
@@ -407,6 +421,7 @@ def link_texts(signed_: DataFrame, texts: Callable[[DataFrame], DataFrame], *, s
     inside = materialize(keyed.join(crowded, "key", "left_semi").select("key", "fp"), "crowded-rows") if full else None
     asked = found.filter("key = 0").select(F.explode(F.array("a", "b")).alias("fp"))
     sets = materialize(run_sets(texts((asked.union(inside.select("fp")) if full else asked).distinct()), shingle), "sets")
+    known = fps.join(sets.select("fp", "counts"), "fp")
     links = materialize(similar(found.filter("key = 0").select("a", "b"), sets, least), "links")
     roots = components(links)
     low = -1
@@ -415,10 +430,10 @@ def link_texts(signed_: DataFrame, texts: Callable[[DataFrame], DataFrame], *, s
         of = lambda rows, named=named: rows.join(named, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
         rows = of(doubt)
         several = rows.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a != _b").select("key")
-        open_ = rows.join(several, "key", "left_semi").join(fps, "fp")
+        open_ = rows.join(several, "key", "left_semi").join(known, "fp")
         if full:
-            open_ = open_.unionByName(_minor_meet_all(of(inside).join(fps, "fp"), bucket))
-        more = materialize(unconnected(open_, near, low, high), "pairs")
+            open_ = open_.unionByName(_minor_meet_all(of(inside).join(known, "fp"), bucket))
+        more = materialize(unconnected(open_, near, low, high, least), "pairs")
         if not more.isEmpty():
             new = materialize(similar(more, sets, least), "links")
             if not new.isEmpty():
