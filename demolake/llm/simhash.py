@@ -421,11 +421,11 @@ def link_texts(signed_: DataFrame, texts: Callable[[DataFrame], DataFrame], *, s
     inside = materialize(keyed.join(crowded, "key", "left_semi").select("key", "fp"), "crowded-rows") if full else None
     asked = found.filter("key = 0").select(F.explode(F.array("a", "b")).alias("fp"))
     sets = materialize(run_sets(texts((asked.union(inside.select("fp")) if full else asked).distinct()), shingle), "sets")
-    known = fps.join(sets.select("fp", "counts"), "fp")
+    known = materialize(fps.join(sets.select("fp", "counts"), "fp"), "members")
     links = materialize(similar(found.filter("key = 0").select("a", "b"), sets, least), "links")
     roots = components(links)
     low = -1
-    for high in (within(64 * LANES, -1), within(64 * LANES, 1), limit):
+    for high in (within(64 * LANES, 0), limit):
         named = roots.withColumnRenamed("node", "fp")
         of = lambda rows, named=named: rows.join(named, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
         rows = of(doubt)
