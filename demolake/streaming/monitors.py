@@ -97,7 +97,7 @@ def hold_anchors(frames: DataFrame, *, idle_ms: int | None = None) -> DataFrame:
 class KeepBest(StatefulProcessor):
     """Keeps the best record of a key: a final before a partial one, then the newest version; emits it when it changes."""
 
-    def __init__(self, ttl_ms: int | None) -> None:
+    def __init__(self, ttl_ms: int) -> None:
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -120,17 +120,21 @@ class KeepBest(StatefulProcessor):
 
 
 def keep_results(records: DataFrame, keys: Sequence[str], *, version: str, final: str = "is_final", ttl_ms: int | None = None) -> DataFrame:
-    """A stream of partial and final records as changes of each key's result; needs the RocksDB state store.
+    """A stream of partial and final records as each key's result, for every key that a batch brings (update mode); needs the RocksDB state store.
 
     Of a key's records the one that is greatest by (final, version, content) holds, so that neither the order in which records come nor
     records that come again make a difference, and a partial record that comes late never replaces a final one. State stays for every
-    key, or for ``ttl_ms`` after its last change; a record that comes after that counts as new. A null version is 0.
+    key. With ``ttl_ms`` it stays for so long after its last change, and only changes are sent on; a record that comes after that counts as
+    new. That takes a Python call for each key of a batch; without it the result is a streaming aggregate. A null version is 0.
     """
     own = F.to_json(F.struct(*records.columns))
     rows = records.select(*keys, F.coalesce(final, F.lit(False)).alias("record_final"), F.coalesce(F.col(version).cast("long"), F.lit(0)).alias("record_version"), own.alias("record_json"))
-    changes = rows.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=KeepBest(ttl_ms), outputStructType="is_final boolean, version long, record string", outputMode="Update", timeMode="None" if ttl_ms is None else "ProcessingTime"
-    )
+    if ttl_ms is None:
+        changes = rows.groupBy(*keys).agg(F.max(F.struct("record_final", "record_version", "record_json")).alias("best")).select(F.col("best.record_json").alias("record"))
+    else:
+        changes = rows.groupBy(*keys).transformWithStateInPandas(
+            statefulProcessor=KeepBest(ttl_ms), outputStructType="is_final boolean, version long, record string", outputMode="Update", timeMode="ProcessingTime"
+        )
     return changes.withColumn("r", F.from_json("record", records.schema)).select("r.*")
 
 
