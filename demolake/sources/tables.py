@@ -100,10 +100,11 @@ def export_table(df: DataFrame, path: str, kind: str = "csv") -> None:
     writer.csv(path, header=True) if kind == "csv" else writer.json(path)
 
 
-def write_frame_table(df: DataFrame, path: str, *, chunk_size: int = 1000, sort: Sequence[str] = ("episode_index", "frame_index")) -> None:
-    """A frame-keyed table, partitioned by episode chunk and sorted within files, so that readers prune both."""
+def write_frame_table(df: DataFrame, path: str, *, chunk_size: int = 1000, sort: Sequence[str] = ("episode_index", "frame_index"), run: int = 64) -> None:
+    """A frame-keyed table, partitioned by episode chunk and sorted within files, so that readers prune both. A file has ``run`` consecutive episodes of a chunk."""
     rows = df.withColumn("episode_chunk", F.floor(F.col("episode_index") / chunk_size).cast("int"))
-    rows.repartition("episode_chunk", F.pmod(F.xxhash64("episode_index"), F.lit(16))).sortWithinPartitions(*sort).write.mode("overwrite").partitionBy("episode_chunk").parquet(path)
+    dealt = rows.repartition("episode_chunk", F.floor(F.pmod("episode_index", F.lit(chunk_size)) / run))
+    dealt.sortWithinPartitions("episode_chunk", *sort).write.mode("overwrite").partitionBy("episode_chunk").parquet(path)
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

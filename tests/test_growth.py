@@ -5,6 +5,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from demolake.operators import sampling
 from demolake.sources import tables
 from demolake.streaming import monitors
 
@@ -21,3 +22,55 @@ def test_results_without_expiry_are_an_aggregate(spark, tmp_path):
     held = monitors.keep_results(stream, ["trial"], version="version")._jdf.queryExecution().analyzed().toString()
     assert "TransformWithState" not in held and "Aggregate" in held
     assert "TransformWithState" in monitors.keep_results(stream, ["trial"], version="version", ttl_ms=1000)._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_chunk_of_few_episodes_is_one_file(spark, tmp_path, request):
+    """Ten episodes were up to ten files; files keep their episodes in order, and large chunks are several files."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    frames = spark.range(3000).select((F.col("id") % 100).alias("episode_index"), F.floor(F.col("id") / 100).alias("frame_index")).repartition(5)
+    tables.write_frame_table(frames, str(tmp_path / "t"), chunk_size=10)
+    files = sorted(Path(tmp_path / "t").rglob("*.parquet"))
+    assert len(files) == 10
+    held = [(r.episode_index, r.frame_index) for r in spark.read.parquet(str(files[3])).collect()]
+    assert held == sorted(held) and len(held) == 300
+    assert sorted(map(tuple, tables.read_frames(spark, str(tmp_path / "t"), frames.columns).collect())) == sorted(map(tuple, frames.collect()))
+    tables.write_frame_table(frames, str(tmp_path / "u"), chunk_size=100, run=20)
+    assert 1 < len(list(Path(tmp_path / "u").rglob("*.parquet"))) <= 5
+
+
+def test_farthest_points_of_many_clouds_at_once(spark):
+    """Equal to one cloud after another, with ties and clouds of unequal sizes; a cloud is a row, not a call of Python, and the table is read once."""
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    rows = [(c, p, *(float(v) for v in rnd.integers(0, 6, 3))) for c in range(60) for p in rnd.permutation(3 + c % 20).tolist()]
+    points = spark.createDataFrame(rows, "cloud long, point_id long, x double, y double, z double").repartition(3)
+    want = []
+    for c in range(60):
+        cloud = sorted(r for r in rows if r[0] == c)
+        xyz, far, at = np.array([r[2:] for r in cloud]), np.full(len(cloud), np.inf), 0
+        for turn in range(5 if len(cloud) >= 5 else 0):
+            want.append((c, cloud[at][1], turn))
+            far = np.minimum(far, ((xyz - xyz[at]) ** 2).sum(axis=1))
+            at = int(far.argmax())
+    got = sampling.farthest_points(points, 5, by=["cloud"], skip=True)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "FlatMapGroups" not in plan(got) and plan(got.select("turn")).count("Aggregate [cloud") <= 3
+    whole = points.filter("cloud % 20 > 1")
+    large = sampling.farthest_points_of_large_clouds(whole, 5, by=["cloud"])
+    assert sorted(map(tuple, large.collect())) == sorted(w for w in want if w[0] % 20 > 1)
+
+
+def test_large_clouds_are_evaluated_once(spark):
+    """Each round evaluated the whole plan of the points again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    points = spark.range(500).selectExpr("id % 2 AS cloud", "id AS point_id", "double(id * 7 % 32) AS x", "double(id * 31 % 32) AS y", "double(id * 113 % 32) AS z")
+    sampling.farthest_points_of_large_clouds(points.mapInPandas(count, points.schema), 4, by=["cloud"]).collect()
+    assert seen.value == 500
