@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,37 +82,60 @@ def choose_anchor(oracle: Column, gripper: Column, detector: Column, arm: str, *
     return F.when(detector.isNotNull() & (F.size(detector) > 0), detector).otherwise(miss)
 
 
-def farthest_points(points: DataFrame, k: int, *, by: Sequence[str] = FRAME, point: str = "point_id") -> DataFrame:
-    """k points of each cloud, each the farthest from those before it, from the smallest point id on; ties to the smaller id. Fewer than k points are an error.
+def _picks(starts: np.ndarray, xyz: np.ndarray, k: int) -> np.ndarray:
+    """Rows of k picks for each cloud (clouds by picks); clouds lie one after another, from ``starts`` on, and have k points at least."""
+    sizes = np.diff(np.append(starts, len(xyz)))
+    cloud = np.repeat(np.arange(len(starts)), sizes)
+    far, at, chosen = np.full(len(xyz), np.inf), starts, []
+    for _ in range(k):
+        chosen.append(at)
+        far = np.minimum(far, ((xyz - xyz[at][cloud]) ** 2).sum(axis=1))
+        far = np.where(np.isnan(far), np.inf, far)
+        best = np.flatnonzero(far == np.maximum.reduceat(far, starts)[cloud])  # in order of clouds, then of rows
+        at = best[np.searchsorted(cloud[best], np.arange(len(starts)))]
+    return np.stack(chosen, axis=1)
 
-    The order within a cloud is sequential by nature; clouds run in parallel.
-    """
-    keys = list(by)
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(point)
-        xyz = pdf[["x", "y", "z"]].to_numpy()
-        if len(xyz) < k:
-            raise ValueError(f"a cloud has {len(xyz)} points, {k} are asked for")
-        far, chosen, at = np.full(len(xyz), np.inf), [], 0
-        for _ in range(k):
-            chosen.append(at)
-            far = np.minimum(far, ((xyz - xyz[at]) ** 2).sum(axis=1))
-            at = int(far.argmax())
-        return pdf.iloc[chosen][[*keys, point]].assign(turn=range(k))
+def farthest_points(points: DataFrame, k: int, *, by: Sequence[str] = FRAME, point: str = "point_id", skip: bool = False) -> DataFrame:
+    """k points of each cloud, each the farthest from those before it, from the smallest point id on; ties to the smaller id. Fewer than k points are an error, or with ``skip`` give none.
 
-    rows = points.select(*keys, point, "x", "y", "z")
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys, point).schema), "turn int"])
-    return rows.groupBy(*keys).applyInPandas(pick, schema)
+    The order within a cloud is sequential by nature. Clouds run in parallel: each is one row of arrays, and a task searches many at a time. A cloud must fit a task.
+    """
+    keys = list(by)
+    rows = points.select(*keys, point, *(F.col(c).cast("double").alias(c) for c in "xyz"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys, point).schema), "turn int"])
+    held = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(point).alias("p"), "x", "y", "z"))).alias("_c"))
+    enough = F.size("_c") >= k
+    if skip:
+        held = held.filter(enough)
+    else:
+        said = F.raise_error(F.concat(F.lit("a cloud has "), F.size("_c").cast("string"), F.lit(f" points, {k} are asked for")))
+        held = held.withColumn("_c", F.when(enough, F.col("_c")).otherwise(said.cast(held.schema["_c"].dataType)))
+
+    def pick(batches):
+        for whole in batches:
+            sizes = pc.list_value_length(whole.column(len(keys))).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // 1_000_000, prepend=-1)) if len(sizes) else []
+            for a, b in zip(cuts, [*cuts[1:], len(sizes)], strict=True):  # about a million points at a time
+                batch = whole.slice(a, b - a)
+                lists = batch.column(len(keys))
+                flat = lists.flatten()
+                xyz = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in "xyz"], axis=1)
+                n = sizes[a:b]
+                chosen = _picks(np.cumsum(n) - n, xyz, k)
+                own = pa.array(np.repeat(np.arange(b - a), k))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(own) for i in range(len(keys))), flat.field("p").take(pa.array(chosen.ravel())), pa.array(np.tile(np.arange(k, dtype=np.int32), b - a))], names=[*keys, point, "turn"])
+
+    return held.mapInArrow(pick, schema)
 
 
 def farthest_points_of_large_clouds(points: DataFrame, k: int, *, by: Sequence[str] = (), point: str = "point_id", most_clouds: int = 100_000) -> DataFrame:
     """As farthest_points, for clouds that no task holds (or one cloud, without ``by``): each round every task proposes its farthest point of each cloud, and the best proposal is the next pick.
 
-    Points stay where they are; what travels is a proposal for each task and cloud, and the picks so far, k for each of at most
+    Points are written once and stay where they are; what travels is a proposal for each task and cloud, and the picks so far, k for each of at most
     ``most_clouds`` clouds. A round measures each point against all picks so far, so that k should be tens; many small clouds are better grouped.
     """
-    rows = points.select(*by, point, *(F.col(c).cast("double").alias(c) for c in "xyz"))
+    rows = materialize(points.select(*by, point, *(F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in "xyz")), "clouds")
     sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
     least = sizes.agg(F.min("n"), F.count("*")).first()
     if least[1] > most_clouds:
@@ -119,14 +144,14 @@ def farthest_points_of_large_clouds(points: DataFrame, k: int, *, by: Sequence[s
         return rows.select(point).limit(0).withColumn("turn", F.lit(0))
     if least[0] is not None and least[0] < k:
         raise ValueError(f"a cloud has {least[0]} points, {k} are asked for")
-    seen = F.struct(F.col(point).alias("point"), "x", "y", "z")
-    picks = materialize(rows.groupBy(*by).agg(F.array(F.min_by(seen, F.col(point))).alias("picks")), "picks")
-    for _ in range(1, k):
-        d2 = F.array_min(F.transform("picks", lambda q: (F.col("x") - q["x"]) * (F.col("x") - q["x"]) + (F.col("y") - q["y"]) * (F.col("y") - q["y"]) + (F.col("z") - q["z"]) * (F.col("z") - q["z"])))
-        held = F.broadcast(picks)
-        best = rows.join(held, list(by)) if by else rows.crossJoin(held)  # no more rows than clouds
-        best = best.groupBy(*by).agg(F.min_by(seen, F.struct(-d2, point)).alias("_next"), F.first("picks").alias("_picks"))
-        picks = materialize(best.select(*by, F.concat("_picks", F.array("_next")).alias("picks")), "picks")
+    with_ = lambda df, held: df.join(F.broadcast(held), list(by)) if by else df.crossJoin(F.broadcast(held))  # noqa: E731  no more rows than clouds
+    lowest = lambda df, best: materialize(with_(df, df.groupBy(*by).agg(best)).filter("_d <=> _best").groupBy(*by).agg(F.min_by(F.struct(F.col(point).alias("point"), "x", "y", "z"), F.col(point)).alias("_next"), F.first("picks").alias("picks")), "picks").select(*by, F.concat("picks", F.array("_next")).alias("picks"))
+    none = F.array().cast(f"array<struct<point:{rows.schema[point].dataType.simpleString()},x:double,y:double,z:double>>")
+    picks = lowest(rows.withColumns({"_d": F.col(point), "picks": none}), F.min("_d").alias("_best"))
+    for n in range(1, k):
+        apart = lambda q: reduce(lambda a, b: a + b, [(F.col(c) - q[c]) * (F.col(c) - q[c]) for c in "xyz"])
+        d2 = F.array_min(F.array(*(apart(F.col("picks")[i]) for i in range(n))))
+        picks = lowest(with_(rows, picks).withColumn("_d", d2), F.max("_d").alias("_best"))  # numbers alone, so that both passes aggregate by hashing
     out = picks.select(*by, F.posexplode("picks").alias("turn", "p"))
     return out.select(*by, F.col("p.point").alias(point), "turn")
 

@@ -346,5 +346,4 @@ SELECT episode_index, frame_index, pick AS point_id, CAST(0 AS INT) AS turn FROM
 def t05_three_farthest(spark, sf_dir):
     """T5: three points of each cloud that has as many, each the farthest from those before."""
     p = table(spark, sf_dir, "points").select(*_K, "point_id", "x", "y", "z")
-    enough = p.groupBy(*_K).agg(F.count("*").alias("n")).filter("n >= 3").select(*_K)
-    return sampling.farthest_points(p.join(enough, _K, "left_semi"), 3).select(*_K, "point_id", "turn")
+    return sampling.farthest_points(p, 3, skip=True).select(*_K, "point_id", "turn")
