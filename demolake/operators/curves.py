@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from demolake.operators.voxel import CELL, FRAME, skilling_steps
+from demolake.operators.voxel import CELL, FRAME, numbers, skilling_steps
 
 #: Codes of three axes at this depth still fit 48 bits beside a batch number.
 DEEPEST = 16
@@ -48,17 +50,23 @@ def z_cells(df: DataFrame, code: str, depth: int, cells: Sequence[str] = CELL) -
 
 
 def hilbert_cells(df: DataFrame, code: str, depth: int, cells: Sequence[str] = CELL) -> DataFrame:
-    """Adds the cells of Hilbert codes: Skilling's transform undone, the lowest level of bits first."""
+    """Adds the cells of Hilbert codes: Skilling's transform undone, the lowest level of bits first, over many codes at once."""
     check_depth(depth)
-    x = F.get(
-        F.transform(
-            F.array(F.struct(*(_taken(F.col(code), depth, 2 - k).alias(n) for k, n in enumerate("abc")))),
-            lambda s: F.struct(s["a"].bitwiseXOR(F.shiftright(s["c"], 1)).alias("a"), s["b"].bitwiseXOR(s["a"]).alias("b"), s["c"].bitwiseXOR(s["b"]).alias("c")),
-        ),
-        F.lit(0),
-    )
-    back = skilling_steps(x, [(level, axis) for level in range(1, depth) for axis in (2, 1, 0)])
-    return df.withColumn("_cells", back).withColumns({c: F.col(f"_cells.{n}") for c, n in zip(cells, "abc", strict=True)}).drop("_cells")
+
+    @F.arrow_udf("struct<a:long,b:long,c:long>")
+    def back(codes: pa.Array) -> pa.Array:
+        (code,), lost = numbers(codes)
+        x = []
+        for k in range(3):
+            taken = np.zeros_like(code)
+            for level in range(depth):
+                taken |= (code >> (3 * level + 2 - k) & 1) << level
+            x.append(taken)
+        x = [x[0] ^ (x[2] >> 1), x[1] ^ x[0], x[2] ^ x[1]]
+        skilling_steps(x, [(level, axis) for level in range(1, depth) for axis in (2, 1, 0)])
+        return pa.StructArray.from_arrays([pa.array(v, mask=lost) for v in x], names=["a", "b", "c"])
+
+    return df.withColumn("_cells", back(F.col(code).cast("long"))).withColumns({c: F.col(f"_cells.{n}") for c, n in zip(cells, "abc", strict=True)}).drop("_cells")
 
 
 def batch_code(code: Column, batch: Column, depth: int) -> Column:

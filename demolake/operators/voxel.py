@@ -6,6 +6,8 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -142,49 +144,52 @@ def z_order(depth: int, order: Sequence[str] = CELL) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
 
-def skilling_steps(start: Column, steps: Sequence[tuple[int, int]]) -> Column:
-    """Steps (level of bits, axis) of Skilling's transform over a struct of three numbers a, b, c, as one fold: the expression doesn't grow with the depth.
+def skilling_steps(x: list[np.ndarray], steps: Sequence[tuple[int, int]]) -> None:
+    """Steps (level of bits, axis) of Skilling's transform over three arrays of numbers, in place.
 
     Where the axis has the level's bit, the lower bits of the first axis turn over; else both axes exchange theirs.
     """
-
-    def step(x: Column, at: Column) -> Column:
-        level, axis = F.floor(at / 3).cast("int"), at % 3
-        mine = F.when(axis == 0, x["a"]).when(axis == 1, x["b"]).otherwise(x["c"])
-        low = F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1
-        has = F.call_function("shiftright", mine, level).bitwiseAND(F.lit(1).cast("long")) == 1
-        swap = x["a"].bitwiseXOR(mine).bitwiseAND(low)
-        other = F.when(has, F.lit(0).cast("long")).otherwise(swap)
-        return F.struct(
-            x["a"].bitwiseXOR(F.when(has, low).otherwise(swap)).alias("a"),
-            F.when(axis == 1, x["b"].bitwiseXOR(other)).otherwise(x["b"]).alias("b"),
-            F.when(axis == 2, x["c"].bitwiseXOR(other)).otherwise(x["c"]).alias("c"),
-        )
-
-    if not steps:
-        return start
-    return F.aggregate(F.array(*(F.lit(3 * level + axis) for level, axis in steps)), start, step)
+    for level, axis in steps:
+        low = (1 << level) - 1
+        has = (x[axis] >> level & 1).astype(bool)
+        swap = np.where(has, 0, (x[0] ^ x[axis]) & low)
+        x[axis] = x[axis] ^ swap  # no change where the axis is the first
+        x[0] = x[0] ^ np.where(has, low, swap)
+
+
+def hilbert_codes(a: np.ndarray, b: np.ndarray, c: np.ndarray, depth: int) -> np.ndarray:
+    """The Hilbert codes of cells: Skilling's transform, a level of bits at a time, over many points at once."""
+    x = [a, b, c]
+    skilling_steps(x, [(level, axis) for level in range(depth - 1, 0, -1) for axis in range(3)])
+    x[1] = x[0] ^ x[1]
+    x[2] = x[1] ^ x[2]
+    turn = np.zeros_like(x[2])
+    for level in range(depth - 1, 0, -1):
+        turn ^= (x[2] >> level & 1) * ((1 << level) - 1)
+    code = np.zeros_like(turn)
+    for k in range(3):
+        for level in range(depth):
+            code |= ((x[k] ^ turn) >> level & 1) << (3 * level + 2 - k)
+    return code
+
+
+def numbers(*columns: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """Columns of whole numbers as arrays of 64 bits (nulls: 0), and which rows have a null."""
+    lost = np.zeros(len(columns[0]), dtype=bool)
+    for c in columns:
+        lost |= c.is_null().to_numpy(zero_copy_only=False)
+    return [c.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).copy() for c in columns], lost
 
 
 def with_hilbert_order(df: DataFrame, depth: int, out: str, order: Sequence[str] = CELL) -> DataFrame:
-    """Adds the Hilbert code of three cell numbers: Skilling's transform, a level of bits at a time, as column arithmetic."""
-    start = F.struct(*(F.col(c).cast("long").alias(n) for n, c in zip("abc", order, strict=True)))
-    turned = skilling_steps(start, [(level, axis) for level in range(depth - 1, 0, -1) for axis in range(3)])
-    bind = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
-    bit = lambda x, k: F.shiftright(x, k).bitwiseAND(F.lit(1).cast("long"))
-
-    def gray(x: Column) -> Column:
-        b = x["a"].bitwiseXOR(x["b"])
-        return F.struct(x["a"].alias("a"), b.alias("b"), b.bitwiseXOR(x["c"]).alias("c"))
-
-    def with_turn(x: Column) -> Column:
-        turn = reduce(lambda t, level: t.bitwiseXOR(bit(x["c"], level) * F.lit((1 << level) - 1)), range(depth - 1, 0, -1), F.lit(0).cast("long"))
-        return F.struct(*(x[n].bitwiseXOR(turn).alias(n) for n in "abc"))
+    """Adds the Hilbert code of three cell numbers (null where one is null)."""
 
-    def code(x: Column) -> Column:
-        return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(bit(x[n], level), 3 * level + 2 - k) for level in range(depth) for k, n in enumerate("abc")])
+    @F.arrow_udf("long")
+    def code(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        x, lost = numbers(a, b, c)
+        return pa.array(hilbert_codes(*x, depth), mask=lost)
 
-    return df.withColumn(out, bind(bind(bind(turned, gray), with_turn), code))
+    return df.withColumn(out, code(*(F.col(c).cast("long") for c in order)))
 
 
 def serialise(points: DataFrame, size: float, *, depth: int = 10, curve: str = "z", by: Sequence[str] = FRAME) -> DataFrame:

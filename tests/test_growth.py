@@ -5,7 +5,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from demolake.operators import sampling
+from demolake.operators import curves, sampling, voxel
 from demolake.sources import tables
 from demolake.streaming import monitors
 
@@ -74,3 +74,13 @@ def test_large_clouds_are_evaluated_once(spark):
     points = spark.range(500).selectExpr("id % 2 AS cloud", "id AS point_id", "double(id * 7 % 32) AS x", "double(id * 31 % 32) AS y", "double(id * 113 % 32) AS z")
     sampling.farthest_points_of_large_clouds(points.mapInPandas(count, points.schema), 4, by=["cloud"]).collect()
     assert seen.value == 500
+
+
+def test_hilbert_codes_are_computed_for_many_points_at_once(spark):
+    """A fold of SQL expressions took about 60 microseconds a point; nulls stay null."""
+    df = spark.createDataFrame([(1, 2, 3), (None, 0, 0), (5, 7, 0)], "ix long, iy long, iz long")
+    coded = voxel.with_hilbert_order(df, 3, "code")
+    back = curves.hilbert_cells(coded, "code", 3, ["jx", "jy", "jz"])
+    assert "aggregate(" not in plan(back) and "ArrowEvalPython" in plan(back)
+    assert [r.code is None for r in coded.collect()] == [False, True, False]
+    assert [(r.jx, r.jy, r.jz) for r in back.collect()] == [(1, 2, 3), (None, None, None), (5, 7, 0)]
