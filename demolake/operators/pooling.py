@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from demolake.operators.voxel import CELL, FRAME, cells
+from demolake.sources.shared import spread
 
 
 def pooling_ids(points: DataFrame, size: float, strides: Sequence[int], *, by: Sequence[str] = FRAME) -> DataFrame:
     """The points with the number of their cell at each level: id0 (cells of ``size``), id1, ... after each pooling."""
-    rows = cells(points, size, by=by)
+    rows = cells(spread(points, by), size, by=by)
     at = list(CELL)
     for level in range(len(strides) + 1):
         order = Window.partitionBy(*by).orderBy(*at)

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from demolake.sources.shared import spread
+
 FRAME = ("episode_index", "frame_index")
 AXES = ("x", "y", "z")
 CELL = ("ix", "iy", "iz")
@@ -35,7 +37,7 @@ def cells(points: DataFrame, size: float, *, origin: str | None = None, by: Sequ
     if origin is None:
         index = {c: F.floor(F.col(a) / size) for c, a in zip(CELL, AXES, strict=True)}
     else:
-        corner = Window.partitionBy(*by)
+        points, corner = spread(points, by), Window.partitionBy(*by)
         index = {c: F.floor((F.col(a) - (F.min(a).over(corner) - size / 2)) / size) for c, a in zip(CELL, AXES, strict=True)}
     return points.withColumns(index)
 
@@ -51,7 +53,7 @@ def pack_key(size: float, index: Sequence[str] = CELL) -> Column:
 def voxel_downsample(points: DataFrame, size: float, *, columns: Sequence[str] = AXES, by: Sequence[str] = FRAME, origin: str | None = None) -> DataFrame:
     """Mean of ``columns`` per cell. A size of zero or less passes the points through.
 
-    Partial sums are made before the one shuffle, so a crowded cell costs no more than any other.
+    On the absolute grid partial sums are made before the one shuffle, so a crowded cell costs no more than any other.
     """
     if size <= 0:
         return points
@@ -201,7 +203,7 @@ def serialise(points: DataFrame, size: float, *, depth: int = 10, curve: str = "
 
     check_depth(depth)
     corner = Window.partitionBy(*by)
-    grid = points.withColumns({c: ((F.col(a) - F.min(a).over(corner)) / size).cast("long") for c, a in zip(CELL, AXES, strict=True)})
+    grid = spread(points, by).withColumns({c: ((F.col(a) - F.min(a).over(corner)) / size).cast("long") for c, a in zip(CELL, AXES, strict=True)})
     grid = inside(grid, depth)
     order = (CELL[1], CELL[0], CELL[2]) if curve.endswith("-trans") else CELL
     coded = grid.withColumn("code", z_order(depth, order)) if curve.startswith("z") else with_hilbert_order(grid, depth, "code", order)

@@ -10,6 +10,7 @@ from demolake.functions.geometry import density_weight, in_workspace, squared_di
 from demolake.operators import anchors, curves, pooling, sampling, voxel
 from demolake.plans.catalog import query
 from demolake.plans.fixtures import table
+from demolake.sources.shared import materialize
 
 #: The workspace in metres.
 BOX = ((-0.75, 0.75), (-0.75, 0.75), (0.0, 0.9375))
@@ -193,6 +194,7 @@ SELECT episode_index, frame_index, level, cell, string_agg(DISTINCT CAST(query_i
 def a31_query_ids(spark, sf_dir):
     """The queries that points answer, carried by composed parent maps to the cells of every level."""
     ids = pooling.pooling_ids(table(spark, sf_dir, "points"), 0.0625, [2, 3])
+    ids = materialize(ids.select("episode_index", "frame_index", "label", "id0", "id1", "id2"), "pooling-ids")  # read for each map
     ancestors = pooling.compose([pooling.parent_map(ids, k) for k in range(2)])
     carried = ids.filter("label > 2").select("episode_index", "frame_index", F.col("id0").alias("child"), (F.col("label") - 3).alias("query_id"))
     return pooling.carry_ids(carried, ancestors).withColumn("query_ids", F.concat_ws(",", F.col("query_ids").cast("array<string>")))

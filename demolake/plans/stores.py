@@ -59,10 +59,10 @@ def _array_cache(spark, sf_dir):
     """The points of every supplier as an episode's arrays; frames are numbered from 0, and ``line`` has their own number."""
     path = new_folder(spark, "arrays")
     p = table(spark, sf_dir, "points")
-    keys = p.select(*_K).distinct().withColumn("at", F.row_number().over(Window.partitionBy("episode_index").orderBy("frame_index")) - 1)
     mean = p.groupBy(*_K).agg(F.array(*(F.avg(c) for c in "xyz")).alias("centre"))
-    frames = keys.join(mean, _K).select("episode_index", F.col("at").alias("frame_index"), F.col("frame_index").alias("line"), "centre")
-    points = p.join(keys, _K).select("episode_index", F.col("at").alias("frame_index"), "point_id", "x", "y", "z", "label")
+    keys = mean.withColumn("at", F.row_number().over(Window.partitionBy("episode_index").orderBy("frame_index")) - 1)
+    frames = keys.select("episode_index", F.col("at").alias("frame_index"), F.col("frame_index").alias("line"), "centre")
+    points = p.join(keys.select(*_K, "at"), _K).select("episode_index", F.col("at").alias("frame_index"), "point_id", "x", "y", "z", "label")
     arrays.write_episode_arrays(frames, points, path)
     return path
 

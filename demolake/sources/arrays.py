@@ -6,7 +6,7 @@ frame t has the points offsets[t] to offsets[t + 1]. An array that is not in the
 
 Reading gives one of two tables: ``frames`` (episode_index, frame_index, arrays of T) or ``points`` (episode_index,
 frame_index, point_id from 0 in its frame, arrays of N); arrays of two dimensions become array columns. A file is a
-partition. Only arrays that the schema names are loaded, and only files of episodes that the query asks for:
+partition, or a run of files where there are over 1,000. Only arrays that the schema names are loaded, and only files of episodes that the query asks for:
 by a filter on episode_index, or by the option ``episodes``. Every file that is read is checked: offsets begin at 0,
 never fall and end at N, arrays of frames have T rows, and the array that the option ``counts`` names agrees with the
 offsets. What fails names its file.
@@ -27,14 +27,18 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 _KEYS = {"frames": ("episode_index", "frame_index"), "points": ("episode_index", "frame_index", "point_id")}
 _TYPES = {"f4": T.FloatType(), "f8": T.DoubleType(), "i1": T.ByteType(), "u1": T.ShortType(), "i2": T.ShortType(), "i4": T.IntegerType(), "i8": T.LongType(), "b1": T.BooleanType()}
+_CODES = {t: code for code, t in _TYPES.items()}
+#: Where more files are asked for, runs of them are partitions.
+_MOST_PARTITIONS = 1000
 _EPISODE = re.compile(r"(\d+)\.npz$")
 _COMPARED = {
     EqualTo: lambda e, f: e == f.value,
@@ -102,13 +106,18 @@ class _Reader(DataSourceReader):
         found = [(int(m[1]), i.path) for i in files.get_file_info(fs.FileSelector(path)) if (m := _EPISODE.search(i.path))]
         if not found:
             raise FileNotFoundError(f"no episode files in {self.path}")
-        return [InputPartition(x) for x in sorted(found) if all(keep(x[0]) for keep in self.kept)]
+        asked = sorted(x for x in found if all(keep(x[0]) for keep in self.kept))
+        run = -(-len(asked) // _MOST_PARTITIONS)
+        return [InputPartition(asked[k : k + run]) for k in range(0, len(asked), run or 1)]
 
     def read(self, partition) -> Iterator[pa.RecordBatch]:
         if partition is None or partition.value is None:  # no file is asked for
             return
-        episode, path = partition.value
         files, _ = _opened(self.path)
+        for episode, path in partition.value:
+            yield from self._rows(files, episode, path)
+
+    def _rows(self, files: fs.FileSystem, episode: int, path: str) -> Iterator[pa.RecordBatch]:
         e = _Episode(files, path, self.offsets)
         arrays = e.checked([f.name for f in self.schema if f.name not in _KEYS[self.table]], self.table, self.counts)
         n = len(e.offsets) - 1
@@ -134,48 +143,66 @@ class _Message(WriterCommitMessage):
         self.names = names
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     """Every task writes files of names of its own; commit gives them their episodes' names."""
 
     def __init__(self, options, schema: T.StructType, overwrite: bool):
         self.path, self.schema, self.overwrite = options["path"], schema, overwrite
-        self.points = [f.name for f in schema["points"].dataType.elementType] if "points" in schema.names else []
 
     def write(self, iterator) -> _Message:
         files, path = _opened(self.path)
         files.create_dir(path, recursive=True)
-        rows, written = [], []
+        held, written, due = [], [], 0
 
-        def flush():
+        def flush(episode):
             temporary = f"{path}/_{uuid.uuid4().hex}.part"
             with files.open_output_stream(temporary) as out:
                 buffer = io.BytesIO()
-                np.savez_compressed(buffer, **self._arrays(rows))
+                np.savez_compressed(buffer, **self._arrays(pa.Table.from_batches(held)))
                 out.write(buffer.getvalue())
-            written.append((temporary, f"{path}/episode_{rows[0].episode_index:06d}.npz"))
-            rows.clear()
-
-        for row in iterator:
-            if rows and row.episode_index != rows[0].episode_index:
-                flush()
-            if row.frame_index != len(rows):
-                raise ValueError(f"episode {row.episode_index} has frame {row.frame_index} where {len(rows)} is due")
-            rows.append(row)
-        if rows:
-            flush()
+            written.append((temporary, f"{path}/episode_{episode:06d}.npz"))
+            held.clear()
+
+        now = None
+        for batch in iterator:
+            episodes, frames = (batch.column(batch.schema.get_field_index(k)).to_numpy() for k in _KEYS["frames"])
+            cuts = np.flatnonzero(np.diff(episodes)) + 1
+            for at, end in zip([0, *cuts], [*cuts, len(episodes)], strict=True):
+                if at == end:
+                    continue
+                if held and episodes[at] != now:
+                    flush(now)
+                if not held:
+                    now, due = episodes[at], 0
+                wrong = np.flatnonzero(frames[at:end] != np.arange(due, due + end - at))
+                if len(wrong):
+                    raise ValueError(f"episode {now} has frame {frames[at + wrong[0]]} where {due + wrong[0]} is due")
+                held.append(batch.slice(at, end - at))
+                due += end - at
+        if held:
+            flush(now)
         return _Message(written)
 
-    def _arrays(self, rows) -> dict[str, np.ndarray]:
-        def of(values, kind):
-            kind = kind.elementType if isinstance(kind, T.ArrayType) else kind
-            code = next(c for c, t in _TYPES.items() if t == kind)
-            return np.array(values, dtype=code)
-
-        own = {f.name: of([r[f.name] for r in rows], f.dataType) for f in self.schema if f.name not in ("episode_index", "frame_index", "points")}
-        points = [r.points or [] for r in rows] if self.points else [[] for _ in rows]
-        flat = [p for part in points for p in part]
-        own |= {n: of([p[n] for p in flat], self.schema["points"].dataType.elementType[n].dataType) for n in self.points}
-        return own | {"offsets": np.append(0, np.cumsum([len(p) for p in points])).astype(np.int64)}
+    def _arrays(self, rows: pa.Table) -> dict[str, np.ndarray]:
+        def of(name, column, kind):
+            if isinstance(kind, T.ArrayType):
+                sizes = set(pc.list_value_length(column).to_pylist())
+                if len(sizes) > 1 or None in sizes:
+                    raise ValueError(f"{name} has arrays of several lengths")
+                inner = of(name, column.flatten(), kind.elementType)
+                return inner.reshape(len(column), sizes.pop()) if sizes else inner
+            if column.null_count and not isinstance(kind, (T.FloatType, T.DoubleType)):
+                raise ValueError(f"{name} has nulls")
+            return column.to_numpy(zero_copy_only=False).astype(_CODES[kind])
+
+        whole = {n: pa.concat_arrays(rows.column(n).chunks) for n in rows.column_names}
+        own = {f.name: of(f.name, whole[f.name], f.dataType) for f in self.schema if f.name not in ("episode_index", "frame_index", "points")}
+        sizes = np.zeros(rows.num_rows, np.int64)
+        if "points" in whole:
+            sizes = pc.list_value_length(whole["points"]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            fields = self.schema["points"].dataType.elementType
+            own |= {f.name: of(f.name, column, f.dataType) for f, column in zip(fields, whole["points"].flatten().flatten(), strict=True)}
+        return own | {"offsets": np.append(0, np.cumsum(sizes))}
 
     def commit(self, messages) -> None:
         files, path = _opened(self.path)

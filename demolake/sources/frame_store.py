@@ -8,7 +8,8 @@ Beside each table stands a manifest: for every chunk and every write, how many f
 exclusive or of their keys' hashes. ``pending`` compares it with the frames asked for, chunk by chunk, and reads
 the keys of those chunks alone that differ. A write whose manifest is missing makes its chunks differ, so that they are read.
 
-A table's write evaluates its rows twice, for the rows and for the manifest; cut their lineage first if they cost much.
+Appending evaluates the rows twice, for the rows and for the manifest (a table's first write reads the table for that), and a store's
+first write counts their chunks before; cut their lineage first if they cost much.
 Frames must have both keys. Empty tables can be written; they cover nothing.
 """
 
@@ -23,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEYS = ("episode_index", "frame_index")
+#: A store's first table is divided into no more chunks.
+MOST_CHUNKS = 32
 
 
 def frames_of(rows: DataFrame, chunk_size: int) -> DataFrame:
@@ -42,14 +45,28 @@ def _digest(frames: DataFrame) -> DataFrame:
 class FrameStore:
     def __init__(self, spark: SparkSession, path: str, *, buckets: int, chunk_size: int):
         self.spark, self.path, self.buckets, self.chunk_size = spark, path.rstrip("/"), buckets, chunk_size
+        self.fresh = False
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, *, buckets: int = 64, chunk_size: int = 1000) -> FrameStore:
-        """A new store. Take so many buckets that one bucket of a chunk's largest table fits a task."""
+        """A new store. Take so many buckets that one bucket of a chunk's largest table fits a task. The first write makes chunks larger where there would be over ``MOST_CHUNKS``."""
         store = cls(spark, path, buckets=buckets, chunk_size=chunk_size)
-        spark.createDataFrame([(json.dumps({"buckets": buckets, "chunk_size": chunk_size}),)], "value string").coalesce(1).write.text(f"{store.path}/_store")
+        store._note("error")
+        store.fresh = True
         return store
 
+    def _note(self, mode: str) -> None:
+        said = json.dumps({"buckets": self.buckets, "chunk_size": self.chunk_size})
+        self.spark.createDataFrame([(said,)], "value string").coalesce(1).write.mode(mode).text(f"{self.path}/_store")
+
+    def _widen(self, rows: DataFrame) -> None:
+        """Files are chunks times buckets: so that they don't grow with the episodes, chunks do."""
+        self.fresh = False
+        n = rows.select(_chunk(self.chunk_size)).distinct().count()
+        if n > MOST_CHUNKS:
+            self.chunk_size *= -(-n // MOST_CHUNKS)
+            self._note("overwrite")
+
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> FrameStore:
         said = json.loads(spark.read.text(f"{path.rstrip('/')}/_store").first()[0])
@@ -60,6 +77,8 @@ class FrameStore:
 
     def write(self, table: str, rows: DataFrame, *, order: Sequence[str] = (), append: bool = False) -> None:
         """Writes a table, or adds rows of further frames to it; ``order`` sorts rows within a frame."""
+        if self.fresh:
+            self._widen(rows)
         held = rows.withColumn("episode_chunk", _chunk(self.chunk_size))
         if not append:
             self.spark.sql(f"DROP TABLE IF EXISTS {self._name(table)}")
@@ -68,7 +87,7 @@ class FrameStore:
         dealt = held.repartition(self.buckets, *KEYS).sortWithinPartitions("episode_chunk", *KEYS, *order)
         writer = dealt.write.format("parquet").mode("append" if append else "overwrite").option("path", f"{self.path}/{table}")
         writer.partitionBy("episode_chunk").bucketBy(self.buckets, *KEYS).sortBy(*KEYS).saveAsTable(self._name(table))
-        manifest = _digest(frames_of(rows, self.chunk_size)).withColumn("write", F.lit(uuid.uuid4().hex))
+        manifest = _digest(frames_of(rows if append else self.read(table), self.chunk_size)).withColumn("write", F.lit(uuid.uuid4().hex))
         manifest.write.mode("append" if append else "overwrite").parquet(f"{self.path}/_manifests/{table}")
 
     def _attach(self, table: str) -> None:

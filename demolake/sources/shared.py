@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -77,3 +77,16 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """The table alone; see ``stored``."""
     return stored(df, name)[0]
+
+
+#: About so many rows a task sorts at once.
+AT_ONCE = 500_000
+
+
+def spread(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The same rows; many are dealt by ``by`` into so many partitions that each has about ``AT_ONCE``, as the session's number doesn't grow with the table.
+
+    For windows over ``by`` one after another, whose sorts hold memory at the same time. Counts the rows first.
+    """
+    parts = -(-rows.count() // AT_ONCE)
+    return rows.repartition(parts, *by) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows

@@ -6,7 +6,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from demolake.operators import curves, sampling, voxel
-from demolake.sources import tables
+from demolake.sources import arrays, frame_store, tables
 from demolake.streaming import monitors
 
 
@@ -84,3 +84,24 @@ def test_hilbert_codes_are_computed_for_many_points_at_once(spark):
     assert "aggregate(" not in plan(back) and "ArrowEvalPython" in plan(back)
     assert [r.code is None for r in coded.collect()] == [False, True, False]
     assert [(r.jx, r.jy, r.jz) for r in back.collect()] == [(1, 2, 3), (None, None, None), (5, 7, 0)]
+
+
+def test_many_array_files_are_few_partitions(spark, tmp_path):
+    """A task for each of thousands of files took hours; every file is still read, and what episodes hold is kept."""
+    frames = spark.range(1203).selectExpr("id AS episode_index", "0L AS frame_index", "cast(id * 20 AS short) AS v", "array(double(id), 0.5D) AS w")
+    arrays.write_episode_arrays(frames, None, str(tmp_path / "c"))
+    back = arrays.read_episode_arrays(spark, str(tmp_path / "c"), schema="episode_index long, frame_index long, v short, w array<double>")
+    assert back.rdd.getNumPartitions() == 602
+    assert sorted(map(str, back.collect())) == sorted(map(str, frames.collect()))
+
+
+def test_chunks_of_a_store_widen_with_its_episodes(spark, tmp_path):
+    """Files were chunks times buckets, without bound; the widened store opens again and knows what is pending."""
+    rows = spark.range(3000).selectExpr("id AS episode_index", "0L AS frame_index", "id AS v")
+    store = frame_store.FrameStore.create(spark, str(tmp_path / "s"), buckets=2, chunk_size=5)
+    store.write("rows", rows)
+    assert store.chunk_size == 95 and len(list((tmp_path / "s" / "rows").glob("episode_chunk=*"))) == 32
+    again = frame_store.FrameStore.open(spark, store.path)
+    assert again.chunk_size == 95 and again.read("rows").count() == 3000
+    more = spark.range(2995, 3005).selectExpr("id AS episode_index", "0L AS frame_index")
+    assert sorted(r.episode_index for r in again.pending(more, "rows").collect()) == list(range(3000, 3005))
