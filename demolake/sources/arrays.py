@@ -6,7 +6,7 @@ frame t has the points offsets[t] to offsets[t + 1]. An array that is not in the
 
 Reading gives one of two tables: ``frames`` (episode_index, frame_index, arrays of T) or ``points`` (episode_index,
 frame_index, point_id from 0 in its frame, arrays of N); arrays of two dimensions become array columns. A file is a
-partition, or a run of files where there are over 1,000. Only arrays that the schema names are loaded, and only files of episodes that the query asks for:
+partition, or a run of files where there are over 200. Only arrays that the schema names are loaded, and only files of episodes that the query asks for:
 by a filter on episode_index, or by the option ``episodes``. Every file that is read is checked: offsets begin at 0,
 never fall and end at N, arrays of frames have T rows, and the array that the option ``counts`` names agrees with the
 offsets. What fails names its file.
@@ -38,7 +38,7 @@ _KEYS = {"frames": ("episode_index", "frame_index"), "points": ("episode_index",
 _TYPES = {"f4": T.FloatType(), "f8": T.DoubleType(), "i1": T.ByteType(), "u1": T.ShortType(), "i2": T.ShortType(), "i4": T.IntegerType(), "i8": T.LongType(), "b1": T.BooleanType()}
 _CODES = {t: code for code, t in _TYPES.items()}
 #: Where more files are asked for, runs of them are partitions.
-_MOST_PARTITIONS = 1000
+_MOST_PARTITIONS = 200
 _EPISODE = re.compile(r"(\d+)\.npz$")
 _COMPARED = {
     EqualTo: lambda e, f: e == f.value,
@@ -286,4 +286,5 @@ def write_episode_arrays(frames: DataFrame, points: DataFrame | None, path: str,
         packed = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *(c for c in own if c not in order)))).alias("p"))
         rows = frames.join(packed, keys, "left").withColumn("points", F.transform("p", lambda s: F.struct(*(s[c].alias(c) for c in kept)))).drop("p")
     rows = rows.withColumns({k: F.col(k).cast("long") for k in keys})
-    rows.repartition("episode_index").sortWithinPartitions(*keys).write.format("episode_arrays").mode("overwrite" if overwrite else "append").save(path)
+    tasks = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number, as a few megabytes of rows are many files
+    rows.repartition(tasks, "episode_index").sortWithinPartitions(*keys).write.format("episode_arrays").mode("overwrite" if overwrite else "append").save(path)

@@ -91,7 +91,7 @@ def test_many_array_files_are_few_partitions(spark, tmp_path):
     frames = spark.range(1203).selectExpr("id AS episode_index", "0L AS frame_index", "cast(id * 20 AS short) AS v", "array(double(id), 0.5D) AS w")
     arrays.write_episode_arrays(frames, None, str(tmp_path / "c"))
     back = arrays.read_episode_arrays(spark, str(tmp_path / "c"), schema="episode_index long, frame_index long, v short, w array<double>")
-    assert back.rdd.getNumPartitions() == 602
+    assert back.rdd.getNumPartitions() == 172
     assert sorted(map(str, back.collect())) == sorted(map(str, frames.collect()))
 
 
