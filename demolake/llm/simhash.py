@@ -424,10 +424,13 @@ def link_texts(signed_: DataFrame, texts: Callable[[DataFrame], DataFrame], *, s
     known = materialize(fps.join(sets.select("fp", "counts"), "fp"), "members")
     links = materialize(similar(found.filter("key = 0").select("a", "b"), sets, least), "links")
     roots = components(links)
+    # a member stands under many keys; its root is looked up once
+    under = lambda rows: rows.groupBy("fp").agg(F.collect_list("key").alias("keys"))
+    doubt, inside = materialize(under(doubt), "doubt"), materialize(under(inside), "crowded-keys") if full else None
     low = -1
     for high in (within(64 * LANES, 0), limit):
         named = roots.withColumnRenamed("node", "fp")
-        of = lambda rows, named=named: rows.join(named, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+        of = lambda rows, named=named: rows.join(named, "fp", "left").select(F.explode("keys").alias("key"), "fp", F.coalesce("root", "fp").alias("root"))
         rows = of(doubt)
         several = rows.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a != _b").select("key")
         open_ = rows.join(several, "key", "left_semi").join(known, "fp")
