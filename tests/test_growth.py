@@ -5,8 +5,8 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from demolake.operators import curves, sampling, voxel
-from demolake.sources import arrays, frame_store, tables
+from demolake.operators import curves, pooling, sampling, voxel
+from demolake.sources import arrays, frame_store, shared, tables
 from demolake.streaming import monitors
 
 
@@ -105,3 +105,14 @@ def test_chunks_of_a_store_widen_with_its_episodes(spark, tmp_path):
     assert again.chunk_size == 95 and again.read("rows").count() == 3000
     more = spark.range(2995, 3005).selectExpr("id AS episode_index", "0L AS frame_index")
     assert sorted(r.episode_index for r in again.pending(more, "rows").collect()) == list(range(3000, 3005))
+
+
+def test_windows_of_many_rows_are_dealt_over_more_tasks(spark, monkeypatch):
+    """The sorts of a cloud's windows grew with the table, as the number of tasks didn't; results are the same."""
+    points = spark.range(400).selectExpr("id % 20 AS episode_index", "0L AS frame_index", "id AS point_id", "double(id * 7 % 32) / 32 AS x", "double(id * 31 % 32) / 32 AS y", "double(id * 113 % 32) / 32 AS z")
+    made = lambda: (pooling.pooling_ids(points, 0.25, [2]), curves.permutations(voxel.serialise(points, 0.25, depth=4)), voxel.voxel_downsample(points, 0.25, origin="min"))
+    want = [sorted(map(tuple, df.collect())) for df in made()]
+    monkeypatch.setattr(shared, "AT_ONCE", 25)
+    for df, rows in zip(made(), want, strict=True):
+        assert re.search(r"RepartitionByExpression \[episode_index#\d+L?, frame_index#\d+L?\], 16", plan(df)), plan(df)
+        assert sorted(map(tuple, df.collect())) == rows
