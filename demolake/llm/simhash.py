@@ -402,6 +402,15 @@ def _minor_meet_all(rows: DataFrame, bucket: int) -> DataFrame:
     return dealt.dropDuplicates(["key", "fp"])
 
 
+def _several_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (key, fp, root) of the keys whose members have several roots. A member stands under many keys; its root is looked up once, and its keys are dealt once."""
+    members = rows.groupBy("fp").agg(F.collect_list("key").alias("keys"))
+    found = members.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    rooted = materialize(found.select(F.explode("keys").alias("key"), "fp", F.coalesce("root", "fp").alias("root")), "rooted")
+    several = rooted.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a != _b").select("key")
+    return materialize(rooted.join(several, "key", "left_semi"), "open")
+
+
 def link_texts(signed_: DataFrame, texts: Callable[[DataFrame], DataFrame], *, shingle: int = 5, least: float = 0.8, miss: float = 0.002, bucket: int = 2048) -> DataFrame:
     """Columns node, root for every fp that a link reaches. signed_: distinct fp with bits; texts: gives (fp, text) of a table of fp."""
     fps = signed_.filter("bits IS NOT NULL")
@@ -424,18 +433,12 @@ def link_texts(signed_: DataFrame, texts: Callable[[DataFrame], DataFrame], *, s
     known = materialize(fps.join(sets.select("fp", "counts"), "fp"), "members")
     links = materialize(similar(found.filter("key = 0").select("a", "b"), sets, least), "links")
     roots = components(links)
-    # a member stands under many keys; its root is looked up once
-    under = lambda rows: rows.groupBy("fp").agg(F.collect_list("key").alias("keys"))
-    doubt, inside = materialize(under(doubt), "doubt"), materialize(under(inside), "crowded-keys") if full else None
+    asking = [doubt, inside] if full else [doubt]
     low = -1
     for high in (within(64 * LANES, 0), limit):
-        named = roots.withColumnRenamed("node", "fp")
-        of = lambda rows, named=named: rows.join(named, "fp", "left").select(F.explode("keys").alias("key"), "fp", F.coalesce("root", "fp").alias("root"))
-        rows = of(doubt)
-        several = rows.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a != _b").select("key")
-        open_ = rows.join(several, "key", "left_semi").join(known, "fp")
-        if full:
-            open_ = open_.unionByName(_minor_meet_all(of(inside).join(known, "fp"), bucket))
+        # components only grow, so that keys of one component are done with: the next round asks for the others alone
+        asking = [_several_roots(rows, roots) for rows in asking]
+        open_ = (asking[0].unionByName(_minor_meet_all(asking[1], bucket)) if full else asking[0]).join(known, "fp")
         more = materialize(unconnected(open_, near, low, high, least), "pairs")
         if not more.isEmpty():
             new = materialize(similar(more, sets, least), "links")
