@@ -50,6 +50,8 @@ _CUT = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
 _PLAIN = re.compile("[!-~À-ɏ](?:[\t\n\r -~À-ɏ]*[!-~À-ɏ])?")
 #: Groups with more links than this are linked by their distinct ids.
 _DENSE = 1 << 12
+#: About so many bytes a remembered chunk takes beside its text and its groups.
+_CHUNK = 320
 
 
 def tokenizer_path(name: str) -> str:
@@ -145,6 +147,11 @@ def _ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """The same counts or ids in the least unsigned kind that holds them."""
+    return x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
+
+
 def _spells(side, ids: np.ndarray, size: np.ndarray, true: list[bytes]) -> np.ndarray:
     """Whose tokens' bytes, joined, are the true ones."""
     joined = b"".join(map(side.bytes.__getitem__, ids.tolist()))
@@ -157,10 +164,10 @@ def _spells(side, ids: np.ndarray, size: np.ndarray, true: list[bytes]) -> np.nd
 
 
 class Memory:
-    """The groups of the chunks seen so far; forgets all when it holds more than ``most`` chunks."""
+    """The groups of the chunks seen so far; forgets all when it holds more than ``most`` chunks or about ``most_bytes``."""
 
-    def __init__(self, a: ByteLevel, b: Pieces, most: int = 400_000):
-        self.sides, self.most = (a, b), most
+    def __init__(self, a: ByteLevel, b: Pieces, most: int = 400_000, most_bytes: int = 96 << 20):
+        self.sides, self.most, self.most_bytes = (a, b), most, most_bytes
         self.chunked = a.chunked and b.chunked
         self._forget()
 
@@ -170,7 +177,8 @@ class Memory:
         self.whole = np.zeros(0, bool)
         self.n = np.zeros((4, 0), np.int64)  # tokens of A and of B, groups, links
         self.first = np.zeros(1, np.int64)  # where a chunk's pairs begin
-        self.pair, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pair, self.times = _small(np.zeros(0, np.int64)), _small(np.zeros(0, np.int64))
+        self.held = 0
 
     def _learn(self, chunks: list[str]) -> None:
         true = [f" {c}".encode() for c in chunks]
@@ -180,14 +188,16 @@ class Memory:
         chunk, pair, times = g.pairs()
         self.n = np.concatenate([self.n, [*g.n, g.per_text(np.ones(len(g.links), np.int64)), g.per_text(g.links)]], axis=1)
         self.first = np.append(self.first, len(self.pair) + np.cumsum(np.bincount(chunk, minlength=len(chunks))))
-        self.pair, self.times = np.append(self.pair, pair), np.append(self.times, times)
+        self.pair, self.times = np.append(self.pair, _small(pair)), np.append(self.times, _small(times))
         self.whole = np.append(self.whole, whole)
-        self.written += g.written()
+        written = g.written()
+        self.written += written
+        self.held += sum(map(len, true)) + sum(map(len, written)) + (self.pair.itemsize + self.times.itemsize) * len(pair) + _CHUNK * len(chunks)
         self.slot.update(zip(chunks, range(len(self.slot), len(self.slot) + len(chunks)), strict=True))
 
     def chunks(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The chunks of texts: each one's text and place in this memory, for the texts that have tokens."""
-        if len(self.slot) > self.most:
+        if len(self.slot) > self.most or self.held > self.most_bytes:
             self._forget()
         cut = [([] if not t else _CUT.split(t) if self.chunked else [t]) for t in texts]
         flat = list(itertools.chain.from_iterable(cut))
@@ -313,7 +323,7 @@ def _summed(base: np.ndarray, pair: np.ndarray, times: np.ndarray, span: int) ->
         order = np.argsort(key)
         key, times = key[order], times[order]
     first = np.nonzero(np.append(True, key[1:] != key[:-1])[: len(key)])[0]
-    sums = np.add.reduceat(times, first) if len(first) else times
+    sums = np.add.reduceat(times, first, dtype=np.int64) if len(first) else times
     return key[first] // span, key[first] % span, sums
 
 
@@ -339,6 +349,7 @@ class _Portion:
         self.n: list[list[np.ndarray]] = [[], [], [], []]
         self.held: list[np.ndarray] = []
         self.pair: list[np.ndarray] = []
+        self.place: list[np.ndarray] = []
         self.times: list[np.ndarray] = []
 
     def add(self, ids: pa.Array, texts: list[str | None], memory: Memory) -> None:
@@ -352,20 +363,25 @@ class _Portion:
             found.append(sums[1:] - sums[:-1])
         doc, pair, times = memory.pairs(doc, slots)
         self.held.append(np.bincount(doc, minlength=len(texts)))
+        pair, place = np.unique(pair, return_inverse=True)
         self.pair.append(pair)
-        self.times.append(times)
+        self.place.append(place.astype(np.int32))
+        self.times.append(_small(times))
 
     def row(self, portion: int, names: list[str]) -> pa.RecordBatch:
-        pair, place, docs = np.unique(np.concatenate(self.pair), return_inverse=True, return_counts=True)
+        pair, at = np.unique(np.concatenate(self.pair), return_inverse=True)
+        ends = np.cumsum(list(map(len, self.pair)))[:-1]
+        place = np.concatenate([a.astype(np.int32)[p] for a, p in zip(np.split(at, ends), self.place, strict=True)])
+        docs = np.bincount(place, minlength=len(pair))
         first = np.append(0, np.cumsum(np.concatenate(self.held)))
         ids = pa.chunked_array(self.ids).combine_chunks()
         arrays = [pa.array([portion], pa.int64()), _lists(pair, pa.int64()), _lists(docs, pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
         arrays += [_lists(np.concatenate(x), pa.int64()) for x in self.n]
-        arrays += [_lists(self.sha, pa.string()), _lists(first, pa.int64()), _lists(place.astype(np.int32), pa.int32()), _lists(np.concatenate(self.times), pa.int64())]
+        arrays += [_lists(self.sha, pa.string()), _lists(first, pa.int64()), _lists(place, pa.int32()), _lists(np.concatenate(self.times).astype(np.int64), pa.int64())]
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def portions(docs: DataFrame, *, id: str, text: str, a: str, b: str, size: int, at_once: int = 4 << 20) -> DataFrame:
+def portions(docs: DataFrame, *, id: str, text: str, a: str, b: str, size: int, at_once: int = 1 << 20) -> DataFrame:
     """One row for each portion of about ``size`` bytes of text: its distinct pairs with their documents, and the documents' own figures and pairs."""
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
     small_batches(docs.sparkSession)
