@@ -5,7 +5,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from demolake.operators import curves, pooling, sampling, voxel
+from demolake.operators import curves, pooling, sampling, vectors, voxel
 from demolake.sources import arrays, frame_store, shared, tables
 from demolake.streaming import monitors
 
@@ -116,3 +116,19 @@ def test_windows_of_many_rows_are_dealt_over_more_tasks(spark, monkeypatch):
     for df, rows in zip(made(), want, strict=True):
         assert re.search(r"RepartitionByExpression \[episode_index#\d+L?, frame_index#\d+L?\], 16", plan(df)), plan(df)
         assert sorted(map(tuple, df.collect())) == rows
+
+
+def test_products_of_rows_and_queries_are_dealt_over_tasks(spark, monkeypatch):
+    """All pairs of one input file were one task; results are the same, and only the two sides are shuffled."""
+    df = spark.range(600).selectExpr("id AS vec_id", "array(double(id % 7) - 3, double(id % 11), IF(id = 5, NULL, 1D)) AS embedding").coalesce(1)
+    made = lambda: vectors.cosine_to_queries(df, "embedding", df.filter("vec_id % 2 = 0"), key="vec_id", block=40).withColumn("cosine", F.round("cosine", 9))
+    want = sorted(map(str, made().collect()))
+    monkeypatch.setattr(vectors, "RESULTS", 10_000, raising=False)
+    got = made()
+    assert sorted(map(str, got.collect())) == want and len(want) == 600 * 300
+    tasks = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) == 18 and max(r["count"] for r in tasks) <= 10_000
+    planned = plan(made()).split("== Physical Plan ==")[1]
+    assert "CartesianProduct" in planned and planned.count("Exchange RoundRobin") == 2
+    monkeypatch.setattr(vectors, "MOST_TASKS", 6)
+    assert made().rdd.getNumPartitions() == 6
