@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from demolake.operators import vectors
 from demolake.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -30,3 +31,11 @@ def test_a_twentieth_of_the_vectors_are_queries(spark):
 def test_percentiles_over_all_pairs_of_the_sample(spark):
     n = min(2000, spark.read.parquet(f"{SF}/embeddings.parquet").count())
     assert catalog.queries()["a32_pairwise_percentiles"](spark, SF).first().pairs == n * (n - 1) // 2
+
+
+@pytest.mark.parametrize("name", ["a32_cosine_to_queries", "a32_cosine_to_every_twentieth"])
+def test_one_file_of_vectors_is_many_tasks(spark, monkeypatch, name):
+    want = sorted(map(tuple, catalog.queries()[name](spark, SF).collect()))
+    monkeypatch.setattr(vectors, "RESULTS", len(want) // 5, raising=False)
+    got = catalog.queries()[name](spark, SF)
+    assert got.rdd.getNumPartitions() >= 5 and sorted(map(tuple, got.collect())) == want
