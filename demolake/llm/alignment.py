@@ -17,7 +17,8 @@ otherwise a text is one chunk.
 Counts of linked id pairs go by portions of documents. A portion holds its distinct pairs, each
 with the number of its documents, and each document's pairs as positions in that list. So
 a pair is at most one row a portion, however common it is, and the counts go back by portion.
-Portions are written as a table before they are counted.
+Portions are written as a table before they are counted, a few to a file, as Parquet holds many such rows at once;
+documents' positions are compressed there, so that JVMs carry some megabytes for a portion, whatever its pairs.
 
 Nulls and empty texts, and texts whose joined token bytes differ from space and text, have no
 tokens: zeros, and an empty hash. Texts may have any length; a group of many tokens is linked by its
@@ -50,6 +51,8 @@ _CUT = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
 _PLAIN = re.compile("[!-~À-ɏ](?:[\t\n\r -~À-ɏ]*[!-~À-ɏ])?")
 #: Groups with more links than this are linked by their distinct ids.
 _DENSE = 1 << 12
+#: So many portions stand in a file at most: Parquet's writers and readers hold a hundred rows and more of a file at once.
+_PER_FILE = 8
 #: About so many bytes a remembered chunk takes beside its text and its groups.
 _CHUNK = 320
 
@@ -333,7 +336,8 @@ def _marked(n: int) -> list[bytes]:
     return [f"{i}{mark}".encode() for i in range(n) for mark in ",|;"]
 
 
-_ENTRIES = "n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, first array<long>, place array<int>, times array<long>"
+_ENTRIES = "n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, first array<long>, place binary, times binary"
+_ZSTD = pa.Codec("zstd", compression_level=3)
 
 
 def _lists(values, kind: pa.DataType) -> pa.Array:
@@ -341,6 +345,20 @@ def _lists(values, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
+def _sealed(row: pa.RecordBatch) -> pa.RecordBatch:
+    """A portion's row with places and times compressed: kind, number and bytes; ``_numbers`` reads them."""
+    for name in ("place", "times"):
+        x = _small(row.column(name).values.to_numpy())
+        sealed = x.dtype.itemsize.to_bytes(1, "little") + len(x).to_bytes(8, "little") + _ZSTD.compress(x.tobytes(), asbytes=True)
+        row = row.set_column(row.schema.get_field_index(name), name, pa.array([sealed], pa.binary()))
+    return row
+
+
+def _numbers(sealed: bytes) -> np.ndarray:
+    size, n = sealed[0], int.from_bytes(sealed[1:9], "little")
+    return np.frombuffer(_ZSTD.decompress(sealed[9:], size * n, asbytes=True), f"u{size}")
+
+
 class _Portion:
     """What was found in the texts of a portion so far."""
 
@@ -377,7 +395,8 @@ class _Portion:
         ids = pa.chunked_array(self.ids).combine_chunks()
         arrays = [pa.array([portion], pa.int64()), _lists(pair, pa.int64()), _lists(docs, pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
         arrays += [_lists(np.concatenate(x), pa.int64()) for x in self.n]
-        arrays += [_lists(self.sha, pa.string()), _lists(first, pa.int64()), _lists(place, pa.int32()), _lists(np.concatenate(self.times).astype(np.int64), pa.int64())]
+        times = np.concatenate(self.times)
+        arrays += [_lists(self.sha, pa.string()), _lists(first, pa.int64()), _lists(place, pa.int32()), _lists(times, pa.from_numpy_dtype(times.dtype))]
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
@@ -396,10 +415,10 @@ def portions(docs: DataFrame, *, id: str, text: str, a: str, b: str, size: int,
             for piece in pieces(batch, 1, at_once):
                 held_back.add(piece.column(0), piece.column(1).to_pylist(), memory)
                 if held_back.size >= size:
-                    yield held_back.row(task + k, names)
+                    yield _sealed(held_back.row(task + k, names))
                     held_back, k = _Portion(), k + 1
         if held_back.ids:
-            yield held_back.row(task + k, names)
+            yield _sealed(held_back.row(task + k, names))
 
     return rows.mapInArrow(run, schema)
 
@@ -413,18 +432,22 @@ def pair_counts(table: DataFrame, pieces_b: int) -> DataFrame:
     return counts.withColumn("a", a).join(F.broadcast(most), "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
+@releasing
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in range(batch.num_rows):
-            field = lambda name, r=r, batch=batch: batch.column(batch.schema.get_field_index(name))[r].values
-            first, place, times = (field(x).to_numpy() for x in ("first", "place", "times"))
+            value = lambda name, r=r, batch=batch: batch.column(batch.schema.get_field_index(name))[r]
+            field = lambda name, value=value: value(name).values
+            first, place, times = field("first").to_numpy(), *(_numbers(value(x).as_py()) for x in ("place", "times"))
             most = int(place.max()) + 1 if len(place) else 0
             n, best = np.zeros(most, np.int64), np.zeros(most, bool)
             found = field("found")
             if found is not None:
                 at = found.field("at").to_numpy()
                 n[at], best[at] = found.field("n").to_numpy(), found.field("best").to_numpy(zero_copy_only=False)
-            sums = [np.append(0, np.cumsum(times * x[place])) for x in (best, n)]
+            sums = [np.zeros(len(place) + 1, np.int64) for _ in range(2)]
+            for x, total in zip((best, n), sums, strict=True):
+                np.cumsum(np.multiply(x[place], times, dtype=np.int64), out=total[1:])
             yield pa.RecordBatch.from_arrays(
                 [field("ids"), *(field(x) for x in ("n_a", "n_b", "n_groups", "n_links")), *(pa.array(s[first[1:]] - s[first[:-1]], pa.int64()) for s in sums), field("groups_sha256")],
                 names=["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
@@ -440,7 +463,7 @@ def align(docs: DataFrame, *, id: str = "doc_id", text: str = "text", a: str | N
     a, b = a or tokenizer_path("byte_bpe_50k.json"), b or tokenizer_path("piece_bpe_32k.model")
     path = new_folder(spark, "portions")
     found = portions(docs, id=id, text=text, a=a, b=b, size=portion)
-    found.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
+    found.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).option("maxRecordsPerFile", _PER_FILE).parquet(path)
     table = spark.read.schema(found.schema).parquet(path)
     counts = pair_counts(table, tokenizers(a, b)[1].size)
     asked = table.select("portion", F.posexplode("pairs").alias("at", "pair"))
